@@ -9,14 +9,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.llm import byte_bpe
+from panelforge.llm import (
+    byte_bpe,
+    decontaminate,
+    langid,
+    toxicity,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": langid.query,
         "op3_byte_bpe": byte_bpe.query,
+        "op4_benchmark_decontamination": decontaminate.query,
+        "op5_toxicity": toxicity.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+    }

@@ -11,21 +11,30 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.llm import (
     byte_bpe,
+    chat_format,
     decontaminate,
     langid,
+    line_templates,
     toxicity,
+    url_filter,
 )
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.query,
+        "op2_chat_formatting": chat_format.query,
         "op3_byte_bpe": byte_bpe.query,
         "op4_benchmark_decontamination": decontaminate.query,
         "op5_toxicity": toxicity.query,
+        "op8_url_filter": url_filter.query,
+        "op9_line_dedup": line_templates.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_chat_formatting": chat_format.ORACLE_SQL,
+        "op8_url_filter": url_filter.ORACLE_SQL,
+        "op9_line_dedup": line_templates.ORACLE_SQL,
     }

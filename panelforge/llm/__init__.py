@@ -13,8 +13,11 @@ from panelforge.llm import (
     byte_bpe,
     chat_format,
     decontaminate,
+    embedding_dedup,
+    jaccard_join,
     langid,
     line_templates,
+    substring_dedup,
     toxicity,
     url_filter,
 )
@@ -27,14 +30,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_byte_bpe": byte_bpe.query,
         "op4_benchmark_decontamination": decontaminate.query,
         "op5_toxicity": toxicity.query,
+        "op6_substring_dedup": substring_dedup.query,
+        "op7_ngram_jaccard_join": jaccard_join.query,
         "op8_url_filter": url_filter.query,
         "op9_line_dedup": line_templates.query,
+        "op10_embedding_near_dedup": embedding_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_formatting": chat_format.ORACLE_SQL,
+        "op6_substring_dedup": substring_dedup.ORACLE_SQL,
         "op8_url_filter": url_filter.ORACLE_SQL,
         "op9_line_dedup": line_templates.ORACLE_SQL,
+        "op10_embedding_near_dedup": embedding_dedup.ORACLE_SQL,
     }

@@ -93,9 +93,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return Classifier(weights, -500.0)
     n_p, n_u = len(positive), len(unlabelled)
-    flat = [np.concatenate(x) for x in (positive, unlabelled)]
-    rows = [np.repeat(np.arange(len(x)), [len(a) for a in x]) for x in (positive, unlabelled)]
-    df = [np.bincount(np.unique(r * SLOTS + f) % SLOTS, minlength=SLOTS) for r, f in zip(rows, (x.astype(np.int64) for x in flat))]
+    df = [np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)]
+    for part, count in zip((positive, unlabelled), df):
+        for slots in part:
+            count[slots] += 1  # once for each text, however often a slot stands in it
     # Features clearly more common among confirmed texts than chance has it; the ratio can reach 1 / prior.
     expected = (df[1] + 0.5) * (n_p / n_u)
     use = np.flatnonzero((df[0] >= 3.0 * expected) & (df[0] >= expected + 3.0 * np.sqrt(expected + 1.0) + 1.0))
@@ -104,9 +105,9 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     place = np.full(SLOTS, -1, np.int64)
     place[use] = np.arange(use.size)
     parts = []
-    for f, r in zip(flat, rows):
-        at = place[f]
-        parts.append((at[at >= 0], r[at >= 0]))
+    for part in (positive, unlabelled):
+        kept = [at[at >= 0] for at in (place[slots] for slots in part)]
+        parts.append((np.concatenate(kept), np.repeat(np.arange(len(kept)), [len(x) for x in kept])))
     theta, bias = np.zeros(use.size), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(use.size + 1), np.zeros(use.size + 1)
     for t in range(1, rounds + 1):

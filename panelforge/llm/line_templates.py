@@ -31,7 +31,7 @@ BLANKS = "[ \\t\\r]+"
 
 
 def _tokens(line: Column) -> Column:
-    return F.filter(F.split(line, BLANKS), lambda t: t != "")
+    return F.split(line, BLANKS)
 
 
 def _masked(tokens: Column) -> Column:
@@ -39,17 +39,18 @@ def _masked(tokens: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """Every line with its document (id, digest of the text), number, leaf and masked tokens."""
+    """Every line that has a token, with its document (id, digest of the text), number and leaf."""
     lines = docs.where("text is not null").select(
         F.col("doc_id").alias("doc"),
         F.xxhash64("text").alias("content"),
         F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
     )
-    tokens = _masked(_tokens(F.col("line")))
     return (
-        lines.select("doc", "content", "line_no", tokens.alias("tokens"))
-        .where(F.size("tokens") > 0)
-        .withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, DEPTH)))
+        lines.withColumn("line", F.btrim("line", F.lit(" \t\r")))
+        .where("line <> ''")
+        .withColumn("_tokens", _tokens(F.col("line")))
+        .withColumn("leaf", F.xxhash64(F.size("_tokens"), _masked(F.slice("_tokens", 1, DEPTH))))
+        .drop("_tokens")
     )
 
 
@@ -68,7 +69,9 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, content, dropped array<int>): numbers from 0 of the lines to drop, for documents that lose any."""
     lines = _lines(docs)
     leaves = _recurring(lines.select("leaf", "content", "doc"), "leaf", min_docs).select("leaf")
-    at_leaves = materialise(lines.join(leaves, "leaf"), "lines")
+    # the lines move as they are; tokens, which take more room, are made afterwards
+    at_leaves = lines.join(leaves, "leaf").withColumn("tokens", _masked(_tokens(F.col("line")))).drop("line")
+    at_leaves = materialise(at_leaves, "lines")
     counts = (
         at_leaves.select("leaf", F.posexplode("tokens").alias("at", "token"))
         .groupBy("leaf", "at", "token")

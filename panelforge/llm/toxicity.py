@@ -93,7 +93,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return Classifier(weights, -500.0)
     n_p, n_u = len(positive), len(unlabelled)
-    df = [np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)]
+    df = [np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)]
     for part, count in zip((positive, unlabelled), df):
         for slots in part:
             count[slots] += 1  # once for each text, however often a slot stands in it
@@ -102,7 +102,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     use = np.flatnonzero((df[0] >= 3.0 * expected) & (df[0] >= expected + 3.0 * np.sqrt(expected + 1.0) + 1.0))
     if not use.size:
         return Classifier(weights, float(np.log(prior / (1 - prior))))
-    place = np.full(SLOTS, -1, np.int64)
+    place = np.full(SLOTS, -1, np.int32)
     place[use] = np.arange(use.size)
     parts = []
     for part in (positive, unlabelled):
@@ -139,7 +139,7 @@ def train(
     labels: DataFrame,
     prior: float | None = None,
     most_positive: int = 4000,
-    most_unlabelled: int = 12000,
+    most_unlabelled: int = 8000,
 ) -> Classifier:
     """Fit on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic), both without the rows held out.
 
@@ -150,7 +150,7 @@ def train(
     if not toxic:
         return Classifier(np.zeros(SLOTS, np.float32), -500.0)
     prior = min(max(toxic / n, 1e-3), 0.9) if prior is None else prior
-    rows = docs.agg(F.count(F.lit(1))).first()[0]
+    n_docs = docs.agg(F.count(F.lit(1))).first()[0]
     drawn = lambda salt: F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     confirmed = known.where("toxic > 0").where(drawn("p") < min(1.0, most_positive / toxic)).select("doc_id")
     cols = ["confirmed", "text"]
@@ -159,15 +159,19 @@ def train(
         .join(F.broadcast(confirmed), "doc_id", "left_semi")  # at most about most_positive ids
         .select(F.lit(True).alias("confirmed"), "text")
         .unionByName(
-            docs.where(drawn("u") < min(1.0, most_unlabelled / max(rows, 1))).select(F.lit(False).alias("confirmed"), "text")
+            docs.where(drawn("u") < min(1.0, most_unlabelled / max(n_docs, 1))).select(F.lit(False).alias("confirmed"), "text")
         )
         .select(*cols)
     )
     got = sample.mapInArrow(_slots, "confirmed boolean, slots binary").toArrow()
-    found: dict[bool, list[np.ndarray]] = {True: [], False: []}
+    rows = [
+        (flag, np.frombuffer(batch.column(1)[i].as_buffer(), np.int32))
+        for batch in got.to_batches()
+        for i, flag in enumerate(batch.column(0).to_pylist())
+    ]  # views, not copies
     # the order in which tasks end must not matter to sums of floating-point numbers
-    for is_confirmed, slots in sorted(zip(got.column(0).to_pylist(), got.column(1).to_pylist())):
-        found[is_confirmed].append(np.frombuffer(slots, np.int32))
+    rows.sort(key=lambda row: (len(row[1]), crc32(row[1])))
+    found = {flag: [slots for kept, slots in rows if kept is flag] for flag in (True, False)}
     return fit(found[True], found[False], prior)
 
 

@@ -66,10 +66,11 @@ def outcome(max_message: int = 4000) -> Column:
 STATE = "hits array<bigint>"
 
 
-def limit_stream(events: DataFrame, key: str, ts: str, seconds: int, most: int) -> DataFrame:
+def limit_stream(events: DataFrame, key: str, ts: str, seconds: int, most: int, expire: bool = True) -> DataFrame:
     """The sliding limit on a stream: (key, event_id, recent, limited), with the recent times of each key as state.
 
-    State is dropped when a key has been quiet for the window, so it is bounded by the keys that are active.
+    With ``expire``, state is dropped when a key has been quiet for the window, so it is bounded by the keys that are
+    active; such a query runs on without input to see timeouts. Without it, a key keeps its last few times.
     """
     span = seconds * 1000
 
@@ -86,11 +87,13 @@ def limit_stream(events: DataFrame, key: str, ts: str, seconds: int, most: int)
                 counts.append(len(hits))
             yield pd.DataFrame({key: frame[key], "event_id": frame["event_id"], "recent": counts, "limited": [c > most for c in counts]})
         state.update((hits,))
-        state.setTimeoutDuration(span)
+        if expire:
+            state.setTimeoutDuration(span)
 
     rows = events.select(F.col(key).cast("bigint").alias(key), "event_id", F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
     return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} bigint, event_id bigint, recent bigint, limited boolean", STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, f"{key} bigint, event_id bigint, recent bigint, limited boolean", STATE, "append",
+        GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout,
     )
 
 

@@ -1,7 +1,5 @@
 import datetime
 
-from pyspark.sql import functions as F
-
 from panelforge.streaming import admission
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -14,10 +12,10 @@ def test_rate_limit_batch_and_stream_agree(spark, tmp_path):
     batch = {r.event_id: r.limited for r in admission.limited(events, "ip", "ts", 600, 3).collect()}
     assert batch == {0: False, 1: False, 2: False, 3: True, 4: True, 5: False, 10: False}
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = admission.limit_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "ip", "ts", 600, 3)
-    query = stream.writeStream.format("memory").queryName("limits").outputMode("append").option("checkpointLocation", str(tmp_path / "c")).start()
-    query.processAllAvailable()
-    query.stop()
+    stream = admission.limit_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), "ip", "ts", 600, 3, expire=False)
+    query = stream.writeStream.format("memory").queryName("limits").outputMode("append").option("checkpointLocation", str(tmp_path / "c"))
+    query = query.trigger(availableNow=True).start()
+    assert query.awaitTermination(60)
     assert {r.event_id: r.limited for r in spark.sql("SELECT * FROM limits").collect()} == batch
 
 

@@ -46,7 +46,6 @@ class PrefixBpe:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
-        self.ends = {token[i:] for token in ranks for i in range(len(token))}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
 
@@ -107,11 +106,18 @@ class PrefixBpe:
         return last
 
     def _last(self, data: bytes, end: int, last: list[int]) -> int:
-        start = end - 1
-        while start >= 0 and (part := data[start:end]) in self.ends:
-            token = self.ranks.get(part)
-            if token is not None and self.reachable(token) and (start == 0 or self.fits(last[start - 1], token)):
-                return token
+        ranks, fits, start = self.ranks, self._fits, end - 1
+        while start >= 0:
+            token = ranks.get(data[start:end])
+            if token is not None:
+                if start:
+                    good = fits.get((last[start - 1], token))
+                    if good is None:
+                        good = self.fits(last[start - 1], token)
+                else:
+                    good = True
+                if good and self.reachable(token):
+                    return token
             start -= 1
         raise ValueError("no token ends here; does the vocabulary lack single bytes?")
 
@@ -150,16 +156,20 @@ class PrefixBpe:
 
 
 class _Cache(dict):
-    """Values of ``make`` by key; it starts anew when it holds ``most`` keys, so memory is bounded."""
+    """Values of ``make`` by key. At ``most`` keys they become the old generation, from which keys in use return,
+    and the former old one is dropped; so memory is bounded and frequent keys stay."""
 
     def __init__(self, make, most: int):
-        self.make, self.most = make, most
+        self.make, self.most, self.old = make, most, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.clear()
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
             self[key] = value
         return value
 
@@ -171,19 +181,23 @@ class TextEncoder:
     and the parts matched apart; texts whose white space is single spaces are cut by ``str.split``.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 500_000):
         self.bpe = PrefixBpe(ranks)
         self.pattern = regex.compile(pattern)
         self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.odd = re.compile(f"[{WHITE}]{{2}}|^[{WHITE}]|[{WHITE}]$")
         self.pieces = _Cache(lambda piece: tuple(self.bpe.encode(piece.encode("utf-8", "surrogatepass"))), most)
-        self.parts = _Cache(self._part, most)
-        self.spaced = _Cache(lambda part: self._part(" " + part), most)
+        self.parts = _Cache(self._part, most // 8)
+        self.spaced = _Cache(self._spaced, most)
 
     def _part(self, part: str) -> tuple[int, ...]:
         found = self.pattern.findall(part)
         return tuple(chain.from_iterable(map(self.pieces.__getitem__, found))) if len(found) > 1 else self.pieces[part]
 
+    def _spaced(self, part: str) -> tuple[int, ...]:
+        """A part after a single space; if it is all letters, the pattern takes it whole."""
+        return self.pieces[" " + part] if part.isalpha() else self._part(" " + part)
+
     def encode(self, text: str) -> list[int]:
         if not text:
             return []

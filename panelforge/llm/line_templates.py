@@ -26,7 +26,8 @@ from panelforge.llm.common import materialise, table
 DEPTH = 3
 CONSTANT = 0.5
 SIMILAR = 0.7
-MIN_DOCS = 10
+#: A line that a second text repeats is recurring; texts that are equal as a whole count as one.
+MIN_DOCS = 2
 BLANKS = "[ \\t\\r]+"
 
 

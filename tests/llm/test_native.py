@@ -93,6 +93,13 @@ def test_as_of_join(spark):
     assert url_filter.judge(captures, changes.limit(0)).where("decision <> 'none'").count() == 0
 
 
+def test_a_line_of_two_texts_is_recurring(spark):
+    long = " ".join(f"word{'abcdefghij'[i % 10] * (1 + i // 10)}" for i in range(60))
+    rows = [(1, f"first own words\n{long}"), (2, f"quite other\n{long}\nand an end"), (3, "nothing is shared"), (4, f"first own words\n{long}")]
+    got = {r.doc_id: r.text for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "quite other\nand an end", 3: rows[2][1], 4: "first own words"}
+
+
 def test_recurring_templates_are_dropped_but_from_the_first_document(spark):
     rows = [(i, f"own words of text number {'abcdefghij'[i]}\nLicensed to user{i} under terms of {2000 + i} now\n\nend{'x' * i} of it", "k") for i in range(10)]
     rows += [(20, rows[3][1], "copy"), (20, rows[3][1], "copy"), (30, None, "n"), (31, "", "n"), (None, "Licensed to user77 under terms of 1 now", "n")]

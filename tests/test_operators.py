@@ -120,3 +120,30 @@ def test_fill_fit_is_at_its_optimum():
     assert all(t >= model.LEAST_TAU for t in fit.taus.values())
     a, b = model.platt(p, y)
     assert abs(a) < 2 and b > 0
+
+
+def test_sources_merged_takes_every_year(spark, sf):
+    from panelforge.plans.panel import panel
+    from panelforge.queries.merging import sources_merged
+
+    of = lambda rows: {(r.county, r.school.lower(), r.program.lower(), r.year) for r in rows}
+    got = sources_merged(spark, sf).select("county", "school", "program", "year").distinct().collect()
+    want = panel(spark, sf).select("county", "school", "program", "year").distinct().collect()
+    assert of(got) == of(want) and {r.year for r in got} > {1995, 1996, 1997}
+
+
+def test_merge_equals_brute_force(spark):
+    """One level and no repeats within a source: the newest source's cell stays, and what differs from it is logged."""
+    rand = np.random.default_rng(5)
+    rows = [
+        (c, s, "AB".index(s), p, "Skole" if s == "A" else "SKOLE", f"Prog {p}", "Vg1", y, "points", float(rand.integers(30, 33)))
+        for c in "XY" for s in "AB" for p in range(4) for y in range(1995, 2002) if rand.random() < 0.7
+    ]
+    kept, lost = {}, []
+    for c, s, rank, p, _, program, _, y, _, v in sorted(rows, key=lambda r: r[2]):
+        first = kept.setdefault((c, program, y), (v, s))
+        if first[0] != v:
+            lost.append((c, program, y, *first, v, s))
+    series, drift = merge.merge_sources(spark.createDataFrame(rows, SOURCE_ROWS))
+    assert {(r.county, r.program, r.year): (r.points, r.source) for r in series.collect()} == kept and series.count() == len(kept)
+    assert sorted((r.county, r.program, r.year, r.kept_points, r.kept_from, r.ignored_points, r.ignored_from) for r in drift.collect()) == sorted(lost)

@@ -119,15 +119,17 @@ def without_tags(html: Column) -> Column:
     return F.trim(replaced(html, ("<[^>]+>", ""), (r"\s+", " ")))
 
 
-def one_line(text: Column, most: int) -> Column:
-    """One line of at most ``most`` characters."""
-    return F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " ")), 1, most)
+def one_line(text: Column, most: int | None = None) -> Column:
+    """One line, of at most ``most`` characters if that is given."""
+    text = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
+    return text if most is None else F.substring(text, 1, most)
 
 
-def paragraphs(text: Column, most: int) -> Column:
-    """Lines are kept, runs of blanks become one and empty lines at most one."""
+def paragraphs(text: Column, most: int | None = None) -> Column:
+    """Lines are kept, runs of blanks become one and empty lines at most one; of at most ``most`` characters if given."""
     text = replaced(F.coalesce(text, F.lit("")), (r"\r\n?", "\n"), (r"[^\S\n]+", " "), (r"\n{3,}", "\n\n"))
-    return F.substring(F.regexp_replace(text, r"^\s+|\s+$", ""), 1, most)
+    text = F.regexp_replace(text, r"^\s+|\s+$", "")
+    return text if most is None else F.substring(text, 1, most)
 
 
 def is_email(text: Column) -> Column:

@@ -183,8 +183,9 @@ def title_case(spark, sf_dir):
 
 
 def message_clean(spark, sf_dir):
+    """Digests of the whole cleaned texts."""
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5(text.one_line(F.col("text"), 80)).alias("line"), F.md5(text.paragraphs(F.col("text"), 500)).alias("message"))
+    return d.select("doc_id", F.md5(text.one_line(F.col("text"))).alias("line"), F.md5(text.paragraphs(F.col("text"))).alias("message"))
 
 
 def json_props(spark, sf_dir):

@@ -57,6 +57,18 @@ def test_texts(spark):
     assert one(spark, lambda x: text.denoised(text.label(x)), "Elektro, SK 3 år, landslinje") == "elektro"
 
 
+def test_message_clean_digests_whole_texts(spark, tmp_path):
+    from hashlib import md5
+
+    from panelforge.queries.texts import message_clean
+
+    long = " ".join(f"word{i}" for i in range(1500))
+    rows = [(1, f" {long}\r\nend  a"), (2, f" {long}\r\nend  b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {i: [md5(f"{long}{gap}end {x}".encode()).hexdigest() for gap in " \n"] for i, x in ((1, "a"), (2, "b"))}
+    assert {r.doc_id: [r.line, r.message] for r in message_clean(spark, str(tmp_path)).collect()} == want
+
+
 def test_chances(spark):
     table = F.array(*[F.lit(-2 + 0.1 * k) for k in range(41)])
     grid = spark.createDataFrame([(z,) for z in (0.0, 0.05, -3.0, 2.0, -2.0)], "z double")

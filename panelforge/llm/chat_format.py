@@ -4,9 +4,11 @@ The longest common turn prefix of the two (same role and text, turn by turn) is
 follows it is rendered as two completions, each with the character spans that training looks at: the text and
 end mark of assistant turns. Everything is done with array functions on one row for each pair.
 
-Defined cases: a null role counts as ``user``, a null text as empty; repeated rows of a conversation count once, and
+Defined cases: a null role counts as ``user``, a null text as empty, also in arrays that callers give; a null turn counts
+as one with both null, a null conversation as one without turns; columns named like a result are replaced by it and all
+others stay; repeated rows of a conversation count once, and
 turns with the same number are ordered by role and text; rows without a conversation id are left out; equal
-conversations give empty completions; an empty table gives an empty result; other columns are ignored.
+conversations give empty completions; an empty table gives an empty result; other columns of turns are ignored.
 """
 
 from __future__ import annotations
@@ -48,27 +50,43 @@ def _spans(turns: Column) -> Column:
     return F.aggregate(turns, start, step, lambda acc: acc["found"])
 
 
+def _whole(turns: Column) -> Column:
+    """The conversation without nulls: roles default to ``user``, texts to empty, the whole to no turns."""
+    kind = "array<struct<role:string,text:string>>"
+    filled = F.transform(
+        turns,
+        lambda t: F.struct(F.coalesce(t["role"], F.lit("user")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")),
+    )
+    return F.coalesce(filled.cast(kind), F.array().cast(kind))
+
+
+RESULTS = ("n_common", "prompt", "chosen_text", "chosen_spans", "rejected_text", "rejected_spans")
+
+
 def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
     """Add prompt, completions and their spans to rows with two conversations (array<struct<role, text>>)."""
-    a, b = F.col(chosen), F.col(rejected)
+    kept = [c for c in pairs.columns if c not in RESULTS]
+    rows = pairs.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), _whole(F.col(f"`{chosen}`")).alias("a"), _whole(F.col(f"`{rejected}`")).alias("b")
+    )
+    a, b = F.col("a"), F.col("b")
     both = F.least(F.size(a), F.size(b))
     same = F.when(both > 0, F.transform(F.sequence(F.lit(1), F.greatest(both, F.lit(1))), lambda i: F.element_at(a, i) == F.element_at(b, i)))
     first = F.coalesce(F.array_position(same, F.lit(False)), F.lit(0))
     common = F.when(first > 0, first - 1).otherwise(both).cast("int")
     rest = lambda c: F.slice(c, F.col("n_common") + 1, F.greatest(F.size(c), F.lit(1)))
     return (
-        pairs.withColumn("n_common", common)
-        .withColumns({"_prefix": F.slice(a, F.lit(1), F.col("n_common")), "_chosen": rest(a), "_rejected": rest(b)})
-        .withColumns(
-            {
-                "prompt": _text(F.col("_prefix")),
-                "chosen_text": _text(F.col("_chosen")),
-                "chosen_spans": _spans(F.col("_chosen")),
-                "rejected_text": _text(F.col("_rejected")),
-                "rejected_spans": _spans(F.col("_rejected")),
-            }
+        rows.withColumn("n_common", common)
+        .withColumns({"prefix": F.slice(a, F.lit(1), F.col("n_common")), "a": rest(a), "b": rest(b)})
+        .select(
+            *[F.col(f"row.`{c}`") for c in kept],
+            "n_common",
+            _text(F.col("prefix")).alias("prompt"),
+            _text(a).alias("chosen_text"),
+            _spans(a).alias("chosen_spans"),
+            _text(b).alias("rejected_text"),
+            _spans(b).alias("rejected_spans"),
         )
-        .drop("_prefix", "_chosen", "_rejected")
     )
 
 

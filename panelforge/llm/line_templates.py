@@ -9,11 +9,13 @@ recurring: their lines stay in the document with the smallest id and are dropped
 
 Texts that are equal as a whole count as one, so a copied document is not taken for a recurring line. Everything is
 DataFrame operations: counts are aggregated before they are shuffled, and only the lines of recurring leaves and, once,
-the documents are moved.
+the documents are moved. Leaves, templates and recurring keys are written as tables of their own before lines are joined to
+them, so that adaptive execution knows their size: small ones are broadcast, and a key with a large share of all lines is
+split among tasks.
 
 Defined cases: a null text stays null; lines without a token are never dropped; a document may lose all lines and then
 has an empty text; a null doc_id counts as larger than all others; repeated rows are treated alike and stay; an empty
-table gives an empty result; other columns are kept as they are.
+table gives an empty result; other columns are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -69,7 +71,7 @@ def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc, content, dropped array<int>): numbers from 0 of the lines to drop, for documents that lose any."""
     lines = _lines(docs)
-    leaves = _recurring(lines.select("leaf", "content", "doc"), "leaf", min_docs).select("leaf")
+    leaves = materialise(_recurring(lines.select("leaf", "content", "doc"), "leaf", min_docs).select("leaf"), "leaves")
     # the lines move as they are; tokens, which take more room, are made afterwards
     at_leaves = lines.join(leaves, "leaf").withColumn("tokens", _masked(_tokens(F.col("line")))).drop("line")
     at_leaves = materialise(at_leaves, "lines")
@@ -85,6 +87,7 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     shared = F.when(F.col("top.n") >= CONSTANT * F.col("of"), F.col("top.token")).otherwise(F.lit("<*>"))
     templates = positions.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", shared.alias("token")))).alias("t"))
     templates = templates.select("leaf", F.transform("t", lambda x: x["token"]).alias("leaf_template"))
+    templates = materialise(templates, "leaf-templates")
     same = F.aggregate(
         F.zip_with("tokens", "leaf_template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x
     )
@@ -96,29 +99,37 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         F.when(same >= SIMILAR * F.size("tokens"), F.xxhash64(F.lit(1), "leaf")).otherwise(own).alias("template"),
     )
     keyed = materialise(keyed, "templates")
+    recurring = materialise(_recurring(keyed, "template", min_docs), "recurring")
     return (
-        keyed.join(_recurring(keyed, "template", min_docs), "template")
+        keyed.join(recurring, "template")
         .where(~F.col("doc").eqNullSafe(F.col("first")))
         .groupBy("doc", "content")
         .agg(F.collect_set("line_no").alias("dropped"))
     )
 
 
-def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` (doc_id, text and any others) with recurring lines dropped from text; adds _lines and _dropped."""
-    found = dropped_lines(docs, min_docs).select(
-        F.col("doc").alias("_doc"), F.col("content").alias("_of"), F.col("dropped").alias("_gone")
-    )
-    joined = docs.withColumn("_content", F.xxhash64("text")).join(
-        found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_content") == F.col("_of")), "left"
+def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str] | None = ("_lines", "_dropped")) -> DataFrame:
+    """``docs`` (doc_id, text and any others) with recurring lines dropped from text.
+
+    ``counts`` names two more columns, the lines of a text and those dropped; they replace columns of these names.
+    """
+    found, own = dropped_lines(docs, min_docs).alias("gone_lines"), docs.alias("own")
+    of = lambda name: F.col(f"own.`{name}`")
+    joined = own.join(
+        found,
+        of("doc_id").eqNullSafe(F.col("gone_lines.doc")) & (F.xxhash64(of("text")) == F.col("gone_lines.content")),
+        "left",
     )
-    lines, gone = F.split("text", "\n"), F.col("_gone")
+    lines, gone = F.split(of("text"), "\n"), F.col("gone_lines.dropped")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
-    return joined.select(
-        *[F.when(gone.isNull(), F.col("text")).otherwise(kept).alias("text") if c == "text" else c for c in docs.columns],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).alias("_lines"),
-        F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).alias("_dropped"),
-    )
+    text = F.when(gone.isNull(), of("text")).otherwise(kept).alias("text")
+    numbers = []
+    if counts:
+        numbers = [
+            F.when(of("text").isNull(), F.lit(0)).otherwise(F.size(lines)).alias(counts[0]),
+            F.when(gone.isNull(), F.lit(0)).otherwise(F.size(gone)).alias(counts[1]),
+        ]
+    return joined.select(*[text if c == "text" else of(c) for c in docs.columns if c not in (counts or ())], *numbers)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +143,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``docs`` with the lines of recurring templates dropped from their texts; all rows stay."""
-    out = drop_lines(docs).drop("_lines", "_dropped")
+    out = drop_lines(docs, counts=None)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 

@@ -65,29 +65,33 @@ def judge(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: st
     """Add host, decision (block, allow or none), and the pattern, category and start of the interval that decided."""
     results = ("host", "decision", "pattern", "category", "valid_from")
     kept = [c for c in captures.columns if c not in results]
-    seen = captures.select(*kept, host_of(F.col(url)).alias("host"), F.col(fetched).cast("date").alias("_on"))
+    seen = captures.select(
+        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
+        host_of(F.col(f"`{url}`")).alias("host"),
+        F.col(f"`{fetched}`").cast("date").alias("day"),
+    )
     labels = F.split("host", "[.]")
     suffixes = F.transform(
         F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
     )
-    keys = seen.where("host is not null and _on is not null").select("host", "_on").distinct()
+    keys = seen.where("host is not null and day is not null").select("host", "day").distinct()
     order = F.struct(
         (-F.size(F.split("pattern", "[.]"))).alias("n"), (F.col("action") != "allow").alias("block"), F.col("category")
     )
     decided = (
-        keys.select("host", "_on", F.explode(suffixes).alias("pattern"))
+        keys.select("host", "day", F.explode(suffixes).alias("pattern"))
         .join(intervals(changes), "pattern")
-        .where("valid_from <= _on and (valid_to is null or _on < valid_to)")
-        .groupBy("host", "_on")
-        .agg(F.min_by(F.struct("action", "pattern", "category", "valid_from"), order).alias("_by"))
+        .where("valid_from <= day and (valid_to is null or day < valid_to)")
+        .groupBy("host", "day")
+        .agg(F.min_by(F.struct("action", "pattern", "category", "valid_from"), order).alias("by"))
     )
-    return seen.join(decided, ["host", "_on"], "left").select(
-        *kept,
+    return seen.join(decided, ["host", "day"], "left").select(
+        *[F.col(f"row.`{c}`") for c in kept],
         "host",
-        F.coalesce("_by.action", F.lit("none")).alias("decision"),
-        F.col("_by.pattern").alias("pattern"),
-        F.col("_by.category").alias("category"),
-        F.col("_by.valid_from").alias("valid_from"),
+        F.coalesce("by.action", F.lit("none")).alias("decision"),
+        F.col("by.pattern").alias("pattern"),
+        F.col("by.category").alias("category"),
+        F.col("by.valid_from").alias("valid_from"),
     )
 
 

@@ -114,3 +114,35 @@ def test_recurring_templates_are_dropped_but_from_the_first_document(spark):
     assert by[30].text is None and by[31].text == ""
     assert line_templates.drop_lines(docs.limit(0)).count() == 0
     assert line_templates.drop_lines(docs, min_docs=50).where("_dropped > 0").count() == 0
+
+
+def test_callers_columns_with_clashing_names(spark):
+    docs = spark.createDataFrame(
+        [(1, "own words here\nshared line of five words", 1, 2, 3, 4), (2, "others\nshared line of five words", 5, 6, 7, 8)],
+        "doc_id long, text string, _lines int, _doc int, dropped int, content int",
+    )
+    got = line_templates.keep_new_lines(spark, docs, "").orderBy("doc_id").collect()
+    assert [tuple(r)[2:] for r in got] == [(1, 2, 3, 4), (5, 6, 7, 8)] and got[1].text == "others"
+    pairs = spark.createDataFrame(
+        [([("user", "a")], [("user", "b")], "kept", 5, "old")],
+        "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>, a string, _prefix int, prompt string",
+    )
+    row = chat_format.format_pairs(pairs).first()
+    assert (row.a, row._prefix, row.prompt) == ("kept", 5, "")
+    captures = spark.createDataFrame([("http://x.org/", "2024-01-01", 1, "d")], "url string, fetched_on string, _on int, day string")
+    row = url_filter.judge(captures, spark.createDataFrame(url_filter.CHANGES, url_filter.DDL)).first()
+    assert (row._on, row.day, row.host) == (1, "d", "x.org")
+
+
+def test_nulls_inside_given_conversations(spark):
+    ddl = "chosen array<struct<role:string,text:string>>, rejected array<struct<role:string,text:string>>"
+    rows = [([("user", "q"), ("assistant", None), (None, "x"), ("assistant", "end")], [("user", "q")]), (None, [("assistant", "b")]), ([None], None)]
+    got = chat_format.format_pairs(spark.createDataFrame(rows, ddl)).collect()
+    first = got[0]
+    assert first.n_common == 1
+    assert first.chosen_text == (
+        "<|im_start|>assistant\n<|im_end|>\n<|im_start|>user\nx<|im_end|>\n<|im_start|>assistant\nend<|im_end|>\n"
+    )
+    assert [first.chosen_text[s.start : s.stop] for s in first.chosen_spans] == ["<|im_end|>\n", "end<|im_end|>\n"]
+    assert (got[1].prompt, got[1].chosen_text, got[1].chosen_spans) == ("", "", [])
+    assert (got[2].chosen_text, got[2].rejected_text) == ("<|im_start|>user\n<|im_end|>\n", "")

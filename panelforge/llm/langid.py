@@ -32,9 +32,23 @@ from panelforge.llm.common import chunks, crc_mod, table
 TO_SPACES = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 UNKNOWN = 1e-7
 LIFT = 8.0  # each character's factor, so that products stay near 1; taken back in the logarithm
+RESCALE = 16  # positions between scalings of the sums, which keeps words of any length in range
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double"
 
 
+@dataclass
+class Hits:
+    """Pieces found in words of one length: word, start, end and piece of each; ``at[e] : at[e + 1]`` are those that end
+    at e; ``lone`` (N, L) marks characters that are no piece by themselves."""
+
+    rows: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    ids: np.ndarray
+    at: np.ndarray
+    lone: np.ndarray
+
+
 class Vocabulary:
     """Finds all pieces in many words of one length by hashes of their substrings."""
 
@@ -64,27 +78,31 @@ class Vocabulary:
                 h = (h + codes[:, k] + np.uint64(1)) * self.BASE
         return h ^ (h >> np.uint64(29))
 
-    def hits(self, codes: np.ndarray) -> list[list[tuple[int, np.ndarray, np.ndarray]]]:
-        """For each end position 1..L of words (N, L): (start, rows, piece ids) of the pieces that end there."""
+    def hits(self, codes: np.ndarray) -> Hits:
+        """All pieces in words (N, L), in the order of their end and word; one pass for each length of pieces."""
         n, length = codes.shape
-        out: list[list] = [[] for _ in range(length + 1)]
+        found, single = [], np.zeros((n, length), bool)
         with np.errstate(over="ignore"):
             wide = codes.astype(np.uint64) + np.uint64(1)
-            for start in range(length):
-                h = np.zeros(n, np.uint64)
-                for size in range(1, min(self.longest, length - start) + 1):
-                    h = (h + wide[:, start + size - 1]) * self.BASE
-                    if size not in self.tables:
-                        continue
-                    hashes, ids, seen = self.tables[size]
-                    key = h ^ (h >> np.uint64(29))
-                    rows = np.flatnonzero(seen[key >> np.uint64(46)])
-                    if rows.size:
-                        at = np.minimum(np.searchsorted(hashes, key[rows]), len(hashes) - 1)
-                        good = hashes[at] == key[rows]
-                        if good.any():
-                            out[start + size].append((start, rows[good], ids[at[good]]))
-        return out
+            h = np.zeros((n, length), np.uint64)
+            for size in range(1, min(self.longest, length) + 1):
+                h = (h[:, : length - size + 1] + wide[:, size - 1 :]) * self.BASE
+                if size not in self.tables:
+                    continue
+                hashes, ids, seen = self.tables[size]
+                key = h ^ (h >> np.uint64(29))
+                rows, starts = np.nonzero(seen[key >> np.uint64(46)])
+                keys = key[rows, starts]
+                at = np.minimum(np.searchsorted(hashes, keys), len(hashes) - 1)
+                good = hashes[at] == keys
+                rows, starts = rows[good], starts[good]
+                if size == 1:
+                    single[rows, starts] = True
+                found.append((rows, starts, starts + size, ids[at[good]]))
+        rows, starts, ends, ids = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.int64),) * 4
+        order = np.lexsort((rows, ends))
+        rows, starts, ends, ids = rows[order], starts[order], ends[order], ids[order]
+        return Hits(rows, starts, ends, ids, np.searchsorted(ends, np.arange(length + 2)), ~single)
 
 
 def by_length(words: list[str], most: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -112,27 +130,52 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"vocabulary": None}
 
-    def forward(self, codes: np.ndarray, hits: list, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """alpha (L + 1, N, G), and the logarithms by which it has been scaled down."""
-        n, length = codes.shape
-        alpha = np.zeros((length + 1, n, lifted.shape[1]))
-        alpha[0], logs = 1.0, np.zeros((n, lifted.shape[1]))
-        back = self.vocabulary.longest
+    def forward(self, length: int, n: int, hits: Hits, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """alpha (L + 1, N, G), and the logarithms (same shape) by which each value has been scaled down.
+
+        Every ``RESCALE`` positions, all values that later ones are built on are divided by the newest one.
+        """
+        alpha, logs = np.zeros((length + 1, n, lifted.shape[1])), np.zeros((length + 1, n, lifted.shape[1]))
+        alpha[0], back = 1.0, self.vocabulary.longest
         for end in range(1, length + 1):
-            here = alpha[end]
-            lone = np.ones(n, bool)
-            for start, rows, ids in hits[end]:
-                here[rows] += alpha[start][rows] * lifted[ids]
-                if start == end - 1:
-                    lone[rows] = False
+            part = slice(hits.at[end], hits.at[end + 1])
+            here, rows = alpha[end], hits.rows[part]
+            logs[end] = logs[end - 1]
+            if rows.size:
+                flow = alpha[hits.starts[part], rows] * lifted[hits.ids[part]]
+                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                here[rows[first]] = np.add.reduceat(flow, first, axis=0)
+            lone = hits.lone[:, end - 1]
             if lone.any():  # a character that is no piece
                 here[lone] += alpha[end - 1][lone] * (UNKNOWN * LIFT)
-            if end % 32 == 0 and end < length:
+            if end % RESCALE == 0 and end < length:
                 scale = here.copy()
-                alpha[max(0, end - back) : end + 1] /= scale
-                logs += np.log(scale)
+                window = slice(max(0, end - back), end + 1)
+                alpha[window] /= scale
+                logs[window] += np.log(scale)
         return alpha, logs
 
+    def backward(self, length: int, n: int, hits: Hits, lifted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same from the words' ends: beta (L + 1, N, G) and its logarithms."""
+        beta, logs = np.zeros((length + 1, n, lifted.shape[1])), np.zeros((length + 1, n, lifted.shape[1]))
+        beta[length], back = 1.0, self.vocabulary.longest
+        now = np.zeros((n, lifted.shape[1]))
+        for end in range(length, 0, -1):
+            if (length - end) % RESCALE == 0 and end < length:
+                scale = beta[end].copy()
+                beta[max(0, end - back) : end + 1] /= scale
+                now = now + np.log(scale)
+            logs[end] = now
+            part = slice(hits.at[end], hits.at[end + 1])
+            rows = hits.rows[part]
+            if rows.size:  # a word has at most one piece of a start and an end
+                beta[hits.starts[part], rows] += lifted[hits.ids[part]] * beta[end][rows]
+            lone = hits.lone[:, end - 1]
+            if lone.any():
+                beta[end - 1][lone] += beta[end][lone] * (UNKNOWN * LIFT)
+        logs[0] = now
+        return beta, logs
+
     def _lifted(self) -> np.ndarray:
         sizes = np.array([len(x) for x in self.pieces])
         return self.prob * (LIFT**sizes)[:, None]
@@ -143,33 +186,24 @@ class Model:
             self.vocabulary = Vocabulary(self.pieces)
         lifted, out = self._lifted(), np.zeros((len(words), len(self.langs)))
         for at, codes in by_length(["▁" + w for w in words]):
-            alpha, logs = self.forward(codes, self.vocabulary.hits(codes), lifted)
-            out[at] = np.log(alpha[-1]) + logs - codes.shape[1] * np.log(LIFT)
+            n, length = codes.shape
+            alpha, logs = self.forward(length, n, self.vocabulary.hits(codes), lifted)
+            out[at] = np.log(alpha[-1]) + logs[-1] - length * np.log(LIFT)
         return out
 
     def expected(self, words: list[str], weights: np.ndarray) -> np.ndarray:
-        """Expected uses (pieces, languages) of each piece over weighted words; words of over 31 characters are
-        left out, as their sums are scaled."""
+        """Expected uses (pieces, languages) of each piece over weighted words of any length."""
         lifted, out = self._lifted(), np.zeros_like(self.prob)
         for at, codes in by_length(["▁" + w for w in words]):
             n, length = codes.shape
-            if length > 31:
-                continue
             hits = self.vocabulary.hits(codes)
-            alpha, _ = self.forward(codes, hits, lifted)
-            beta = np.zeros_like(alpha)
-            beta[length] = weights[at] / alpha[length]
-            known = np.zeros((length + 1, n), bool)
-            for end in range(length, 0, -1):
-                for start, rows, ids in hits[end]:
-                    flow = lifted[ids] * beta[end][rows]
-                    np.add.at(out, ids, alpha[start][rows] * flow)
-                    beta[start][rows] += flow
-                    if start == end - 1:
-                        known[end, rows] = True
-                lone = ~known[end]
-                if lone.any():
-                    beta[end - 1][lone] += beta[end][lone] * (UNKNOWN * LIFT)
+            alpha, logs = self.forward(length, n, hits, lifted)
+            beta, back = self.backward(length, n, hits, lifted)
+            whole = np.log(alpha[-1]) + logs[-1]
+            uses = alpha[hits.starts, hits.rows] * lifted[hits.ids] * beta[hits.ends, hits.rows]
+            uses *= np.exp(logs[hits.starts, hits.rows] + back[hits.ends, hits.rows] - whole[hits.rows]) * weights[at][hits.rows]
+            for g in range(out.shape[1]):
+                out[:, g] += np.bincount(hits.ids, uses[:, g], len(out))
         return out
 
 

@@ -69,3 +69,65 @@ def test_held_out_accuracy(spark, sf):
     held = [r for r in rows if r.held_out]
     assert len(rows) == 200 and held
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+
+
+def test_words_of_any_length_are_learned_from():
+    pieces = ["▁", "的", "一", "是", "的一", "ab", "a", "b", "▁ab"]
+    vocabulary = langid.Vocabulary(pieces)
+    model = langid.Model(pieces, ["x", "y"], np.full((len(pieces), 2), 1.0 / len(pieces)), vocabulary)
+    for word, sizes in (("的一是" * 14, [1, 1, 1, 1, 2, 2, 1, 1, 3]), ("ab" * 20, [1, 1, 1, 1, 2, 2, 1, 1, 3]), ("ab的" * 3000, [1, 1, 1, 1, 2, 2, 1, 1, 3])):
+        uses = model.expected([word], np.array([[2.0, 1.0]]))
+        covered = (uses * np.array(sizes)[:, None]).sum(axis=0)
+        assert np.allclose(covered, np.array([2.0, 1.0]) * (len(word) + 1), rtol=1e-6), word[:6]
+    # scaled sums give the uses of unscaled ones
+    short = model.expected(["ab的一" * 3], np.ones((1, 2)))
+    langid.RESCALE, kept = 2, langid.RESCALE
+    try:
+        assert np.allclose(model.expected(["ab的一" * 3], np.ones((1, 2))), short)
+        assert np.allclose(model.word_scores(["ab的一" * 3]), model.word_scores(["ab的一" * 3]))
+    finally:
+        langid.RESCALE = kept
+
+
+def test_one_very_long_word_through_the_query(spark):
+    docs = spark.createDataFrame(
+        [(1, "the house of the king", "en"), (2, "的一是不了人我在有" * 9000, "zh"), (3, "是不了人我在" * 30, None), (6, "of the king", None)],
+        "doc_id long, text string, lang string",
+    )
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert got[3] == "zh" and got[6] == "en"
+
+
+def test_query_against_a_plain_forward_sum(spark, sf):
+    from panelforge.llm.common import crc_mod, table
+
+    docs = table(spark, sf, "documents")
+    pieces = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    counts = langid.sample_counts(docs.where(crc_mod("doc_id", 4) != 2).selectExpr("doc_id as id", "text", "lang"), 1_000_000)
+    langs = sorted({lang for lang, _ in counts})
+    model = langid.fit(pieces, langs, counts)
+    place, known = {p: i for i, p in enumerate(pieces)}, {}
+
+    def plain(word):
+        text, sums = "▁" + word, [np.ones(len(langs))]
+        for end in range(1, len(text) + 1):
+            total = np.zeros(len(langs))
+            for start in range(max(0, end - 16), end):
+                i = place.get(text[start:end])
+                if i is not None:
+                    total += sums[start] * model.prob[i]
+                elif end - start == 1:
+                    total += sums[start] * langid.UNKNOWN
+            sums.append(total)
+        return np.log(sums[-1])
+
+    assert max(map(len, pieces)) <= 16
+    got = {r.doc_id: r for r in langid.query(spark, sf).collect()}
+    for row in docs.orderBy("doc_id").limit(60).collect():
+        words = [x for w in langid.words_of(row.text or "") for x in langid.letters_of(w)]
+        if not words:
+            assert got[row.doc_id].lang_pred == "und"
+            continue
+        total = sum(known[w] if w in known else known.setdefault(w, plain(w)) for w in words)
+        assert got[row.doc_id].lang_pred == langs[int(total.argmax())]
+        assert abs(got[row.doc_id].score - 1.0 / np.exp(total - total.max()).sum()) < 1e-6

@@ -1,7 +1,11 @@
-"""Hashes of words and of word sequences of many texts at once, in numpy."""
+"""Words of texts in any script; hashes of words and of word sequences of many texts at once, in numpy."""
 
 from __future__ import annotations
 
+import re
+import sys
+import unicodedata
+
 import numpy as np
 
 BASE = np.uint64(0xD6E8FEB86659FD93)
@@ -11,6 +15,35 @@ NORMAL = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 #: Only ASCII white space separates words.
 PLAIN = bytes(32 if c == 32 or 9 <= c <= 13 else c for c in range(256))
 
+#: Thai, Lao, Tibetan, Burmese, Khmer, Kana, Han, which are written without spaces.
+UNSPACED = re.compile(
+    "[\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]"
+)
+
+
+def _marks() -> str:
+    """Ranges of all combining marks, for a character class."""
+    found = [c for c in range(0x300, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] == "M"]
+    starts = [c for c, before in zip(found, [-1, *found]) if c != before + 1]
+    ends = [c for c, after in zip(found, [*found[1:], -1]) if c != after - 1]
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+#: What separates words, but for spaces: all that is neither letter, digit nor combining mark.
+APART = re.compile(f"[^\\w {_marks()}]+|_+")
+
+
+def spaced(text: str) -> str:
+    """The text in lower case with only spaces, or ASCII characters other than letters and digits, between words.
+
+    Words are runs of letters and digits with their marks; in scripts without spaces each character is a word.
+    """
+    text = text.lower()
+    if text.isascii():
+        return text
+    text = APART.sub(" ", text)
+    return UNSPACED.sub(r" \g<0> ", text) if UNSPACED.search(text) else text
+
 
 class _Powers:
     def __init__(self):

@@ -32,6 +32,11 @@ from panelforge.llm.common import chunks, table
 #: White space as Unicode has it (the \\s of the pattern), for cutting texts before matching.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
+#: Most pairs of tokens whose fit is remembered (about 160 bytes each), and most bytes that an encoder's three caches
+#: may hold together. Both are per running task and independent of the input.
+FITS = 1 << 18
+CACHE_BYTES = 96 << 20
+
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -48,6 +53,7 @@ class PrefixBpe:
         self.token = {rank: token for token, rank in ranks.items()}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[tuple[int, int], bool] = {}
+        self._sound: set[int] = set()  # tokens known to be reachable by merges
 
     def _merged(self, data: bytes) -> list[int]:
         """Plain merging, lowest rank first; used only to learn how a vocabulary entry is put together."""
@@ -69,11 +75,15 @@ class PrefixBpe:
             self._halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
         return self._halves[token]
 
+    def forget(self) -> None:
+        """Empty the table of pairs."""
+        self._fits.clear()
+
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE leaves these two tokens side by side."""
         key = (left, right)
         if (known := self._fits.get(key)) is None:
-            if len(self._fits) > 1 << 19:
+            if len(self._fits) >= FITS:
                 self._fits.clear()
             known = self._fits[key] = self._undo(left, right)
         return known
@@ -96,29 +106,53 @@ class PrefixBpe:
                 return True
 
     def reachable(self, token: int) -> bool:
-        return len(self.token[token]) == 1 or self.halves(token) is not None
+        if len(self.token[token]) > 1 and self.halves(token) is None:
+            return False
+        self._sound.add(token)
+        return True
 
     def last_tokens(self, data: bytes, known: list[int] | None = None) -> list[int]:
-        """For each prefix data[:i + 1], the last token of its encoding. ``known``: the table of a prefix of data."""
-        last = list(known or ())
-        for end in range(len(last) + 1, len(data) + 1):
-            last.append(self._last(data, end, last))
+        """For each prefix data[:i + 1], the last token of its encoding. ``known``: the table of a prefix of data.
+
+        The token is the one that ends there and may follow the last token of what is before it. Where the last token of
+        the prefix one byte shorter begins is tried first, since tokens mostly grow; then all places, the nearest first.
+        """
+        last, get, fits, sound = list(known or ()), self.ranks.get, self._fits, self._sound
+        size, grown = len(data), 0
+        if last:
+            grown = len(last) - len(self.token[last[-1]])
+        for end in range(len(last) + 1, size + 1):
+            token = get(data[grown:end])
+            if token is not None and token in sound:
+                if not grown:
+                    last.append(token)
+                    continue
+                key = (last[grown - 1], token)
+                good = fits.get(key)
+                if good is None:
+                    good = self.fits(*key)
+                if good:
+                    last.append(token)
+                    continue
+            grown, token = self._place(data, end, last)
+            last.append(token)
         return last
 
-    def _last(self, data: bytes, end: int, last: list[int]) -> int:
-        ranks, fits, start = self.ranks, self._fits, end - 1
-        while start >= 0:
-            token = ranks.get(data[start:end])
-            if token is not None:
-                if start:
-                    good = fits.get((last[start - 1], token))
-                    if good is None:
-                        good = self.fits(last[start - 1], token)
-                else:
-                    good = True
-                if good and self.reachable(token):
-                    return token
-            start -= 1
+    def _place(self, data: bytes, end: int, last: list[int]) -> tuple[int, int]:
+        """(start, token) of the last token of data[:end]."""
+        get, fits, sound = self.ranks.get, self._fits, self._sound
+        for start in range(end - 1, -1, -1):
+            token = get(data[start:end])
+            if token is None or (token not in sound and not self.reachable(token)):
+                continue
+            if not start:
+                return start, token
+            key = (last[start - 1], token)
+            good = fits.get(key)
+            if good is None:
+                good = self.fits(*key)
+            if good:
+                return start, token
         raise ValueError("no token ends here; does the vocabulary lack single bytes?")
 
     def read_back(self, last: list[int]) -> list[int]:
@@ -144,7 +178,7 @@ class PrefixBpe:
         text = data[:start] + new + data[stop:]
         table_, longest, same = last[:start], max(map(len, self.token.values())), 0
         for end in range(start + 1, len(text) + 1):
-            table_.append(self._last(text, end, table_))
+            table_.append(self._place(text, end, table_)[1])
             old = end - len(text) + len(data)
             same = same + 1 if end > start + len(new) and old > 0 and table_[-1] == last[old - 1] else 0
             if same >= longest:  # every later token starts inside the stretch that agrees
@@ -156,19 +190,21 @@ class PrefixBpe:
 
 
 class _Cache(dict):
-    """Values of ``make`` by key. At ``most`` keys they become the old generation, from which keys in use return,
-    and the former old one is dropped; so memory is bounded and frequent keys stay."""
+    """Values of ``make`` by key. At ``most`` bytes they become the old generation, from which keys in use return, and
+    the former old one is dropped; so twice ``most`` bounds the memory, and frequent keys stay."""
 
     def __init__(self, make, most: int):
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.old, self.bytes = make, most, {}, 0
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= 64:
-            if len(self) >= self.most:
-                self.old = dict(self)
+            # a slot of the table, two object headers, up to four bytes a character, a pointer a token
+            self.bytes += 220 + 2 * len(key) + 8 * len(value)
+            if self.bytes >= self.most:
+                self.old, self.bytes = dict(self), 0
                 self.clear()
             self[key] = value
         return value
@@ -181,14 +217,14 @@ class TextEncoder:
     and the parts matched apart; texts whose white space is single spaces are cut by ``str.split``.
     """
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 500_000):
-        self.bpe = PrefixBpe(ranks)
+    def __init__(self, bpe: PrefixBpe, pattern: str, most: int = CACHE_BYTES):
+        self.bpe = bpe
         self.pattern = regex.compile(pattern)
         self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.odd = re.compile(f"[{WHITE}]{{2}}|^[{WHITE}]|[{WHITE}]$")
-        self.pieces = _Cache(lambda piece: tuple(self.bpe.encode(piece.encode("utf-8", "surrogatepass"))), most)
+        self.pieces = _Cache(self._piece, most // 8)
         self.parts = _Cache(self._part, most // 8)
-        self.spaced = _Cache(self._spaced, most)
+        self.spaced = _Cache(self._spaced, most // 4)
 
     def _part(self, part: str) -> tuple[int, ...]:
         found = self.pattern.findall(part)
@@ -196,7 +232,10 @@ class TextEncoder:
 
     def _spaced(self, part: str) -> tuple[int, ...]:
         """A part after a single space; if it is all letters, the pattern takes it whole."""
-        return self.pieces[" " + part] if part.isalpha() else self._part(" " + part)
+        return self._piece(" " + part) if part.isalpha() else self._part(" " + part)
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        return tuple(self.bpe.encode(piece.encode("utf-8", "surrogatepass")))
 
     def encode(self, text: str) -> list[int]:
         if not text:
@@ -209,10 +248,17 @@ class TextEncoder:
         return out
 
 
-@lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> TextEncoder:
+@lru_cache(maxsize=1)
+def _vocabulary(path: str) -> PrefixBpe:
+    """The vocabulary stays with a worker (its size is fixed); what is cached while encoding goes with each task."""
     with open(path, "rb") as file:
-        return TextEncoder(load_ranks(file.read()), pattern)
+        return PrefixBpe(load_ranks(file.read()))
+
+
+def _encoder(path: str, pattern: str) -> TextEncoder:
+    bpe = _vocabulary(path)
+    bpe.forget()
+    return TextEncoder(bpe, pattern)
 
 
 def encode(

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _OWN_DIRS: dict[str, str] = {}
-_WRITTEN: list[str] = []
+#: What ``materialise`` has written and nobody has deleted yet: path to the Hadoop settings it was written with.
+_WRITTEN: dict[str, object] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,16 +42,33 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if not _WRITTEN:
+        atexit.register(cleanup)  # what results were built on goes when the driver ends
+    _WRITTEN[path] = spark.sparkContext._jsc.hadoopConfiguration()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Delete what ``materialise`` has written; call it once results that were built on it are stored."""
-    jvm = spark.sparkContext._jvm
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(paths: list[str]) -> None:
+    for path in paths:
+        conf = _WRITTEN.pop(path)
+        try:
+            found = SparkSession._instantiatedSession._jvm.org.apache.hadoop.fs.Path(path)
+            found.getFileSystem(conf).delete(found, True)
+        except (AttributeError, Py4JError, OSError):  # the session has ended before; its folder stays
+            return
+
+
+def cleanup() -> None:
+    """Delete all that ``materialise`` has written; call it once results that were built on it are stored."""
+    _delete(list(_WRITTEN))
+
+
+@contextmanager
+def scratch(*keep: str) -> Iterator[None]:
+    """Delete what is materialised inside once the block ends, but tables whose names are in ``keep``."""
+    before = set(_WRITTEN)
+    yield
+    _delete([p for p in _WRITTEN if p not in before and p.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep])
 
 
 def crc_mod(col: Column | str, n: int) -> Column:
@@ -67,15 +88,19 @@ def chunks(batches: Iterator[pa.RecordBatch], rows: int = 512, mb: int = 16) ->
             at += n
 
 
-def block_pairs(members: DataFrame, keys: list[str], row_id: str, cap: int) -> DataFrame:
+def block_pairs(members: DataFrame, keys: list[str], row_id: str, cap: int, at_least: int = 2) -> DataFrame:
     """Deal the rows of each group to tasks so that every pair of a group meets in exactly one of them.
 
     A group of more than ``cap`` rows is cut into blocks by a hash of ``row_id``; each pair of blocks is a
     subgroup (``bi`` <= ``bj``) and a row is sent to those of its own block, so that a task holds about
     2 * cap rows of a hot group. Pairs inside block i belong to subgroup (i, i). Adds own block ``b``.
+    Groups of fewer than ``at_least`` (1 or 2) rows are left out.
+
+    Sizes are written before rows are joined to them, so that adaptive execution can split a hot key's rows.
     """
-    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-    dealt = members.join(sizes, keys).withColumn("_nb", F.ceil(F.col("_n") / F.lit(cap)).cast("int"))
+    sizes = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > (1 if at_least > 1 else cap))
+    sizes = materialise(sizes.select(*keys, F.ceil(F.col("_n") / F.lit(cap)).cast("int").alias("_nb")), "sizes")
+    dealt = members.join(sizes, keys, "inner" if at_least > 1 else "left").withColumn("_nb", F.coalesce("_nb", F.lit(1)))
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64(row_id), F.col("_nb")).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    return dealt.withColumns({"bi": F.least("b", "_o"), "bj": F.greatest("b", "_o")}).drop("_o", "_n", "_nb")
+    return dealt.withColumns({"bi": F.least("b", "_o"), "bj": F.greatest("b", "_o")}).drop("_o", "_nb")

@@ -65,3 +65,20 @@ def test_query_over_the_whole_table(spark, sf):
     got = byte_bpe.query(spark, sf).collect()
     assert len(got) == len(docs)
     assert all(r.n_tokens == len(PEER.encode_ordinary(docs[r.doc_id])) for r in got)
+
+
+def test_digests_over_the_whole_table(spark, sf):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in byte_bpe.query(spark, sf).collect():
+        ids = PEER.encode_ordinary(docs[r.doc_id])
+        assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(docs[r.doc_id].encode()).hexdigest()
+
+
+def test_caches_are_bounded_and_keep_the_ids():
+    small = byte_bpe.TextEncoder(CODER.bpe, public_tokenizers.PATTERN, 50_000)
+    rand = random.Random(5)
+    for _ in range(300):
+        text = " ".join("".join(rand.choice("abcdeghinorst") for _ in range(rand.randint(1, 12))) for _ in range(40))
+        assert small.encode(text) == PEER.encode_ordinary(text)
+    assert all(len(c) + len(c.old) < 100 for c in (small.pieces, small.parts, small.spaced))

@@ -8,7 +8,9 @@ is linear and trained in numpy: its features are words and their first letters (
 
 Only confirmed toxic texts, the unlabelled texts and the prior are used; labels 0 enter through the prior alone.
 Fitting takes bounded samples (``most_positive``, ``most_unlabelled``, drawn by a hash of the id); every whole text
-is scored.
+is scored. The sample's slots stay in a table: Spark counts them, the slots that tell the two parts apart are chosen from
+the counts, and only these (at most ``MOST_USED``, the clearest first) come to the driver, as one number a text and slot.
+What comes is bounded by the two samples and ``MOST_USED``, whatever the length of the texts.
 
 Defined cases: a null, empty or wordless text gets the score of the bias alone, which is 0 where no confirmed
 toxic text is at hand; of several labels for one document, any toxic one counts; labels without a document and
@@ -27,9 +29,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import chunks, crc_mod, table
+from panelforge.llm.common import chunks, crc_mod, materialise, table
 
 SLOTS = 1 << 21
+#: Most features of the classifier; a bound of the fit, as the sample's is.
+MOST_USED = 20_000
 #: ASCII characters that are no letters become spaces.
 TO_SPACES = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
@@ -87,19 +91,35 @@ def nnpu_step(z_p: np.ndarray, z_u: np.ndarray, prior: float) -> tuple[np.ndarra
     return d_p + prior * (p - 1.0) / max(len(p), 1), d_u, toxic + clean
 
 
+def telling(df_p: np.ndarray, df_u: np.ndarray, n_p: int, n_u: int, most: int = MOST_USED) -> np.ndarray:
+    """Places of the features clearly more common among confirmed texts than chance has it, from the texts of each part
+    that have them; the ratio can reach 1 / prior. Of more than ``most``, those furthest from chance are taken."""
+    expected = (df_u + 0.5) * (n_p / max(n_u, 1))
+    use = np.flatnonzero((df_p >= 3.0 * expected) & (df_p >= expected + 3.0 * np.sqrt(expected + 1.0) + 1.0))
+    if use.size > most:
+        far = (df_p[use] - expected[use]) / np.sqrt(expected[use] + 1.0)
+        use = np.sort(use[np.argsort(-far, kind="stable")[:most]])
+    return use
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400) -> Classifier:
     """Train on slots of confirmed toxic and of unlabelled texts (a slot stands once for each word that has it)."""
-    weights = np.zeros(SLOTS, np.float32)
-    if not positive or not unlabelled:
-        return Classifier(weights, -500.0)
-    n_p, n_u = len(positive), len(unlabelled)
     df = [np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.int32)]
     for part, count in zip((positive, unlabelled), df):
         for slots in part:
             count[slots] += 1  # once for each text, however often a slot stands in it
-    # Features clearly more common among confirmed texts than chance has it; the ratio can reach 1 / prior.
-    expected = (df[1] + 0.5) * (n_p / n_u)
-    use = np.flatnonzero((df[0] >= 3.0 * expected) & (df[0] >= expected + 3.0 * np.sqrt(expected + 1.0) + 1.0))
+    n_p, n_u = len(positive), len(unlabelled)
+    return descend(telling(*df, n_p, n_u), positive, unlabelled, prior, rounds)
+
+
+def descend(
+    use: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400
+) -> Classifier:
+    """Minimise the risk over the weights of the slots in ``use``."""
+    weights = np.zeros(SLOTS, np.float32)
+    if not positive or not unlabelled:
+        return Classifier(weights, -500.0)
+    n_p, n_u = len(positive), len(unlabelled)
     if not use.size:
         return Classifier(weights, float(np.log(prior / (1 - prior))))
     place = np.full(SLOTS, -1, np.int32)
@@ -126,14 +146,32 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slots of each text, one for each word that has it; of one text at most ``SLOTS``, so a row has a bound."""
     for batch in chunks(batches):
-        out = [
-            np.array(sorted(x for w in words_of(text or "") for x in features_of(w)), np.int32).tobytes()
-            for text in batch.column(1).to_pylist()
-        ]
+        out = [_of_text(text or "").tobytes() for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["confirmed", "slots"])
 
 
+def _of_text(text: str) -> np.ndarray:
+    found = np.array([x for w in words_of(text) for x in features_of(w)], np.int32)
+    found.sort()
+    return found if len(found) <= SLOTS else np.unique(found)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of confirmed and of unlabelled texts that have each slot, by task."""
+    counts = np.zeros((2, SLOTS), np.int64)
+    for batch in batches:
+        for flag, of in zip(batch.column(0).to_pylist(), batch.column(1)):
+            counts[0 if flag else 1][np.frombuffer(of.as_buffer(), np.int32)] += 1
+    some = np.flatnonzero(counts.any(axis=0))
+    for k in range(0, len(some), 1 << 16):
+        at = some[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(at.astype(np.int32)), pa.array(counts[0][at]), pa.array(counts[1][at])], ["slot", "p", "u"]
+        )
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -163,16 +201,32 @@ def train(
         )
         .select(*cols)
     )
-    got = sample.mapInArrow(_slots, "confirmed boolean, slots binary").toArrow()
+    slots = materialise(sample.mapInArrow(_slots, "confirmed boolean, slots binary"), "toxicity-sample")
+    n_p, n_u = (int(x or 0) for x in slots.agg(*[F.count_if(F.col("confirmed") == flag) for flag in (True, False)]).first())
+    counts = (
+        slots.mapInArrow(_counted, "slot int, p bigint, u bigint").groupBy("slot").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
+    )
+    # a feature of the model has at least 2 confirmed texts, and there are SLOTS slots at most
+    got = counts.where("p >= 2").orderBy("slot").toArrow()
+    slot, df_p, df_u = (got.column(k).to_numpy() for k in range(3))
+    use = slot[telling(df_p, df_u, n_p, n_u)]
+    shared = docs.sparkSession.sparkContext.broadcast(use)
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            of = (np.frombuffer(x.as_buffer(), np.int32) for x in batch.column(1))
+            out = [x[np.isin(x, shared.value)].tobytes() for x in of]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["confirmed", "slots"])
+
     rows = [
         (flag, np.frombuffer(batch.column(1)[i].as_buffer(), np.int32))
-        for batch in got.to_batches()
+        for batch in slots.mapInArrow(used, "confirmed boolean, slots binary").toArrow().to_batches()
         for i, flag in enumerate(batch.column(0).to_pylist())
-    ]  # views, not copies
+    ]
     # the order in which tasks end must not matter to sums of floating-point numbers
-    rows.sort(key=lambda row: (len(row[1]), crc32(row[1])))
-    found = {flag: [slots for kept, slots in rows if kept is flag] for flag in (True, False)}
-    return fit(found[True], found[False], prior)
+    rows.sort(key=lambda row: row[1].tobytes())
+    found = {flag: [of for kept, of in rows if kept is flag] for flag in (True, False)}
+    return descend(use, found[True], found[False], prior)
 
 
 def score_column(spark: SparkSession, model: Classifier, text: Column) -> Column:

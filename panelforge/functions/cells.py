@@ -104,7 +104,7 @@ FIRST_YEAR = (
     "informasjonsteknologi og medieproduksjon", "naturbruk", "restaurant- og matfag", "service og samferdsel",
     "salg, service og reiseliv", "teknologi- og industrifag", "teknikk og industriell produksjon",
 )
-THIRD_YEAR = ("påbygging til generell studiekompetanse",)
+THIRD_YEAR = ("påbygg til generell studiekompetanse",)
 
 
 def program_name(text: Column) -> Column:
@@ -134,3 +134,15 @@ def level_of(program: Column, explicit: Column | None = None) -> Column:
     lower = F.lower(program)
     guess = F.when(lower.isin(*FIRST_YEAR), "Vg1").when(lower.isin(*THIRD_YEAR), "Vg3").otherwise("Vg2/Vg3")
     return guess if explicit is None else F.coalesce(F.nullif(explicit, F.lit("")), guess)
+
+
+#: What one source writes instead of a status.
+SYMBOLS = {"*": "D", "**": "open", "***": "D"}
+
+
+def classified_symbols(text: Column, least: float = LEAST) -> Column:
+    """struct(status, points) where a cell that is a symbol only has that symbol's status."""
+    symbol, plain = looked_up(F.trim(text), SYMBOLS), classified(text, least)
+    return F.struct(
+        F.coalesce(symbol, plain["status"]).alias("status"), F.when(symbol.isNull(), plain["points"]).alias("points")
+    )

@@ -27,6 +27,14 @@ def looked_up(text: Column, entries: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])[text] if entries else F.lit(None).cast("string")
 
 
+def norm(text: Column) -> Column:
+    """Compatibility normal form with plain spaces and hyphens, trimmed; null counts as empty.
+
+    It runs in Python (Arrow batches), so it is applied to a column once, before the expressions that build on it.
+    """
+    return F.trim(F.translate(nfkc(F.coalesce(text, F.lit(""))), "\u00a0\u2010", " -"))
+
+
 def squash(text: Column) -> Column:
     """Runs of white space of any kind become one space; hard spaces and hyphens become plain ones."""
     return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\u00a0\u2010", " -"), "(?U)\\s+", " "))
@@ -79,7 +87,7 @@ def title(text: Column, small: tuple[str, ...] = ("and", "or", "of", "the", "for
     """First letters upper case but in small words after the first; the rest of a word stays as it is."""
 
     def word(w: Column, i: Column) -> Column:
-        first, rest = F.substring(w, 1, 1), F.substring(w, 2, 10_000)
+        first, rest = F.substring(w, 1, 1), F.substring(w, F.lit(2), F.length(w))
         return F.when((i > 0) & F.lower(w).isin(*small), F.concat(F.lower(first), rest)).otherwise(F.concat(F.upper(first), rest))
 
     return F.array_join(F.transform(F.filter(F.split(text, " "), lambda w: w != ""), word), " ")
@@ -167,3 +175,45 @@ def picture_score(url: Column, alt: Column, tokens: Column, good: tuple[str, ...
         F.array(*map(F.lit, ("logo", "ikon", "favicon"))), lambda w: F.contains(hay, w)
     )
     return F.when(veto, F.lit(-10)).otherwise(3 * among(F.array(*map(F.lit, good))) + 4 * among(tokens))
+
+
+#: How sources misspell or shorten schools, lower case; schools under a new name; schools that became part of
+#: another, with the year.
+SCHOOL_ALIASES = {
+    "bjørnholt skole": "Bjørnholt videregående skole",
+    "oslo handelsgym.": "Oslo Handelsgymnasium",
+    "oslo handelsgym": "Oslo Handelsgymnasium",
+    "oslo handelsgymnasium": "Oslo Handelsgymnasium",
+    "vika videregående": "Vika videregående skole",
+    "kyrsæterøra videregående skole": "Kyrksæterøra videregående skole",
+    "verdal videregåendende skole": "Verdal videregående skole",
+    "inderøy videregåendende skole": "Inderøy videregående skole",
+}
+RENAMED = {"Førde vidaregåande skule, avd Høyanger": "Høyanger vidaregåande skule"}
+MERGED = {
+    "Hafstad videregående skule": ("Førde vidaregåande skule", 2023),
+    "Mo og Øyrane vidaregåande skule": ("Førde vidaregåande skule", 2023),
+}
+
+
+def school_identity(name: Column) -> Column:
+    """struct(school, merged_from, merged_year): the name to publish under; the last two only for a school that another took in."""
+    known = F.coalesce(looked_up(F.lower(squash(name)), SCHOOL_ALIASES), squash(name))
+    into = looked_up(known, {old: new for old, (new, _) in MERGED.items()})
+    year = looked_up(known, {old: str(since) for old, (_, since) in MERGED.items()}).cast("int")
+    return F.struct(
+        F.coalesce(into, looked_up(known, RENAMED), known).alias("school"),
+        F.when(into.isNotNull(), known).alias("merged_from"),
+        year.alias("merged_year"),
+    )
+
+
+def without_digits(name: Column) -> Column:
+    """A name into which a column of numbers has run: digits and commas go, blanks become one."""
+    return F.trim(F.regexp_replace(F.regexp_replace(name, "[0-9,]", ""), r"\s+", " "))
+
+
+def numbered_school(text: Column) -> Column:
+    """struct(number, school) of a name after a school number of five digits."""
+    number = F.nullif(F.regexp_extract(text, r"^([0-9]{5})(.*)$", 1), F.lit(""))
+    return F.struct(number.alias("number"), F.trim(F.when(number.isNotNull(), F.substring(text, F.lit(6), F.length(text))).otherwise(text)).alias("school"))

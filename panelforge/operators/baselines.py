@@ -54,9 +54,11 @@ def last_value(obs: DataFrame) -> DataFrame:
     )
 
 
-def walk_forward(obs: DataFrame, first: int = 1998, strength: float = 4.0) -> DataFrame:
+def walk_forward(obs: DataFrame, strength: float = 4.0) -> DataFrame:
     """Predict each year from everything before it by a series mean that is shrunk to its programme's mean.
 
+    Every year of a county that has an earlier number is predicted; in its first years there is nothing to predict from.
+
     Sums up to each year are running windows, so the data are not multiplied by the number of folds.
     """
     num = F.col("state") == "num"
@@ -78,8 +80,7 @@ def walk_forward(obs: DataFrame, first: int = 1998, strength: float = 4.0) -> Da
     opened = opened.select("county", "year", (F.sum("f").over(w) / F.sum("c").over(w)).alias("pi"))
     mu = F.coalesce(F.try_divide("ps", "pn"), F.try_divide("cs", "cn"))
     return (
-        obs.where(F.col("year") >= first)
-        .join(series, [*SERIES, "year"])
+        obs.join(series, [*SERIES, "year"])
         .join(means, ["county", "program", "year"])
         .join(counties, ["county", "year"])
         .join(opened, ["county", "year"])
@@ -87,6 +88,7 @@ def walk_forward(obs: DataFrame, first: int = 1998, strength: float = 4.0) -> Da
             *SERIES, "category", F.col("year").alias("T"), "state", "v", ((F.col("s") + strength * mu) / (F.col("hist") + strength)).alias("m"),
             "pi", "hist", F.col("last_v").alias("last"), F.try_divide("ps", "pn").alias("pm"),
         )
+        .where("m is not null")
     )
 
 
@@ -95,7 +97,7 @@ t AS (
   SELECT o.*, coalesce(sum(s.v) FILTER (s.state = 'num'), 0) AS s, count(s.v) FILTER (s.state = 'num') AS hist,
     arg_max(s.v, s.year) FILTER (s.state = 'num') AS last
   FROM obs o LEFT JOIN obs s ON o.county = s.county AND o.school = s.school AND o.program = s.program AND s.year < o.year
-  WHERE o.year >= 1998 GROUP BY ALL),
+  GROUP BY ALL),
 pm AS (
   SELECT y.county, y.program, y.year, avg(o.v) AS pm FROM (SELECT DISTINCT county, program, year FROM obs) y
   LEFT JOIN obs o ON o.county = y.county AND o.program = y.program AND o.year < y.year AND o.state = 'num' GROUP BY ALL),
@@ -105,4 +107,4 @@ cm AS (
   FROM (SELECT DISTINCT county, year FROM obs) y LEFT JOIN obs o ON o.county = y.county AND o.year < y.year GROUP BY ALL),
 preds AS (
   SELECT county, school, program, category, year AS T, state, v, (s + 4.0 * coalesce(pm, cm)) / (hist + 4.0) AS m, pi, hist, last, pm
-  FROM t JOIN pm USING (county, program, year) JOIN cm USING (county, year))"""
+  FROM t JOIN pm USING (county, program, year) JOIN cm USING (county, year) WHERE coalesce(pm, cm) IS NOT NULL)"""

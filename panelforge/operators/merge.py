@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 
 def priority_merge(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """The first row of each key by ``order``, by one aggregation (max_by would shuffle all columns no less)."""
+    """The first row of each key by ``order``: one window over the key, which drops all but the first row as it goes."""
     first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return rows.withColumn("_k", first).where("_k = 1").drop("_k")
 

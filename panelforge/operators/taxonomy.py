@@ -2,7 +2,8 @@
 
 Steps, most trustworthy first: keyword, alias or exact name (as written, then without noise), the longest comma-separated
 prefix that is known, the closest name, the longest register name inside the label. Each step only sees what the steps
-before left over. The register is small by nature, and its size is checked before it is compared with every name.
+before left over. Names are never compared with the whole register: close ones are joined on the lengths that leave the
+ratio possible, contained ones on the label's own parts, so a register of any size will do. Tables may have any column names.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from panelforge.functions.text import denoised, label, looked_up
+from panelforge.functions.text import denoised, label, looked_up, nfkc, title
 
 #: The categories in force, with their names.
 CATEGORIES = {
@@ -51,20 +52,25 @@ ALIASES = {
     "international baccalaureate ib": "ST", "naturbruk med anleggsgartnar": "NA",
 }
 CLOSE = 0.84
-MOST_REGISTER_NAMES = 20_000
+
+
+def _ratio(x: str | None, y: str | None, least: float) -> float | None:
+    if x is None or y is None:
+        return None
+    matcher = difflib.SequenceMatcher(None, x, y)
+    return matcher.ratio() if matcher.real_quick_ratio() >= least and matcher.quick_ratio() >= least else 0.0
 
 
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching characters (difflib), 0 to 1; null if either is null."""
+    return pd.Series([_ratio(x, y, 0.0) for x, y in zip(a, b)], dtype="float64")
 
-    def ratio(x: str | None, y: str | None) -> float | None:
-        if x is None or y is None:
-            return None
-        matcher = difflib.SequenceMatcher(None, x, y)
-        return matcher.ratio() if matcher.real_quick_ratio() >= CLOSE and matcher.quick_ratio() >= CLOSE else 0.0
 
-    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
+@F.pandas_udf(DoubleType())
+def close_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The same, but 0 where it cannot reach ``CLOSE``, which is found out without matching."""
+    return pd.Series([_ratio(x, y, CLOSE) for x, y in zip(a, b)], dtype="float64")
 
 
 def category_of(code: Column) -> Column:
@@ -73,23 +79,35 @@ def category_of(code: Column) -> Column:
     return F.coalesce(live, looked_up(F.substring(code, 1, 6), SUCCESSOR_BY_CODE), looked_up(program, SUCCESSOR_BY_PROGRAM))
 
 
+def category_or_other(category: Column) -> Column:
+    """The filter key of a name: its category, ``annet`` if it has none."""
+    return F.coalesce(category, F.lit("annet"))
+
+
 def register_names(register: DataFrame) -> DataFrame:
-    """(name, code): each normalised name of the register with its best code, a live one before others."""
+    """(entry, entry_code, pos): each normalised name of the register with its best code (a live one before others) and the
+    first place it has in the register, by column ``pos`` if there is one, else by code."""
     live = F.substring("code", 1, 2).isin(*CATEGORIES)
-    names = register.select("code", F.explode(F.array("nob", "nno")).alias("title")).withColumn("name", label(F.col("title")))
-    return names.where("name <> ''").groupBy("name").agg(F.min(F.struct(~live, F.col("code")))["code"].alias("code"))
+    place = F.col("pos").cast("string") if "pos" in register.columns else F.lit("")
+    names = register.select(
+        "code", F.struct(F.length(place), place, F.col("code")).alias("pos"), F.posexplode(F.array("nob", "nno")).alias("which", "title")
+    )
+    names = names.withColumn("title", nfkc(F.col("title"))).withColumn("entry", label(F.col("title")))
+    return (
+        names.where("entry <> ''")
+        .groupBy("entry")
+        .agg(F.min(F.struct(~live, F.col("code")))["code"].alias("entry_code"), F.min(F.struct("pos", "which")).alias("pos"))
+    )
 
 
 def resolve(names: DataFrame, register: DataFrame, name: str = "program") -> DataFrame:
     """(program, category, code, how) of each distinct name."""
     index = register_names(register)
-    if index.count() > MOST_REGISTER_NAMES:
-        raise ValueError("the register is too large to be compared with every name")
-    plain = label(F.col(name))
-    todo = names.select(name).distinct().withColumns({"n": plain, "base": denoised(plain)})
-    parts = F.filter(F.transform(F.split(name, ","), lambda p: F.trim(p)), lambda p: p != "")
+    todo = names.select(F.col(f"`{name}`").alias("wanted")).distinct().withColumn("plain", nfkc(F.col("wanted")))
+    todo = todo.withColumns({"n": label(F.col("plain")), "base": denoised(label(F.col("plain")))})
+    parts = F.filter(F.transform(F.split("plain", ","), lambda p: F.trim(p)), lambda p: p != "")
     tries = todo.select(
-        name, "n", "base",
+        "wanted", "n", "base",
         F.posexplode(
             F.concat(
                 F.array(F.col("n"), F.col("base")),
@@ -100,43 +118,79 @@ def resolve(names: DataFrame, register: DataFrame, name: str = "program") -> Dat
             )
         ).alias("step", "cand"),
     )
-    found = tries.join(F.broadcast(index), F.col("cand") == F.col("name"), "left").withColumn("alias", looked_up(F.col("cand"), ALIASES))
+    found = tries.join(index, F.col("cand") == F.col("entry"), "left").withColumn("alias", looked_up(F.col("cand"), ALIASES))
     hit = F.struct(
         F.col("step"),
-        F.coalesce("alias", category_of(F.col("code"))).alias("category"),
-        F.when(F.col("alias").isNull(), F.col("code")).alias("code"),
+        F.coalesce("alias", category_of(F.col("entry_code"))).alias("category"),
+        F.when(F.col("alias").isNull(), F.col("entry_code")).alias("code"),
         F.when(F.col("alias").isNotNull(), "alias").when(F.col("step") < 2, "exact").otherwise("prefix").alias("how"),
     )
-    staged = found.groupBy(name, "n", "base").agg(F.min(F.when(F.col("alias").isNotNull() | F.col("code").isNotNull(), hit)).alias("hit"))
+    staged = found.groupBy("wanted", "n", "base").agg(
+        F.min(F.when(F.col("alias").isNotNull() | F.col("entry_code").isNotNull(), hit)).alias("hit")
+    )
     keyword = F.contains("n", F.lit("påbygg")) | F.contains("n", F.lit("pabygg"))
     known = staged.where(keyword | F.col("hit").isNotNull()).select(
-        name,
+        "wanted",
         F.when(keyword, "PB").otherwise(F.col("hit.category")).alias("category"),
         F.when(keyword, "PBPBY3----").otherwise(F.col("hit.code")).alias("code"),
         F.when(keyword, "keyword").otherwise(F.col("hit.how")).alias("how"),
     )
-    left = staged.where(~keyword & F.col("hit").isNull())
-    ratio = similarity(F.col("base"), F.col("name"))
-    inside = (F.length("name") > 7) & F.contains("base", F.col("name"))
-    guessed = (
-        left.crossJoin(F.broadcast(index))  # distinct names that no step above knows, times a register of checked size
-        .select(name, "name", "code", ratio.alias("ratio"), inside.alias("inside"))
-        .groupBy(name)
-        .agg(
-            F.max(F.when(F.col("ratio") >= CLOSE, F.struct("ratio", "name", "code"))).alias("close"),
-            F.max(F.when(F.col("inside"), F.struct(F.length("name").alias("n"), "name", "code"))).alias("in"),
-        )
-        .select(
-            name,
-            category_of(F.coalesce("close.code", "in.code")).alias("category"),
-            F.coalesce("close.code", "in.code").alias("code"),
-            F.when(F.col("close").isNotNull(), F.concat(F.lit("fuzzy "), F.format_string("%.2f", "close.ratio")))
-            .when(F.col("in").isNotNull(), "contains")
-            .otherwise("unresolved")
-            .alias("how"),
+    left = staged.where(~keyword & F.col("hit").isNull()).select("wanted", "base")
+    close, inside = closest(left, index), longest_inside(left, index)
+    guessed = left.join(close, "wanted", "left").join(inside, "wanted", "left")
+    code = F.coalesce("close_code", "inside_code")
+    guessed = guessed.select(
+        "wanted",
+        category_of(code).alias("category"),
+        code.alias("code"),
+        F.when(F.col("close_code").isNotNull(), F.concat(F.lit("fuzzy "), F.format_string("%.2f", "ratio")))
+        .when(F.col("inside_code").isNotNull(), "contains")
+        .otherwise("unresolved")
+        .alias("how"),
+    )
+    return known.unionByName(guessed).withColumnRenamed("wanted", name)
+
+
+def closest(left: DataFrame, index: DataFrame) -> DataFrame:
+    """(wanted, close_code, ratio): the entry with the highest ratio(entry, label) from ``CLOSE`` on, of equals the one that
+    sorts last; the ratio shown is that of (label, entry), as the measure is not symmetric.
+
+    A ratio is at most twice the shorter length over both lengths, so a label is joined to the lengths that leave it possible.
+    """
+    size = F.length("base")
+    least, most = F.ceil(size * (CLOSE / (2 - CLOSE)) - 1e-9), F.floor(size * ((2 - CLOSE) / CLOSE) + 1e-9)
+    asked = left.where(size > 0).select("wanted", "base", F.explode(F.sequence(least, most)).alias("entry_length"))
+    entries = index.select("entry", "entry_code", F.length("entry").cast("bigint").alias("entry_length"))
+    return (
+        asked.join(entries, "entry_length")
+        .withColumn("selected", close_similarity(F.col("entry"), F.col("base")))
+        .where(F.col("selected") >= CLOSE)
+        .groupBy("wanted", "base")
+        .agg(F.max(F.struct("selected", "entry", "entry_code")).alias("best"))
+        .select("wanted", F.col("best.entry_code").alias("close_code"), similarity(F.col("base"), F.col("best.entry")).alias("ratio"))
+    )
+
+
+def longest_inside(left: DataFrame, index: DataFrame, least: int = 8) -> DataFrame:
+    """(wanted, inside_code): the longest entry of at least ``least`` characters inside the label, of equals the register's first.
+
+    A label's own parts are joined by equality, so nothing is compared with every entry.
+    """
+    starts = F.sequence(F.lit(1), F.greatest(F.length("base") - least + 1, F.lit(1)))
+    parts = F.flatten(
+        F.transform(
+            starts,
+            lambda at: F.transform(
+                F.sequence(F.lit(least), F.greatest(F.length("base") - at + 1, F.lit(least))), lambda n: F.substring(F.col("base"), at, n)
+            ),
         )
     )
-    return known.unionByName(guessed)
+    asked = left.where(F.length("base") >= least).select("wanted", F.explode(F.array_distinct(parts)).alias("entry"))
+    return (
+        asked.join(index.where(F.length("entry") >= least), "entry")
+        .groupBy("wanted")
+        .agg(F.min(F.struct(-F.length("entry"), "pos", "entry_code"))["entry_code"].alias("inside_code"))
+    )
 
 
 #: What a county appends to a name and what it means, longer patterns first.
@@ -152,12 +206,68 @@ SUFFIXES = (
 )
 
 
-def english(program: Column, category: Column) -> Column:
-    """The category's English title and the meaning of what is appended; each match is taken out before the next one."""
-    base = looked_up(category, {code: names[1] for code, names in CATEGORIES.items()})
-    tail, found = F.regexp_replace(program, "^[^,]*", ""), []
+#: English names that the register does not have, by normalised name; disciplines; titles that are too long.
+BASE_ENGLISH = {
+    "teknikk og industriell produksjon": "Technical and Industrial Production",
+    "elektrofag": "Electrical Engineering",
+    "elektro": "Electrical Engineering",
+    "elenergi": "Electrical Power",
+    "data og elektronikk": "Computer and Electronics",
+    "kulde varmepumpe vent tekn": "Refrigeration, Heat Pump and Ventilation Technology",
+    "kulde varmepumpe vent teknologi": "Refrigeration, Heat Pump and Ventilation Technology",
+    "international baccalaureate": "International Baccalaureate",
+    "international baccalaureate ib": "International Baccalaureate",
+    "studiespes business": "Specialization in General Studies",
+    "studiespes skiskyting": "Specialization in General Studies",
+    "dronefag": "Drone Technology",
+    "service og sikkerhet og admin": "Service, Security and Administration",
+    "helse oppvekst ambulanse": "Healthcare, Childhood and Youth Development",
+    "språk samfunn og økonomi toppidrett": "Languages, Social Sciences and Economics",
+    "håndverk design og produktutv søm th": "Handicrafts, Design and Product Development",
+    "elektrofag elenergi": "Electrical Engineering",
+    "elektro og datatekn autom": "Electrical Engineering and Computer Technology",
+    "elektrofag autom": "Electrical Engineering",
+}
+DISCIPLINES = {
+    "musikk dans og drama musikk": "Music, Dance and Drama — music",
+    "musikk dans og drama dans": "Music, Dance and Drama — dance",
+    "musikk dans og drama drama": "Music, Dance and Drama — drama",
+    "musikk dans og drama folkemusikk lal": "Music, Dance and Drama — folk music, national programme",
+    "musikk folkemusikk lal": "Music — folk music, national programme",
+}
+SHORTER = {
+    "Supplementary programme for general university and college admissions certification": "Supplementary year for general university admission",
+    "Subjects for general university and college admissions certification": "Supplementary year for general university admission",
+}
+
+
+def english_names(resolved: DataFrame, register: DataFrame, name: str = "program") -> DataFrame:
+    """``resolved`` (a name, category, code) with column ``english``.
+
+    The title is the discipline's own, else that of the fixed table, the register or the category, in title case; what the
+    county appended after the name follows, each pattern taken out before the next one is sought. Null if nothing is known.
+    """
+    titles = register.select("code", F.col("eng").alias("eng_title"), F.col("nob").alias("nob_title")).dropDuplicates(["code"])
+    rows = resolved.select(
+        F.struct(*[F.col(f"`{c}`") for c in resolved.columns]).alias("row"), F.col(f"`{name}`").alias("wanted"), "category", "code"
+    ).join(titles, "code", "left").withColumn("plain", nfkc(F.col("wanted"))).withColumn("nob_title", nfkc(F.col("nob_title")))
+    n = label(F.col("plain"))
+    base = F.coalesce(
+        looked_up(n, BASE_ENGLISH), looked_up(denoised(n), BASE_ENGLISH), F.nullif(F.col("eng_title"), F.lit("")),
+        looked_up(F.col("category"), {code: names[1] for code, names in CATEGORIES.items()}),
+    )
+    base = F.coalesce(looked_up(base, SHORTER), base)
+    base = title(F.trim(F.regexp_replace(base, r"(?iU)\s*vg\s*[1-4]\s*$", "")))
+    head = F.nullif(F.get(F.split(label(F.coalesce("nob_title", F.lit(""))), " "), F.lit(0)), F.lit(""))
+    at = F.when(head.isNotNull(), F.position(head, F.lower("plain"))).otherwise(F.lit(0))
+    after = F.regexp_replace(F.substring(F.col("plain"), at + F.length(head), F.length("plain")), "^[^,]*", "")
+    tail = F.when(F.coalesce(at, F.lit(0)) > 0, after).otherwise(F.col("plain"))
+    found = []
     for pattern, meaning in SUFFIXES:
         found.append(F.when(tail.rlike("(?iU)" + pattern), F.lit(meaning)))
         tail = F.regexp_replace(tail, "(?iU)" + pattern, " ")
     extras = F.array_distinct(F.filter(F.array(*found), lambda x: x.isNotNull()))
-    return F.when(F.size(extras) > 0, F.concat(base, F.lit(", "), F.array_join(extras, ", "))).otherwise(base)
+    whole = F.when(F.size(extras) > 0, F.concat(base, F.lit(", "), F.array_join(extras, ", "))).otherwise(base)
+    return rows.select("row.*", F.coalesce(looked_up(n, DISCIPLINES), whole).alias("english"))
+
+

@@ -13,12 +13,17 @@ from panelforge.functions import stats
 from panelforge.operators import baselines
 from panelforge.operators.baselines import WALK_SQL
 from panelforge.plans.panel import OBS_SQL, observations, panel, table
+from panelforge.plans.stored import stored
 
 CALIBRATION = (1998, 1999)
+LEAST_PAIRS = 10  # pairs of a category from which its own bridge is used
 
 
 def predictions(spark, sf_dir) -> DataFrame:
-    return baselines.walk_forward(observations(panel(spark, sf_dir)))
+    """The forecasts of all years that have an earlier one. They are written once, as is the panel they are made from: the
+    order lines are read once, whatever a query makes of them."""
+    obs = stored(observations(panel(spark, sf_dir)), "observations")
+    return stored(baselines.walk_forward(obs), "predictions")
 
 
 def error_report(preds: DataFrame) -> DataFrame:
@@ -116,7 +121,7 @@ def _chances(preds: DataFrame) -> DataFrame:
         .crossJoin(quantile_table(preds))
         .withColumn("x", F.explode(F.array(*[F.lit(float(x)) for x in stats.SCORES])))
         .select(
-            "county", "school", "program", "T", "x", "m", "s", "pi", "last", "zq", got.alias("y"),
+            "county", "school", "program", "category", "T", "x", "m", "s", "pi", "last", "zq", got.alias("y"),
             stats.chance(F.col("x"), F.col("m"), F.col("s"), F.col("pi"), F.col("zq")).alias("p"),
             stats.chance(F.col("x"), F.col("m"), F.col("s"), F.col("pi")).alias("p_normal"),
         )
@@ -142,15 +147,19 @@ def chance_scores(spark, sf_dir):
 
 
 def chance_ecdf(spark, sf_dir):
-    rows = _chances(predictions(spark, sf_dir).where("T = 2001 or T <= 1999")).where("T = 2001 and x = 25")
-    return rows.select("county", "school", "program", F.round("p", 6).alias("p"), F.round("p_normal", 6).alias("p_normal"))
+    """Every forecast at every score, by the empirical and by the normal distribution."""
+    rows = _chances(predictions(spark, sf_dir))
+    return rows.select("county", "school", "program", "T", "x", F.round("p", 6).alias("p"), F.round("p_normal", 6).alias("p_normal"))
 
 
 def _final(spark, sf_dir) -> DataFrame:
-    """Chances in the newest year, before and after the later round."""
-    bridge = baselines.round_bridge(baselines.round_pairs(panel(spark, sf_dir))).where("category is null")
-    bridge = bridge.select("county", F.col("mean").alias("shift"), F.col("share_vanished").alias("gone"))
-    rows = _chances(predictions(spark, sf_dir)).where("T = 2001").join(bridge, "county", "left")
+    """Chances before and after the later round, by the bridge of the category where it has enough pairs, else the county's."""
+    bridge = baselines.round_bridge(baselines.round_pairs(panel(spark, sf_dir)))
+    shifts = F.struct(F.col("mean").alias("shift"), F.col("share_vanished").alias("gone"))
+    county = bridge.where("category is null").select("county", shifts.alias("of_county"))
+    kind = bridge.where(f"category is not null and n_pairs >= {LEAST_PAIRS}").select("county", "category", shifts.alias("of_kind"))
+    rows = _chances(predictions(spark, sf_dir)).join(county, "county", "left").join(kind, ["county", "category"], "left")
+    rows = rows.withColumn("by", F.coalesce("of_kind", "of_county")).select("*", "by.*")
     final = stats.final_chance(
         F.col("x"), F.col("m"), F.col("s"), F.col("pi"), F.col("zq"), F.coalesce("gone", F.lit(0.0)), F.coalesce("shift", F.lit(0.0))
     )
@@ -158,16 +167,16 @@ def _final(spark, sf_dir) -> DataFrame:
 
 
 def final_round_chance(spark, sf_dir):
-    return _final(spark, sf_dir).where("x = 30").select(
-        "county", "school", "program", F.round("p", 6).alias("p"), F.round("p_final", 6).alias("p_final")
+    return _final(spark, sf_dir).select(
+        "county", "school", "program", "T", "x", F.round("p", 6).alias("p"), F.round("p_final", 6).alias("p_final")
     )
 
 
 def choice_list(spark, sf_dir):
-    """For each school and score, a list of all its programmes: the chance of at least one place, and bands."""
-    rows = _chances(predictions(spark, sf_dir)).where("T = 2001").withColumn("p", F.round("p", 9))
+    """For each school, year and score, a list of all its programmes: the chance of at least one place, and bands."""
+    rows = _chances(predictions(spark, sf_dir)).withColumn("p", F.round("p", 9))
     band = stats.band(F.col("p"))
-    return rows.groupBy("county", "school", "x").agg(
+    return rows.groupBy("county", "school", "T", "x").agg(
         F.round(1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("p"), F.lit(1e-12))))), 6).alias("any_place"),
         *[F.count_if(band == b).alias(b) for b in ("likely", "possible", "unlikely")],
     )
@@ -205,21 +214,25 @@ ECDF = """greatest(0.005, least(0.995, CASE WHEN len(list_filter(zq, lambda q: q
 ERF = """(1.0 - ((((1.061405429 * u - 1.453152027) * u + 1.421413741) * u - 0.284496736) * u + 0.254829592) * u * exp(-a * a))"""
 CHANCES = TABLE + f""",
 grid AS (
-  SELECT county, school, program, T, state, v, CAST(unnest([20, 25, 30, 35, 40, 45, 50, 55]) AS DOUBLE) AS x, m, s, pi, last, zq
+  SELECT county, school, program, category, T, state, v, CAST(unnest([20, 25, 30, 35, 40, 45, 50, 55]) AS DOUBLE) AS x, m, s, pi, last, zq
   FROM spread, zq),
 zs AS (SELECT *, (x - m) / s AS z, abs((x - m) / s) / sqrt(2.0) AS a, 1.0 / (1.0 + 0.3275911 * (abs((x - m) / s) / sqrt(2.0))) AS u FROM grid),
 chances AS (
-  SELECT county, school, program, T, x, m, s, pi, last, zq,
+  SELECT county, school, program, category, T, x, m, s, pi, last, zq,
     CASE WHEN state IN ('open', 'zero') OR x >= v THEN 1.0 ELSE 0.0 END AS y,
     (1.0 - pi) + pi * {ECDF.format(z="z")} AS p,
     (1.0 - pi) + pi * 0.5 * (1.0 + CASE WHEN z < 0 THEN -{ERF} ELSE {ERF} END) AS p_normal
   FROM zs)"""
 FINAL = CHANCES + f""",
+pairs AS (SELECT county, category, v2 - v1 AS d, v1 > 3 AS early, v2 > 3 AS late FROM panel WHERE v1 IS NOT NULL AND v2 IS NOT NULL),
 bridge AS (
-  SELECT county, round(avg(v2 - v1) FILTER (v1 > 3 AND v2 > 3), 6) AS shift,
-    round(count(*) FILTER (v1 > 3 AND v2 <= 3) / greatest(1, count(*) FILTER (v1 > 3)), 6) AS gone
-  FROM panel WHERE v1 IS NOT NULL AND v2 IS NOT NULL GROUP BY county),
-shifted AS (SELECT c.*, coalesce(gone, 0.0) AS gone, (x - m - coalesce(shift, 0.0)) / s AS zf FROM chances c LEFT JOIN bridge USING (county) WHERE T = 2001),
+  SELECT county, category, count(*) FILTER (early AND late) AS n, round(avg(d) FILTER (early AND late), 6) AS shift,
+    round(count(*) FILTER (early AND NOT late) / greatest(1, count(*) FILTER (early)), 6) AS gone
+  FROM pairs GROUP BY GROUPING SETS ((county), (county, category)) HAVING count(*) FILTER (early AND late) > 0),
+shifted AS (
+  SELECT c.*, coalesce(k.gone, b.gone, 0.0) AS gone, (x - m - coalesce(k.shift, b.shift, 0.0)) / s AS zf FROM chances c
+  LEFT JOIN bridge b ON b.county = c.county AND b.category IS NULL
+  LEFT JOIN bridge k ON k.county = c.county AND k.category = c.category AND k.n >= {LEAST_PAIRS}),
 final AS (SELECT *, (1.0 - pi) + pi * (gone + (1.0 - gone) * {ECDF.format(z="zf")}) AS p_final FROM shifted)"""
 
 QUERIES = {
@@ -250,12 +263,12 @@ QUERIES = {
     "chance_scores": (chance_scores, f"""WITH {CHANCES} SELECT T, round(avg(pow(p - y, 2)), 6) AS brier, round(avg(pow(p_normal - y, 2)), 6) AS brier_normal,
       round(avg(pow(CASE WHEN x >= last THEN 1.0 WHEN x < last THEN 0.0 END - y, 2)), 6) AS brier_last_year, count(last) AS n_last_year
       FROM chances GROUP BY T"""),
-    "chance_ecdf": (chance_ecdf, f"""WITH {CHANCES} SELECT county, school, program, round(p, 6) AS p, round(p_normal, 6) AS p_normal
-      FROM chances WHERE T = 2001 AND x = 25"""),
-    "final_round_chance": (final_round_chance, f"""WITH {FINAL} SELECT county, school, program, round(p, 6) AS p, round(p_final, 6) AS p_final
-      FROM final WHERE x = 30"""),
-    "choice_list": (choice_list, f"""WITH {CHANCES}, r AS (SELECT county, school, x, round(p, 9) AS p FROM chances WHERE T = 2001)
-      SELECT county, school, x, round(1 - exp(sum(ln(greatest(1 - p, 1e-12)))), 6) AS any_place, count(*) FILTER (p >= 0.7) AS likely,
+    "chance_ecdf": (chance_ecdf, f"""WITH {CHANCES} SELECT county, school, program, T, x, round(p, 6) AS p, round(p_normal, 6) AS p_normal
+      FROM chances"""),
+    "final_round_chance": (final_round_chance, f"""WITH {FINAL} SELECT county, school, program, T, x, round(p, 6) AS p, round(p_final, 6) AS p_final
+      FROM final"""),
+    "choice_list": (choice_list, f"""WITH {CHANCES}, r AS (SELECT county, school, T, x, round(p, 9) AS p FROM chances)
+      SELECT county, school, T, x, round(1 - exp(sum(ln(greatest(1 - p, 1e-12)))), 6) AS any_place, count(*) FILTER (p >= 0.7) AS likely,
         count(*) FILTER (p >= 0.35 AND p < 0.7) AS possible, count(*) FILTER (p < 0.35) AS unlikely
       FROM r GROUP BY ALL"""),
     "labels_brier": (labels_brier, """WITH r AS (SELECT doc_id * 37 % 101 / 100.0 AS p, CAST(quality AS DOUBLE) AS y FROM labels WHERE quality IS NOT NULL)

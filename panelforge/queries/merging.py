@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import merge
-from panelforge.plans.panel import PANEL_SQL, panel, programs, schools, table
+from panelforge.operators import baselines, merge
+from panelforge.operators.baselines import WALK_SQL
+from panelforge.plans.panel import OBS_SQL, PANEL_SQL, observations, panel, programs, schools, table
+from panelforge.plans.stored import stored
 
 KEYS = ["school", "program", "year"]
 ORDER = ["source_rank", "l_orderkey", "l_partkey", "v", "l_extendedprice", "l_discount", "l_tax"]
@@ -106,12 +108,12 @@ def reject_anti_join(spark, sf_dir):
 
 
 def live_without_forecast(spark, sf_dir):
-    """Series with a cell in the newest year but no number in any year before."""
-    cells = panel(spark, sf_dir)
-    last = cells.agg(F.max("year").alias("last"))
-    now = cells.crossJoin(last).where("year = last").select("county", "school", "program")  # last is one row
-    before = cells.crossJoin(last).where("year < last - 2 and status = 'points'").select("county", "school", "program")
-    return now.join(before, ["county", "school", "program"], "left_anti")
+    """Series that are alive (seen in the county's newest year or the one before) and have no forecast for the newest year."""
+    obs = stored(observations(panel(spark, sf_dir)), "observations")
+    newest = obs.groupBy("county").agg(F.max("year").alias("newest"))
+    seen = obs.groupBy("county", "school", "program").agg(F.max("year").alias("last_year")).join(newest, "county")
+    made = baselines.walk_forward(obs).join(newest, "county").where("T = newest").select("county", "school", "program")
+    return seen.where("last_year >= newest - 1").select("county", "school", "program").join(made, ["county", "school", "program"], "left_anti")
 
 
 def prefix_rename(spark, sf_dir):
@@ -170,9 +172,9 @@ QUERIES = {
       CASE WHEN c_custkey % 2 = 1 OR c_custkey % 4 <> 0 THEN c_acctbal END AS balance FROM customer"""),
     "reject_anti_join": (reject_anti_join, """SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders
       WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0) GROUP BY ALL"""),
-    "live_without_forecast": (live_without_forecast, f"""WITH {PANEL_SQL}, l AS (SELECT max(year) AS last FROM panel)
-      SELECT county, school, program FROM panel, l WHERE year = last
-      EXCEPT SELECT county, school, program FROM panel, l WHERE year < last - 2 AND status = 'points'"""),
+    "live_without_forecast": (live_without_forecast, f"""WITH {OBS_SQL + WALK_SQL}, n AS (SELECT county, max(year) AS newest FROM obs GROUP BY county)
+      SELECT county, school, program FROM obs JOIN n USING (county) GROUP BY county, school, program, newest HAVING max(year) >= newest - 1
+      EXCEPT SELECT county, school, program FROM preds JOIN n USING (county) WHERE T = newest"""),
     "prefix_rename": (prefix_rename, """WITH p AS (SELECT p_type || ' ' || p_size AS f, p_partkey FROM part),
       c AS (SELECT CASE WHEN p_partkey % 10 = 0 THEN regexp_replace(f, ' [^ ]*$', '') ELSE f END AS name FROM p),
       d AS (SELECT DISTINCT name FROM c),

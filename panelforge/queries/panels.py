@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import stats
 from panelforge.operators import baselines
 from panelforge.plans.panel import OBS_SQL, PANEL_SQL, SERIES, observations, panel, table
+from panelforge.plans.stored import stored
 
 NAMES = {"points": "points", "open": "open", "F": "priority", "D": "documentation", "U": "discontinued"}
 
@@ -66,17 +67,14 @@ def series_trend(spark, sf_dir):
 def school_pressure(spark, sf_dir):
     """Median threshold of each school in its newest year; open if none of its cells has a number above 0."""
     cells = panel(spark, sf_dir)
-    newest = Window.partitionBy("county", "school")
-    last = cells.agg(F.max("year").alias("last"))
-    pool = (
-        cells.withColumn("newest", F.max("year").over(newest))
-        .where((F.col("year") == F.col("newest")) & ~F.col("status").isin("F", "U"))
-        .groupBy("county", "school", "newest")
-        .agg(F.median(F.when(F.col("points") > 0, F.col("points"))).alias("pressure"), F.count(F.lit(1)).alias("n"))
+    years = cells.groupBy("county", "school", "year").agg(
+        F.count_if(~F.col("status").isin("F", "U")).alias("n"),
+        F.median(F.when(~F.col("status").isin("F", "U") & (F.col("points") > 0), F.col("points"))).alias("pressure"),
     )
-    every = cells.groupBy("county", "school").agg(F.max("year").alias("newest"))
+    known = years.groupBy("county", "school").agg(F.max(F.struct(F.col("year").alias("newest"), "n", "pressure")).alias("of"))
+    known = stored(known.select("county", "school", "of.*").withColumn("n", F.nullif("n", F.lit(0))), "pressure")
+    known = known.crossJoin(known.agg(F.max("newest").alias("last")))  # one row
     fresh = F.col("newest") >= F.col("last") - 1
-    known = every.join(pool, ["county", "school", "newest"], "left").crossJoin(last)  # last is one row
     outcome = F.when(~fresh, "stale").when(F.col("n").isNull(), "none").when(F.col("pressure").isNull(), "open").otherwise("points")
     shown = F.when(outcome == "points", F.col("pressure"))
     return known.select(
@@ -170,15 +168,15 @@ FROM obs o ASOF LEFT JOIN (SELECT * FROM obs WHERE state = 'num') p
 
 
 def asof_group_effect(spark, sf_dir):
-    """A county-year effect (mean of the county less the mean of all), known to the even years, as of every year."""
+    """A county-year effect (mean of the county less the mean of all) as it was known before every year."""
     num = observations(panel(spark, sf_dir)).where("state = 'num'")
     overall = num.agg(F.avg("v").alias("all"))
-    effects = num.where("year % 2 = 0").groupBy("county", "year").agg(F.avg("v").alias("mean")).crossJoin(overall)
+    effects = num.groupBy("county", "year").agg(F.avg("v").alias("mean")).crossJoin(overall)
     effects = effects.select("county", F.col("year").alias("known"), (F.col("mean") - F.col("all")).alias("effect"))
     wanted = num.select("county", "year").distinct()
     return (
         wanted.join(effects, "county")
-        .where("known <= year")
+        .where("known < year")
         .groupBy("county", "year")
         .agg(F.max_by("effect", "known").alias("effect"))
         .join(wanted, ["county", "year"], "right")
@@ -188,9 +186,9 @@ def asof_group_effect(spark, sf_dir):
 
 EFFECT_SQL = f"""
 WITH {OBS_SQL}, num AS (SELECT * FROM obs WHERE state = 'num'),
-effects AS (SELECT county, year, avg(v) - (SELECT avg(v) FROM num) AS effect FROM num WHERE year % 2 = 0 GROUP BY ALL)
+effects AS (SELECT county, year, avg(v) - (SELECT avg(v) FROM num) AS effect FROM num GROUP BY ALL)
 SELECT w.county, w.year, round(coalesce(e.effect, 0.0), 6) AS effect
-FROM (SELECT DISTINCT county, year FROM num) w ASOF LEFT JOIN effects e ON w.county = e.county AND w.year >= e.year"""
+FROM (SELECT DISTINCT county, year FROM num) w ASOF LEFT JOIN effects e ON w.county = e.county AND w.year > e.year"""
 
 
 def programme_mean_baseline(spark, sf_dir):
@@ -208,9 +206,9 @@ def age_weighted_mean(spark, sf_dir):
 
 
 def unpivot_matrix(spark, sf_dir):
-    """Years as columns and back again, as the wide source tables have them."""
-    cells = panel(spark, sf_dir).where("status = 'points'")
-    years = list(range(1995, 2002))
+    """Years as columns and back again, as the wide source tables have them; the columns are the years there are."""
+    cells = stored(panel(spark, sf_dir).where("status = 'points'"), "cells")
+    years = [r.year for r in cells.select("year").distinct().orderBy("year").collect()]  # one row a year
     wide = cells.groupBy(*SERIES).pivot("year", years).agg(F.min("points"))
     named = wide.select(*SERIES, *[F.col(str(y)).alias(f"y{y}") for y in years])
     long = named.unpivot(SERIES, [f"y{y}" for y in years], "column", "points").where("points is not null")
@@ -283,7 +281,7 @@ def nested_dataset(spark, sf_dir):
 
 def backtest_export(spark, sf_dir):
     """The backtest file's rows: keys split, numbers rounded, null as an empty text."""
-    last = last_value_asof(spark, sf_dir).where("year >= 1998")
+    last = last_value_asof(spark, sf_dir)
     key = F.concat_ws("|", *SERIES)
     parts = F.split(key, "[|]")
     return last.select(
@@ -348,5 +346,5 @@ QUERIES = {
       SELECT *, CAST(row_number() OVER (ORDER BY alpha DESC, county, school) AS INTEGER) AS rank FROM s""")),
     "nested_dataset": (nested_dataset, None),
     "backtest_export": (backtest_export, f"""WITH last AS ({LAST_SQL.strip()})
-      SELECT year, county, school, program, coalesce(CAST(round(last_v, 1) AS VARCHAR), '') AS last_year_value FROM last WHERE year >= 1998"""),
+      SELECT year, county, school, program, coalesce(CAST(round(last_v, 1) AS VARCHAR), '') AS last_year_value FROM last"""),
 }

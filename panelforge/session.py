@@ -26,10 +26,10 @@ def session(app: str = "panelforge", master: str | None = None, **settings: str)
 def register(spark: SparkSession) -> SparkSession:
     """Make the Python functions usable from SQL: nfkc, similarity, html_cells."""
     from panelforge.functions.text import nfkc
-    from panelforge.operators.taxonomy import similarity
+    from panelforge.operators.taxonomy import close_similarity
     from panelforge.sources.html import HtmlCells
 
     spark.udf.register("nfkc", nfkc)
-    spark.udf.register("similarity", similarity)
+    spark.udf.register("similarity", close_similarity)
     spark.udtf.register("html_cells", HtmlCells)
     return spark

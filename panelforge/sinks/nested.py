@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,16 @@ def write_json(cells: DataFrame, path: str) -> None:
     nested_schools(cells).write.mode("overwrite").json(path)
 
 
+def write_model(meta: dict, schools: DataFrame, path: str) -> None:
+    """The compact model file: one line with ``meta``, then a line for each school."""
+    head = schools.sparkSession.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string")
+    head.unionByName(schools.select(F.to_json(F.struct(*schools.columns)).alias("value"))).write.mode("overwrite").text(path)
+
+
+def write_drift(log: DataFrame, path: str) -> None:
+    log.write.mode("overwrite").json(path)
+
+
 def write_csv(rows: DataFrame, path: str) -> None:
     """With a header; null as an empty text."""
     rows.write.mode("overwrite").option("header", True).option("nullValue", "").csv(path)
@@ -34,5 +46,5 @@ def write_tables(tables: dict[str, DataFrame], path: str) -> None:
     for name, rows in tables.items():
         by = ["year"] if "year" in rows.columns else []
         if by:
-            rows = rows.repartition("year")
+            rows = rows.hint("rebalance", "year")  # one year may hold most rows; adaptive execution splits it
         rows.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}")

@@ -191,7 +191,7 @@ SCHOOL_ALIASES = {
 }
 RENAMED = {"Førde vidaregåande skule, avd Høyanger": "Høyanger vidaregåande skule"}
 MERGED = {
-    "Hafstad videregående skule": ("Førde vidaregåande skule", 2023),
+    "Hafstad videregående skole": ("Førde vidaregåande skule", 2023),
     "Mo og Øyrane vidaregåande skule": ("Førde vidaregåande skule", 2023),
 }
 

@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
-    from panelforge.queries import evaluation, events, merging, model, panels, quality, texts
+    from panelforge.queries import evaluation, events, merging, model, panels, quality, rules, texts
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (panels, merging, evaluation, texts, events, quality, model):
+    for module in (panels, merging, evaluation, texts, events, quality, rules, model):
         out |= module.QUERIES
     return out

@@ -42,9 +42,6 @@ def capped(events: DataFrame, key: str, ts: str, most: int) -> DataFrame:
     return rows.groupBy(key).applyInPandas(fold, f"{key} bigint, event_id bigint, ok boolean")
 
 
-KINDS = ("feil", "forslag", "bilde", "annet")
-
-
 def outcome(max_message: int = 4000) -> Column:
     """The first reason to refuse, in order: method, origin, rate, honeypot, cap, message; else ok.
 

@@ -2,8 +2,13 @@
 
 Effects: a mean, categories (free), schools, programmes and series (ridge), county-years (random walk). For given spreads
 the coefficients solve a linear system, the spreads follow by expectation-maximisation, three rounds of each. Every
-observation has exactly one series, so series are eliminated first and the system that is solved holds the other effects
-only. Each fold of the backtest and each half-life is a task of its own (``applyInPandas`` by fold).
+observation has exactly one series, so series are eliminated first (by the few effects that each meets, never as a full
+matrix) and the system that is solved holds the other effects only. Each fold of the backtest and each half-life is a task of
+its own (``applyInPandas`` by fold).
+
+Cells of a later round than usual carry an offset, the round bridge's mean, in the first part and an effect of their own in
+the second; they are learned from but never predicted. The second part may be coupled to the first by the school's effect as
+a covariate. ``choose`` decides on the half-life and the coupling by the backtest and recalibrates the fill probability.
 """
 
 from __future__ import annotations
@@ -12,11 +17,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.stats import history_bucket
+from panelforge.functions.stats import expit, history_bucket, logit
+from panelforge.operators.rules import offsets
 from panelforge.plans.panel import SERIES
+from panelforge.plans.stored import stored
 
 #: Kind and first spread of each effect; the years of half-life that are tried.
 EFFECTS = {"mu": ("fixed", None), "school": ("ridge", 4.0), "cat": ("fixed", None), "prog": ("ridge", 3.0), "series": ("ridge", 3.0), "cy": ("walk", 1.0)}
@@ -55,7 +62,7 @@ def keys_of(frame: pd.DataFrame) -> dict[str, pd.Series]:
 
 
 def _penalty(name: str, levels: list, tau: float | None) -> np.ndarray:
-    kind, n = EFFECTS[name][0], len(levels)
+    kind, n = EFFECTS.get(name, ("fixed", None))[0], len(levels)
     if kind == "fixed":
         return np.eye(n) * FREE
     if kind == "ridge":
@@ -68,38 +75,56 @@ def _penalty(name: str, levels: list, tau: float | None) -> np.ndarray:
 
 
 class System:
-    """Solves (X'WX + P) b = X'Wz with the series eliminated."""
+    """Solves (X'WX + P) b = X'Wz with the series eliminated. ``alpha`` is a free covariate, a number for each row."""
 
-    def __init__(self, keys: dict[str, pd.Series]):
+    def __init__(self, keys: dict[str, pd.Series], alpha: np.ndarray | None = None):
         coded = {name: pd.factorize(k, sort=True) for name, k in keys.items()}
         self.codes = {name: c for name, (c, _) in coded.items()}
         self.levels = {name: list(u) for name, (_, u) in coded.items()}
-        self.small = [n for n in EFFECTS if n != "series"]
+        self.small = [n for n in keys if n != "series"]
+        if alpha is not None:
+            self.codes["alpha"], self.levels["alpha"] = np.zeros(len(alpha), np.int64), [0]
+            self.small.append("alpha")
         starts = np.cumsum([0] + [len(self.levels[n]) for n in self.small])
         self.slices = {n: slice(a, b) for n, a, b in zip(self.small, starts[:-1], starts[1:])}
         self.places = np.stack([self.codes[n] + self.slices[n].start for n in self.small], axis=1)
+        self.values = np.ones(self.places.shape)
+        if alpha is not None:
+            self.values[:, -1] = alpha
         self.p, self.rows = int(starts[-1]), len(self.places)
+        # the effects that each series meets: row s of met holds their places, in as many columns as it takes
+        pairs, self.pair = np.unique(self.codes["series"][:, None] * self.p + self.places, return_inverse=True)
+        self.owner, place = pairs // self.p, pairs % self.p
+        self.column = np.arange(len(pairs)) - np.searchsorted(self.owner, self.owner)
+        self.met = np.zeros((len(self.levels["series"]), int(self.column.max()) + 1), np.int64)
+        self.met[self.owner, self.column] = place
 
     def solve(self, w: np.ndarray, z: np.ndarray, taus: dict[str, float]) -> dict[str, np.ndarray]:
         series, n = self.codes["series"], len(self.levels["series"])
         d = np.bincount(series, w, n) + 1.0 / taus["series"] ** 2
-        cross = np.zeros((n, self.p))
+        own = np.bincount(series, w * z, n)
+        weighted = w[:, None] * self.values
+        cross = np.zeros(self.met.shape)
+        cross[self.owner, self.column] = np.bincount(self.pair.ravel(), weighted.ravel(), len(self.owner))
         b, rhs = np.zeros((self.p, self.p)), np.zeros(self.p)
         for i in range(self.places.shape[1]):
-            np.add.at(cross, (series, self.places[:, i]), w)
-            np.add.at(rhs, self.places[:, i], w * z)
+            np.add.at(rhs, self.places[:, i], weighted[:, i] * z)
             for j in range(self.places.shape[1]):
-                np.add.at(b, (self.places[:, i], self.places[:, j]), w)
+                np.add.at(b, (self.places[:, i], self.places[:, j]), weighted[:, i] * self.values[:, j])
         for name in self.small:
             s = self.slices[name]
             b[s, s] += _penalty(name, self.levels[name], taus.get(name))
-        own = np.bincount(series, w * z, n)
-        small = np.linalg.solve(b - cross.T @ (cross / d[:, None]), rhs - cross.T @ (own / d))
+        for i in range(self.met.shape[1]):
+            np.add.at(rhs, self.met[:, i], -cross[:, i] * own / d)
+            for j in range(self.met.shape[1]):
+                np.add.at(b, (self.met[:, i], self.met[:, j]), -cross[:, i] * cross[:, j] / d)
+        small = np.linalg.solve(b, rhs)
         out = {name: small[self.slices[name]] for name in self.small}
-        return out | {"series": (own - cross @ small) / d}
+        return out | {"series": (own - (cross * small[self.met]).sum(axis=1)) / d}
 
     def fitted(self, coef: dict[str, np.ndarray]) -> np.ndarray:
-        return sum(coef[name][self.codes[name]] for name in EFFECTS)
+        parts = [coef[name][self.codes[name]] * self.values[:, k] for k, name in enumerate(self.small)]
+        return sum(parts) + coef["series"][self.codes["series"]]
 
     def new_taus(self, coef: dict[str, np.ndarray], info: np.ndarray, taus: dict[str, float]) -> dict[str, float]:
         """Mean squared effect (or step) plus its posterior variance."""
@@ -129,8 +154,8 @@ def fit_level(keys: dict[str, pd.Series], y: np.ndarray, w: np.ndarray) -> Fit:
     return Fit(system.levels, coef, taus, sigma, system.codes)
 
 
-def fit_fill(keys: dict[str, pd.Series], y: np.ndarray, w: np.ndarray) -> Fit:
-    system, taus = System(keys), {n: t for n, (_, t) in EFFECTS.items() if t}
+def fit_fill(keys: dict[str, pd.Series], y: np.ndarray, w: np.ndarray, alpha: np.ndarray | None = None) -> Fit:
+    system, taus = System(keys, alpha), {n: t for n, (_, t) in EFFECTS.items() if t}
     eta = np.zeros(len(y))
     for _ in range(ROUNDS):
         for _ in range(50):
@@ -145,45 +170,73 @@ def fit_fill(keys: dict[str, pd.Series], y: np.ndarray, w: np.ndarray) -> Fit:
     return Fit(system.levels, coef, taus, 1.0, system.codes)
 
 
-def fit_both(train: pd.DataFrame, halflife: float | None) -> tuple[Fit, Fit]:
+def fill_keys(frame: pd.DataFrame) -> dict[str, pd.Series]:
+    return keys_of(frame) | {"late": frame["late"].astype(bool)}
+
+
+def fit_both(train: pd.DataFrame, halflife: float | None, couple: bool = False) -> tuple[Fit, Fit]:
     newest = train.groupby("county")["year"].transform("max")
     w = np.ones(len(train)) if halflife is None or np.isnan(halflife) else 0.5 ** ((newest - train["year"]) / halflife).to_numpy(float)
-    num = (train["state"] == "num").to_numpy()
-    level = fit_level(keys_of(train[num]), train.loc[num, "v"].to_numpy(float), w[num])
-    return level, fit_fill(keys_of(train), (train["state"] != "open").to_numpy(float), w)
+    num, keys = (train["state"] == "num").to_numpy(), fill_keys(train)
+    moved = np.where(train["late"], train["offset"], 0.0).astype(float)
+    level = fit_level(keys_of(train[num]), train.loc[num, "v"].to_numpy(float) - moved[num], w[num])
+    alpha = level.effect("school", keys["school"]) if couple else None
+    return level, fit_fill(keys, (train["state"] != "open").to_numpy(float), w, alpha)
 
 
 def predict(fits: tuple[Fit, Fit], rows: pd.DataFrame, year: int) -> tuple[np.ndarray, np.ndarray]:
+    """Threshold and fill probability of the usual round; effects that were not seen are 0."""
     keys, out = keys_of(rows), []
     for fit in fits:
         parts = [fit.effect(n, keys[n]) for n in ("mu", "school", "cat", "prog", "series")]
         out.append(sum(parts) + fit.county_effect(rows["county"], year))
+    level, fill = fits
+    if "late" in fill.levels:
+        out[1] = out[1] + fill.effect("late", pd.Series(False, rows.index))
+    if "alpha" in fill.levels:
+        out[1] = out[1] + fill.coef["alpha"][0] * level.effect("school", keys["school"])
     return out[0], 1.0 / (1.0 + np.exp(-out[1]))
 
 
-PREDS = "T int, halflife double, county string, school string, program string, category string, state string, v double, m double, pi double, hist int, sigma double"
+INPUT = [*SERIES, "category", "year", "state", "v", "late", "offset"]
+
+
+def model_rows(obs: DataFrame, bridge: DataFrame, usual: str = "1") -> DataFrame:
+    """``obs`` with ``late`` (its round is not the usual one) and the ``offset`` that the bridge gives such cells."""
+    late = F.coalesce(F.col("round") != F.lit(usual), F.lit(False))
+    return offsets(obs.withColumn("late", late), bridge).select(*INPUT)
+
+
+PREDS = (
+    "T int, halflife double, county string, school string, program string, category string, state string, v double, m double, pi double, "
+    "hist int, sigma double"
+)
 
 
-def walk_forward(obs: DataFrame, years: list[int], halflives: tuple[float | None, ...] = (4.0,)) -> DataFrame:
-    """Predictions of each year from everything before it, for each half-life."""
-    spark = obs.sparkSession
+def walk_forward(rows: DataFrame, halflives: tuple[float | None, ...] = (4.0,), couple: bool = False) -> DataFrame:
+    """Predictions of each year from everything before it, for each half-life; ``rows`` as ``model_rows`` gives them.
+
+    Cells of a later round are not predicted.
+    """
+    spark = rows.sparkSession
+    years = [r.year for r in rows.select("year").distinct().orderBy("year").collect()][1:]  # one row a year
     folds = spark.createDataFrame([(t, h) for t in years for h in halflives], "T int, halflife double")
-    rows = obs.select(*SERIES, "category", "year", "state", "v").join(F.broadcast(folds), F.col("year") <= F.col("T"))  # a few folds
+    dealt = rows.select(*INPUT).join(F.broadcast(folds), F.col("year") <= F.col("T"))  # years times a few half-lives
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
         t, halflife = int(frame["T"].iloc[0]), frame["halflife"].iloc[0]
         frame = frame.sort_values([*SERIES, "year"], ignore_index=True)
-        train, test = frame[frame["year"] < t], frame[frame["year"] == t].copy()
+        train, test = frame[frame["year"] < t], frame[(frame["year"] == t) & ~frame["late"].astype(bool)].copy()
         if train.empty or test.empty or not (train["state"] == "num").any():
             return pd.DataFrame(columns=[c.split()[0] for c in PREDS.split(", ")])
-        fits = fit_both(train, halflife)
+        fits = fit_both(train, halflife, couple)
         hist = train[train["state"] == "num"].groupby(SERIES).size().rename("hist")
         test["m"], test["pi"] = predict(fits, test, t)
         test = test.merge(hist, "left", left_on=SERIES, right_index=True).fillna({"hist": 0})
         test["sigma"] = fits[0].sigma
         return test[[c.split()[0] for c in PREDS.split(", ")]]
 
-    return rows.groupBy("T", "halflife").applyInPandas(fold, PREDS)
+    return dealt.groupBy("T", "halflife").applyInPandas(fold, PREDS)
 
 
 def best_halflife(preds: DataFrame) -> DataFrame:
@@ -198,54 +251,126 @@ def best_halflife(preds: DataFrame) -> DataFrame:
     )
 
 
-def platt(pi: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """(a, b) of logit p' = a + b logit p by Newton's method."""
-    x = np.log(np.maximum(pi, 1e-6) / np.maximum(1 - pi, 1e-6))
-    design, ab = np.stack([np.ones_like(x), x], axis=1), np.array([0.0, 1.0])
-    for _ in range(50):
-        p = 1.0 / (1.0 + np.exp(-design @ ab))
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-9 * np.eye(2)
-        step = np.linalg.solve(hessian, design.T @ (y - p))
+def newton(sums, rounds: int = 50) -> tuple[float, float]:
+    """(a, b) at which the log-loss of a + b x is least; ``sums(a, b)`` gives the sums of y - p, x (y - p), q, q x, q x x
+    with q = p (1 - p)."""
+    ab = np.array([0.0, 1.0])
+    for _ in range(rounds):
+        g0, g1, h0, h1, h2 = sums(*ab)
+        step = np.linalg.solve(np.array([[h0, h1], [h1, h2]]) + 1e-9 * np.eye(2), np.array([g0, g1]))
         ab = ab + step
-        if np.abs(step).max() < 1e-10:
+        if np.abs(step).max() < 1e-8:
             break
     return float(ab[0]), float(ab[1])
 
 
+def platt(pi: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """(a, b) of logit p' = a + b logit p."""
+    x = np.log(np.maximum(pi, 1e-6) / np.maximum(1 - pi, 1e-6))
+
+    def sums(a: float, b: float) -> tuple:
+        p = 1.0 / (1.0 + np.exp(-(a + b * x)))
+        q = p * (1 - p)
+        return (y - p).sum(), (x * (y - p)).sum(), q.sum(), (q * x).sum(), (q * x * x).sum()
+
+    return newton(sums)
+
+
+def platt_table(preds: DataFrame) -> tuple[float, float]:
+    """The same over a table with pi and state: each step is one aggregation."""
+    rows = preds.select(logit(F.col("pi")).alias("x"), (F.col("state") != "open").cast("double").alias("y"))
+
+    def sums(a: float, b: float) -> tuple:
+        p = expit(F.lit(float(a)) + F.lit(float(b)) * F.col("x"))
+        terms = rows.select("x", (F.col("y") - p).alias("g"), (p * (1 - p)).alias("q"))
+        return tuple(x or 0.0 for x in terms.agg(*[F.sum(F.expr(e)) for e in ("g", "x * g", "q", "q * x", "q * x * x")]).first())
+
+    return newton(sums)
+
+
+def recalibrated(pi: Column, a: float, b: float) -> Column:
+    return expit(F.lit(a) + F.lit(b) * logit(pi))
+
+
+def fill_loss(preds: DataFrame, a: float, b: float) -> float:
+    y, q = (F.col("state") != "open").cast("double"), F.least(F.greatest(recalibrated(F.col("pi"), a, b), F.lit(1e-6)), F.lit(1 - 1e-6))
+    return preds.agg(-F.avg(y * F.ln(q) + (1 - y) * F.ln(1 - q))).first()[0]
+
+
+@dataclass
+class Choice:
+    """What the backtest decides: half-life, coupling, recalibration, and the predictions it was decided on."""
+
+    halflife: float | None
+    couple: bool
+    a: float
+    b: float
+    preds: DataFrame | None
+    losses: tuple[float, float] | None = None
+
+
+#: What the quick path takes without a backtest; its spreads are 1.25 times the residual's.
+QUICK = Choice(2.5, True, 0.0, 1.0, None)
+QUICK_SPREAD = 1.25
+
+
+def choose(rows: DataFrame, calibration: tuple[int, ...]) -> Choice:
+    """The half-life with the least error on the calibration years; coupled if that lowers their recalibrated log-loss."""
+    within = F.col("T").isin(*calibration)
+    grid = stored(walk_forward(rows, HALFLIVES), "walk-forward")
+    best = best_halflife(grid.where(within)).first()
+    halflife = best["halflife"] if best else 4.0
+    plain = grid.where(F.col("halflife").eqNullSafe(F.lit(halflife)))
+    coupled = stored(walk_forward(rows, (halflife,), couple=True), "walk-forward-coupled")
+    fits = [platt_table(p.where(within)) for p in (plain, coupled)]
+    losses = tuple(fill_loss(p.where(within), *ab) for p, ab in zip((plain, coupled), fits))
+    use = None not in losses and losses[1] < losses[0]
+    return Choice(halflife, use, *fits[use], coupled if use else plain, losses)
+
+
 EFFECT_ROWS = "part string, effect string, level string, value double, tau double"
 
 
-def effects(obs: DataFrame, halflife: float | None = 4.0) -> DataFrame:
+def effects(obs: DataFrame, halflife: float | None = 4.0, couple: bool = False) -> DataFrame:
     """The coefficients of a fit on all years. All observations of the panel meet in one task: this is the reference-scale fit."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fits = fit_both(frame.sort_values([*SERIES, "year"], ignore_index=True), halflife)
+        fits = fit_both(frame.sort_values([*SERIES, "year"], ignore_index=True), halflife, couple)
         rows = [
             (part, name, str(level), float(b), fit.taus.get(name))
             for part, fit in zip(("level", "fill"), fits)
-            for name in EFFECTS
+            for name in fit.levels
             for level, b in zip(fit.levels[name], fit.coef[name])
         ]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in EFFECT_ROWS.split(", ")])
 
-    return obs.select(*SERIES, "category", "year", "state", "v").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, EFFECT_ROWS)
+    return obs.select(*INPUT).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, EFFECT_ROWS)
+
 
+FORECASTS = "county string, school string, program string, category string, year int, m double, pi double, hist int, sigma double"
 
-FORECASTS = "county string, school string, program string, category string, year int, m double, pi double, hist int"
 
+def forecasts(rows: DataFrame, choice: Choice, spread: DataFrame | None = None) -> DataFrame:
+    """Next year's threshold and fill probability of every series that is still alive, with the spread of its bucket.
 
-def forecasts(obs: DataFrame, spread: DataFrame, halflife: float | None = 4.0) -> DataFrame:
-    """Next year's threshold and fill probability of every series that is still alive, with the spread of its bucket."""
+    Without ``spread`` (the quick path) it is 1.25 times the residual's.
+    """
+    halflife, couple = choice.halflife, choice.couple
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values([*SERIES, "year"], ignore_index=True)
-        fits = fit_both(frame, halflife)
+        fits = fit_both(frame, halflife, couple)
         newest = frame.groupby("county")["year"].max()
         out = frame.groupby([*SERIES, "category"]).agg(last=("year", "max"), hist=("state", lambda s: int((s == "num").sum()))).reset_index()
         out["year"] = out["county"].map(newest) + 1
         out = out[out["last"] >= out["year"] - 2]
         out["m"], out["pi"] = predict(fits, out, int(out["year"].max()))
+        out["sigma"] = fits[0].sigma
         return out[[c.split()[0] for c in FORECASTS.split(", ")]]
 
-    rows = obs.select(*SERIES, "category", "year", "state", "v").withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, FORECASTS)
-    return rows.withColumn("bucket", history_bucket(F.col("hist"))).join(spread, "bucket").drop("bucket")
+    made = rows.select(*INPUT).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, FORECASTS)
+    made = made.withColumn("pi", recalibrated(F.col("pi"), choice.a, choice.b))
+    if spread is None:
+        return made.withColumn("s", F.col("sigma") * QUICK_SPREAD).drop("sigma")
+    spread = spread.select(F.col("bucket").alias("of"), "s")
+    return made.join(spread, history_bucket(F.col("hist")) == F.col("of")).drop("of", "sigma")

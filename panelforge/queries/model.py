@@ -1,43 +1,69 @@
-"""Fits, walk-forward backtest and forecasts of the two-part model."""
+"""Fits, walk-forward backtest, choice and forecasts of the two-part model."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from panelforge.operators import model
+from panelforge.operators import baselines, model
 from panelforge.plans.panel import observations, panel
+from panelforge.plans.stored import stored
 from panelforge.queries import evaluation
 
 
-def _obs(spark, sf_dir):
-    return observations(panel(spark, sf_dir))
+def _rows(spark, sf_dir):
+    cells = stored(panel(spark, sf_dir), "panel")
+    bridge = baselines.round_bridge(baselines.round_pairs(cells)).where("category is null or n_pairs >= 10")
+    return stored(model.model_rows(observations(cells), bridge), "model-rows")
+
+
+def _chosen(spark, sf_dir):
+    rows = _rows(spark, sf_dir)
+    return rows, model.choose(rows, evaluation.CALIBRATION)
 
 
 def fit_level(spark, sf_dir):
-    return model.effects(_obs(spark, sf_dir)).where("part = 'level'")
+    return model.effects(_rows(spark, sf_dir)).where("part = 'level'")
 
 
 def fit_fill(spark, sf_dir):
-    return model.effects(_obs(spark, sf_dir)).where("part = 'fill'")
+    return model.effects(_rows(spark, sf_dir), couple=True).where("part = 'fill'")
 
 
 def walk_forward_model(spark, sf_dir):
-    return model.walk_forward(_obs(spark, sf_dir), [1998, 1999, 2000, 2001])
+    return model.walk_forward(_rows(spark, sf_dir))
 
 
 def halflife_grid(spark, sf_dir):
-    return model.best_halflife(model.walk_forward(_obs(spark, sf_dir), [1998, 1999], model.HALFLIVES))
+    preds = model.walk_forward(_rows(spark, sf_dir), model.HALFLIVES)
+    return model.best_halflife(preds.where(F.col("T").isin(*evaluation.CALIBRATION)))
 
 
 def model_report(spark, sf_dir):
-    """The same report as for the baseline, of the fitted model."""
-    preds = walk_forward_model(spark, sf_dir).withColumns({"last": F.lit(None).cast("double"), "pm": F.lit(None).cast("double")})
-    return evaluation.error_report(preds)
+    """The same report as for the baseline, of the chosen model."""
+    _, choice = _chosen(spark, sf_dir)
+    empty = F.lit(None).cast("double")
+    return evaluation.error_report(choice.preds.withColumns({"last": empty, "pm": empty}))
+
+
+def model_choice(spark, sf_dir):
+    """One row: the half-life, the log-losses with and without coupling, the recalibration, as the report's JSON."""
+    _, choice = _chosen(spark, sf_dir)
+    meta = F.struct(
+        F.lit(choice.halflife).cast("double").alias("halflife"), F.lit(choice.couple).alias("coupled"),
+        F.struct(F.lit(choice.losses[0]).alias("independent"), F.lit(choice.losses[1]).alias("coupled")).alias("fill_logloss"),
+        F.struct(F.lit(choice.a).alias("a"), F.lit(choice.b).alias("b")).alias("fill_calibration"),
+    )
+    return spark.range(1).select(F.to_json(meta).alias("meta"))
 
 
 def forecasts(spark, sf_dir):
-    spread = evaluation.spreads(evaluation.predictions(spark, sf_dir))
-    return model.forecasts(_obs(spark, sf_dir), spread)
+    rows, choice = _chosen(spark, sf_dir)
+    return model.forecasts(rows, choice, evaluation.spreads(choice.preds))
+
+
+def forecasts_quick(spark, sf_dir):
+    """Without a backtest."""
+    return model.forecasts(_rows(spark, sf_dir), model.QUICK)
 
 
 QUERIES = {
@@ -46,5 +72,7 @@ QUERIES = {
     "walk_forward_model": (walk_forward_model, None),
     "halflife_grid": (halflife_grid, None),
     "model_report": (model_report, None),
+    "model_choice": (model_choice, None),
     "forecasts": (forecasts, None),
+    "forecasts_quick": (forecasts_quick, None),
 }

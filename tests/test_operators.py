@@ -147,3 +147,83 @@ def test_merge_equals_brute_force(spark):
     series, drift = merge.merge_sources(spark.createDataFrame(rows, SOURCE_ROWS))
     assert {(r.county, r.program, r.year): (r.points, r.source) for r in series.collect()} == kept and series.count() == len(kept)
     assert sorted((r.county, r.program, r.year, r.kept_points, r.kept_from, r.ignored_points, r.ignored_from) for r in drift.collect()) == sorted(lost)
+
+
+def test_covariate_and_offsets_enter_the_fit():
+    frame = panel_frame()
+    rand = np.random.default_rng(4)
+    keys, alpha = model.keys_of(frame), rand.normal(size=len(frame))
+    system, w, z = model.System(keys, alpha), np.linspace(0.5, 1, len(frame)), rand.normal(size=len(frame))
+    taus = {n: t for n, (_, t) in model.EFFECTS.items() if t}
+    coef = system.solve(w, z, taus)
+    names = [*model.EFFECTS, "alpha"]
+    x = np.concatenate([np.eye(len(system.levels[n]))[system.codes[n]] for n in model.EFFECTS] + [alpha[:, None]], axis=1)
+    sizes = np.cumsum([0] + [len(system.levels[n]) for n in names])
+    p = np.zeros((x.shape[1], x.shape[1]))
+    for n, a, b in zip(names, sizes[:-1], sizes[1:]):
+        p[a:b, a:b] = model._penalty(n, system.levels[n], taus.get(n))
+    want = np.linalg.solve(x.T @ (w[:, None] * x) + p, x.T @ (w * z))
+    got = np.concatenate([coef[n] for n in names])
+    assert np.abs(x @ got - x @ want).max() < 1e-4 and abs(got[-1] - want[-1]) < 1e-4
+    late = frame.assign(late=frame["year"] == frame["year"].max(), offset=-3.0)
+    moved = late.assign(v=late["v"] + np.where(late["late"], -3.0, 0.0))
+    plain = model.fit_both(frame.assign(late=False, offset=-3.0), None)[0]
+    assert np.allclose(model.fit_both(moved, None)[0].coef["school"], plain.coef["school"])
+
+
+def test_recalibration_of_a_table_equals_that_of_arrays(spark):
+    rand = np.random.default_rng(8)
+    pi = rand.uniform(0.02, 0.98, 500)
+    y = (rand.random(500) < 1 / (1 + np.exp(-(0.3 + 0.5 * np.log(pi / (1 - pi)))))).astype(float)
+    table = spark.createDataFrame([(float(p), "num" if k else "open") for p, k in zip(pi, y)], "pi double, state string")
+    got, want = model.platt_table(table), model.platt(pi, y)
+    assert np.allclose(got, want, atol=1e-6) and model.fill_loss(table, *got) < model.fill_loss(table, 0.0, 1.0)
+
+
+def test_closest_and_contained_names_against_difflib(spark):
+    import difflib
+    import random
+
+    from panelforge.operators import taxonomy
+
+    rand = random.Random(6)
+    entries = ["".join(rand.choice("abcde ") for _ in range(rand.randint(3, 16))).strip() or "x" for _ in range(120)]
+    entries = sorted(set(entries))
+    labels = []
+    for _ in range(80):
+        word = list(rand.choice(entries))
+        for _ in range(rand.randint(0, 2)):
+            word[rand.randrange(len(word))] = rand.choice("abcde")
+        labels.append("".join(word) + (rand.choice(entries) if rand.random() < 0.3 else ""))
+    labels = sorted({x for x in labels if x.strip()})
+    left = spark.createDataFrame([(x, x) for x in labels], "wanted string, base string")
+    index = spark.createDataFrame([(e, e.upper(), i) for i, e in enumerate(entries)], "entry string, entry_code string, pos int")
+    close = {r.wanted: r.close_code for r in taxonomy.closest(left, index).collect()}
+    inside = {r.wanted: r.inside_code for r in taxonomy.longest_inside(left, index).collect()}
+    for x in labels:
+        want = difflib.get_close_matches(x, entries, n=1, cutoff=taxonomy.CLOSE)
+        assert close.get(x) == (want[0].upper() if want else None)
+        held = [e for e in entries if len(e) > 7 and e in x]
+        assert inside.get(x) == (max(held, key=len).upper() if held else None)
+
+
+def test_resolve_with_columns_of_clashing_names(spark):
+    from panelforge.operators import taxonomy
+    from panelforge.schemas import REGISTER
+
+    register = spark.createDataFrame([("TPTIP1----", "Teknologi- og industrifag", None, None)], REGISTER)
+    names = spark.createDataFrame([("Teknologi- og industrifag", 1), ("Teknoloﬁ", 2), (None, 3)], "name string, code int")
+    got = {r.name: r.how for r in taxonomy.resolve(names, register, "name").collect()}
+    assert got["Teknologi- og industrifag"] == "exact" and len(got) == 3
+
+
+def test_years_are_written_by_the_writer(spark, tmp_path):
+    from panelforge.sinks import nested
+
+    rows = spark.createDataFrame([(1995 + i % 3, i) for i in range(30)], "year int, n int")
+    nested.write_tables({"samples": rows, "flat": rows.select("n")}, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "samples")).count() == spark.read.parquet(str(tmp_path / "flat")).count() == 30
+    nested.write_csv(rows, str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 30
+    nested.write_model({"halflife": 4.0}, rows, str(tmp_path / "model"))
+    assert spark.read.text(str(tmp_path / "model")).count() == 31

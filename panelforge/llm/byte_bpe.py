@@ -35,7 +35,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most pairs of tokens whose fit is remembered (about 160 bytes each), and most bytes that an encoder's three caches
 #: may hold together. Both are per running task and independent of the input.
 FITS = 1 << 18
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -75,10 +75,6 @@ class PrefixBpe:
             self._halves[token] = (parts[0], parts[1]) if len(parts) == 2 else None
         return self._halves[token]
 
-    def forget(self) -> None:
-        """Empty the table of pairs."""
-        self._fits.clear()
-
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE leaves these two tokens side by side."""
         key = (left, right)
@@ -222,9 +218,9 @@ class TextEncoder:
         self.pattern = regex.compile(pattern)
         self.cut = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
         self.odd = re.compile(f"[{WHITE}]{{2}}|^[{WHITE}]|[{WHITE}]$")
-        self.pieces = _Cache(self._piece, most // 8)
-        self.parts = _Cache(self._part, most // 8)
-        self.spaced = _Cache(self._spaced, most // 4)
+        self.pieces = _Cache(self._piece, most // 16)
+        self.parts = _Cache(self._part, most // 16)
+        self.spaced = _Cache(self._spaced, most * 3 // 8)
 
     def _part(self, part: str) -> tuple[int, ...]:
         found = self.pattern.findall(part)
@@ -250,15 +246,13 @@ class TextEncoder:
 
 @lru_cache(maxsize=1)
 def _vocabulary(path: str) -> PrefixBpe:
-    """The vocabulary stays with a worker (its size is fixed); what is cached while encoding goes with each task."""
+    """The vocabulary and its table of pairs, both of bounded size, stay with a worker; cached words go with each task."""
     with open(path, "rb") as file:
         return PrefixBpe(load_ranks(file.read()))
 
 
 def _encoder(path: str, pattern: str) -> TextEncoder:
-    bpe = _vocabulary(path)
-    bpe.forget()
-    return TextEncoder(bpe, pattern)
+    return TextEncoder(_vocabulary(path), pattern)
 
 
 def encode(

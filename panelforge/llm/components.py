@@ -4,7 +4,8 @@ Two steps take turns until nothing changes: each node's larger neighbours are li
 (or itself), then each node's smaller neighbours are. Every round keeps the components and leaves, after a number
 of rounds that grows with the logarithm of their size, one star around each smallest node. Neighbours are never
 gathered in a list: the smallest one is an aggregate and the links are joined to it, so a node with very many
-links is dealt out by the join. Each round is written to the shared folder, which cuts the lineage.
+links is dealt out by the join: the smallest neighbours are written first, so that adaptive execution sees two plain
+tables and splits the rows of a hot node. Each round is written to the shared folder too, which cuts the lineage.
 """
 
 from __future__ import annotations
@@ -48,11 +49,11 @@ def _state(links: DataFrame) -> tuple:
 
 def _large(links: DataFrame) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialise(links.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = links.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()

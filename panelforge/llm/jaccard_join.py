@@ -6,13 +6,14 @@
    at a time; a pair is dropped as soon as the posterior probability that its similarity reaches the threshold, given
    the matches so far and a uniform prior, falls below ``TOLERANCE``. Of the pairs that stay, a bucket gives only a
    spanning forest, never all pairs.
-3. The forests' connected components are candidate groups. In each, all pairs are compared in the same way and those
-   that stay are verified exactly on their shingles; what leaves the task is a count and a root for each class.
+3. The forests' connected components are candidate groups. In each, the pairs that share a band are compared in the same
+   way and those that stay are verified exactly on their shingles; what leaves the task is a count and a root for each
+   class.
 
 Two classes of similarity 0.8 miss each other in all 32 bands with a probability below 1e-7. Large buckets and groups
 are cut into blocks, and each pair of blocks is a task of its own, so no task holds an unbounded group.
 
-Words are lower-case runs of letters and digits. Shingles and words are told apart by 64-bit hashes.
+Words are lower-case runs of letters and digits, in scripts without spaces single characters. Shingles and words are told apart by 64-bit hashes.
 
 Defined cases: a text of one to four words has one shingle, all its words; a text without words (null, empty) is in no
 class and links with nothing; a row without doc_id is in a class, but never its representative; repeated rows are
@@ -32,15 +33,15 @@ from pyspark.sql import functions as F
 
 from panelforge.llm.common import block_pairs, chunks, materialise, table
 from panelforge.llm.components import components
-from panelforge.llm.words import NORMAL, mixed, run_hashes, word_hashes
+from panelforge.llm.words import NORMAL, mixed, run_hashes, spaced, word_hashes
 
 WIDTH = 5
 THRESHOLD = 0.8
 HASHES = 128  # 16 bits of each, four to a band
 STEP = 16
 TOLERANCE = 1e-7
-BUCKET_ROWS = 4000
-GROUP_ROWS, GROUP_SHINGLES = 1500, 3_000_000
+BUCKET_ROWS = 1000
+GROUP_ROWS, GROUP_SHINGLES = 256, 3_000_000
 
 _RAND = np.random.default_rng(71)
 FACTORS = _RAND.integers(1, 1 << 63, HASHES).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -49,7 +50,7 @@ SHIFTS = _RAND.integers(1, 1 << 63, HASHES).astype(np.uint64)
 
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    data = [(t or "").lower().encode("utf-8", "surrogatepass") for t in texts]
+    data = [spaced(t or "").encode("utf-8", "surrogatepass") for t in texts]
     hashes, first, _ = word_hashes(data, NORMAL)
     runs = run_hashes(hashes, WIDTH)
     out = []
@@ -159,6 +160,24 @@ def verified_links(sets: list[np.ndarray], sigs: np.ndarray, pairs_of: Callable[
             yield i, rows
 
 
+class BandMates:
+    """The rows of a group that share a band (four MinHash values) with a given one."""
+
+    def __init__(self, sigs: np.ndarray):
+        self.bands = np.ascontiguousarray(sigs).view(np.int64)
+        self.order = np.argsort(self.bands, axis=0, kind="stable")
+        self.sorted = np.take_along_axis(self.bands, self.order, axis=0)
+        self.mark = np.zeros(len(sigs), bool)
+
+    def of(self, row: int) -> np.ndarray:
+        self.mark[:] = False
+        for band, value in enumerate(self.bands[row]):
+            values = self.sorted[:, band]
+            lo, hi = np.searchsorted(values, value, "left"), np.searchsorted(values, value, "right")
+            self.mark[self.order[lo:hi, band]] = True
+        return np.flatnonzero(self.mark)
+
+
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
     """Consecutive rows with the same key, from batches in which equal keys stand together."""
     held: list[pa.RecordBatch] = []
@@ -240,8 +259,15 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [np.frombuffer(r[3], np.uint64) for r in cids]
         block = np.array([r[1] for r in cids])
         copies = np.array([r[2] for r in cids], np.int64)
-        everyone = np.arange(len(cids))
-        ahead = (lambda i: everyone[i + 1 :]) if bi == bj else (lambda i: everyone[block == bj] if block[i] == bi else everyone[:0])
+        sigs = signatures(sets)
+        mates = BandMates(sigs)
+
+        def ahead(i: int) -> np.ndarray:
+            if bi != bj and block[i] != bi:
+                return np.zeros(0, np.int64)
+            rows = mates.of(i)
+            return rows[rows > i] if bi == bj else rows[block[rows] == bj]
+
         links, root = np.zeros(len(cids), np.int64), list(range(len(cids)))
 
         def top(i: int, root: list[int] = root) -> int:
@@ -250,7 +276,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 i = root[i]
             return i
 
-        for i, found in verified_links(sets, signatures(sets), ahead):
+        for i, found in verified_links(sets, sigs, ahead):
             links[i] += copies[found].sum()
             links[found] += copies[i]
             for j in found.tolist():
@@ -342,6 +368,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """``docs`` without the documents that links connect to one with a smaller id; columns stay as they are."""
+    """``docs`` without the documents that links connect to one with a smaller id; columns stay as they are.
+
+    Rows that repeat the doc_id of a kept document all stay, as they are one document; rows without doc_id stay too, as
+    no decision can name them.
+    """
     gone = classes_and_links(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept")
     return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)

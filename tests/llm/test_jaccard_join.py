@@ -80,3 +80,25 @@ def test_query_against_brute_force(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.doc_id: (r.n_links, r.component_id) for r in j.query(spark, sf).collect()}
     assert got == {r[0]: x for r, x in zip(rows, brute(rows))}
+
+
+def test_words_of_any_script(spark):
+    texts = ["one—two “three” four\u3000five six", "ONE two three. four five: six", "光合作用的主要产物是氧气", "光合作用的主要产物是氧气。", "क्षत्रिय और वैश्य"]
+    sets = j.shingle_sets(texts)
+    assert [len(s) for s in sets] == [2, 2, 8, 8, 1]
+    assert set(sets[0].tolist()) == set(sets[1].tolist()) and set(sets[2].tolist()) == set(sets[3].tolist())
+
+
+def test_repeated_and_missing_ids_stay(spark):
+    text = "a text that has more than five words in all"
+    rows = [(1, text), (1, text), (2, text), (None, text), (None, text), (3, None), (3, None)]
+    kept = j.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 1, 1, 3, 3]
+
+
+def test_band_mates_are_those_that_share_a_band():
+    rand = np.random.default_rng(3)
+    sigs = rand.integers(0, 3, (60, j.HASHES)).astype(np.uint16)
+    mates, bands = j.BandMates(sigs), np.ascontiguousarray(sigs).view(np.int64)
+    for i in range(60):
+        assert mates.of(i).tolist() == [k for k in range(60) if (bands[k] == bands[i]).any()]

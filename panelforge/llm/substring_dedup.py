@@ -12,7 +12,9 @@ all a window can match, and shard and stream meet by key instead:
    partial aggregation and joined back to their documents.
 2. The words of candidate windows go, deduplicated, to the shard of their smallest anchor. There they arrive in the
    order of their first document, and each is streamed through the automaton of those before it, then added to it.
-   A shard is the text around one anchor; one with a single distinct text needs no automaton.
+   A shard is the text around one anchor; one with a single distinct text needs no automaton. An anchor of more than
+   ``SHARD_TEXTS`` texts is cut into as many shards as that takes; the texts of each are streamed past every shard's
+   automaton, a task for each pair, so that a task holds two shards at most, whatever share of the corpus has the anchor.
 3. Each document looks up its texts' results; words are removed where a window was found in an earlier document.
 
 Words are runs of characters other than ASCII white space, unchanged.
@@ -31,12 +33,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import chunks, materialise, table
+from panelforge.llm.common import block_pairs, chunks, materialise, table
 from panelforge.llm.words import PLAIN, run_hashes, word_hashes
 
 WINDOW = 50
 STRETCH = 30
 RUN = 10
+SHARD_TEXTS = 256
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -166,17 +169,23 @@ class SuffixAutomaton:
 
 
 def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each anchor in the order of their first document: the first document of each of their windows."""
+    """Texts of a pair of shards of one anchor, in the order of their first document: of each of their windows, the first
+    document that has it among those of the other shard (or of the only one) and the text itself."""
     from panelforge.llm.jaccard_join import groups_of
 
-    for group in groups_of(batches, "anchor"):
-        texts, firsts, out = group.column("words").to_pylist(), group.column("first").to_pylist(), []
-        automaton = SuffixAutomaton() if len(texts) > 1 else None
-        for text, first in zip(texts, firsts):
+    for group in groups_of(batches, "g"):
+        texts, firsts, shards = (group.column(c).to_pylist() for c in ("words", "first", "b"))
+        pair = (group.column("bi")[0].as_py(), group.column("bj")[0].as_py())
+        automata = {shard: SuffixAutomaton() for shard in pair} if len(texts) > 1 else None
+        out = []
+        for text, first, shard in zip(texts, firsts, shards):
             words = text.split(b" ")
-            found = automaton.first_owners(words, WINDOW) if automaton else [None] * (len(words) - WINDOW + 1)
-            if automaton and None in found:
-                automaton.add(words, first)
+            if automata is None:
+                out.append([first] * (len(words) - WINDOW + 1))
+                continue
+            found = automata[pair[shard == pair[0]]].first_owners(words, WINDOW)
+            if None in found or pair[0] != pair[1]:
+                automata[shard].add(words, first)
             out.append([first if x is None else x for x in found])
         yield pa.RecordBatch.from_arrays(
             [group.column("anchor").combine_chunks(), group.column("text").combine_chunks(), pa.array(out, pa.list_(pa.int64()))],
@@ -217,6 +226,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .where("lo < hi")
         .select("anchor")
     )
+    shared = materialise(shared, "shared-anchors")  # so that the join sees its size and splits a hot anchor
     of_docs = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
     done = materialise(
         read.join(of_docs, "doc_id", "left").mapInArrow(
@@ -228,12 +238,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = open_docs.select("doc_id", "whole", F.explode("parts").alias("p")).select(
         "doc_id", "whole", "p.anchor", "p.start", F.xxhash64("p.words").alias("text"), F.col("p.words").alias("words")
     )
-    owners = (
-        parts.groupBy("anchor", "text")
-        .agg(F.min("doc_id").alias("first"), F.first("words").alias("words"))
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "first", "text")
-        .mapInArrow(_owners, "anchor bigint, text bigint, owners array<bigint>")
+    texts = materialise(
+        parts.groupBy("anchor", "text").agg(F.min("doc_id").alias("first"), F.first("words").alias("words")), "anchor-texts"
+    )
+    dealt = block_pairs(texts, ["anchor"], "text", SHARD_TEXTS, 1).withColumn("g", F.xxhash64("anchor", "bi", "bj"))
+    owners = dealt.repartition("g").sortWithinPartitions("g", "first", "text").mapInArrow(
+        _owners, "anchor bigint, text bigint, owners array<bigint>"
     )
     places = F.transform("owners", lambda x, i: F.when(x < F.col("doc_id"), F.col("start") + i))
     hits = (

@@ -3,18 +3,24 @@
 For unit vectors, a cosine of at least c means a squared distance of at most D = 2 - 2c. All vectors are turned by one
 fixed rotation and cut into blocks of about eight coordinates; each block gets a share of D in proportion to its
 width. The squared distance is the sum over blocks, so two vectors within D are within the share of at least one
-block. Each block is range-joined: the space of its first three coordinates is cut into cells as wide as twice the
-block's radius, a vector is found in its own cell and asks there and in the nearest neighbours (eight cells in all), and
-pairs of a cell within the block's share are candidates. The union of all blocks' candidates is verified exactly, by
-cosine in double precision.
+block. Each block is range-joined: its space is split into cells at quantiles of its coordinates, one coordinate after the
+other, as often as it takes for a label's vectors to come to about ``CELL_ROWS`` a cell. A vector is at home in its own
+cell and asks there and in every cell whose distance from it is within the block's share (the sum of the squared gaps on
+all split coordinates), and pairs of a cell within the share are candidates. The union of all blocks' candidates is
+verified exactly, by cosine in double precision.
+
+The quantiles are taken from a sample of about ``SAMPLE`` vectors by a hash of the id; they steer how evenly cells are
+filled, never what is found. The more vectors a label has, the more cells it gets, so the vectors compared with each one
+grow more slowly than the label.
 
 Equal vectors of a label form a class that is compared once. Cells with many vectors are cut into blocks of rows, and
 each pair of blocks is a task of its own.
 
-Defined cases: a vector links only with vectors of the same label and length; a null label, and a vector that is null,
-empty or zero or holds a null or non-finite component, link with nothing; a row without vec_id can be linked to, and
-its component is that of the others, null if there is none; repeated rows are other vectors with the same id; an empty
-table gives an empty result; other columns are ignored.
+Defined cases: a vector links only with vectors of the same label (of any type) and length; a null label, and a vector
+that is null, empty or zero or holds a null or non-finite component, link with nothing; very large and very small
+components are scaled before anything is squared; a row without vec_id can be linked to, and its component is that of
+the others, null if there is none; repeated rows are other vectors with the same id; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ from panelforge.llm.jaccard_join import groups_of
 
 COSINE = 0.98
 BLOCK_WIDTH = 8
-CELL_AXES = 3
-CELL_ROWS = 4000
+CELL_ROWS = 256  # vectors of a label that a cell is meant for
+GROUP_ROWS = 4000  # rows of a cell in one task
+SAMPLE = 20_000
+MOST_BITS = 3  # splits of one coordinate: two halves, four quarters, eight parts
 SLACK = 1e-6  # for the rounding of coordinates; candidates are verified anyway
 
 
@@ -50,42 +58,92 @@ def blocks(dim: int, cosine: float) -> list[tuple[np.ndarray, float]]:
 
 
 def _rows_of(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Vectors of each length as (places, matrix in double precision)."""
+    """Vectors of each length as (places, matrix in double precision), each scaled by the power of two that brings its
+    largest component to between 1/2 and 1, which changes no digit and keeps squares in range."""
     sizes = column.value_lengths().to_numpy()
     flat, first = column.flatten().to_numpy().astype(np.float64), np.concatenate([[0], np.cumsum(sizes)])
     out = {}
     for dim in np.unique(sizes).tolist():
         at = np.flatnonzero(sizes == dim)
-        out[dim] = at, flat[first[at][:, None] + np.arange(dim)]
+        rows = flat[first[at][:, None] + np.arange(dim)]
+        out[dim] = at, _scaled(rows)
     return out
 
 
-def _celled(cosine: float):
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
+def _turned(rows: np.ndarray) -> np.ndarray:
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True) @ rotation(rows.shape[1])
+
+
+def splits(width: int, halvings: int) -> list[int]:
+    """How often each coordinate of a block is halved, if the block's space is to be halved so many times."""
+    total = min(halvings, MOST_BITS * width)
+    return [total // width + (axis < total % width) for axis in range(width)]
+
+
+def cells(part: np.ndarray, edges: np.ndarray, bits: list[int], share: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, cells, whether the cell is the row's own) for all cells within the share of each row of ``part``.
+
+    ``edges`` has the 2 ** MOST_BITS - 1 quantiles of each coordinate.
+    """
+    rows, code, gap = np.arange(len(part)), np.zeros(len(part), np.int64), np.zeros(len(part))
+    home = np.ones(len(part), bool)
+    for axis, n in enumerate(bits):
+        if not n:
+            continue
+        step = 1 << (MOST_BITS - n)
+        bounds = np.concatenate([[-np.inf], edges[axis, step - 1 :: step], [np.inf]])
+        x = part[rows, axis]
+        own = np.searchsorted(bounds[1:-1], x, "right")
+        parts = []
+        for k in range(1 << n):
+            away = np.maximum(np.maximum(bounds[k] - x, x - bounds[k + 1]), 0.0)
+            total = gap + away * away
+            good = np.flatnonzero(total <= share)
+            parts.append((rows[good], code[good] << n | k, total[good], home[good] & (own[good] == k)))
+        rows, code, gap, home = (np.concatenate(x) for x in zip(*parts))
+    return rows, code, home
+
+
+def quantiles(vectors: DataFrame, total: int) -> dict[int, np.ndarray]:
+    """Of each length, (coordinates, 2 ** MOST_BITS - 1) quantiles of the turned coordinates of a sample."""
+    drawn = F.pmod(F.xxhash64("cid", F.lit("cells")), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE / max(total, 1)) * (1 << 30)))
+    got = vectors.where(drawn).select(F.col("embedding").cast("array<double>")).toArrow().column(0)
+    if not len(got):
+        return {}
+    at = np.arange(1, 1 << MOST_BITS) / (1 << MOST_BITS)
+    return {dim: np.quantile(_turned(rows), at, axis=0).T for dim, (_, rows) in _rows_of(got.combine_chunks()).items()}
+
+
+def _celled(cosine: float, shared):
+    """Rows (cid, label, halvings, vector) to one row for each cell of each block that the vector asks in."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                batch = whole.slice(k, 1024)
-                cids, labels = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-                for dim, (at, rows) in _rows_of(batch.column(2)).items():
-                    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
-                    turned = unit @ rotation(dim)
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                cids, labels, halvings = (batch.column(c).to_numpy() for c in range(3))
+                for dim, (place, rows) in _rows_of(batch.column(3)).items():
+                    turned = _turned(rows)
+                    edges = shared.value.get(dim)
+                    if edges is None:  # a length that is not in the sample: halves at zero
+                        edges = np.zeros((dim, (1 << MOST_BITS) - 1))
                     for b, (coords, share) in enumerate(blocks(dim, cosine)):
-                        part = turned[:, coords]
-                        axes = part[:, :CELL_AXES] / (2.0 * np.sqrt(share * (1.0 + SLACK)) + SLACK)
-                        own = np.floor(axes).astype(np.int64)
-                        side = np.where(axes - own < 0.5, -1, 1)
-                        flat = pa.array(part.astype(np.float32).ravel())
-                        coordinates = pa.ListArray.from_arrays(
-                            np.arange(0, part.size + 1, part.shape[1], dtype=np.int32), flat
-                        )
-                        for near in range(1 << own.shape[1]):
-                            step = np.array([near >> a & 1 for a in range(own.shape[1])])
-                            cell = own + side * step
+                        limit = share * (1.0 + SLACK) + SLACK
+                        for depth in np.unique(halvings[place]).tolist():
+                            some = np.flatnonzero(halvings[place] == depth)
+                            part = turned[np.ix_(some, coords)]
+                            row, code, home = cells(part, edges[coords], splits(len(coords), depth), limit)
+                            flat = pa.array(part[row].astype(np.float32).ravel())
+                            at = place[some[row]]
                             yield pa.RecordBatch.from_arrays(
                                 [pa.array(cids[at]), pa.array(labels[at]), pa.array(np.full(len(at), dim * 1000 + b, np.int64)),
-                                 *[pa.array(cell[:, a] if a < cell.shape[1] else np.zeros(len(at), np.int64)) for a in range(CELL_AXES)],
-                                 pa.array([near == 0] * len(at)), pa.array(np.full(len(at), share)), coordinates],
-                                ["cid", "label", "block", "c0", "c1", "c2", "home", "share", "part"],
+                                 pa.array(code), pa.array(home), pa.array(np.full(len(at), share)),
+                                 pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, len(coords), dtype=np.int32), flat)],
+                                ["cid", "label", "block", "code", "home", "share", "part"],
                             )
 
     return run
@@ -121,6 +179,7 @@ def _checked(cosine: float):
                 keep = np.zeros(batch.num_rows, bool)
                 for dim, (at, x) in _rows_of(batch.column(2)).items():
                     y = batch.column(3).take(pa.array(at)).flatten().to_numpy().astype(np.float64).reshape(-1, dim)
+                    y = _scaled(y)
                     norms = np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1))
                     keep[at] = (x * y).sum(axis=1) / norms >= cosine
                 yield batch.select(["a", "b"]).filter(pa.array(keep))
@@ -137,7 +196,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         & F.exists("embedding", lambda x: x != 0)
     )
     rows = vectors.select(
-        F.col("vec_id").cast("bigint").alias("vec_id"), F.col("label").cast("bigint").alias("label"), "embedding"
+        F.col("vec_id").cast("bigint").alias("vec_id"), F.when(F.col("label").isNotNull(), F.xxhash64("label")).alias("label"), "embedding"
     ).withColumn("cid", F.when(usable, F.xxhash64("label", "embedding")))
     classes = (
         rows.where("cid is not null")
@@ -145,13 +204,25 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         .agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     )
     classes = materialise(classes, "vectors")
-    celled = classes.select("cid", "label", F.col("embedding").cast("array<double>")).mapInArrow(
-        _celled(cosine),
-        "cid bigint, label bigint, block bigint, c0 bigint, c1 bigint, c2 bigint, home boolean, share double, part array<float>",
+    # labels with vectors of one length: a few numbers each
+    sizes = materialise(
+        classes.groupBy("label", F.size("embedding").alias("dim")).agg(F.count(F.lit(1)).alias("n")), "label-sizes"
+    )
+    halvings = F.greatest(F.lit(0), F.ceil(F.log2(F.col("n") / F.lit(CELL_ROWS)))).cast("int")
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    edges = vectors.sparkSession.sparkContext.broadcast(quantiles(classes, total))
+    celled = (
+        classes.withColumn("dim", F.size("embedding"))
+        .join(sizes, ["label", "dim"])
+        .select("cid", "label", halvings.alias("halvings"), F.col("embedding").cast("array<double>"))
+        .mapInArrow(
+            _celled(cosine, edges),
+            "cid bigint, label bigint, block bigint, code bigint, home boolean, share double, part array<float>",
+        )
     )
-    members = celled.select("cid", F.xxhash64("label", "block", "c0", "c1", "c2").alias("cell"), "home", "share", "part")
+    members = celled.select("cid", F.xxhash64("label", "block", "code").alias("cell"), "home", "share", "part")
     candidates = (
-        block_pairs(members, ["cell"], "cid", CELL_ROWS)
+        block_pairs(members, ["cell"], "cid", GROUP_ROWS)
         .withColumn("g", F.xxhash64("cell", "bi", "bj"))
         .repartition("g")
         .sortWithinPartitions("g")

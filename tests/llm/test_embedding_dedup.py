@@ -46,13 +46,41 @@ def test_edge_rows_and_groups_against_brute_force(spark, monkeypatch):
     rows += [(3000, [1.0, 0.0], 0), (3001, [1.0, 0.05], 0), (3002, [1.0], 0), (3003, [2.0], 0), (3004, [-2.0], 0)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, cid string")
     want = sorted(brute(rows), key=str)
-    for cell in (4000, 9):  # the second cuts every cell into blocks
+    for cell, group in ((256, 4000), (1, 4000), (3, 9)):  # one cell; many cells; many cells, cut into blocks
         monkeypatch.setattr(e, "CELL_ROWS", cell)
+        monkeypatch.setattr(e, "GROUP_ROWS", group)
         got = e.near_duplicates(df).collect()
         assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=str) == want
     assert e.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_labels_of_any_type_and_extreme_norms(spark):
+    v = [0.3, -0.2, 0.9, 0.1]
+    rows = [(1, v, "a"), (2, [x * 1e200 for x in v], "a"), (3, [x * 1e-200 for x in v], "a"), (4, v, "b"), (5, [0.3, -0.2, 0.9, 0.11], "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in e.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1)}
+
+
+def test_cells_lose_no_pair_and_leave_most_out():
+    rand = np.random.default_rng(12)
+    unit = rand.normal(size=(4000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    part, share = unit[:, :8], 0.04 / 8
+    edges = np.quantile(part, np.arange(1, 8) / 8, axis=0).T
+    for halvings in (0, 5, 8, 12):
+        rows, code, home = e.cells(part, edges, e.splits(8, halvings), share)
+        assert sorted(rows[home].tolist()) == list(range(len(part)))
+        own = np.empty(len(part), np.int64)
+        own[rows[home]] = code[home]
+        asked = set(zip(rows.tolist(), code.tolist()))
+        d = (part[:600, None] - part[None]) ** 2
+        i, j = np.nonzero(d.sum(axis=2) <= share)
+        assert all((a, own[b]) in asked for a, b in zip(i.tolist(), j.tolist()))
+    homes = np.bincount(own, minlength=1 << 12)
+    assert homes[code].sum() < 0.03 * len(part) ** 2
+
+
 def test_query_equals_its_sql(spark, sf):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from sys import getsizeof
 
 import pyarrow as pa
 import regex
@@ -35,7 +36,7 @@ WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Most pairs of tokens whose fit is remembered (about 160 bytes each), and most bytes that an encoder's three caches
 #: may hold together. Both are per running task and independent of the input.
 FITS = 1 << 18
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 88 << 20
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
@@ -197,8 +198,7 @@ class _Cache(dict):
         if value is None:
             value = self.make(key)
         if len(key) <= 64:
-            # a slot of the table, two object headers, up to four bytes a character, a pointer a token
-            self.bytes += 220 + 2 * len(key) + 8 * len(value)
+            self.bytes += getsizeof(key) + getsizeof(value) + 48  # and a slot of the table
             if self.bytes >= self.most:
                 self.old, self.bytes = dict(self), 0
                 self.clear()
@@ -245,14 +245,10 @@ class TextEncoder:
 
 
 @lru_cache(maxsize=1)
-def _vocabulary(path: str) -> PrefixBpe:
-    """The vocabulary and its table of pairs, both of bounded size, stay with a worker; cached words go with each task."""
-    with open(path, "rb") as file:
-        return PrefixBpe(load_ranks(file.read()))
-
-
 def _encoder(path: str, pattern: str) -> TextEncoder:
-    return TextEncoder(_vocabulary(path), pattern)
+    """One for each worker: all that it keeps is bounded in bytes, so it may stay from task to task."""
+    with open(path, "rb") as file:
+        return TextEncoder(PrefixBpe(load_ranks(file.read())), pattern)
 
 
 def encode(

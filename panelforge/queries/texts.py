@@ -265,10 +265,10 @@ QUERIES = {
     "title_case": (title_case, """WITH w AS (SELECT p_partkey, list_filter(string_split(lower(p_type) || ' of the ICT and a ' || p_name, ' '), lambda x: x <> '') AS ws FROM part)
       SELECT p_partkey, array_to_string(list_transform(ws, lambda x, i: CASE WHEN i > 1 AND lower(x) IN ('and','or','of','the','for','in','to','a','an','with','on','at')
         THEN lower(x[1]) ELSE upper(x[1]) END || x[2:]), ' ') AS title FROM w"""),
-    "message_clean": (message_clean, """SELECT doc_id, md5(substr(trim(regexp_replace(text,
-        '[\\s\\x0B\\x85\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1680}]+', ' ', 'g')), 1, 80)) AS line,
-      md5(substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'),
-        '^\\s+|\\s+$', '', 'g'), 1, 500)) AS message FROM documents"""),
+    "message_clean": (message_clean, """SELECT doc_id, md5(trim(regexp_replace(text,
+        '[\\s\\x0B\\x85\\x{a0}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1680}]+', ' ', 'g'))) AS line,
+      md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\r\\f\\x0B]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'),
+        '^\\s+|\\s+$', '', 'g')) AS message FROM documents"""),
     "json_props": (json_props, """SELECT event_type, count(*) AS n, CAST(sum(coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0)) AS BIGINT) AS sum_k,
       count(*) FILTER (NOT json_valid(props)) AS broken FROM events GROUP BY ALL"""),
 }

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import block_pairs, chunks, materialise, table
+from panelforge.llm.common import block_pairs, chunks, materialise, scratch, table
 from panelforge.llm.words import PLAIN, run_hashes, word_hashes
 
 WINDOW = 50
@@ -217,23 +217,24 @@ SCHEMA = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string"
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256) of every row of ``docs``."""
     read = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    anchors = materialise(
-        read.where("doc_id is not null").mapInArrow(_anchors, "anchor bigint, doc_id bigint"), "anchors"
-    )
-    shared = (
-        anchors.groupBy("anchor")
-        .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        .where("lo < hi")
-        .select("anchor")
-    )
-    shared = materialise(shared, "shared-anchors")  # so that the join sees its size and splits a hot anchor
-    of_docs = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
-    done = materialise(
-        read.join(of_docs, "doc_id", "left").mapInArrow(
-            _candidates, f"doc_id bigint, n_words bigint, digest string, words binary, parts {PARTS}"
-        ),
-        "candidates",
-    )
+    with scratch("candidates"):  # the anchors go once the candidates are written
+        anchors = materialise(
+            read.where("doc_id is not null").mapInArrow(_anchors, "anchor bigint, doc_id bigint"), "anchors"
+        )
+        shared = (
+            anchors.groupBy("anchor")
+            .agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+            .where("lo < hi")
+            .select("anchor")
+        )
+        shared = materialise(shared, "shared-anchors")  # so that the join sees its size and splits a hot anchor
+        of_docs = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("shared"))
+        done = materialise(
+            read.join(of_docs, "doc_id", "left").mapInArrow(
+                _candidates, f"doc_id bigint, n_words bigint, digest string, words binary, parts {PARTS}"
+            ),
+            "candidates",
+        )
     open_docs = done.where("digest is null").withColumn("whole", F.xxhash64("words"))
     parts = open_docs.select("doc_id", "whole", F.explode("parts").alias("p")).select(
         "doc_id", "whole", "p.anchor", "p.start", F.xxhash64("p.words").alias("text"), F.col("p.words").alias("words")

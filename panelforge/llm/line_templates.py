@@ -1,11 +1,13 @@
 """Line dedup by a log-template tree of fixed depth.
 
 The tree's first level is a line's number of tokens, the next ``DEPTH`` levels are its leading tokens, where tokens
-with a digit count as a variable ``<*>``. Of each leaf that holds lines of at least ``min_docs`` different texts, a
-template is made: at each position the token that most of the leaf's lines share, or ``<*>`` where none of them reaches
-``CONSTANT`` of the lines. A line belongs to the leaf's template if at least ``SIMILAR`` of its tokens equal it;
-other lines keep their own masked tokens as template. Templates found in at least ``min_docs`` different texts are
-recurring: their lines stay in the document with the smallest id and are dropped from all others.
+with a digit count as a variable ``<*>``. Of each node that holds lines of at least ``min_docs`` different texts, a
+template is made: at each position the token that more than ``CONSTANT`` of the node's lines share, or ``<*>`` where
+there is none. A line belongs to the node's template if at least ``SIMILAR`` of its tokens equal it. The lines that do
+not are split by their token at the position where the node has the fewest different ones (but more than one), and the
+new nodes are treated in the same way, ``SPLITS`` times; so a node that mixes several templates gives each its own. Lines
+that no template on their way covers keep their own masked tokens as template. Templates found in at least ``min_docs``
+different texts are recurring: their lines stay in the document with the smallest id and are dropped from all others.
 
 Texts that are equal as a whole count as one, so a copied document is not taken for a recurring line. Everything is
 DataFrame operations: counts are aggregated before they are shuffled, and only the lines of recurring leaves and, once,
@@ -20,14 +22,17 @@ table gives an empty result; other columns are kept as they are, whatever their
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialise, table
+from panelforge.llm.common import materialise, scratch, table
 
 DEPTH = 3
 CONSTANT = 0.5
 SIMILAR = 0.7
+SPLITS = 2
 #: A line that a second text repeats is recurring; texts that are equal as a whole count as one.
 MIN_DOCS = 2
 BLANKS = "[ \\t\\r]+"
@@ -68,37 +73,62 @@ def _recurring(rows: DataFrame, key: str, min_docs: int) -> DataFrame:
     )
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(doc, content, dropped array<int>): numbers from 0 of the lines to drop, for documents that lose any."""
-    lines = _lines(docs)
-    leaves = materialise(_recurring(lines.select("leaf", "content", "doc"), "leaf", min_docs).select("leaf"), "leaves")
-    # the lines move as they are; tokens, which take more room, are made afterwards
-    at_leaves = lines.join(leaves, "leaf").withColumn("tokens", _masked(_tokens(F.col("line")))).drop("line")
-    at_leaves = materialise(at_leaves, "lines")
+def _templates(lines: DataFrame) -> DataFrame:
+    """(leaf, leaf_template, split): the template of each leaf, and the position by which to split what it leaves over."""
     counts = (
-        at_leaves.select("leaf", F.posexplode("tokens").alias("at", "token"))
+        lines.select("leaf", F.posexplode("tokens").alias("at", "token"))
         .groupBy("leaf", "at", "token")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    # most lines first, then the token that sorts first
     positions = counts.groupBy("leaf", "at").agg(
-        F.sum("n").alias("of"), F.min_by(F.struct("token", "n"), F.struct(-F.col("n"), "token")).alias("top")
+        F.sum("n").alias("of"), F.count(F.lit(1)).alias("kinds"), F.max_by("token", F.struct("n", "token")).alias("top"), F.max("n").alias("n")
+    )
+    shared = F.when(F.col("n") > CONSTANT * F.col("of"), F.col("top")).otherwise(F.lit("<*>"))
+    found = positions.groupBy("leaf").agg(
+        F.array_sort(F.collect_list(F.struct("at", shared.alias("token")))).alias("t"),
+        F.min(F.when(F.col("kinds") > 1, F.struct("kinds", "at"))).alias("split"),
     )
-    shared = F.when(F.col("top.n") >= CONSTANT * F.col("of"), F.col("top.token")).otherwise(F.lit("<*>"))
-    templates = positions.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("at", shared.alias("token")))).alias("t"))
-    templates = templates.select("leaf", F.transform("t", lambda x: x["token"]).alias("leaf_template"))
-    templates = materialise(templates, "leaf-templates")
+    return found.select("leaf", F.transform("t", lambda x: x["token"]).alias("leaf_template"), F.col("split.at").alias("split"))
+
+
+def _of_recurring_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
+    """The lines whose leaf has lines of ``min_docs`` texts; equal lines are always of one leaf, so others cannot recur."""
+    leaves = _recurring(lines.select("leaf", "content", "doc"), "leaf", min_docs).select("leaf")
+    return lines.join(materialise(leaves, "leaves"), "leaf")
+
+
+def _keyed(lines: DataFrame, min_docs: int) -> DataFrame:
+    """(doc, content, line_no, template) of every line that may recur."""
+    # the lines move as they are; tokens, which take more room, are made afterwards
+    rest = _of_recurring_leaves(lines, min_docs).withColumn("tokens", _masked(_tokens(F.col("line")))).drop("line")
+    rest, found = materialise(rest, "lines"), []
     same = F.aggregate(
         F.zip_with("tokens", "leaf_template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x
     )
-    own = F.xxhash64(F.lit(0), "tokens")
-    keyed = at_leaves.join(templates, "leaf").select(
-        "doc",
-        "content",
-        "line_no",
-        F.when(same >= SIMILAR * F.size("tokens"), F.xxhash64(F.lit(1), "leaf")).otherwise(own).alias("template"),
+    covered = same >= SIMILAR * F.size("tokens")
+    by_leaf, own = F.xxhash64(F.lit(1), "leaf"), F.xxhash64(F.lit(0), "tokens")
+    for _ in range(SPLITS):
+        tried = rest.join(materialise(_templates(rest), "leaf-templates"), "leaf").select(
+            "doc",
+            "content",
+            "line_no",
+            F.when(covered, by_leaf).alias("template"),
+            F.when(~covered, F.xxhash64("leaf", "split", F.get("tokens", "split"))).alias("leaf"),
+            F.when(~covered, F.col("tokens")).alias("tokens"),
+        )
+        tried = materialise(tried, "tried")
+        found.append(tried.where("template is not null").drop("leaf", "tokens"))
+        rest = _of_recurring_leaves(tried.where("template is null").drop("template"), min_docs)
+    last = rest.join(materialise(_templates(rest), "leaf-templates"), "leaf").select(
+        "doc", "content", "line_no", F.when(covered, by_leaf).otherwise(own).alias("template")
     )
-    keyed = materialise(keyed, "templates")
+    return reduce(DataFrame.unionByName, [*found, last])
+
+
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc, content, dropped array<int>): numbers from 0 of the lines to drop, for documents that lose any."""
+    with scratch("templates"):
+        keyed = materialise(_keyed(_lines(docs), min_docs), "templates")
     recurring = materialise(_recurring(keyed, "template", min_docs), "recurring")
     return (
         keyed.join(recurring, "template")
@@ -147,6 +177,30 @@ def keep_new_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
 
 
+def _level_sql(i: int) -> str:
+    """One level of the tree: nodes{i} to tried{i}, whose uncovered lines are nodes{i + 1}."""
+    return f"""
+counts{i} AS (
+  SELECT key, pos, token, count(*) AS c
+  FROM (SELECT key, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM nodes{i}) GROUP BY ALL),
+positions{i} AS (
+  SELECT key, pos, kinds, CASE WHEN c > {CONSTANT} * total THEN token ELSE '<*>' END AS token
+  FROM (SELECT *, sum(c) OVER (PARTITION BY key, pos) AS total, count(*) OVER (PARTITION BY key, pos) AS kinds,
+          row_number() OVER (PARTITION BY key, pos ORDER BY c DESC) AS k FROM counts{i}) WHERE k = 1),
+templates{i} AS (
+  SELECT key, list(token ORDER BY pos) AS template, (min({{'kinds': kinds, 'pos': pos}}) FILTER (kinds > 1)).pos AS split
+  FROM positions{i} GROUP BY key),
+tried{i} AS (
+  SELECT nodes{i}.*, split,
+    len(list_filter(list_zip(tokens, template), lambda p: p[1] = p[2])) >= {SIMILAR} * len(tokens) AS covered
+  FROM nodes{i} JOIN templates{i} USING (key)),
+rest{i} AS (
+  SELECT doc_id, content, line_no, tokens, key || chr(3) || split || chr(2) || tokens[split] AS key
+  FROM tried{i} WHERE NOT covered),
+nodes{i + 1} AS (
+  SELECT * FROM rest{i} WHERE key IN (SELECT key FROM rest{i} GROUP BY key HAVING count(DISTINCT content) >= {MIN_DOCS})),"""
+
+
 ORACLE_SQL = f"""
 WITH lines AS (
   SELECT doc_id, md5(text) AS content, generate_subscripts(parts, 1) - 1 AS line_no, unnest(parts) AS line
@@ -156,23 +210,15 @@ tok AS (
     list_transform(list_filter(string_split_regex(line, '[ \\t\\r]+'), lambda x: x <> ''),
       lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
   FROM lines),
-t AS (SELECT *, len(tokens) AS n, list_slice(tokens, 1, {DEPTH}) AS head FROM tok WHERE len(tokens) > 0),
-leaves AS (SELECT n, head FROM t GROUP BY n, head HAVING count(DISTINCT content) >= {MIN_DOCS}),
-at_leaves AS (SELECT t.* FROM t JOIN leaves USING (n, head)),
-counts AS (
-  SELECT n, head, pos, token, count(*) AS c
-  FROM (SELECT n, head, generate_subscripts(tokens, 1) AS pos, unnest(tokens) AS token FROM at_leaves) GROUP BY ALL),
-positions AS (
-  SELECT n, head, pos, CASE WHEN c >= {CONSTANT} * total THEN token ELSE '<*>' END AS token
-  FROM (SELECT *, sum(c) OVER (PARTITION BY n, head, pos) AS total,
-          row_number() OVER (PARTITION BY n, head, pos ORDER BY c DESC, token) AS k FROM counts) WHERE k = 1),
-templates AS (SELECT n, head, list(token ORDER BY pos) AS template FROM positions GROUP BY n, head),
+t AS (
+  SELECT *, len(tokens) || chr(1) || array_to_string(list_slice(tokens, 1, {DEPTH}), chr(2)) AS key
+  FROM tok WHERE len(tokens) > 0),
+nodes0 AS (SELECT * FROM t WHERE key IN (SELECT key FROM t GROUP BY key HAVING count(DISTINCT content) >= {MIN_DOCS})),
+{"".join(map(_level_sql, range(SPLITS + 1)))}
 keyed AS (
-  SELECT doc_id, content, line_no,
-    CASE WHEN len(list_filter(list_zip(tokens, template), lambda p: p[1] = p[2])) >= {SIMILAR} * n
-      THEN 'leaf' || chr(1) || n || chr(1) || array_to_string(head, chr(2))
-      ELSE 'own' || chr(1) || array_to_string(tokens, chr(2)) END AS template
-  FROM at_leaves JOIN templates USING (n, head)),
+  {" UNION ALL ".join(f"SELECT doc_id, content, line_no, 'leaf' || chr(1) || key AS template FROM tried{i} WHERE covered" for i in range(SPLITS + 1))}
+  UNION ALL
+  SELECT doc_id, content, line_no, 'own' || chr(1) || array_to_string(tokens, chr(2)) FROM tried{SPLITS} WHERE NOT covered),
 recurring AS (
   SELECT template, min(doc_id) AS first FROM keyed GROUP BY template HAVING count(DISTINCT content) >= {MIN_DOCS}),
 gone AS (

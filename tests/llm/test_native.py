@@ -116,6 +116,23 @@ def test_recurring_templates_are_dropped_but_from_the_first_document(spark):
     assert line_templates.drop_lines(docs, min_docs=50).where("_dropped > 0").count() == 0
 
 
+def test_a_leaf_of_several_templates(spark):
+    names = [a + b for a in "abcdefgh" for b in "klmnopqr"]
+    ends = ["wrote this on Monday", "has sent a photo", "left our group today"]
+    rows = [(i, f"text {name} has its words\nPosted by user {name} {ends[i % 3 if i < 45 else 0]}") for i, name in enumerate(names)]
+    rows += [(100, "once\nPosted by user someone quite other words here"), (101, "twice\nPosted by user nobody in these few lines")]
+    docs = spark.createDataFrame([(i, r.replace("text ", f"text{'x' * (i % 7)} own ")) for i, r in rows], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in line_templates.drop_lines(docs).collect()}
+    kept = {i for i, text in got.items() if "Posted" in text}
+    assert kept == {0, 1, 2, 100, 101}
+
+
+def test_two_lines_that_share_less_than_a_template_stay(spark):
+    rows = [(1, "we all know a b c d e f"), (2, "we all know g h i d j k"), (3, "they went by a b c d e f"), (4, "they went by a b c d z f")]
+    got = {r.doc_id: r.text for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: ""}
+
+
 def test_callers_columns_with_clashing_names(spark):
     docs = spark.createDataFrame(
         [(1, "own words here\nshared line of five words", 1, 2, 3, 4), (2, "others\nshared line of five words", 5, 6, 7, 8)],

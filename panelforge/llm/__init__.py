@@ -14,12 +14,15 @@ from panelforge.llm import (
     chat_format,
     decontaminate,
     embedding_dedup,
+    filter_audit,
     jaccard_join,
     langid,
     line_templates,
+    periodic_runs,
     substring_dedup,
     toxicity,
     url_filter,
+    vector_search,
 )
 
 
@@ -35,6 +38,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": url_filter.query,
         "op9_line_dedup": line_templates.query,
         "op10_embedding_near_dedup": embedding_dedup.query,
+        "op11_periodic_runs": periodic_runs.query,
+        "op12_vector_search": vector_search.query,
+        "op13_filter_audit": filter_audit.query,
     }
 
 
@@ -45,4 +51,6 @@ def oracle_sql() -> dict[str, str]:
         "op8_url_filter": url_filter.ORACLE_SQL,
         "op9_line_dedup": line_templates.ORACLE_SQL,
         "op10_embedding_near_dedup": embedding_dedup.ORACLE_SQL,
+        "op11_periodic_runs": periodic_runs.ORACLE_SQL,
+        "op13_filter_audit": filter_audit.ORACLE_SQL,
     }

@@ -12,6 +12,9 @@ and visits are widened until the share of true neighbours found reaches ``RECALL
 
 A leaf's vectors and the queries that visit it meet by key, each cut into blocks of about ``BLOCK`` rows, so that a task
 holds two blocks, whatever share of all vectors a leaf has. Of each block and query the best are kept, and merged by query.
+Visits come in rounds: the first few leaves, then several times as many, then the rest (``ROUND_ENDS``). A query takes the
+score of its last place into the next round, where only vectors that reach it are kept, so what is moved for a query hardly
+grows with the number of leaves it visits.
 
 Vectors that are equal are one class: only the ``k`` + 1 smallest ids of a class can be in a result, and queries that are
 equal share one search, so copies cost a row of a table, not a comparison each. Classes are told apart by 64-bit hashes.
@@ -46,6 +49,7 @@ LEAST_SAMPLE = 8  # sampled vectors of a leaf, which bounds the tree where the s
 ROUNDS = 12  # of k-means
 TRIALS = 200
 RECALL = 0.97  # of the calibration; the results are held to 0.9
+ROUND_ENDS = (4, 32)  # leaves visited by the end of the first rounds
 BLOCK = 2048
 SHARES = 64  # of the ids of a vector with very many
 SPARE = 12  # more than k + 1 are kept of a block before scores are computed as they are returned
@@ -166,41 +170,46 @@ def _placed(trees: Broadcast):
     return run
 
 
-def _asked(trees: Broadcast, visits: dict[int, int]):
-    """A row for each leaf that a query visits."""
+def _asked(trees: Broadcast, low: int, high: dict[int, int]):
+    """A row for each leaf that a query (cid, bound, v) visits in a round."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
-                for dim, batch in _by_length(whole.slice(k, 256), 1):
-                    found = trees.value[dim].visits(_matrix(batch.column(1), dim), visits[dim])
+                for dim, batch in _by_length(whole.slice(k, 256), 2):
+                    if high[dim] <= low:
+                        continue
+                    found = [x[low:] for x in trees.value[dim].visits(_matrix(batch.column(2), dim), high[dim])]
                     row = pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]))
+                    cid, bound, v = (c.take(row) for c in batch.columns)
                     leaves = pa.array(np.concatenate(found).astype(np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column(0).take(row), pa.array(np.full(len(row), dim, np.int32)), leaves, batch.column(1).take(row)],
-                        ["cid", "dim", "leaf", "v"],
+                        [cid, pa.array(np.full(len(row), dim, np.int32)), leaves, bound, v], ["cid", "dim", "leaf", "bound", "v"]
                     )
 
     return run
 
 
-def _best(queries: np.ndarray, rows: np.ndarray, least_ids: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(query, row, score) of the ``most`` best rows of each query; scores are sums in the order of the coordinates' pairs, so
-    a pair has one score wherever it is computed."""
+def _best(
+    queries: np.ndarray, bounds: np.ndarray, rows: np.ndarray, least_ids: np.ndarray, most: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, row, score) of the ``most`` best rows of each query, of those that reach its bound; scores are sums in the
+    order of the coordinates' pairs, so a pair has one score wherever it is computed."""
+    with np.errstate(over="ignore"):
+        rounding = 1e-12 * np.sqrt((queries * queries).sum(axis=1)) * np.sqrt((rows * rows).sum(axis=1).max(initial=0.0))
     for k in range(0, len(queries), 256):
         block = queries[k : k + 256]
         with np.errstate(over="ignore", invalid="ignore"):
             rough = block @ rows.T
+        least = np.where(bounds[k : k + 256] > -np.inf, bounds[k : k + 256] - rounding[k : k + 256], -np.inf)[:, None]
         if rough.shape[1] > most + SPARE:
-            least = -np.partition(-rough, most + SPARE - 1, axis=1)[:, most + SPARE - 1 : most + SPARE]
-            q, r = np.nonzero(~(rough < least))
-        else:
-            q, r = (x.ravel() for x in np.indices(rough.shape))
+            least = np.maximum(least, -np.partition(-rough, most + SPARE - 1, axis=1)[:, most + SPARE - 1 : most + SPARE])
+        q, r = np.nonzero(~(rough < least))
         with np.errstate(over="ignore", invalid="ignore"):
             score = (block[q] * rows[r]).sum(axis=1)
         order = np.lexsort((least_ids[r], -score, q))
         q, r, score = q[order], r[order], score[order]
-        kept = np.arange(len(q)) - np.searchsorted(q, q) < most
+        kept = (np.arange(len(q)) - np.searchsorted(q, q) < most) & ~(score < bounds[k : k + 256][q])
         yield q[kept] + k, r[kept], score[kept]
 
 
@@ -214,7 +223,8 @@ def _met(most: int):
                 continue
             dim, cid = group.column("dim")[0].as_py(), group.column("cid").to_numpy()
             v, ids = _matrix(group.column("v").combine_chunks(), dim), group.column("least_id").to_numpy()
-            for q, r, score in _best(v[asks], v[~asks], ids[~asks], most):
+            bounds = group.column("bound").to_numpy()[asks]
+            for q, r, score in _best(v[asks], bounds, v[~asks], ids[~asks], most):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cid[asks][q]), pa.array(cid[~asks][r]), pa.array(ids[~asks][r]), pa.array(score)], ["query", "cid", "least_id", "score"]
                 )
@@ -234,7 +244,8 @@ def _tried(trials: Broadcast, most: int):
                     if not len(cids):
                         continue
                     own, ids, leaves = batch.column(0).to_numpy(), batch.column(3).to_numpy(), batch.column(2).to_numpy()
-                    for q, r, score in _best(queries, _matrix(batch.column(4), dim), ids, most + 1):
+                    none = np.full(len(queries), -np.inf)
+                    for q, r, score in _best(queries, none, _matrix(batch.column(4), dim), ids, most + 1):
                         for a, b, s in zip(q.tolist(), r.tolist(), score.tolist()):
                             if own[b] != cids[a]:
                                 held.setdefault((dim, a), []).append((s, -int(ids[b]), int(leaves[b])))
@@ -330,6 +341,34 @@ def index(classes: DataFrame, sample: int = SAMPLE) -> dict[int, Tree]:
     return {dim: fit(drawn.get(dim, empty(dim))[1], n, tops[dim], powers[dim]) for dim, (n, _) in sizes.items()}
 
 
+def _visited(placed: DataFrame, asking: DataFrame, found: DataFrame | None, asked, most: int) -> DataFrame:
+    """(query, cid, least_id, score): ``found`` so far and what this round's visits add, the ``most`` best of each query."""
+    low = F.lit(float("-inf"))
+    asking = asking.withColumn("bound", low)
+    if found is not None:
+        bounds = found.groupBy(F.col("query").alias("cid")).agg(F.when(F.count(F.lit(1)) >= most, F.min("score")).alias("_bound"))
+        asking = asking.join(bounds, "cid", "left").withColumn("bound", F.coalesce("_bound", "bound"))
+    kind = asking.schema["v"].dataType.simpleString()
+    asks = asking.select("cid", "bound", "v").mapInArrow(asked, f"cid bigint, dim int, leaf int, bound double, v {kind}")
+    asks = materialise(asks, "visits")
+    blocks = lambda rows, name: rows.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
+    sizes = materialise(blocks(placed, "nv").join(blocks(asks, "nq"), ["dim", "leaf"]), "leaf-sizes")  # a row a leaf, so it is bounded as the tree is
+
+    def dealt(rows: DataFrame, own: tuple[str, str], other: tuple[str, str]) -> DataFrame:
+        block = F.pmod(F.xxhash64("cid", F.lit("block")), F.col(own[0])).cast("int").alias(own[1])
+        others = F.explode(F.sequence(F.lit(0), F.col(other[0]) - 1)).alias(other[1])
+        rows = rows.join(F.broadcast(sizes), ["dim", "leaf"]).select(*rows.columns, block, others)
+        return rows.withColumn("g", F.xxhash64("dim", "leaf", "v_block", "q_block"))
+
+    columns = ["cid", "dim", "least_id", "bound", "v", "asks", "g"]
+    vectors = dealt(placed, ("nv", "v_block"), ("nq", "q_block")).withColumns({"asks": F.lit(False), "bound": low})
+    queries = dealt(asks, ("nq", "q_block"), ("nv", "v_block")).withColumns({"asks": F.lit(True), "least_id": F.lit(0).cast("bigint")})
+    met = vectors.select(columns).unionByName(queries.select(columns)).repartition("g").sortWithinPartitions("g")
+    got = met.mapInArrow(_met(most), "query bigint, cid bigint, least_id bigint, score double")
+    # classes of one score and several ids fill a result with the smallest ids, so as many classes as places are enough
+    return materialise(_top(got if found is None else found.unionByName(got), ["query"], most), "found")
+
+
 def search(vectors: DataFrame, queries: str, k: int = K, recall: float = RECALL, sample: int = SAMPLE, trials: int = TRIALS) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest found of each row of ``vectors`` (vec_id, embedding) that meets
     the condition ``queries`` on vec_id, nearest first."""
@@ -352,22 +391,11 @@ def search(vectors: DataFrame, queries: str, k: int = K, recall: float = RECALL,
         truth.setdefault(r.dim, {}).setdefault(r.trial, []).append(r.leaf)
     visits = calibrated(trees, tests, truth, recall)
 
-    asks = asking.select("cid", "v").mapInArrow(_asked(shared, visits), f"cid bigint, dim int, leaf int, v {kind}")
-    asks = materialise(asks, "visits")
-    blocks = lambda rows, name: rows.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias(name))
-    sizes = materialise(blocks(placed, "nv").join(blocks(asks, "nq"), ["dim", "leaf"]), "leaf-sizes")  # a row a leaf
-    dealt = lambda rows, own, other: rows.join(F.broadcast(sizes), ["dim", "leaf"]).select(
-        "*", F.pmod(F.xxhash64("cid", F.lit("block")), F.col(own)).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("other")
-    )
-    met = dealt(placed, "nv", "nq").select("cid", "dim", "least_id", "v", F.lit(False).alias("asks"), F.xxhash64("dim", "leaf", "own", "other").alias("g"))
-    met = met.unionByName(
-        dealt(asks, "nq", "nv").select(
-            "cid", "dim", F.lit(0).cast("bigint").alias("least_id"), "v", F.lit(True).alias("asks"), F.xxhash64("dim", "leaf", "other", "own").alias("g")
-        )
-    )
-    found = met.repartition("g").sortWithinPartitions("g").mapInArrow(_met(k + 1), "query bigint, cid bigint, least_id bigint, score double")
-    # classes of one score and several ids fill a result with the smallest ids, so k + 1 classes are enough
-    found = materialise(_top(found, ["query"], k + 1), "found")
+    found = None
+    for low, high in zip((0, *ROUND_ENDS), (*ROUND_ENDS, max(visits.values()))):
+        if low < max(visits.values()):
+            ends = {dim: min(high, most) for dim, most in visits.items()}
+            found = _visited(placed, asking.select("cid", "v"), found, _asked(shared, low, ends), k + 1)
     answers = (
         found.join(classes.select("cid", "ids"), "cid")
         .select("query", "score", "cid", F.explode("ids").alias("vec_id"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelforge.operators import layout
+from panelforge.operators import anchored, layout
 from panelforge.plans.panel import table
 from panelforge.streaming import admission
 
@@ -73,16 +73,28 @@ def daily_cap_anchored(spark, sf_dir):
     return admission.capped(table(spark, sf_dir, "events"), "user_id", "ts", 3)
 
 
+def daily_cap_global(spark, sf_dir):
+    """One cap of 20 a day over all events, the day beginning with the first event after the last one has run out."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts")
+    return anchored.capped_all(events, "ts", "event_id", 20)
+
+
+#: Events as requests; the same text in both dialects.
+REQUESTS = """SELECT event_id, ts,
+  CASE WHEN event_type = 'view' AND event_id % 7 = 0 THEN 'GET' WHEN event_type = 'view' AND event_id % 5 = 0 THEN 'PUT' ELSE 'POST' END AS method,
+  CASE WHEN user_id % 13 = 0 THEN 'https://elsewhere.test' WHEN user_id % 4 = 0 THEN NULL WHEN user_id % 4 = 1 THEN 'http://localhost:3000'
+    ELSE 'https://app.example.org' END AS origin,
+  CASE WHEN user_id % 11 = 0 THEN '' ELSE ' 10.0.0.' || CAST(user_id AS STRING) || ' , 10.1.1.1' END AS forwarded,
+  CASE WHEN event_id % 19 = 0 THEN substr(props, 1, length(props) - 1) WHEN event_id % 23 = 0 THEN '[1, 2]' WHEN event_id % 29 = 0 THEN '"text"'
+    WHEN event_id % 31 = 0 THEN '' ELSE '{{"website": "' || CASE WHEN user_id % 17 = 0 THEN ' spam ' ELSE '  ' END || '", "message": "' ||
+    CASE WHEN value < 5 THEN '  a ' ELSE event_type || '  ' || CAST(event_id AS STRING) END || '", "props": ' || props || '}}' END AS body
+FROM {events}"""
+
+
 def admission_outcome(spark, sf_dir):
     """Events as requests: what is refused, and why first."""
-    e = table(spark, sf_dir, "events")
-    requests = admission.limited(e, "user_id", "ts", 86400, 5).select(
-        "event_id", F.when(F.col("event_id") % 11 == 0, "GET").otherwise("POST").alias("method"), "limited",
-        F.when(F.col("event_id") % 13 == 0, "https://evil.test").otherwise("https://app.example.org").alias("origin"),
-        F.when(F.col("event_id") % 17 == 0, "spam").alias("website"), (F.col("event_id") % 19 == 0).alias("day_full"),
-        F.when(F.col("event_id") % 23 == 0, " ").otherwise(F.col("event_type")).alias("message"),
-    )
-    return requests.groupBy(admission.outcome().alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    requests = spark.sql(REQUESTS, events=table(spark, sf_dir, "events"))
+    return admission.admit(requests, 86400, 5, 20).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def year_repair(spark, sf_dir):
@@ -94,6 +106,10 @@ def year_repair(spark, sf_dir):
 
 SEC = "CAST(floor(epoch(ts)) AS BIGINT)"
 LIMITED = """l AS (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM events)"""
+#: From e (event_id, ms, sends): the chain of windows, one after the other, and by rank which events find the cap of 20 used up.
+CHAIN = """starts(s) AS (SELECT min(ms) FROM e UNION ALL SELECT (SELECT min(ms) FROM e WHERE ms > starts.s + 86400000) FROM starts WHERE starts.s IS NOT NULL),
+      placed AS (SELECT e.*, s AS window_start FROM e ASOF JOIN (SELECT s FROM starts WHERE s IS NOT NULL) ON ms >= s),
+      capped AS (SELECT *, coalesce(count(*) FILTER (sends) OVER (PARTITION BY window_start ORDER BY ms, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) >= 20 AS day_full FROM placed)"""
 QUERIES = {
     "gap_islands": (gap_islands, f"""WITH g AS (SELECT user_id, event_id, {SEC} AS sec, CASE WHEN {SEC} - lag({SEC}) OVER (PARTITION BY user_id ORDER BY {SEC}) > 21600 THEN 1 ELSE 0 END AS new FROM events),
       i AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY sec ROWS UNBOUNDED PRECEDING) AS INTEGER) AS island FROM g)
@@ -116,8 +132,19 @@ QUERIES = {
       SELECT user_id, event_type, n FROM r WHERE k = 1"""),
     "rate_limit_window": (rate_limit_window, f"WITH {LIMITED} SELECT event_id, recent, recent > 5 AS limited FROM l"),
     "daily_cap_anchored": (daily_cap_anchored, None),
-    "admission_outcome": (admission_outcome, f"""WITH {LIMITED} SELECT CASE WHEN event_id % 11 = 0 THEN 'method' WHEN event_id % 13 = 0 THEN 'origin' WHEN recent > 5 THEN 'rate'
-      WHEN event_id % 17 = 0 THEN 'honeypot' WHEN event_id % 19 = 0 THEN 'cap' WHEN event_id % 23 = 0 THEN 'message' ELSE 'ok' END AS outcome, count(*) AS n FROM l GROUP BY 1"""),
+    "daily_cap_global": (daily_cap_global, f"""WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, true AS sends FROM events), {CHAIN}
+      SELECT event_id, ts, window_start, day_full FROM capped JOIN events USING (event_id)"""),
+    "admission_outcome": (admission_outcome, f"""WITH RECURSIVE requests AS ({REQUESTS.format(events="events")}),
+      read AS (SELECT *, CASE WHEN body = '' THEN '{{}}' ELSE body END AS b, CASE WHEN trim(split_part(forwarded, ',', 1)) = '' THEN 'unknown' ELSE trim(split_part(forwarded, ',', 1)) END AS sender FROM requests),
+      unread AS (SELECT *, CASE WHEN method = 'GET' THEN 'status' WHEN method <> 'POST' THEN 'method'
+        WHEN NOT regexp_matches(coalesce(origin, ''), '^$|^https://[a-z0-9-]+[.]example[.]org$|^http://(localhost|127[.]0[.]0[.]1)(:[0-9]+)?$') THEN 'origin'
+        WHEN NOT json_valid(b) THEN 'json' WHEN json_type(b) NOT IN ('OBJECT', 'ARRAY') THEN 'json' END AS early FROM read),
+      hits AS (SELECT *, count(*) OVER (PARTITION BY sender ORDER BY epoch_us(ts) RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS recent FROM unread WHERE early IS NULL),
+      kept AS (SELECT *, CASE WHEN recent > 5 THEN 'rate' WHEN trim(coalesce(json_extract_string(b, '$.website'), '')) <> '' THEN 'honeypot' END AS late FROM hits),
+      e AS (SELECT event_id, epoch_us(ts) // 1000 AS ms, length(trim(regexp_replace(coalesce(json_extract_string(b, '$.message'), ''), ' +', ' ', 'g'))) >= 3 AS sends FROM kept WHERE late IS NULL),
+      {CHAIN}
+      SELECT outcome, count(*) AS n FROM (SELECT early AS outcome FROM unread WHERE early IS NOT NULL UNION ALL SELECT late FROM kept WHERE late IS NOT NULL
+        UNION ALL SELECT CASE WHEN day_full THEN 'cap' WHEN sends THEN 'ok' ELSE 'message' END FROM capped) GROUP BY 1"""),
     "year_repair": (year_repair, """WITH y AS (SELECT o_orderkey, 2019 + o_orderkey % 3 AS a, 2020 + o_orderkey % 2 AS b FROM orders),
       f AS (SELECT *, greatest(b, a + 1) AS b2, greatest(2021, greatest(b, a + 1) + 1) AS c2 FROM y)
       SELECT o_orderkey, CASE WHEN b2 - a = 1 AND c2 - b2 = 1 THEN a || ',' || b2 || ',' || c2 ELSE a || ',' || b || ',2021' END AS years FROM f"""),

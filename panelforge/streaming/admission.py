@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from panelforge.functions.text import one_line, paragraphs
+from panelforge.operators.anchored import capped_all
+from panelforge.plans.stored import stored
+
 
 def limited(events: DataFrame, key: str, ts: str, seconds: int, most: int) -> DataFrame:
     """Add ``recent`` (events of the key in the last ``seconds``, itself included, the far end excluded) and ``limited``.
@@ -60,6 +65,58 @@ def outcome(max_message: int = 4000) -> Column:
     )
 
 
+OWN_SITES = r"^https://[a-z0-9-]+\.example\.org$"
+LOCAL_SITES = r"^http://(localhost|127\.0\.0\.1)(:[0-9]+)?$"
+
+
+def refused_unread(configured: bool = True, own: str = OWN_SITES) -> Column:
+    """Why a request is refused before its sender is counted, null if it is not: status (a GET is answered), method, origin
+    (absent is allowed), config (nowhere to deliver to), json (neither an object nor a list; an empty body is an object).
+
+    Needs columns method, origin, body.
+    """
+    method, origin = F.coalesce("method", F.lit("")), F.coalesce("origin", F.lit(""))
+    body = F.coalesce(F.nullif(F.col("body"), F.lit("")), F.lit("{}"))
+    readable = F.try_parse_json(body).isNotNull() & body.rlike(r"^\s*[{\[]")
+    return (
+        F.when(method == "GET", "status")
+        .when(method != "POST", "method")
+        .when((origin != "") & ~origin.rlike(own) & ~origin.rlike(LOCAL_SITES), "origin")
+        .when(F.lit(not configured), "config")
+        .when(~readable, "json")
+    )
+
+
+def field(name: str) -> Column:
+    """A field of the body as text; null where the body is a list or has none."""
+    return F.get_json_object("body", f"$.{name}")
+
+
+def admit(
+    requests: DataFrame, seconds: int = 600, most: int = 3, day_most: int = 80, configured: bool = True, own: str = OWN_SITES
+) -> DataFrame:
+    """(event_id, outcome) of every request (event_id, ts, method, origin, forwarded, body), with one rule after the other.
+
+    Requests that can be read count against their sender, also if they are refused for that; what a sender may still send
+    meets the honeypot, then the day's cap, which is one for all senders and counts messages that are sent on. So each rule
+    sees only what the rules before it have left: rates are windows over a sender's requests, the cap is ``capped_all``.
+    """
+    sender = F.trim(F.get(F.split(F.coalesce("forwarded", F.lit("")), ","), F.lit(0)))
+    read = requests.select(
+        "event_id", "ts", F.coalesce(F.nullif(sender, F.lit("")), F.lit("unknown")).alias("sender"), "body", refused_unread(configured, own).alias("outcome")
+    )
+    counted = limited(read.where("outcome is null"), "sender", "ts", seconds, most)
+    message = F.length(paragraphs(field("message"), 4000)) >= 3
+    counted = counted.select(
+        "event_id", "ts", F.when(F.col("limited"), "rate").when(one_line(field("website"), 50) != "", "honeypot").alias("outcome"), message.alias("sends")
+    )
+    counted = stored(counted, "counted")
+    capped = capped_all(counted.where("outcome is null"), "ts", "event_id", day_most, F.col("sends"))
+    last = F.when(F.col("day_full"), "cap").when(~F.col("sends"), "message").otherwise("ok")
+    parts = (read.where("outcome is not null"), counted.where("outcome is not null"), capped.withColumn("outcome", last))
+    return reduce(DataFrame.unionByName, [p.select("event_id", "outcome") for p in parts])
+
+
 STATE = "hits array<bigint>"
 
 

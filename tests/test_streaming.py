@@ -1,5 +1,9 @@
 import datetime
+import random
 
+from pyspark.sql import functions as F
+
+from panelforge.operators import anchored
 from panelforge.streaming import admission
 
 T0 = datetime.datetime(2024, 1, 1)
@@ -31,3 +35,81 @@ def test_outcome_order(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, method string, origin string, limited boolean, website string, day_full boolean, message string")
     got = [r.o for r in df.select("i", admission.outcome().alias("o")).orderBy("i").collect()]
     assert got == ["ok", "method", "origin", "rate", "honeypot", "cap", "message", "method"]
+
+
+def cap_by_hand(rows, most, span):
+    """Rows (ms, id, counts) in order: {id: (start of the window, full)}."""
+    out, since, sent = {}, None, 0
+    for ms, key, counts in sorted(rows):
+        if since is None or ms - since > span:
+            since, sent = ms, 0
+        out[key] = (since, sent >= most)
+        sent += counts and sent < most
+    return out
+
+
+def test_one_cap_over_all_events_against_a_loop(spark):
+    rand = random.Random(2)
+    for most, times in (
+        (3, [rand.randint(0, 3000) for _ in range(150)]),  # many windows, ties
+        (2, [*range(0, 40_000, 1010), 10**7, 10**7 + 1000, 10**7 + 1001, 10**10]),  # every event a window; long silence
+        (0, [5, 6, 2000]), (1, [7]), (5, []),
+    ):
+        rows = [(1_700_000_000_000 + t, i, rand.random() < 0.6) for i, t in enumerate(times)]
+        made = [(i, datetime.datetime(1970, 1, 1) + datetime.timedelta(milliseconds=ms), c, "x") for ms, i, c in rows] + [(-1, None, True, "x")]
+        events = spark.createDataFrame(made, "event_id long, ts timestamp_ntz, c boolean, stretch string")
+        got = anchored.capped_all(events, "ts", "event_id", most, F.col("c"), span=1000, width=64)
+        assert got.columns == ["event_id", "ts", "c", "stretch", "window_start", "day_full"]
+        found = {r.event_id: (r.window_start, r.day_full) for r in got.collect()}
+        assert found.pop(-1) == (None, False)
+        assert found == cap_by_hand(rows, most, 1000)
+
+
+def test_following_looks_beyond_empty_stretches(spark):
+    points, probes = [3, 70, 71, 5_000_000, 9 * 10**12], [-(10**9), 2, 3, 64, 70, 71, 72, 10**6, 5_000_000, 9 * 10**12, 10**13]
+    frames = [spark.createDataFrame([(x,) for x in xs], "x long") for xs in (points, probes)]
+    got = {r.x: r.next for r in anchored.following(*frames, width=8).collect()}
+    assert got == {p: min((x for x in points if x > p), default=None) for p in probes}
+
+
+def admit_by_hand(rows, seconds, most, day_most):
+    """Requests in order of time, one after the other."""
+    out, seen, since, sent = {}, {}, None, 0
+    for key, ts, early, sender, spam, sends in sorted(rows, key=lambda r: (r[1], r[0])):
+        if early:
+            out[key] = early
+            continue
+        hits = seen[sender] = [t for t in seen.get(sender, []) if ts - t < seconds] + [ts]
+        if len(hits) > most:
+            out[key] = "rate"
+        elif spam:
+            out[key] = "honeypot"
+        else:
+            if since is None or ts - since > 86400:
+                since, sent = ts, 0
+            out[key] = "cap" if sent >= day_most else "ok" if sends else "message"
+            sent += out[key] == "ok"
+    return out
+
+
+def test_admission_against_a_loop(spark):
+    rand = random.Random(3)
+    bodies = {  # body: (refused unread, spam, sends)
+        '{"message": "hello"}': (None, False, True), '{"message": " a  "}': (None, False, False), "[1]": (None, False, False), "": (None, False, False),
+        None: (None, False, False), '{"message": "hello", "website": " x"}': (None, True, True), '{"website": 5, "message": "abc"}': (None, True, True),
+        '{"message": "\\r\\n abc"}': (None, False, True), '{"message"': ("json", 0, 0), "3": ("json", 0, 0), '"text"': ("json", 0, 0), "null": ("json", 0, 0),
+    }
+    rows, plain = [], []
+    for i, second in enumerate(sorted(rand.sample(range(400_000), 400))):
+        method, origin = rand.choice(["POST"] * 8 + ["GET", "PUT", None]), rand.choice([None, "", "https://a.example.org", "http://127.0.0.1:80", "https://evil.test"])
+        sender, body = rand.choice(["a", "b", "c", "", None, "d"]), rand.choice([*bodies, '{"message": "hello"}', '{"message": "hello"}'])
+        early, spam, sends = bodies[body]
+        early = "status" if method == "GET" else "method" if method != "POST" else "origin" if origin == "https://evil.test" else early
+        rows.append((i, T0 + datetime.timedelta(seconds=second), method, origin, sender and f" {sender} , proxy", body, "x"))
+        plain.append((i, second, early, sender or "unknown", spam, sends))
+    frame = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, method string, origin string, forwarded string, body string, outcome string")
+    got = {r.event_id: r.outcome for r in admission.admit(frame, 9000, 2, 6).collect()}
+    assert got == admit_by_hand(plain, 9000, 2, 6)
+    assert set(got.values()) == {"status", "method", "origin", "json", "rate", "honeypot", "cap", "message", "ok"}
+    off = {r.outcome for r in admission.admit(frame, configured=False).collect()}
+    assert off == {"status", "method", "origin", "config"}

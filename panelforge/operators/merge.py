@@ -133,18 +133,18 @@ def carried_over(new: DataFrame, old: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def prefix_renamed(names: DataFrame, name: str) -> DataFrame:
-    """A name that begins exactly one longer name (followed by a space) is that name.
+def prefix_renamed(names: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """A name that begins exactly one longer name (followed by a space) is that name; names meet within the same ``keys``.
 
     Longer names are cut at their spaces and joined by equality, so names are never compared pair by pair.
     """
-    distinct = names.select(F.col(name).alias("long")).distinct()
+    keys = keys or []
+    distinct = names.select(*keys, F.col(name).alias("long")).distinct()
     words = F.split("long", " ")
     heads = distinct.select(
-        "long", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("short")
+        *keys, "long", F.explode(F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.array_join(F.slice(words, 1, n), " "))).alias("short")
     ).where("short <> long")
-    unique = heads.groupBy("short").agg(F.count(F.lit(1)).alias("n"), F.min("long").alias("long")).where("n = 1")
-    return names.join(unique.select(F.col("short").alias(name), "long"), name, "left").withColumn(
+    unique = heads.groupBy(*keys, "short").agg(F.count(F.lit(1)).alias("n"), F.min("long").alias("long")).where("n = 1")
+    return names.join(unique.select(*keys, F.col("short").alias(name), "long"), [*keys, name], "left").withColumn(
         "renamed", F.coalesce("long", name)
     ).drop("long")
-

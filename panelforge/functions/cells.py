@@ -34,7 +34,12 @@ def classified(text: Column, least: float = LEAST, loose: bool = False) -> Colum
 
     ``least`` is the least plausible threshold; ``loose`` also takes a number at the beginning of a longer text.
     """
-    t = F.trim(F.regexp_replace(F.lower(squash(text)), r"\*+$", ""))
+    # the cleaned text is a variable of a lambda, so that it is made once and not again for each word it is compared with
+    clean = F.array(F.trim(F.regexp_replace(F.lower(squash(text)), r"\*+$", "")))
+    return F.get(F.transform(clean, lambda t: _meaning(t, least, loose)), F.lit(0))
+
+
+def _meaning(t: Column, least: float, loose: bool) -> Column:
     points = _number(t, r"^([0-9]{1,2}([.,][0-9]{1,2})?)$", least)
     if loose:
         points = F.coalesce(points, _number(t, r"^([0-9]{1,2}([.,][0-9]{1,2})?)\b", least))

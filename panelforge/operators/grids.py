@@ -224,3 +224,47 @@ def rotated_matrix(glyphs: DataFrame, tolerances: tuple[float, ...] = (3.0, 1.5)
     values = under.where(F.col("text").rlike("^[0-9,*]$")).groupBy(*row, "col").agg(text.alias("cell")).where(F.col("cell").rlike(CELL))
     read = values.join(named, row).join(labels, own).withColumn("v", _once(F.col("cell"), lambda c: classified_symbols(c, 0.0))).where("v.status is not null")
     return read.select("doc", "school", "program", level_of(F.col("program"), F.lit("Vg1")).alias("level"), "v.*")
+
+
+def two_cuts(cells: DataFrame) -> DataFrame:
+    """(doc, school, program, level, status, points, r1_status, r1_points, round_note) of pages that print their figures twice.
+
+    ``cells`` are (doc, table_no, row_no, col_no, text, heading). Tables by programme are headed "... – programme" and list
+    schools; tables by school are headed by its name, their first column is "Utdanningsprogram", and list programmes. Both
+    have a column for each of two rounds, in any order. The second round counts; where it has no value the first does, with
+    ``round_note`` '1'. Of cells for one school and programme, in whatever cut and case, the first of the page counts.
+    """
+    table_of = ["doc", "table_no"]
+    text = squash(F.col("text"))
+    header = F.array_sort(F.collect_list(F.when(F.col("row_no") == 0, F.struct("col_no", F.lower(text).alias("text")))))
+    tables = cells.groupBy(*table_of).agg(F.first("heading").alias("heading"), header.alias("header"))
+
+    def place(mark: str, default: int) -> Column:
+        return F.coalesce(F.get(F.filter("header", lambda h: F.contains(h["text"], F.lit(mark))), F.lit(0))["col_no"], F.lit(default))
+
+    by_school = F.startswith(F.get("header", F.lit(0))["text"], F.lit("utdanningsprogram"))
+    tables = tables.select(
+        *table_of, by_school.alias("by_school"), place("1.", 1).alias("i1"), place("2.", 2).alias("i2"),
+        F.when(by_school, squash(F.regexp_replace("heading", r"(?i)\bvgs\.?$", ""))).alias("own_school"),
+        F.when(~by_school & F.contains("heading", F.lit("–")), _once(F.regexp_replace("heading", "^[^–]*–", ""), program_name)).alias("own_program"),
+    )
+    rows = cells.where("row_no > 0").join(tables.where("coalesce(own_school, own_program, '') <> ''"), table_of)
+    at = lambda i: F.max(F.when(F.col("col_no") == i, text))
+    rows = rows.groupBy(*table_of, "row_no", "by_school", "own_school", "own_program").agg(
+        at(F.lit(0)).alias("first"), at(F.col("i1")).alias("c1"), at(F.col("i2")).alias("c2")
+    )
+    rows = rows.where("first <> '' and c1 is not null and c2 is not null").where(~F.startswith(F.lower("first"), F.lit("poenggrense 0,0")))
+    rows = rows.select(
+        *table_of, "row_no", F.when(F.col("by_school"), F.col("own_school")).otherwise(F.col("first")).alias("school"),
+        F.when(F.col("by_school"), _once(F.col("first"), program_name)).otherwise(F.col("own_program")).alias("program"),
+        classified(F.col("c1"), 0.0).alias("v1"), classified(F.col("c2"), 0.0).alias("v2"),
+    )
+    rows = rows.where("program <> '' and (v1.status is not null or v2.status is not null)")
+    first = F.min_by(F.struct("program", "v1", "v2"), F.struct("table_no", "row_no")).alias("f")
+    kept = rows.groupBy("doc", "school", F.lower("program").alias("_key")).agg(first).select("doc", "school", "f.*")
+    only_first = F.col("v2.status").isNull()
+    return kept.select(
+        "doc", "school", "program", level_of(F.col("program"), F.lit("Vg1")).alias("level"),
+        F.coalesce("v2.status", "v1.status").alias("status"), F.when(only_first, F.col("v1.points")).otherwise(F.col("v2.points")).alias("points"),
+        F.col("v1.status").alias("r1_status"), F.col("v1.points").alias("r1_points"), F.when(only_first, "1").alias("round_note"),
+    )

@@ -6,9 +6,11 @@ The words are made by one text in both dialects; each query's SQL reads them in
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from panelforge.operators import grids
-from panelforge.plans.panel import PANEL_SQL, panel, programs
+from panelforge.functions.text import BAD, GOOD
+from panelforge.operators import grids, pictures
+from panelforge.plans.panel import PANEL_SQL, panel, programs, table
 from panelforge.plans.stored import stored
 
 
@@ -118,6 +120,35 @@ def listed_thresholds(spark, sf_dir):
     return grids.listed_thresholds(words(spark, sf_dir, LISTS))
 
 
+#: Cells of two cuts of the same figures: tables by programme, then tables by school with the rounds the other way round and
+#: programmes in another case. Each leaves out other pairs, and the second has other values.
+CUTS = """
+WITH numbered AS (
+  SELECT county || ' ' || CAST(year AS STRING) AS doc, *, dense_rank() OVER (PARTITION BY county, year ORDER BY school) AS sn,
+    dense_rank() OVER (PARTITION BY county, year ORDER BY program) AS pn FROM {panel}),
+printed AS (
+  SELECT *, CASE WHEN status = 'open' AND pn % 2 = 0 THEN 'Alle  som søkte' WHEN v1 IS NULL THEN '-' ELSE CAST(CAST(v1 AS INT) AS STRING) || ',0' END AS c1,
+    CASE WHEN status = 'F' THEN '' WHEN v2 IS NULL THEN '-' ELSE CAST(CAST(v2 AS INT) AS STRING) || ',0' END AS c2,
+    CASE WHEN v2 IS NULL THEN 'utgår' ELSE CAST(CAST(v2 AS INT) + 1 AS STRING) || ',0' END AS other FROM numbered),
+tables AS (
+  SELECT DISTINCT doc, pn AS table_no, 'Utdanning – ' || program AS heading, 'Skole' AS first, '1. inntak' AS a, '2. inntak' AS b FROM printed
+  UNION ALL SELECT DISTINCT doc, 1000 + sn, school || ' vgs.', 'Utdanningsprogram', '2. inntak', '1. inntak' FROM printed
+  UNION ALL SELECT DISTINCT doc, 100000, 'no programme', 'Skole', '1. inntak', '2. inntak' FROM printed),
+lines AS (
+  SELECT doc, pn AS table_no, sn AS row_no, 'Utdanning – ' || program AS heading, ' ' || school AS first, c1 AS a, c2 AS b FROM printed WHERE (sn + pn) % 5 <> 0
+  UNION ALL SELECT doc, 1000 + sn, pn, school || ' vgs.', upper(program), other, c1 FROM printed WHERE (sn + pn) % 3 <> 0
+  UNION ALL SELECT doc, 100000, sn, 'no programme', school, c1, c2 FROM printed WHERE pn = 1
+  UNION ALL SELECT DISTINCT doc, pn, 100000, 'Utdanning – ' || program, 'Poenggrense 0,0 betyr kø', '', '' FROM printed
+  UNION ALL SELECT doc, table_no, 0, heading, first, a, b FROM tables)
+SELECT doc, table_no, row_no, i AS col_no, CASE i WHEN 0 THEN first WHEN 1 THEN a ELSE b END AS text, heading
+FROM lines JOIN (VALUES (0), (1), (2)) AS places(i) ON i >= 0"""
+
+
+def two_cuts(spark, sf_dir):
+    """Figures that a page prints by programme and by school, each once."""
+    return grids.two_cuts(words(spark, sf_dir, CUTS))
+
+
 _PLACES = ", ".join(f"({i})" for i in range(1, 33))
 #: Glyphs: rows of a school's number, its name and a value under each programme. Programmes stand upright above their
 #: columns, bottom to top, in two lines; another glyph stands far above, and the title runs through the labels in a font of its
@@ -146,6 +177,32 @@ def rotated_matrix(spark, sf_dir):
     return grids.rotated_matrix(words(spark, sf_dir, GLYPHS))
 
 
+#: Pages whose links have become images, with pictures named in the head and images of other forms; the same text in both
+#: dialects.
+PICTURED = """SELECT page_id, url, replace(replace(replace(replace(html, '<a href="', '<img alt="Hovedbygg" src="'),
+    '<title>', '<meta property="og:image" content="//cdn.example.org/' || CAST(page_id AS STRING) || '/fasade.jpg?a=1&amp;b=2"><META content=' || chr(39) || '/skolen.jpg' || chr(39) || ' name="twitter:image"><title>'),
+    '<h1>', '<IMG src="/static/x.svg?v=1"><img src="data:image/png;base64,xx"><img alt="a > b" src=bygg.jpg><img src="" data-src="https://m.example.org/logo.png"><img src="/skolen.jpg"><h1>'),
+    '<!-- ad', '<!-- <img src="/hidden.jpg"> ad') AS html
+FROM {pages}"""
+
+
+def picture_candidates(spark, sf_dir):
+    """Pictures that each page offers, scored by their names and the words of the page's host."""
+    pages = spark.sql(PICTURED, pages=table(spark, sf_dir, "pages"))
+    tokens = F.split(F.regexp_extract("url", r"//(?:www\.|m\.)?([a-z-]+)", 1), "-")
+    return pictures.picture_candidates(pages.withColumn("tokens", F.filter(tokens, lambda w: F.length(w) > 3)), "page_id")
+
+
+def _listed(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _attribute(name: str) -> str:
+    found = f"""(?is)[\\s"''/]{name}\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))"""
+    parts = " || ".join(f"regexp_extract(tag, '{found}', {i})" for i in (1, 2, 3))
+    return f"replace(trim({parts}), '&amp;', '&')"
+
+
 def _sql(made: str) -> str:
     """The words, and their lines, as the SQL of a query begins."""
     return f"""WITH {PANEL_SQL}, words AS ({made.format(panel="panel")}),
@@ -158,6 +215,36 @@ MEANS = r"""CASE WHEN regexp_matches({0}, '^Ledige plasser$') THEN 'open' WHEN {
     CASE WHEN regexp_matches({0}, '^[0-9]{{1,2}}(,[0-9])?$') THEN CAST(replace({0}, ',', '.') AS DOUBLE) END AS points"""
 
 QUERIES = {
+    "picture_candidates": (picture_candidates, f"""WITH made AS ({PICTURED.format(pages="pages")}),
+      found AS (SELECT page_id, url AS page, unnest(tags) AS tag, generate_subscripts(tags, 1) AS pos FROM (SELECT *, regexp_extract_all(
+        regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g'), '(?i)<(?:img|meta)\\b(?:[^>"'']|"[^"]*"|''[^'']*'')*>') AS tags FROM made)),
+      read AS (SELECT page_id, page, pos, regexp_matches(tag, '(?i)^<img') AS is_img, {_attribute("content")} AS content, {_attribute("property")} AS property, {_attribute("name")} AS name,
+        {_attribute("src")} AS src, {_attribute("data-src")} AS data_src, {_attribute("alt")} AS alt FROM found),
+      named AS (SELECT page_id, page, pos, CASE lower(coalesce(nullif(property, ''), name)) WHEN 'og:image' THEN 0 WHEN 'og:image:url' THEN 1 WHEN 'twitter:image' THEN 2 END AS turn, content AS link, '' AS alt,
+        lower(coalesce(nullif(property, ''), name)) AS why FROM read WHERE NOT is_img
+        UNION ALL SELECT page_id, page, pos, 9, coalesce(nullif(src, ''), data_src), alt, 'img' FROM read WHERE is_img QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY pos) <= 40),
+      linked AS (SELECT *, CASE WHEN regexp_matches(link, '^[a-z]+:') THEN link WHEN link LIKE '//%' THEN regexp_extract(page, '^[a-z]+:') || link
+        WHEN link LIKE '/%' THEN regexp_extract(page, '^[a-z]+://[^/?#]+') || link ELSE regexp_extract(regexp_replace(page, '[?#].*$', ''), '^(.*/)', 1) || link END AS url,
+        list_filter(string_split(regexp_extract(page, '//(?:www[.]|m[.])?([a-z-]+)', 1), '-'), lambda w: length(w) > 3) AS tokens
+        FROM named WHERE turn IS NOT NULL AND link <> '' AND link NOT LIKE 'data:%'),
+      hays AS (SELECT *, lower(url) || ' ' || lower(alt) AS hay, string_split(lower(url) || ' ' || lower(alt), '/')[-1] AS tail FROM linked WHERE NOT lower(string_split(url, '?')[1]) LIKE '%.svg'),
+      scored AS (SELECT *, CASE WHEN len(list_filter({_listed(BAD)}, lambda w: contains(tail, w))) > 0 OR len(list_filter(['logo', 'ikon', 'favicon'], lambda w: contains(hay, w))) > 0 THEN -10
+        ELSE 3 * len(list_filter({_listed(GOOD)}, lambda w: contains(tail, w))) + 4 * len(list_filter(tokens, lambda w: contains(tail, w))) END AS points FROM hays),
+      kept AS (SELECT * FROM scored WHERE points > -10 QUALIFY row_number() OVER (PARTITION BY page_id, url ORDER BY turn, pos) = 1)
+      SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY turn, pos) AS INTEGER) AS place, url, why, CAST(points + CASE WHEN turn < 9 THEN 1 ELSE 0 END AS INTEGER) AS score,
+        substr(alt, 1, 80) AS alt FROM kept"""),
+    "two_cuts": (two_cuts, f"""WITH {PANEL_SQL}, cells_of AS ({CUTS.format(panel="panel")}),
+      header AS (SELECT doc, table_no, any_value(heading) AS heading, max(text) FILTER (col_no = 0) AS h0, max(col_no) FILTER (text LIKE '1.%') AS i1, max(col_no) FILTER (text LIKE '2.%') AS i2
+        FROM cells_of WHERE row_no = 0 GROUP BY ALL),
+      rows AS (SELECT c.doc, c.table_no, row_no, h0, h.heading, trim(max(text) FILTER (col_no = 0)) AS first, max(text) FILTER (col_no = i1) AS c1, max(text) FILTER (col_no = i2) AS c2
+        FROM cells_of c JOIN header h ON c.doc = h.doc AND c.table_no = h.table_no WHERE row_no > 0 GROUP BY ALL),
+      named AS (SELECT *, CASE WHEN h0 LIKE 'Utdanningsprogram%' THEN regexp_replace(heading, ' vgs[.]$', '') ELSE first END AS school,
+        CASE WHEN h0 LIKE 'Utdanningsprogram%' THEN first ELSE regexp_extract(heading, '– (.*)$', 1) END AS program FROM rows WHERE first NOT LIKE 'Poenggrense%'),
+      read AS (SELECT *, CASE WHEN c1 LIKE 'Alle%' THEN 'open' WHEN c1 LIKE '%,%' THEN 'points' END AS s1, CASE WHEN c2 = 'utgår' THEN 'U' WHEN c2 LIKE '%,%' THEN 'points' END AS s2 FROM named WHERE program <> ''),
+      kept AS (SELECT * FROM read WHERE s1 IS NOT NULL OR s2 IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc, school, lower(program) ORDER BY table_no, row_no) = 1),
+      valued AS (SELECT *, CASE WHEN s1 = 'points' THEN CAST(replace(c1, ',', '.') AS DOUBLE) END AS p1, CASE WHEN s2 = 'points' THEN CAST(replace(c2, ',', '.') AS DOUBLE) END AS p2 FROM kept)
+      SELECT doc, school, program, 'Vg1' AS level, coalesce(s2, s1) AS status, CASE WHEN s2 IS NULL THEN p1 ELSE p2 END AS points, s1 AS r1_status, p1 AS r1_points,
+        CASE WHEN s2 IS NULL THEN '1' END AS round_note FROM valued"""),
     "rotated_matrix": (rotated_matrix, f"""WITH {PANEL_SQL}, glyphs AS (SELECT *, (x0 + x1) / 2 AS cx FROM ({GLYPHS.format(panel="panel")}) WHERE text <> ' '),
       tops AS (SELECT *, CASE WHEN top - lag(top) OVER (PARTITION BY doc, page ORDER BY top) > 3 THEN 1 ELSE 0 END AS new FROM glyphs),
       lined AS (SELECT *, sum(new) OVER (PARTITION BY doc, page ORDER BY top) AS line FROM tops),

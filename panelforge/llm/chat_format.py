@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import table
+from panelforge.llm.common import quoted, table
 
 BEGIN, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -67,7 +67,7 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
     """Add prompt, completions and their spans to rows with two conversations (array<struct<role, text>>)."""
     kept = [c for c in pairs.columns if c not in RESULTS]
     rows = pairs.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), _whole(F.col(f"`{chosen}`")).alias("a"), _whole(F.col(f"`{rejected}`")).alias("b")
+        F.struct(*[F.col(quoted(c)) for c in kept]).alias("row"), _whole(F.col(quoted(chosen))).alias("a"), _whole(F.col(quoted(rejected))).alias("b")
     )
     a, b = F.col("a"), F.col("b")
     both = F.least(F.size(a), F.size(b))
@@ -79,7 +79,7 @@ def format_pairs(pairs: DataFrame, chosen: str = "chosen", rejected: str = "reje
         rows.withColumn("n_common", common)
         .withColumns({"prefix": F.slice(a, F.lit(1), F.col("n_common")), "a": rest(a), "b": rest(b)})
         .select(
-            *[F.col(f"row.`{c}`") for c in kept],
+            *[F.col(f"row.{quoted(c)}") for c in kept],
             "n_common",
             _text(F.col("prefix")).alias("prompt"),
             _text(a).alias("chosen_text"),

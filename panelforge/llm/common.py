@@ -71,6 +71,11 @@ def scratch(*keep: str) -> Iterator[None]:
     _delete([p for p in _WRITTEN if p not in before and p.rsplit("/", 1)[1].rsplit("-", 1)[0] not in keep])
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def crc_mod(col: Column | str, n: int) -> Column:
     """crc32 of the value as text, modulo n; null stays null."""
     return F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")) % n

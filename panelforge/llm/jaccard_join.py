@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import block_pairs, chunks, materialise, table
+from panelforge.llm.common import block_pairs, chunks, materialise, quoted, table
 from panelforge.llm.components import components
 from panelforge.llm.words import NORMAL, mixed, run_hashes, spaced, word_hashes
 
@@ -374,4 +374,4 @@ def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     no decision can name them.
     """
     gone = classes_and_links(docs).groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept")
-    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone.select("doc_id"), "doc_id", "left_anti").select(*map(quoted, docs.columns))

@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import materialise, scratch, table
+from panelforge.llm.common import materialise, quoted, scratch, table
 
 DEPTH = 3
 CONSTANT = 0.5
@@ -144,7 +144,7 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str
     ``counts`` names two more columns, the lines of a text and those dropped; they replace columns of these names.
     """
     found, own = dropped_lines(docs, min_docs).alias("gone_lines"), docs.alias("own")
-    of = lambda name: F.col(f"own.`{name}`")
+    of = lambda name: F.col(f"own.{quoted(name)}")
     joined = own.join(
         found,
         of("doc_id").eqNullSafe(F.col("gone_lines.doc")) & (F.xxhash64(of("text")) == F.col("gone_lines.content")),

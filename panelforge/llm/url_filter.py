@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import table
+from panelforge.llm.common import quoted, table
 
 #: The production list, as (pattern, category, action, change, date).
 CHANGES = (
@@ -66,9 +66,9 @@ def judge(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: st
     results = ("host", "decision", "pattern", "category", "valid_from")
     kept = [c for c in captures.columns if c not in results]
     seen = captures.select(
-        F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"),
-        host_of(F.col(f"`{url}`")).alias("host"),
-        F.col(f"`{fetched}`").cast("date").alias("day"),
+        F.struct(*[F.col(quoted(c)) for c in kept]).alias("row"),
+        host_of(F.col(quoted(url))).alias("host"),
+        F.col(quoted(fetched)).cast("date").alias("day"),
     )
     labels = F.split("host", "[.]")
     suffixes = F.transform(
@@ -86,7 +86,7 @@ def judge(captures: DataFrame, changes: DataFrame, url: str = "url", fetched: st
         .agg(F.min_by(F.struct("action", "pattern", "category", "valid_from"), order).alias("by"))
     )
     return seen.join(decided, ["host", "day"], "left").select(
-        *[F.col(f"row.`{c}`") for c in kept],
+        *[F.col(f"row.{quoted(c)}") for c in kept],
         "host",
         F.coalesce("by.action", F.lit("none")).alias("decision"),
         F.col("by.pattern").alias("pattern"),

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from panelforge.llm import common, decontaminate, jaccard_join, line_templates, toxicity
 
-DDL = "doc_id long, text string, lang string, source string, n_chars long, label int, _doc int, _lines int, kept boolean"
+DDL = "doc_id long, text string, lang string, source string, n_chars long, label int, _doc int, _lines int, kept boolean, `a.b` int, `c``d` int"
 
 
 def plain(spark, sf):
@@ -70,11 +70,11 @@ def test_nulls_repeats_long_texts_and_clashing_columns(spark, made):
         (5, long, "xx", "s", len(long), 1, 1, 1, True),
         (5, long, "xx", "s", len(long), 1, 1, 1, True),
     ]
-    sf_dir = made(rows)
+    sf_dir = made([(*r, 1, 2) for r in rows])
     docs = common.table(spark, sf_dir, "documents")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, sf_dir)
-        assert docs.columns == DDL.replace(",", "").split()[::2]
+        assert docs.columns == [*DDL.replace(",", "").split()[:-4:2], "a.b", "c`d"]
     got = corpus_pipeline.run(spark, sf_dir).collect()
     assert sorted((r.doc_id for r in got if r.doc_id), key=int) == [1, 2, 3, 5, 5]
     assert sum(r.doc_id is None for r in got) == 1

@@ -1,9 +1,11 @@
 """Line dedup by a log-template tree of fixed depth.
 
 The tree's first level is a line's number of tokens, the next ``DEPTH`` levels are its leading tokens, where tokens
-with a digit count as a variable ``<*>``. Of each node that holds lines of at least ``min_docs`` different texts, a
+with a digit count as a variable ``<*>``; a line of nothing but such tokens, a row of numbers, is taken as it stands, with
+a node for each different one, so that only a repeat of the same numbers recurs. Of each node that holds lines of at least ``min_docs`` different texts, a
 template is made: at each position the token that more than ``CONSTANT`` of the node's lines share, or ``<*>`` where
-there is none. A line belongs to the node's template if at least ``SIMILAR`` of its tokens equal it. The lines that do
+there is none. A line belongs to the node's template if at least ``SIMILAR`` of its tokens equal it, one that is no
+variable among them. The lines that do
 not are split by their token at the position where the node has the fewest different ones (but more than one), and the
 new nodes are treated in the same way, ``SPLITS`` times; so a node that mixes several templates gives each its own. Lines
 that no template on their way covers keep their own masked tokens as template. Templates found in at least ``min_docs``
@@ -42,6 +44,10 @@ def _tokens(line: Column) -> Column:
     return F.split(line, BLANKS)
 
 
+def _numbers(tokens: Column) -> Column:
+    return F.forall(tokens, lambda t: t.rlike("[0-9]"))
+
+
 def _masked(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
 
@@ -57,8 +63,9 @@ def _lines(docs: DataFrame) -> DataFrame:
         lines.withColumn("line", F.btrim("line", F.lit(" \t\r")))
         .where("line <> ''")
         .withColumn("_tokens", _tokens(F.col("line")))
-        .withColumn("leaf", F.xxhash64(F.size("_tokens"), _masked(F.slice("_tokens", 1, DEPTH))))
-        .drop("_tokens")
+        .withColumn("_lead", F.when(_numbers(F.col("_tokens")), F.col("_tokens")).otherwise(_masked(F.slice("_tokens", 1, DEPTH))))
+        .withColumn("leaf", F.xxhash64(F.size("_tokens"), "_lead"))
+        .drop("_tokens", "_lead")
     )
 
 
@@ -100,12 +107,14 @@ def _of_recurring_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
 def _keyed(lines: DataFrame, min_docs: int) -> DataFrame:
     """(doc, content, line_no, template) of every line that may recur."""
     # the lines move as they are; tokens, which take more room, are made afterwards
-    rest = _of_recurring_leaves(lines, min_docs).withColumn("tokens", _masked(_tokens(F.col("line")))).drop("line")
+    rest = _of_recurring_leaves(lines, min_docs).withColumn("tokens", _tokens(F.col("line"))).drop("line")
+    rest = rest.withColumn("tokens", F.when(_numbers(F.col("tokens")), F.col("tokens")).otherwise(_masked(F.col("tokens"))))
     rest, found = materialise(rest, "lines"), []
     same = F.aggregate(
         F.zip_with("tokens", "leaf_template", lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x
     )
-    covered = same >= SIMILAR * F.size("tokens")
+    constant = F.exists(F.arrays_zip("tokens", "leaf_template"), lambda p: (p["tokens"] == p["leaf_template"]) & (p["tokens"] != "<*>"))
+    covered = (same >= SIMILAR * F.size("tokens")) & constant
     by_leaf, own = F.xxhash64(F.lit(1), "leaf"), F.xxhash64(F.lit(0), "tokens")
     for _ in range(SPLITS):
         tried = rest.join(materialise(_templates(rest), "leaf-templates"), "leaf").select(
@@ -192,7 +201,8 @@ templates{i} AS (
   FROM positions{i} GROUP BY key),
 tried{i} AS (
   SELECT nodes{i}.*, split,
-    len(list_filter(list_zip(tokens, template), lambda p: p[1] = p[2])) >= {SIMILAR} * len(tokens) AS covered
+    len(list_filter(list_zip(tokens, template), lambda p: p[1] = p[2])) >= {SIMILAR} * len(tokens)
+      AND len(list_filter(list_zip(tokens, template), lambda p: p[1] = p[2] AND p[1] <> '<*>')) > 0 AS covered
   FROM nodes{i} JOIN templates{i} USING (key)),
 rest{i} AS (
   SELECT doc_id, content, line_no, tokens, key || chr(3) || split || chr(2) || tokens[split] AS key
@@ -207,12 +217,13 @@ WITH lines AS (
   FROM (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL)),
 tok AS (
   SELECT doc_id, content, line_no,
-    list_transform(list_filter(string_split_regex(line, '[ \\t\\r]+'), lambda x: x <> ''),
-      lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tokens
-  FROM lines),
+    list_filter(string_split_regex(line, '[ \\t\\r]+'), lambda x: x <> '') AS raw FROM lines),
+marked AS (SELECT *, len(list_filter(raw, lambda x: NOT regexp_matches(x, '[0-9]'))) = 0 AS numbers FROM tok WHERE len(raw) > 0),
+masked AS (
+  SELECT doc_id, content, line_no, numbers,
+    CASE WHEN numbers THEN raw ELSE list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) END AS tokens FROM marked),
 t AS (
-  SELECT *, len(tokens) || chr(1) || array_to_string(list_slice(tokens, 1, {DEPTH}), chr(2)) AS key
-  FROM tok WHERE len(tokens) > 0),
+  SELECT *, len(tokens) || chr(1) || array_to_string(CASE WHEN numbers THEN tokens ELSE list_slice(tokens, 1, {DEPTH}) END, chr(2)) AS key FROM masked),
 nodes0 AS (SELECT * FROM t WHERE key IN (SELECT key FROM t GROUP BY key HAVING count(DISTINCT content) >= {MIN_DOCS})),
 {"".join(map(_level_sql, range(SPLITS + 1)))}
 keyed AS (

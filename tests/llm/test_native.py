@@ -133,6 +133,13 @@ def test_two_lines_that_share_less_than_a_template_stay(spark):
     assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: ""}
 
 
+def test_rows_of_numbers_are_no_template(spark):
+    rows = [(1, "a table of ours\n17\n1 2\n1 2 3 4"), (2, "other figures\n2024\n33 4.5\n1 2 3 5"), (3, "the last one of all\n99\n7 9\n1 2 3 4\n17")]
+    rows += [(4, "x1 y2 z3 is it\npage 3 of 9"), (5, "x4 y5 z6 fell down\npage 7 of 8")]
+    got = {r.doc_id: r.text for r in line_templates.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: "the last one of all\n99\n7 9", 4: rows[3][1], 5: "x4 y5 z6 fell down"}
+
+
 def test_callers_columns_with_clashing_names(spark):
     docs = spark.createDataFrame(
         [(1, "own words here\nshared line of five words", 1, 2, 3, 4), (2, "others\nshared line of five words", 5, 6, 7, 8)],

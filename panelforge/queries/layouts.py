@@ -98,7 +98,7 @@ made AS (
   UNION ALL SELECT doc, page, CASE WHEN kind = 0 THEN 'Vg1' ELSE 'Nivå' END, 400, 40 FROM heads WHERE kind < 2
   UNION ALL SELECT doc, page, 'Nedre', 423, 40 FROM heads
   UNION ALL SELECT doc, page, 'poenggrense', 450, 40 FROM heads
-  UNION ALL SELECT doc, page, level, 40, top - 6 FROM placed WHERE ln = 0 AND kind <> 1
+  UNION ALL SELECT doc, page, level, 40, top - 4 FROM placed WHERE ln = 0 AND kind <> 1
   UNION ALL SELECT doc, page, 'Oversikt', 40, 20 FROM heads
   UNION ALL SELECT doc, page, school, 40, top FROM placed
   UNION ALL SELECT doc, page, 'skule', 130, top FROM placed
@@ -107,11 +107,11 @@ made AS (
   UNION ALL SELECT doc, page, substr(level, 3, 1), 402, top FROM placed WHERE kind = 1
   UNION ALL SELECT doc, page, {CELL}, 412 + rn % 7, top FROM placed
   UNION ALL SELECT doc, page, 'plasser', 442 + rn % 7, top FROM placed WHERE status = 'open'
-  UNION ALL SELECT doc, page, school || ' skule', 40, top + 6 FROM placed WHERE rn % 41 = 5
-  UNION ALL SELECT doc, page, program, px + 2, top + 6 FROM placed WHERE rn % 41 = 5
-  UNION ALL SELECT doc, page, 'linje', px + 60, top + 6 FROM placed WHERE rn % 41 = 5
-  UNION ALL SELECT doc, page, substr(level, 3, 1), 402, top + 6 FROM placed WHERE rn % 41 = 5 AND kind = 1
-  UNION ALL SELECT doc, page, '9,9', 415, top + 6 FROM placed WHERE rn % 41 = 5)
+  UNION ALL SELECT doc, page, school || ' skule', 40, top + 4 FROM placed WHERE rn % 41 = 5
+  UNION ALL SELECT doc, page, program, px + 2, top + 4 FROM placed WHERE rn % 41 = 5
+  UNION ALL SELECT doc, page, 'linje', px + 60, top + 4 FROM placed WHERE rn % 41 = 5
+  UNION ALL SELECT doc, page, substr(level, 3, 1), 402, top + 4 FROM placed WHERE rn % 41 = 5 AND kind = 1
+  UNION ALL SELECT doc, page, '9,9', 415, top + 4 FROM placed WHERE rn % 41 = 5)
 SELECT doc, page, text, CAST(x AS DOUBLE) AS x0, CAST(x + 4 * length(text) AS DOUBLE) AS x1, CAST(top AS DOUBLE) AS top FROM made"""
 
 

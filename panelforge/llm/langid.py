@@ -245,15 +245,16 @@ def letters_of(word: bytes) -> list[str]:
 def sample_counts(docs: DataFrame, chars_per_language: int) -> dict[tuple[str, str], int]:
     """Word counts by language over a bounded sample of labelled rows (columns id, text, lang).
 
-    Of each language, whole texts are taken by a hash of their id until about ``chars_per_language`` characters.
+    Of each language, whole texts with letters are taken by a hash of their id: those below the share that gives about
+    ``chars_per_language`` characters, and always the one that comes first, so no language is lost that has such a text.
     """
-    labelled = docs.where("lang is not null and text is not null")
-    chars = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
-    shares = {lang: min(1.0, chars_per_language / max(n, 1)) for lang, n in chars.items()}
+    drawn = F.pmod(F.xxhash64(F.col("id"), F.lit("lang sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    sizes = labelled.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.min(drawn).alias("first")).collect()
+    shares = {r["lang"]: max(min(1.0, chars_per_language / r["n"]), r["first"]) for r in sizes}
     if not shares:
         return {}
     share = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])[F.col("lang")]
-    drawn = F.pmod(F.xxhash64(F.col("id"), F.lit("lang sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, Counter] = defaultdict(Counter)
@@ -274,7 +275,7 @@ def sample_counts(docs: DataFrame, chars_per_language: int) -> dict[tuple[str, s
         yield flush()
 
     rows = (
-        labelled.where(drawn < share)
+        labelled.where(drawn <= share)
         .select("lang", "text")
         .mapInArrow(count, "lang string, word string, n bigint")
         .groupBy("lang", "word")

@@ -98,6 +98,15 @@ def test_one_very_long_word_through_the_query(spark):
     assert got[3] == "zh" and got[6] == "en"
 
 
+def test_languages_with_few_long_texts_are_learned(spark):
+    finnish, english = "talo on suuri ja järvi on syvä mutta yö on pimeä ", "the house is large and the lake is deep "
+    rows = [(i, finnish * (60_000 if i < 6 else 3), "fi") for i in range(9)] + [(i, english * 20, "en") for i in range(9, 49)]
+    rows += [(i, "123 456 " * 400_000, "und0") for i in range(50, 54)]  # no letter: nothing to learn
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in langid.identify(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()}
+    assert all(got[i] == want for i, _, want in rows if i < 49) and {got[i] for i in range(50, 54)} == {"und"}
+
+
 def test_query_against_a_plain_forward_sum(spark, sf):
     from panelforge.llm.common import crc_mod, table
 

@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 
+#: Fixed value: how wide pictures are shown, in pixels.
+DISPLAY_WIDTH = 960
+
+
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility normal form, which no built-in function gives; null stays null."""
@@ -123,6 +127,55 @@ def larger(url: Column) -> Column:
     return F.coalesce(*[F.nullif(F.regexp_replace(url, pattern, new), url) for pattern, new in forms], url)
 
 
+def with_query(url: Column, settings: dict[str, Column]) -> Column:
+    """The address with parameters set: one that is there keeps its place, a new one comes last, null sets nothing.
+
+    Parameters without a value go, as does a second setting of one that is set here; a fragment stays at the end.
+    """
+    names = F.array(*map(F.lit, settings))
+    given = F.map_filter(F.map_from_arrays(names, F.array(*settings.values())), lambda k, v: v.isNotNull())
+    whole = F.substring_index(url, "#", 1)
+    fragment = F.regexp_extract(url, "#.*$", 0)
+    path, query = F.regexp_extract(whole, r"^[^?]*", 0), F.regexp_extract(whole, r"\?(.*)$", 1)
+    key = lambda p: F.substring_index(p, "=", 1)
+    parts = F.filter(F.split(query, "&"), lambda p: p.rlike("^[^=]+=."))
+    firsts = F.filter(parts, lambda p, i: ~F.map_contains_key(given, key(p)) | (F.array_position(F.transform(parts, key), key(p)) == i + 1))
+    kept = F.transform(firsts, lambda p: F.coalesce(F.concat(key(p), F.lit("="), F.try_element_at(given, key(p))), p))
+    new = F.filter(F.map_keys(given), lambda k: ~F.array_contains(F.transform(parts, key), k))
+    every = F.concat(kept, F.transform(new, lambda k: F.concat(k, F.lit("="), F.try_element_at(given, k))))
+    return F.concat(path, F.when(F.size(every) > 0, "?").otherwise(""), F.array_join(every, "&"), fragment)
+
+
+def displayed(url: Column, width: int = DISPLAY_WIDTH) -> Column:
+    """The same picture as wide as it is shown, as far as its host is known to scale; else the address as it is."""
+    path = F.lower(F.regexp_extract(url, r"^[^?#]*", 0))
+    settings = {"width": F.lit(str(width)), "quality": F.lit("75"), "format": F.when(path.endswith(".png"), "jpg")}
+    return (
+        F.when(F.contains(url, F.lit("upload.wikimedia.org")), F.regexp_replace(url, r"/\d+px-", f"/{width}px-"))
+        .when(F.contains(url, F.lit("v.imgi.no")), F.regexp_replace(url, r"__w=\d+", f"__w={width}"))
+        .when(F.contains(url, F.lit("/bv.ashx/")) | ~path.rlike(r"\.(jpg|jpeg|png|webp)$"), url)
+        .otherwise(with_query(url, settings))
+    )
+
+
+def thumbnail(url: Column, width: int = DISPLAY_WIDTH) -> Column:
+    """A Commons picture's rendition of at most ``width``: originals get one, wider ones are narrowed, drawings stay.
+
+    Parameters are dropped. Whether the host serves the rendition is for the caller to ask.
+    """
+    bare = F.substring_index(F.coalesce(url, F.lit("")), "?", 1)
+    size = F.regexp_extract(bare, r"/(\d+)px-", 1).try_cast("bigint")
+    original = r"^.*/wikipedia/commons/([^/]+)/([^/]+)/([^/]+).*$"
+    drawn = F.lower(F.regexp_extract(bare, original, 3)).rlike(r"\.(svg|gif)$")
+    made = F.regexp_replace(bare, original, f"https://upload.wikimedia.org/wikipedia/commons/thumb/$1/$2/$3/{width}px-$3")
+    return (
+        F.when(~F.contains(bare, F.lit("upload.wikimedia.org")), bare)
+        .when(F.contains(bare, F.lit("/thumb/")), F.when(size > width, F.regexp_replace(bare, r"/\d+px-", f"/{width}px-")).otherwise(bare))
+        .when(~bare.rlike(original) | drawn, bare)
+        .otherwise(made)
+    )
+
+
 def without_tags(html: Column) -> Column:
     return F.trim(replaced(html, ("<[^>]+>", ""), (r"\s+", " ")))
 

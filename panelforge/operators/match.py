@@ -42,6 +42,38 @@ def cascade(schools: DataFrame, register: DataFrame, manual: DataFrame) -> DataF
     )
 
 
+def located(schools: DataFrame, register: DataFrame, manual: DataFrame, addresses: DataFrame, places: DataFrame, endings: list[str]) -> DataFrame:
+    """``schools`` (county, school) with tier, lat and lon: where a school lies, by the first way that tells.
+
+    In turn: by hand; the register's entry of that name; the address of an entry without coordinates; the place of the school's
+    name, plain, with each of ``endings``, or as the register has it; else the tier is 'unmatched'. ``register`` is (county,
+    navn, pos, lat, lon, adresse), ``addresses`` (county, adresse, lat, lon), ``places`` (county, name, lat, lon), ``manual``
+    (county, school, lat, lon). Of several entries of a name the first by ``pos`` counts, of several others the least point.
+    Each way is asked only for schools that are open still; joins are by equality within a county.
+    """
+    point = F.struct("lat", "lon")
+    one = lambda df, keys: df.where("lat is not null and lon is not null").groupBy(*keys).agg(F.min(point).alias("at"))
+    entry = F.min_by(F.struct("navn", "adresse", F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), point).alias("at")), "pos")
+    known = register.groupBy("county", school_key(F.col("navn")).alias("key")).agg(entry.alias("hit"))
+    keyed = schools.select("county", "school").distinct().withColumn("key", school_key(F.col("school")))
+    found = (
+        keyed.join(one(manual, ["county", "school"]).withColumnRenamed("at", "by_hand"), ["county", "school"], "left")
+        .join(known, ["county", "key"], "left")
+        .withColumn("asks", F.when(F.col("by_hand").isNull() & F.col("hit.at").isNull(), F.col("hit.adresse")))
+        .join(one(addresses.withColumnRenamed("adresse", "asks"), ["county", "asks"]).withColumnRenamed("at", "by_address"), ["county", "asks"], "left")
+        .withColumn("at", F.coalesce("by_hand", "hit.at", "by_address"))
+    )
+    forms = F.array("school", *[F.concat("school", F.lit(" " + e)) for e in endings], "hit.navn")
+    asked = found.select("county", "school", F.posexplode(F.when(F.col("at").isNull(), forms)).alias("turn", "name")).where("name is not null")
+    placed = asked.join(one(places, ["county", "name"]).withColumnRenamed("at", "place"), ["county", "name"]).groupBy("county", "school").agg(F.min_by("place", "turn").alias("place"))
+    tier = (
+        F.when(F.col("by_hand").isNotNull(), "manual").when(F.col("hit.at").isNotNull(), "register")
+        .when(F.col("by_address").isNotNull(), "address").when(F.col("place").isNotNull(), "place").otherwise("unmatched")
+    )
+    out = found.join(placed, ["county", "school"], "left").withColumn("at", F.coalesce("at", "place"))
+    return out.select("county", "school", tier.alias("tier"), "at.lat", "at.lon")
+
+
 def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
     """Pairs (id_a, id_b, km) of points at most ``km`` apart: a join on cells of latitude, then the exact distance.
 

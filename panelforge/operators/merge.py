@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -123,6 +125,16 @@ def overlaid(base: DataFrame, over: DataFrame, key: str, columns: list[str]) ->
     )
 
 
+def superseded(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """All entries of ``new``, and those of ``old`` whose key ``new`` lacks: entries are replaced whole, never column by column.
+
+    A null key is a key like any other; a column that one side lacks is null there.
+    """
+    fresh = new.select(*keys).distinct().toDF(*[f"_new_{k}" for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_new_{k}")) for k in keys])
+    return new.unionByName(old.join(fresh, same, "left_anti"), allowMissingColumns=True)
+
+
 def carried_over(new: DataFrame, old: DataFrame, keep: list[str]) -> DataFrame:
     """Fill columns from the former data set by (county, name), else by name alone where the old row has no county."""
     exact = old.where("county is not null").select(F.col("county"), "name", *[F.col(c).alias(f"_a_{c}") for c in keep])

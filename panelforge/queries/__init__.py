@@ -10,9 +10,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def catalogue() -> dict[str, tuple[Query, str | None]]:
-    from panelforge.queries import evaluation, events, layouts, merging, model, panels, quality, rules, texts
+    from panelforge.queries import contracts, evaluation, events, layouts, merging, model, panels, quality, rules, texts
 
     out: dict[str, tuple[Query, str | None]] = {}
-    for module in (panels, merging, evaluation, texts, events, layouts, quality, rules, model):
+    for module in (panels, merging, evaluation, texts, events, layouts, quality, rules, model, contracts):
         out |= module.QUERIES
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 from functools import reduce
 
@@ -9,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from panelforge.functions.text import one_line, paragraphs
 from panelforge.operators.anchored import capped_all
@@ -151,6 +153,80 @@ def limit_stream(events: DataFrame, key: str, ts: str, seconds: int, most: int,
     )
 
 
+class Limiter(StatefulProcessor):
+    """State of one sender: its requests within the window, counted by millisecond, and its day's beginning and number sent.
+
+    Times in the list expire one by one, ``keep`` ms after they were written; a timer then wakes a sender that has gone quiet,
+    so that what remains of its state goes too.
+    """
+
+    def __init__(self, key: str, span: int, most: int, day_most: int, day: int, keep: int):
+        self.key, self.span, self.most, self.day_most, self.day, self.keep = key, span, most, day_most, day, keep
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.hits = handle.getListState("hits", "ms bigint, n bigint", ttlDurationMs=self.keep)
+        self.cap = handle.getValueState("cap", "since bigint, sent bigint", ttlDurationMs=self.keep + self.day)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows)).sort_values(["ms", "event_id"], ignore_index=True)  # of one sender in one micro-batch
+        held = deque(sorted((ms, n) for ms, n in self.hits.get()))
+        total = sum(n for _, n in held)
+        since, sent = self.cap.get() if self.cap.exists() else (None, 0)
+        recent, full = [], []
+        for t in frame["ms"].tolist():
+            while held and t - held[0][0] >= self.span:
+                total -= held.popleft()[1]
+            if held and held[-1][0] == t:
+                held[-1] = (t, held[-1][1] + 1)
+            else:
+                held.append((t, 1))
+            total += 1
+            recent.append(total)
+            if total > self.most:
+                full.append(False)
+                continue
+            if since is None or t - since > self.day:
+                since, sent = t, 0
+            full.append(sent >= self.day_most)
+            sent += sent < self.day_most
+        self.hits.put(list(held))
+        if since is not None:
+            self.cap.update((since, sent))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.keep + self.day)
+        yield pd.DataFrame(
+            {self.key: frame[self.key], "event_id": frame["event_id"], "recent": recent, "limited": [n > self.most for n in recent], "day_full": full}
+        )
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.hits.clear()
+        self.cap.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def admission_stream(
+    events: DataFrame, key: str, ts: str, seconds: int, most: int, day_most: int, day: int = 86_400_000, lag: int = 600_000
+) -> DataFrame:
+    """(key, event_id, recent, limited, day_full) of a stream: the sliding limit and then each sender's own anchored cap.
+
+    Requests of one millisecond come in order of their id, where ``limited`` counts all of them for each. Requests that are
+    limited do not count towards the cap. Requests carry the time of their arrival and are read at most ``lag``
+    ms later; entries are kept for the window and this lag, so one that expires is out of every window to come. A request
+    that comes in a later batch than a newer one of its sender is taken as it comes. Requests without a sender or a time are
+    left out. Needs the RocksDB state store, and a query that runs on to see timers.
+    """
+    rows = events.select(F.col(key).cast("bigint").alias(key), "event_id", F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"))
+    return rows.where(F.col(key).isNotNull() & F.col("ms").isNotNull()).groupBy(key).transformWithStateInPandas(
+        Limiter(key, seconds * 1000, most, day_most, day, seconds * 1000 + lag),
+        f"{key} bigint, event_id bigint, recent bigint, limited boolean, day_full boolean", "append", "ProcessingTime",
+    )
+
+
 def deliver(stream: DataFrame, path: str, checkpoint: str):
     """Write what was let through, each micro-batch once; sending it on is left to whoever reads the table."""
 

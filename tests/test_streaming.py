@@ -1,5 +1,6 @@
 import datetime
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -113,3 +114,49 @@ def test_admission_against_a_loop(spark):
     assert set(got.values()) == {"status", "method", "origin", "json", "rate", "honeypot", "cap", "message", "ok"}
     off = {r.outcome for r in admission.admit(frame, configured=False).collect()}
     assert off == {"status", "method", "origin", "config"}
+
+
+def test_stream_of_limits_and_caps_goes_on_after_a_restart(spark, tmp_path):
+    rand = random.Random(7)
+    times = sorted(rand.sample(range(5000), 240))
+    rows = [(i, T0 + datetime.timedelta(seconds=t), rand.choice([1, 1, 1, 2, 3])) for i, t in enumerate(times)]
+    schema = "event_id long, ts timestamp_ntz, ip long"
+    whole = spark.createDataFrame(rows, schema)
+    limited = {r.event_id: (r.recent, r.limited) for r in admission.limited(whole, "ip", "ts", 600, 12).collect()}
+    full = dict.fromkeys(limited, False)
+    for ip in (1, 2, 3):
+        passed = [(i, ts) for i, ts, k in rows if k == ip and not limited[i][1]]
+        told = admission.daily_cap([int(ts.replace(tzinfo=datetime.timezone.utc).timestamp() * 1000) for _, ts in passed], 9, 1_500_000)
+        full |= {i: not ok for (i, _), ok in zip(passed, told)}
+    assert any(full.values()) and any(x for _, x in limited.values())
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for n, part in enumerate((rows[:90], rows[90:150], rows[150:] + [(999, None, 1), (998, T0, None)])):
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+            made = admission.admission_stream(stream, "ip", "ts", 600, 12, 9, day=1_500_000)
+            query = made.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c"))
+            query = query.trigger(processingTime="1 second").start()  # such a query runs on to see its timers
+            try:
+                for _ in range(60):
+                    if sum(p.numInputRows for p in query.recentProgress):
+                        break
+                    time.sleep(1)
+                assert query.exception() is None
+            finally:
+                query.stop()
+            assert spark.read.parquet(str(tmp_path / "out")).count() == (90, 150, 240)[n]
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = {r.event_id: (r.recent, r.limited, r.day_full) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {i: (*limited[i], full[i]) for i in limited}
+
+
+def test_delivered_batches_are_written_once(spark, tmp_path):
+    rows = [(i, T0 + datetime.timedelta(seconds=i), 1) for i in range(5)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, ip long").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("event_id long, ts timestamp_ntz, ip long").parquet(str(tmp_path / "in"))
+    query = admission.deliver(stream.withColumn("limited", F.col("event_id") > 2), str(tmp_path / "out"), str(tmp_path / "c"))
+    query.processAllAvailable()
+    query.stop()
+    assert sorted(r.event_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]

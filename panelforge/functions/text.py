@@ -87,7 +87,11 @@ def name_tokens(name: Column, stop: tuple[str, ...] = STOP) -> Column:
     return F.filter(words, lambda w: (F.length(w) > 3) & ~w.isin(*stop))
 
 
-def title(text: Column, small: tuple[str, ...] = ("and", "or", "of", "the", "for", "in", "to", "a", "an", "with", "on", "at")) -> Column:
+#: Words that stay small in a title.
+SMALL_WORDS = ("and", "or", "of", "the", "for", "in", "to", "a", "an", "with", "on", "at")
+
+
+def title(text: Column, small: tuple[str, ...] = SMALL_WORDS) -> Column:
     """First letters upper case but in small words after the first; the rest of a word stays as it is."""
 
     def word(w: Column, i: Column) -> Column:

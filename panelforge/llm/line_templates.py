@@ -35,6 +35,8 @@ DEPTH = 3
 CONSTANT = 0.5
 SIMILAR = 0.7
 SPLITS = 2
+#: Words of 64 bits by which lines of leaves that cannot recur are told before they are moved; bounds what is broadcast.
+WORDS = 1 << 20
 #: A line that a second text repeats is recurring; texts that are equal as a whole count as one.
 MIN_DOCS = 2
 BLANKS = "[ \\t\\r]+"
@@ -98,10 +100,23 @@ def _templates(lines: DataFrame) -> DataFrame:
     return found.select("leaf", F.transform("t", lambda x: x["token"]).alias("leaf_template"), F.col("split.at").alias("split"))
 
 
+def _perhaps_of(lines: DataFrame, leaves: DataFrame) -> DataFrame:
+    """All lines of ``leaves`` and few others: those whose bit, of ``WORDS`` words of 64, some leaf of ``leaves`` sets.
+
+    At most ``WORDS`` rows of two numbers are broadcast, however many leaves there are; with more leaves than bits more
+    lines pass, but none of ``leaves`` is ever lost.
+    """
+    word, bit = F.pmod("leaf", F.lit(WORDS)).alias("word"), F.expr("cast(shiftrightunsigned(leaf, 24) & 63 AS int)")
+    bits = leaves.select(word, bit.alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
+    marked = lines.withColumn("word", word).join(F.broadcast(bits), "word")
+    return marked.where(F.getbit("bits", bit) == 1).drop("word", "bits")
+
+
 def _of_recurring_leaves(lines: DataFrame, min_docs: int) -> DataFrame:
     """The lines whose leaf has lines of ``min_docs`` texts; equal lines are always of one leaf, so others cannot recur."""
     leaves = _recurring(lines.select("leaf", "content", "doc"), "leaf", min_docs).select("leaf")
-    return lines.join(materialise(leaves, "leaves"), "leaf")
+    leaves = materialise(leaves, "leaves")
+    return _perhaps_of(lines, leaves).join(leaves, "leaf")
 
 
 def _keyed(lines: DataFrame, min_docs: int) -> DataFrame:

@@ -175,7 +175,9 @@ def drop_lines(docs: DataFrame, min_docs: int = MIN_DOCS, counts: tuple[str, str
         "left",
     )
     lines, gone = F.split(of("text"), "\n"), F.col("gone_lines.dropped")
-    kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    places = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    # a map of one split text, not a split for each place
+    kept = F.get(F.transform(F.array(lines), lambda parts: F.array_join(F.transform(places, lambda i: F.get(parts, i)), "\n")), 0)
     text = F.when(gone.isNull(), of("text")).otherwise(kept).alias("text")
     numbers = []
     if counts:

@@ -56,11 +56,9 @@ def _masked(tokens: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """Every line that has a token, with its document (id, digest of the text), number and leaf."""
-    lines = docs.where("text is not null").select(
-        F.col("doc_id").alias("doc"),
-        F.xxhash64("text").alias("content"),
-        F.posexplode(F.split("text", "\n")).alias("line_no", "line"),
-    )
+    # the digest is made before lines are, so that a text is hashed once and not once a line
+    texts = docs.where("text is not null").select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("content"), "text")
+    lines = texts.select("doc", "content", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return (
         lines.withColumn("line", F.btrim("line", F.lit(" \t\r")))
         .where("line <> ''")

@@ -133,6 +133,15 @@ def test_two_lines_that_share_less_than_a_template_stay(spark):
     assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: ""}
 
 
+def test_lines_kept_do_not_depend_on_the_bits_that_are_broadcast(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    got = []
+    for words in (1, 7, line_templates.WORDS):
+        monkeypatch.setattr(line_templates, "WORDS", words)
+        got.append(sorted(map(tuple, line_templates.dropped_lines(docs).selectExpr("doc", "content", "sort_array(dropped)").collect())))
+    assert got[0] and got[0] == got[1] == got[2]
+
+
 def test_rows_of_numbers_are_no_template(spark):
     rows = [(1, "a table of ours\n17\n1 2\n1 2 3 4"), (2, "other figures\n2024\n33 4.5\n1 2 3 5"), (3, "the last one of all\n99\n7 9\n1 2 3 4\n17")]
     rows += [(4, "x1 y2 z3 is it\npage 3 of 9"), (5, "x4 y5 z6 fell down\npage 7 of 8")]

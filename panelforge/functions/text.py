@@ -34,9 +34,12 @@ def looked_up(text: Column, entries: dict[str, str]) -> Column:
 def norm(text: Column) -> Column:
     """Compatibility normal form with plain spaces and hyphens, trimmed; null counts as empty.
 
-    It runs in Python (Arrow batches), so it is applied to a column once, before the expressions that build on it.
+    The form is made in Python (Arrow batches), so this is applied to a column once, before the expressions that build on it.
+    Texts of plain and accented Latin-1 letters only are in that form already and are not sent there.
     """
-    return F.trim(F.translate(nfkc(F.coalesce(text, F.lit(""))), "\u00a0\u2010", " -"))
+    given = F.coalesce(text, F.lit(""))
+    formed = F.coalesce(nfkc(F.when(given.rlike("[^\\x00-\\x7f\\xc0-\\xff]"), given)), given)
+    return F.trim(F.translate(formed, "\u00a0\u2010", " -"))
 
 
 def squash(text: Column) -> Column:

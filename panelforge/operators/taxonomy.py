@@ -174,22 +174,19 @@ def closest(left: DataFrame, index: DataFrame) -> DataFrame:
 def longest_inside(left: DataFrame, index: DataFrame, least: int = 8) -> DataFrame:
     """(wanted, inside_code): the longest entry of at least ``least`` characters inside the label, of equals the register's first.
 
-    A label's own parts are joined by equality, so nothing is compared with every entry.
+    A label's own parts are joined by equality, so nothing is compared with every entry. Parts are made of those lengths only
+    that entries have, each length in a row of its own, so a long label makes no more than its length in parts a row.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.length("base") - least + 1, F.lit(1)))
-    parts = F.flatten(
-        F.transform(
-            starts,
-            lambda at: F.transform(
-                F.sequence(F.lit(least), F.greatest(F.length("base") - at + 1, F.lit(least))), lambda n: F.substring(F.col("base"), at, n)
-            ),
-        )
-    )
-    asked = left.where(F.length("base") >= least).select("wanted", F.explode(F.array_distinct(parts)).alias("entry"))
+    entries = index.where(F.length("entry") >= least).withColumn("size", F.length("entry"))
+    lengths = F.explode(F.sequence(F.lit(least), F.length("base"))).alias("size")
+    asked = left.where(F.length("base") >= least).select("wanted", "base", lengths).join(entries.select("size").distinct(), "size")
+    starts = F.sequence(F.lit(1), F.length("base") - F.col("size") + 1)
+    parts = F.transform(starts, lambda at: F.substring(F.col("base"), at, F.col("size")))
     return (
-        asked.join(index.where(F.length("entry") >= least), "entry")
+        asked.select("wanted", F.explode(F.array_distinct(parts)).alias("entry"))
+        .join(entries, "entry")
         .groupBy("wanted")
-        .agg(F.min(F.struct(-F.length("entry"), "pos", "entry_code"))["entry_code"].alias("inside_code"))
+        .agg(F.min(F.struct(-F.col("size"), "pos", "entry_code"))["entry_code"].alias("inside_code"))
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -13,21 +11,35 @@ from panelforge.queries import evaluation
 
 
 def quality_report(spark, sf_dir):
-    """How many rows break each rule: range, status, uniqueness, references, nulls, status against number."""
-    cells = panel(spark, sf_dir)
-    lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    bad = [
-        ("range", cells.where("points < 0 or points > 65")),
-        ("status", cells.where(~F.col("status").isin("points", "open", "F", "D", "U"))),
-        ("unique_series_year", cells.groupBy(*SERIES, "year").count().where("count > 1")),
-        ("unique_line", lines.groupBy("l_orderkey", "l_linenumber").count().where("count > 1")),
-        ("order_reference", lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")),
-        ("order_without_lines", orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti")),
-        ("null_key", cells.where("school is null or program is null or year is null")),
-        ("number_without_status", cells.where("(status = 'points') <> (points is not null)")),
-    ]
-    counts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("rule"), "n") for name, rows in bad]
-    return reduce(lambda a, b: a.unionByName(b), counts)
+    """How many rows break each rule: range, status, uniqueness, references, nulls, status against number.
+
+    One pass over the panel's cells by series and year, one over orders and their lines by order key.
+    """
+    cells, lines, orders = panel(spark, sf_dir), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    of_row = {
+        "range": (F.col("points") < 0) | (F.col("points") > 65),
+        "status": ~F.col("status").isin("points", "open", "F", "D", "U"),
+        "null_key": F.col("school").isNull() | F.col("program").isNull() | F.col("year").isNull(),
+        "number_without_status": (F.col("status") == "points") != F.col("points").isNotNull(),
+    }
+    series_years = cells.groupBy(*SERIES, "year").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(broken).alias(rule) for rule, broken in of_row.items()]
+    )
+    of_panel = series_years.agg(F.count_if(F.col("rows") > 1).alias("unique_series_year"), *[F.sum(r).alias(r) for r in of_row])
+    per_order = (
+        lines.groupBy("l_orderkey", "l_linenumber")
+        .agg(F.count(F.lit(1)).alias("rows"))
+        .groupBy("l_orderkey")
+        .agg(F.sum("rows").alias("lines"), F.count_if(F.col("rows") > 1).alias("repeated"))
+    )
+    keys = orders.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("orders"))
+    of_orders = per_order.join(keys, F.col("l_orderkey") == F.col("o_orderkey"), "full").agg(
+        F.sum("repeated").alias("unique_line"),
+        F.sum(F.when(F.col("orders").isNull(), F.col("lines"))).alias("order_reference"),
+        F.sum(F.when(F.col("lines").isNull(), F.col("orders"))).alias("order_without_lines"),
+    )
+    counts = [one.na.fill(0).unpivot([], one.columns, "rule", "n") for one in (of_panel, of_orders)]
+    return counts[0].unionByName(counts[1])
 
 
 def name_defects(spark, sf_dir):

@@ -93,3 +93,15 @@ def test_chances(spark):
 def test_any_text_has_a_class(spark, texts):
     rows = spark.createDataFrame([(t,) for t in texts], "x string").select(cells.classified(F.col("x"), 0.0, True).alias("c")).collect()
     assert all((r.c.status == "points") == (r.c.points is not None) for r in rows)
+
+
+def test_norm_is_the_compatibility_form_of_every_character(spark):
+    import unicodedata
+
+    chars = [chr(c) for c in (*range(1, 0x250), 0x0301, 0x2010, 0x2126, 0xFB01, 0xFF21, 0x1D400)]
+    texts = [f"x{c}\u00e5y" for c in chars] + ["e\u0301", "", "plain", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.n for r in df.select("i", text.norm(F.col("t")).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        want = unicodedata.normalize("NFKC", t or "").replace("\u00a0", " ").replace("\u2010", "-").strip(" ")
+        assert got[i] == want, repr(t)

@@ -207,6 +207,16 @@ def test_closest_and_contained_names_against_difflib(spark):
         assert inside.get(x) == (max(held, key=len).upper() if held else None)
 
 
+def test_a_very_long_label_holds_an_entry(spark):
+    from panelforge.operators import taxonomy
+
+    label = "abcdefghij" * 2000
+    left = spark.createDataFrame([("long", label + "kokkefaget" + label), ("none", label), ("short", "kokk")], "wanted string, base string")
+    index = spark.createDataFrame([("kokkefaget", "K", 1), ("kokkefag", "S", 0), ("kokk", "N", 2)], "entry string, entry_code string, pos int")
+    assert [tuple(r) for r in taxonomy.longest_inside(left, index).collect()] == [("long", "K")]
+    assert taxonomy.longest_inside(left, index.limit(0)).count() == 0
+
+
 def test_resolve_with_columns_of_clashing_names(spark):
     from panelforge.operators import taxonomy
     from panelforge.schemas import REGISTER

@@ -85,10 +85,14 @@ def colour_step(v: Column) -> Column:
     return out
 
 
+#: Fixed value: the mean radius of the earth.
+EARTH_KM = 6371.0
+
+
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     p1, p2 = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
-    return 2 * 6371.0 * F.asin(F.sqrt(h))
+    return 2 * EARTH_KM * F.asin(F.sqrt(h))
 
 
 def mercator(lat: Column, lon: Column, zoom: int, tile: int = 512) -> Column:

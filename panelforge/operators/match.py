@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.functions.stats import haversine_km
+from panelforge.functions.stats import EARTH_KM, haversine_km
 from panelforge.functions.text import school_key
 
 
@@ -75,15 +77,24 @@ def located(schools: DataFrame, register: DataFrame, manual: DataFrame, addresse
 
 
 def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
-    """Pairs (id_a, id_b, km) of points at most ``km`` apart: a join on cells of latitude, then the exact distance.
+    """Pairs (id_a, id_b, km) of points at most ``km`` apart: a join on cells of space, then the exact distance.
 
-    A cell is as high as the distance, and each point of ``a`` asks in its own and the two next ones.
+    Points lie on the unit sphere in cubes as wide as the chord of the distance, so those that near are in the same cube or one
+    that touches it, at the poles and across the date line too. Each point of ``a`` asks in these 27 cubes, of which the sphere
+    meets few. Points without a latitude or longitude are near nothing.
     """
-    step = km / 111.0
-    cell = lambda lat: F.floor(F.col(lat) / step)
-    left = a.select(F.col("id").alias("id_a"), F.col("lat").alias("lat_a"), F.col("lon").alias("lon_a")).withColumn(
-        "cell", F.explode(F.array(*[cell("lat_a") + d for d in (-1, 0, 1)]))
-    )
-    right = b.select(F.col("id").alias("id_b"), F.col("lat").alias("lat_b"), F.col("lon").alias("lon_b"), cell("lat").alias("cell"))
+    width = max(2 * math.sin(min(km / (2 * EARTH_KM), math.pi / 2)) * (1 + 1e-9), 1e-9)
+
+    def point(df: DataFrame, side: str) -> DataFrame:
+        p, q = F.radians("lat"), F.radians("lon")
+        axes = {"x": F.cos(p) * F.cos(q), "y": F.cos(p) * F.sin(q), "z": F.sin(p)}
+        cubes = [F.floor(v / width).alias(axis) for axis, v in axes.items()]
+        found = df.where("lat is not null and lon is not null")
+        return found.select(F.col("id").alias(f"id_{side}"), F.col("lat").alias(f"lat_{side}"), F.col("lon").alias(f"lon_{side}"), *cubes)
+
+    asked = point(a, "a")
+    for axis in "xyz":
+        asked = asked.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
     far = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    return left.join(right, "cell").withColumn("km", far).where(F.col("km") <= km).select("id_a", "id_b", "km")
+    pairs = asked.join(point(b, "b"), ["x", "y", "z"]).withColumn("km", far)
+    return pairs.where(F.col("km") <= km).select("id_a", "id_b", "km")

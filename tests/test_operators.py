@@ -207,6 +207,29 @@ def test_closest_and_contained_names_against_difflib(spark):
         assert inside.get(x) == (max(held, key=len).upper() if held else None)
 
 
+def test_near_points_against_all_pairs(spark):
+    import math
+    import random
+
+    from panelforge.operators import match
+
+    rand = random.Random(3)
+    near = [(59.9, 10.7), (89.99, 10.0), (89.99, -170.0), (-89.98, 0.0), (0.1, 179.9), (-0.1, -179.9), (60.0, 180.0), (60.0, -180.0)]
+    points = [(i, *at) for i, at in enumerate(near + [(rand.uniform(-90, 90), rand.uniform(-180, 180)) for _ in range(150)])]
+    points += [(500, None, 5.0), (501, 5.0, None), (502, 59.9, 10.7)]
+    df = spark.createDataFrame(points, "id int, lat double, lon double")
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371.0 * math.asin(min(1.0, math.sqrt(h)))
+
+    whole = [x for x in points if None not in x]
+    for limit in (0.0, 60.0, 900.0, 25000.0):
+        got = sorted((r.id_a, r.id_b) for r in match.within_km(df, df, limit).collect())
+        assert got == sorted((a[0], b[0]) for a in whole for b in whole if km(a, b) <= limit)
+
+
 def test_a_very_long_label_holds_an_entry(spark):
     from panelforge.operators import taxonomy
 

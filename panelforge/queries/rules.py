@@ -147,7 +147,8 @@ def digit_strip(spark, sf_dir):
 
 
 def _numbered(key, name):
-    return F.when(key % 3 == 0, name).otherwise(F.concat(F.lpad(key.cast("string"), 5, "0"), F.lit(" "), name))
+    """School numbers have five digits; keys that have more stand for none."""
+    return F.when((key % 3 == 0) | (F.length(key.cast("string")) > 5), name).otherwise(F.concat(F.lpad(key.cast("string"), 5, "0"), F.lit(" "), name))
 
 
 def url_decoded(spark, sf_dir):

@@ -3,8 +3,8 @@
 Effects: a mean, categories (free), schools, programmes and series (ridge), county-years (random walk). For given spreads
 the coefficients solve a linear system, the spreads follow by expectation-maximisation, three rounds of each. Every
 observation has exactly one series, so series are eliminated first (by the few effects that each meets, never as a full
-matrix) and the system that is solved holds the other effects only. Each fold of the backtest and each half-life is a task of
-its own (``applyInPandas`` by fold).
+matrix) and the system that is solved holds the other effects only. ``fit_both`` and what it calls fit a frame; tables are
+fitted by ``fits``, to the same estimates.
 
 Cells of a later round than usual carry an offset, the round bridge's mean, in the first part and an effect of their own in
 the second; they are learned from but never predicted. The second part may be coupled to the first by the school's effect as
@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions.stats import expit, history_bucket, logit
+from panelforge.operators import fits
 from panelforge.operators.rules import offsets
 from panelforge.plans.panel import SERIES
 from panelforge.plans.stored import stored
@@ -213,30 +214,34 @@ PREDS = (
 )
 
 
-def walk_forward(rows: DataFrame, halflives: tuple[float | None, ...] = (4.0,), couple: bool = False) -> DataFrame:
+def walk_forward(rows: DataFrame | fits.Packed, halflives: tuple[float | None, ...] = (4.0,), couple: bool = False) -> DataFrame:
     """Predictions of each year from everything before it, for each half-life; ``rows`` as ``model_rows`` gives them.
 
     Cells of a later round are not predicted.
     """
-    spark = rows.sparkSession
-    years = [r.year for r in rows.select("year").distinct().orderBy("year").collect()][1:]  # one row a year
-    folds = spark.createDataFrame([(t, h) for t in years for h in halflives], "T int, halflife double")
-    dealt = rows.select(*INPUT).join(F.broadcast(folds), F.col("year") <= F.col("T"))  # years times a few half-lives
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        t, halflife = int(frame["T"].iloc[0]), frame["halflife"].iloc[0]
-        frame = frame.sort_values([*SERIES, "year"], ignore_index=True)
-        train, test = frame[frame["year"] < t], frame[(frame["year"] == t) & ~frame["late"].astype(bool)].copy()
-        if train.empty or test.empty or not (train["state"] == "num").any():
-            return pd.DataFrame(columns=[c.split()[0] for c in PREDS.split(", ")])
-        fits = fit_both(train, halflife, couple)
-        hist = train[train["state"] == "num"].groupby(SERIES).size().rename("hist")
-        test["m"], test["pi"] = predict(fits, test, t)
-        test = test.merge(hist, "left", left_on=SERIES, right_index=True).fillna({"hist": 0})
-        test["sigma"] = fits[0].sigma
-        return test[[c.split()[0] for c in PREDS.split(", ")]]
-
-    return dealt.groupBy("T", "halflife").applyInPandas(fold, PREDS)
+    panel = rows if isinstance(rows, fits.Packed) else fits.packed(rows)
+    tested = sorted(panel.counts.loc[~panel.counts["late"], "year"].unique())
+    years = [int(y) for y in tested if y > panel.counts["year"].min()]
+    asked = [(t, h, couple) for t in years for h in halflives]
+    made = [(t, h, fold) for (t, h, _), fold in zip(asked, fits.fitted(panel, asked)) if fold]
+    columns = [c.split()[0] for c in PREDS.split(", ")]
+
+    def fold_rows(chunk: fits.Chunk) -> pd.DataFrame | None:
+        out = []
+        for t, halflife, fold in made:
+            at = np.flatnonzero((chunk.year == t) & ~chunk.late)
+            if not len(at):
+                continue
+            kind, series = chunk.kind[at], chunk.series[at]
+            m, pi = fits.predicted(chunk, fold, kind, series, t)
+            hist = np.bincount(chunk.series[(chunk.state == 0) & (chunk.year < t)], minlength=chunk.nt)[series]
+            out.append(pd.DataFrame(fits.named(chunk, series, kind) | {
+                "T": t, "halflife": np.nan if halflife is None else halflife, "state": np.array(fits.STATES, object)[chunk.state[at]],
+                "v": chunk.z[at], "m": m, "pi": pi, "hist": hist, "sigma": fold.level.residual,
+            })[columns])
+        return pd.concat(out, ignore_index=True) if out else None
+
+    return fits.emitted(panel, PREDS, fold_rows)
 
 
 def best_halflife(preds: DataFrame) -> DataFrame:
@@ -314,61 +319,79 @@ QUICK = Choice(2.5, True, 0.0, 1.0, None)
 QUICK_SPREAD = 1.25
 
 
-def choose(rows: DataFrame, calibration: tuple[int, ...]) -> Choice:
+def choose(rows: DataFrame | fits.Packed, calibration: tuple[int, ...]) -> Choice:
     """The half-life with the least error on the calibration years; coupled if that lowers their recalibrated log-loss."""
     within = F.col("T").isin(*calibration)
+    rows = rows if isinstance(rows, fits.Packed) else fits.packed(rows)
     grid = stored(walk_forward(rows, HALFLIVES), "walk-forward")
     best = best_halflife(grid.where(within)).first()
     halflife = best["halflife"] if best else 4.0
     plain = grid.where(F.col("halflife").eqNullSafe(F.lit(halflife)))
     coupled = stored(walk_forward(rows, (halflife,), couple=True), "walk-forward-coupled")
-    fits = [platt_table(p.where(within)) for p in (plain, coupled)]
-    losses = tuple(fill_loss(p.where(within), *ab) for p, ab in zip((plain, coupled), fits))
+    lines = [platt_table(p.where(within)) for p in (plain, coupled)]
+    losses = tuple(fill_loss(p.where(within), *ab) for p, ab in zip((plain, coupled), lines))
     use = None not in losses and losses[1] < losses[0]
-    return Choice(halflife, use, *fits[use], coupled if use else plain, losses)
+    return Choice(halflife, use, *lines[use], coupled if use else plain, losses)
 
 
 EFFECT_ROWS = "part string, effect string, level string, value double, tau double"
 
 
 def effects(obs: DataFrame, halflife: float | None = 4.0, couple: bool = False) -> DataFrame:
-    """The coefficients of a fit on all years. All observations of the panel meet in one task: this is the reference-scale fit."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fits = fit_both(frame.sort_values([*SERIES, "year"], ignore_index=True), halflife, couple)
-        rows = [
-            (part, name, str(level), float(b), fit.taus.get(name))
-            for part, fit in zip(("level", "fill"), fits)
-            for name in fit.levels
-            for level, b in zip(fit.levels[name], fit.coef[name])
-        ]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in EFFECT_ROWS.split(", ")])
-
-    return obs.select(*INPUT).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, EFFECT_ROWS)
+    """The coefficients of a fit on all years."""
+
+    panel = fits.packed(obs)
+    space, (fold,) = panel.space, fits.fitted(panel, [(None, halflife, couple)])
+    names = {"mu": ["0"], "cat": space.cats, "prog": space.progs, "late": ["False", "True"], "alpha": ["0"]}
+    names["cy"] = [str((c, y)) for c in space.counties for y in space.years]
+    shared, columns = [], [c.split()[0] for c in EFFECT_ROWS.split(", ")]
+    for label, part in (("level", fold.level), ("fill", fold.fill)):
+        for name, s in space.slices.items():
+            for level, b, seen in zip(names[name], part.b[s], part.seen[s]):
+                if seen:
+                    shared.append((label, name, level, float(b), part.out.get(name)))
+
+    def own(chunk: fits.Chunk) -> pd.DataFrame:
+        full = [space.counties[chunk.county] + "|" + s for s in chunk.schools]
+        series = [full[o] + "|" + space.progs[p] for o, p in zip(chunk.owner, chunk.series_prog)]
+        learned = np.unique(chunk.series[chunk.state == 0])
+        rows = []
+        for label, part, (school, one), met in (
+            ("level", fold.level, chunk.level_effects(fold), learned),
+            ("fill", fold.fill, chunk.fill_effects(fold, chunk.alpha(fold))[:2], np.arange(chunk.nt)),
+        ):
+            rows += [(label, "school", full[i], school[i], part.out["school"]) for i in np.unique(chunk.owner[met])]
+            rows += [(label, "series", series[i], one[i], part.out["series"]) for i in met]
+        return pd.DataFrame(rows, columns=columns)
+
+    return obs.sparkSession.createDataFrame(shared, EFFECT_ROWS).unionByName(fits.emitted(panel, EFFECT_ROWS, own))
 
 
 FORECASTS = "county string, school string, program string, category string, year int, m double, pi double, hist int, sigma double"
 
 
-def forecasts(rows: DataFrame, choice: Choice, spread: DataFrame | None = None) -> DataFrame:
+def forecasts(rows: DataFrame | fits.Packed, choice: Choice, spread: DataFrame | None = None) -> DataFrame:
     """Next year's threshold and fill probability of every series that is still alive, with the spread of its bucket.
 
     Without ``spread`` (the quick path) it is 1.25 times the residual's.
     """
     halflife, couple = choice.halflife, choice.couple
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([*SERIES, "year"], ignore_index=True)
-        fits = fit_both(frame, halflife, couple)
-        newest = frame.groupby("county")["year"].max()
-        out = frame.groupby([*SERIES, "category"]).agg(last=("year", "max"), hist=("state", lambda s: int((s == "num").sum()))).reset_index()
-        out["year"] = out["county"].map(newest) + 1
+    panel = rows if isinstance(rows, fits.Packed) else fits.packed(rows)
+    (fold,) = fits.fitted(panel, [(None, halflife, couple)])
+    year = int(panel.counts["year"].max()) + 1
+    columns = [c.split()[0] for c in FORECASTS.split(", ")]
+
+    def ahead(chunk: fits.Chunk) -> pd.DataFrame:
+        cells = pd.DataFrame({"series": chunk.series, "cat": chunk.space.kinds[chunk.kind, 0], "kind": chunk.kind, "year": chunk.year, "num": chunk.state == 0})
+        out = cells.groupby(["series", "cat"], as_index=False).agg(kind=("kind", "first"), last=("year", "max"), hist=("num", "sum"))
+        out["year"] = int(fold.newest[chunk.county]) + 1
         out = out[out["last"] >= out["year"] - 2]
-        out["m"], out["pi"] = predict(fits, out, int(out["year"].max()))
-        out["sigma"] = fits[0].sigma
-        return out[[c.split()[0] for c in FORECASTS.split(", ")]]
+        kind, series = out["kind"].to_numpy(), out["series"].to_numpy()
+        out["m"], out["pi"] = fits.predicted(chunk, fold, kind, series, year)
+        return out.assign(**fits.named(chunk, series, kind), sigma=fold.level.residual)[columns]
 
-    made = rows.select(*INPUT).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(run, FORECASTS)
+    made = fits.emitted(panel, FORECASTS, ahead)
     made = made.withColumn("pi", recalibrated(F.col("pi"), choice.a, choice.b))
     if spread is None:
         return made.withColumn("s", F.col("sigma") * QUICK_SPREAD).drop("sigma")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelforge.functions.stats import age_weight
-from panelforge.operators import baselines, model, sweeps
+from panelforge.operators import baselines, fits, model, sweeps
 from panelforge.plans.panel import OBS_SQL, SERIES, observations, panel
 from panelforge.plans.stored import stored
 from panelforge.queries import evaluation
@@ -18,7 +18,7 @@ def _rows(spark, sf_dir):
 
 
 def _chosen(spark, sf_dir):
-    rows = _rows(spark, sf_dir)
+    rows = fits.packed(_rows(spark, sf_dir))
     return rows, model.choose(rows, evaluation.CALIBRATION)
 
 

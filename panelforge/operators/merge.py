@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def priority_merge(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -44,37 +48,39 @@ DRIFT = (
 )
 
 
-def _fold(frame: pd.DataFrame) -> tuple[list[dict], list[dict]]:
-    """Merge all rows of one programme of one school; the rows' order and earlier merges decide, so it is a fold.
+#: A cell within its group, in the order in which cells are merged.
+CELL = ["source_rank", "row_pos", "year", "level", "school", "program", "status", "points", "source"]
+
+
+def _fold(county: str, cells: list[tuple]) -> tuple[list[dict], list[dict]]:
+    """Merge all cells (``CELL``, sorted) of one programme of one school; their order and earlier merges decide, so it is a fold.
 
     A repeat of a row within one source is a series of its own only if it disagrees with the series as merged so far.
     At the end, a placeholder level joins the only other level there is, and repeats join the first series.
     """
     rows: dict[tuple, dict[int, tuple]] = {}
     spelled, log = {}, []
-    cells = frame.sort_values(["source_rank", "row_pos", "year"], kind="stable")
-    value = lambda r: (r.status, None if pd.isna(r.points) else r.points)
-
     def put(into: dict[int, tuple], year: int, cell: tuple, source: str, level: str) -> None:
         if year not in into:
             into[year] = (cell, source)
         elif into[year][0] != cell:
             log.append({"level": level, "year": year, "kept": into[year], "ignored": (cell, source)})
 
-    for (rank, _), row in cells.groupby(["source_rank", "row_pos"], sort=True):
-        first = row.iloc[0]
-        spelled.setdefault("school", first.school)
-        spelled.setdefault("program", first.program)
-        used = spelled.setdefault(("used", rank, first.level), [0])
-        new = {int(r.year): value(r) for r in row.itertuples()}
+    for (rank, _), row in groupby(cells, key=itemgetter(0, 1)):
+        row = list(row)
+        _, _, _, level, school, program, _, _, source = row[0]
+        spelled.setdefault("school", school)
+        spelled.setdefault("program", program)
+        used = spelled.setdefault(("used", rank, level), [0])
+        new = {c[2]: (c[6], None if c[7] is None or c[7] != c[7] else c[7]) for c in row}
         place = 0
         if used[0]:
-            clash = any(rows.get((first.level, 0), {}).get(y, (c,))[0] != c for y, c in new.items())
+            clash = any(rows.get((level, 0), {}).get(y, (c,))[0] != c for y, c in new.items())
             place = used[0] if clash else 0
         used[0] += 1
-        into = rows.setdefault((first.level, place), {})
+        into = rows.setdefault((level, place), {})
         for year, cell in new.items():
-            put(into, year, cell, first.source, first.level)
+            put(into, year, cell, source, level)
 
     for key in sorted(rows, key=lambda k: (k[1], k[0])):
         level, place = key
@@ -93,27 +99,39 @@ def _fold(frame: pd.DataFrame) -> tuple[list[dict], list[dict]]:
         for y, (c, src) in cells_.items()
     ]
     for x in (*out, *log):
-        x |= {"school": spelled["school"], "program": spelled["program"], "county": frame.county.iloc[0]}
+        x |= {"school": spelled["school"], "program": spelled["program"], "county": county}
     return out, log
 
 
 def merge_sources(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(series, drift) of source rows. A group is one programme of one school, so it is small by nature."""
-    keyed = rows.withColumns({"_s": F.lower("school"), "_p": F.lower("program")})
-    groups = keyed.groupBy("county", "_s", "_p")
+    """(series, drift) of source rows. A group is one programme of one school, so it is small by nature.
+
+    There are as many groups as series, so a group is a row with an array, and a task folds the groups of a batch one by one.
+    """
+    keys = ["county", F.lower("school"), F.lower("program")]
+    groups = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*CELL))).alias("cells")).select("county", "cells")
+
+    def folded(pick, schema: str) -> DataFrame:
+        columns = [c.split()[0] for c in schema.split(", ")]
+        want = to_arrow_schema(StructType.fromDDL(schema))
+
+        def task(batches):
+            for batch in batches:
+                cells, at = batch.column("cells"), batch.column("cells").offsets.to_pylist()
+                flat = list(zip(*[cells.values.field(c).to_pylist() for c in CELL]))
+                made = [x for i, county in enumerate(batch.column("county").to_pylist()) for x in pick(*_fold(county, flat[at[i] : at[i + 1]]))]
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in made], want.field(c).type) for c in columns], schema=want)
 
-    def series(frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(frame)[0], columns=[c.split()[0] for c in MERGED.split(", ")])
+        return groups.mapInArrow(task, schema)
 
-    def log(frame: pd.DataFrame) -> pd.DataFrame:
-        flat = [
+    def differing(_, log: list[dict]) -> list[dict]:
+        return [
             {c: x[c] for c in ("county", "school", "program", "level", "year")}
             | {f"{side}_{n}": v for side in ("kept", "ignored") for n, v in zip(("status", "points", "from"), (*x[side][0], x[side][1]))}
-            for x in _fold(frame)[1]
+            for x in log
         ]
-        return pd.DataFrame(flat, columns=[c.split()[0] for c in DRIFT.split(", ")])
 
-    return groups.applyInPandas(series, MERGED), groups.applyInPandas(log, DRIFT)
+    return folded(lambda out, _: out, MERGED), folded(differing, DRIFT)
 
 
 def overlaid(base: DataFrame, over: DataFrame, key: str, columns: list[str]) -> DataFrame:

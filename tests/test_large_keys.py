@@ -14,3 +14,8 @@ def test_digit_strip_keys_of_six_digits_are_no_school_numbers(spark, tmp_path):
     want = con.execute(f"SELECT * FROM ({driver.oracle_sql()['digit_strip']}) ORDER BY p_partkey").fetchall()
     assert [(r.p_partkey, r.name, r.number, r.school) for r in got] == want
     assert got[1].number is None and got[0].number == "99998" and got[2].number is None
+
+
+def test_sources_are_merged_many_groups_at_a_time(spark, sf):
+    plan = driver.queries()["sources_merged"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan

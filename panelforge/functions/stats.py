@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Years of history a series had, as closed ranges.
@@ -50,6 +50,25 @@ def empirical_cdf(z: Column, table: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.005)), F.lit(0.995))
 
 
+def with_cdf(rows: DataFrame, z: str, table: list[float] | None, name: str) -> DataFrame:
+    """Add ``name``: ``empirical_cdf`` of the column ``z`` in a known table in order.
+
+    How many quantiles are not above ``z`` is found by halving. Each step is a column, so that it is computed once a row and the
+    code of a row stays small.
+    """
+    if table is None:
+        return rows.withColumn(name, F.least(F.greatest(F.lit(None).cast("double"), F.lit(0.005)), F.lit(0.995)))
+    n, half = len(table), 1 << (len(table).bit_length() - 1)
+    ends = F.array(*[F.lit(float(q)) for q in table + [float("inf")] * (2 * half - 1 - n)])
+    rows = rows.withColumn("_below", F.lit(0))
+    while half:
+        rows = rows.withColumn("_below", F.col("_below") + F.when(F.get(ends, F.col("_below") + (half - 1)) <= F.col(z), half).otherwise(0))
+        half //= 2
+    below, lo, hi = F.col("_below"), F.get(ends, F.col("_below") - 1), F.get(ends, F.col("_below"))
+    value = F.when(below == 0, 0.0).when(below >= n, 1.0).otherwise((below - 1 + (F.col(z) - lo) / (hi - lo)) / (n - 1.0))
+    return rows.withColumn(name, F.least(F.greatest(value, F.lit(0.005)), F.lit(0.995))).drop("_below")
+
+
 def chance(x: Column, m: Column, s: Column, fill: Column, table: Column | None = None) -> Column:
     """P(place) for x points: no queue, or a queue whose threshold is at most x."""
     z = (x - m) / s

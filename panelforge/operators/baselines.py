@@ -59,20 +59,24 @@ def walk_forward(obs: DataFrame, strength: float = 4.0) -> DataFrame:
 
     Every year of a county that has an earlier number is predicted; in its first years there is nothing to predict from.
 
-    Sums up to each year are running windows, so the data are not multiplied by the number of folds.
+    Sums up to each year are running windows, so the data are not multiplied by the number of folds. The observations move once,
+    to their series; the means of programmes and counties are a row a year of each and go to where the observations are.
     """
     num = F.col("state") == "num"
-    totals = lambda keys: obs.groupBy(*keys, "year").agg(
-        F.sum(F.when(num, F.col("v"))).alias("s"), F.count_if(num).alias("n")
-    )
 
     def before(keys: list[str], s: str, n: str) -> DataFrame:
         w = Window.partitionBy(*keys).orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
-        return totals(keys).select(
+        totals = obs.groupBy(*keys, "year").agg(F.sum(F.when(num, F.col("v"))).alias("s"), F.count_if(num).alias("n"))
+        return totals.select(
             *keys, "year", F.coalesce(F.sum("s").over(w), F.lit(0.0)).alias(s), F.coalesce(F.sum("n").over(w), F.lit(0)).alias(n)
         )
 
-    series = before(SERIES, "s", "hist").join(last_value(obs).drop("last_year"), [*SERIES, "year"])
+    earlier = Window.partitionBy(*SERIES).orderBy("year").rangeBetween(Window.unboundedPreceding, -1)
+    series = obs.withColumns({
+        "s": F.coalesce(F.sum(F.when(num, F.col("v"))).over(earlier), F.lit(0.0)),
+        "hist": F.count(F.when(num, 1)).over(earlier),
+        "last": F.last(F.when(num, F.col("v")), ignorenulls=True).over(earlier),
+    })
     means = before(["county", "program"], "ps", "pn")
     counties = before(["county"], "cs", "cn")
     opened = obs.groupBy("county", "year").agg(F.count_if(F.col("state") != "open").alias("f"), F.count(F.lit(1)).alias("c"))
@@ -80,13 +84,11 @@ def walk_forward(obs: DataFrame, strength: float = 4.0) -> DataFrame:
     opened = opened.select("county", "year", (F.sum("f").over(w) / F.sum("c").over(w)).alias("pi"))
     mu = F.coalesce(F.try_divide("ps", "pn"), F.try_divide("cs", "cn"))
     return (
-        obs.join(series, [*SERIES, "year"])
-        .join(means, ["county", "program", "year"])
-        .join(counties, ["county", "year"])
-        .join(opened, ["county", "year"])
+        series.join(F.broadcast(means), ["county", "program", "year"])
+        .join(F.broadcast(counties.join(opened, ["county", "year"])), ["county", "year"])
         .select(
             *SERIES, "category", F.col("year").alias("T"), "state", "v", ((F.col("s") + strength * mu) / (F.col("hist") + strength)).alias("m"),
-            "pi", "hist", F.col("last_v").alias("last"), F.try_divide("ps", "pn").alias("pm"),
+            "pi", "hist", "last", F.try_divide("ps", "pn").alias("pm"),
         )
         .where("m is not null")
     )

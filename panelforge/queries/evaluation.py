@@ -19,11 +19,11 @@ CALIBRATION = (1998, 1999)
 LEAST_PAIRS = 10  # pairs of a category from which its own bridge is used
 
 
-def predictions(spark, sf_dir) -> DataFrame:
-    """The forecasts of all years that have an earlier one. They are written once, as is the panel they are made from: the
-    order lines are read once, whatever a query makes of them."""
-    obs = stored(observations(panel(spark, sf_dir)), "observations")
-    return stored(baselines.walk_forward(obs), "predictions")
+def predictions(spark, sf_dir, cells: DataFrame | None = None) -> DataFrame:
+    """The forecasts of all years that have an earlier one. They are written once, as is the panel they are made from (or given
+    as ``cells``): the order lines are read once, whatever a query makes of them."""
+    cells = stored(panel(spark, sf_dir), "panel") if cells is None else cells
+    return stored(baselines.walk_forward(observations(cells)), "predictions")
 
 
 def error_report(preds: DataFrame) -> DataFrame:
@@ -57,7 +57,7 @@ def spreads(preds: DataFrame, residual: float = 2.0, support: int = 30) -> DataF
 
 
 def with_spread(preds: DataFrame) -> DataFrame:
-    return preds.withColumn("bucket", stats.history_bucket(F.col("hist"))).join(spreads(preds), "bucket")
+    return preds.withColumn("bucket", stats.history_bucket(F.col("hist"))).join(F.broadcast(spreads(preds)), "bucket")  # four rows
 
 
 def quantile_table(preds: DataFrame) -> DataFrame:
@@ -113,18 +113,28 @@ def log_loss(spark, sf_dir):
     )
 
 
+def _scored(preds: DataFrame, *by: str) -> tuple[DataFrame, list[float] | None]:
+    """Each forecast with its spread at eight applicant scores, and the 41 quantiles, or none without calibration years.
+
+    With ``by``, forecasts are dealt by these columns before each becomes eight rows.
+    """
+    quantiles = quantile_table(preds).first()["zq"]
+    rows = with_spread(preds).repartition(*by) if by else with_spread(preds)
+    return rows.withColumn("x", F.explode(F.array(*[F.lit(float(x)) for x in stats.SCORES]))), quantiles
+
+
 def _chances(preds: DataFrame) -> DataFrame:
-    """Each forecast at eight applicant scores, with the outcome. The quantile table is one row."""
+    """Each forecast at eight applicant scores, with the outcome."""
+    return _with_chances(*_scored(preds))
+
+
+def _with_chances(scored: DataFrame, quantiles: list[float] | None) -> DataFrame:
     got = F.when(F.col("state").isin("open", "zero"), 1.0).otherwise((F.col("x") >= F.col("v")).cast("double"))
-    return (
-        with_spread(preds)
-        .crossJoin(quantile_table(preds))
-        .withColumn("x", F.explode(F.array(*[F.lit(float(x)) for x in stats.SCORES])))
-        .select(
-            "county", "school", "program", "category", "T", "x", "m", "s", "pi", "last", "zq", got.alias("y"),
-            stats.chance(F.col("x"), F.col("m"), F.col("s"), F.col("pi"), F.col("zq")).alias("p"),
-            stats.chance(F.col("x"), F.col("m"), F.col("s"), F.col("pi")).alias("p_normal"),
-        )
+    chance = lambda cdf: (1.0 - F.col("pi")) + F.col("pi") * cdf
+    placed = stats.with_cdf(scored.withColumn("z", (F.col("x") - F.col("m")) / F.col("s")), "z", quantiles, "cdf")
+    return placed.select(
+        "county", "school", "program", "category", "T", "x", "m", "s", "pi", "last", got.alias("y"),
+        chance(F.col("cdf")).alias("p"), chance(stats.normal_cdf(F.col("z"))).alias("p_normal"),
     )
 
 
@@ -153,17 +163,22 @@ def chance_ecdf(spark, sf_dir):
 
 
 def _final(spark, sf_dir) -> DataFrame:
-    """Chances before and after the later round, by the bridge of the category where it has enough pairs, else the county's."""
-    bridge = baselines.round_bridge(baselines.round_pairs(panel(spark, sf_dir)))
+    """Chances before and after the later round, by the bridge of the category where it has enough pairs, else the county's.
+
+    The bridge has a row for each county and category, so it goes to where the forecasts are.
+    """
+    cells = stored(panel(spark, sf_dir), "panel")
+    bridge = stored(baselines.round_bridge(baselines.round_pairs(cells)), "bridge")
     shifts = F.struct(F.col("mean").alias("shift"), F.col("share_vanished").alias("gone"))
     county = bridge.where("category is null").select("county", shifts.alias("of_county"))
     kind = bridge.where(f"category is not null and n_pairs >= {LEAST_PAIRS}").select("county", "category", shifts.alias("of_kind"))
-    rows = _chances(predictions(spark, sf_dir)).join(county, "county", "left").join(kind, ["county", "category"], "left")
-    rows = rows.withColumn("by", F.coalesce("of_kind", "of_county")).select("*", "by.*")
-    final = stats.final_chance(
-        F.col("x"), F.col("m"), F.col("s"), F.col("pi"), F.col("zq"), F.coalesce("gone", F.lit(0.0)), F.coalesce("shift", F.lit(0.0))
-    )
-    return rows.withColumn("p_final", final)
+    scored, quantiles = _scored(predictions(spark, sf_dir, cells))
+    rows = _with_chances(scored, quantiles).join(F.broadcast(county), "county", "left").join(F.broadcast(kind), ["county", "category"], "left")
+    by = F.coalesce("of_kind", "of_county")
+    rows = rows.withColumns({"gone": F.coalesce(by["gone"], F.lit(0.0)), "shift": F.coalesce(by["shift"], F.lit(0.0))})
+    rows = rows.withColumn("zf", (F.col("x") - F.col("m") - F.col("shift")) / F.col("s"))
+    gone = F.col("gone")
+    return stats.with_cdf(rows, "zf", quantiles, "cdf").withColumn("p_final", (1.0 - F.col("pi")) + F.col("pi") * (gone + (1.0 - gone) * F.col("cdf")))
 
 
 def final_round_chance(spark, sf_dir):
@@ -174,7 +189,7 @@ def final_round_chance(spark, sf_dir):
 
 def choice_list(spark, sf_dir):
     """For each school, year and score, a list of all its programmes: the chance of at least one place, and bands."""
-    rows = _chances(predictions(spark, sf_dir)).withColumn("p", F.round("p", 9))
+    rows = _with_chances(*_scored(predictions(spark, sf_dir), "county", "school", "T")).withColumn("p", F.round("p", 9))
     band = stats.band(F.col("p"))
     return rows.groupBy("county", "school", "T", "x").agg(
         F.round(1 - F.exp(F.sum(F.ln(F.greatest(1 - F.col("p"), F.lit(1e-12))))), 6).alias("any_place"),

@@ -13,14 +13,13 @@ from panelforge.plans.stored import stored
 NAMES = {"points": "points", "open": "open", "F": "priority", "D": "documentation", "U": "discontinued"}
 
 
-def samples(spark, sf_dir) -> DataFrame:
+def samples(spark, sf_dir, cells: DataFrame | None = None) -> DataFrame:
     """Every cell as a row of the export, with the number of its series among those of the same name."""
-    cells = panel(spark, sf_dir)
-    series = cells.select(*SERIES, "category", "level").distinct()
-    place = Window.partitionBy("county", "school", F.lower("program")).orderBy("level", "program")
-    numbered = series.withColumn("occurrence", F.row_number().over(place) - 1)
+    cells = panel(spark, sf_dir) if cells is None else cells
+    place = Window.partitionBy("county", "school", F.lower("program")).orderBy("level", "program", "category")
+    numbered = cells.withColumn("occurrence", F.dense_rank().over(place) - 1)  # all years of a series are of one rank
     status = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])[F.col("status")]
-    return cells.join(numbered, [*SERIES, "category", "level"]).select(
+    return numbered.select(
         "county", "school", "program", "occurrence", "category", "level", "year", "round", "points", status.alias("status")
     )
 

@@ -69,10 +69,11 @@ PLACES = """places AS (SELECT s_suppkey, CASE WHEN s_suppkey % 29 <> 0 THEN 57.0
 
 def forecast_export(spark, sf_dir):
     """Samples of the newest year with the forecast of their series: only those that have one; numbers rounded, nulls as empty text."""
-    preds = evaluation.with_spread(evaluation.predictions(spark, sf_dir)).select(
+    cells = stored(panel(spark, sf_dir), "panel")
+    preds = evaluation.with_spread(evaluation.predictions(spark, sf_dir, cells)).select(
         *SERIES, F.col("T").alias("year"), *[F.coalesce(F.round(F.round(c, 6), d).cast("string"), F.lit("")).alias(c) for c, d in (("m", 1), ("s", 1), ("pi", 3), ("v", 1))]
     )
-    rows = samples(spark, sf_dir).select(*SERIES, "occurrence", "year")
+    rows = samples(spark, sf_dir, cells).select(*SERIES, "occurrence", "year")
     return rows.join(preds, [*SERIES, "year"])
 
 

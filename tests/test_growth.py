@@ -1,8 +1,11 @@
 """Plans whose cost must not outgrow the tables."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from panelforge.functions import stats
 from panelforge.plans.panel import panel
+from panelforge.queries import evaluation, panels
 
 
 def plan_of(rows: DataFrame) -> str:
@@ -14,3 +17,29 @@ def test_lines_are_dealt_by_cell_before_they_are_grouped(spark, sf):
     plan = plan_of(panel(spark, sf))
     assert "REPARTITION_BY_COL" in plan
     assert "HashAggregate" not in plan[plan.rindex("REPARTITION_BY_COL") :]
+
+
+def test_few_rows_go_to_the_forecasts(spark, sf):
+    """Spreads and bridges have a few rows: forecasts are not shuffled by county to meet them."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(evaluation.final_round_chance(spark, sf))
+        assert "Exchange hashpartitioning(county" not in plan and "zq" not in plan
+        chosen = plan_of(evaluation.choice_list(spark, sf))
+        assert chosen.count("Exchange hashpartitioning(county") <= 1 and chosen.index("Generate") < chosen.index("Exchange hashpartitioning(county")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cdf_of_a_known_table(spark):
+    table = [0.0] + [1.0] * 20 + [2.0 + k / 7 for k in range(20)]
+    zs = [None, float("nan"), -1.0, 0.0, 0.3, 1.0, 1.5, 2.0, 2.2, 4.714285714285714, 5.0]
+    rows = spark.createDataFrame([(z,) for z in zs], "z double")
+    want = stats.empirical_cdf(F.col("z"), F.array(*[F.lit(q) for q in table]))
+    got = stats.with_cdf(rows, "z", table, "p").withColumn("want", want).collect()
+    assert len(got) == len(zs) and all(r.p == r.want for r in got)
+
+
+def test_samples_are_numbered_without_a_join(spark, sf):
+    plan = plan_of(panels.samples(spark, sf, spark.createDataFrame([], panel(spark, sf).schema)))
+    assert "Join" not in plan

@@ -20,10 +20,19 @@ from panelforge.plans.stored import stored
 def limited(events: DataFrame, key: str, ts: str, seconds: int, most: int) -> DataFrame:
     """Add ``recent`` (events of the key in the last ``seconds``, itself included, the far end excluded) and ``limited``.
 
-    Refused events count as well. One window over the key; a key's rows are sorted and streamed, not gathered.
+    Refused events count as well. Time is cut into stretches of that length, and each stretch of a key is a group of its own, so
+    the events of a busy key are dealt, too. An event counts in its stretch from its time on and in the next one until it is
+    ``seconds`` old: both are running counts, and no event is looked at again for each that follows.
     """
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-(seconds * 1_000_000 - 1), 0)
-    return events.withColumn("recent", F.count(F.lit(1)).over(w)).withColumn("limited", F.col("recent") > most)
+    span = seconds * 1_000_000
+    timed = events.withColumns({"_at": F.unix_micros(F.col(ts).cast("timestamp")), "_own": F.lit(True)})
+    ended = timed.select(F.col(key), (F.col("_at") + span).alias("_at"), F.lit(False).alias("_own"))
+    both = timed.unionByName(ended, allowMissingColumns=True).withColumn("_stretch", F.col("_at") - F.pmod("_at", F.lit(span)))
+    stretch = Window.partitionBy(key, "_stretch")
+    so_far = stretch.orderBy("_at").rangeBetween(Window.unboundedPreceding, 0)
+    begun, ends = F.count_if(F.col("_own")), F.count_if(~F.col("_own"))
+    counted = both.withColumn("recent", begun.over(so_far) + ends.over(stretch) - ends.over(so_far)).where("_own")
+    return counted.drop("_at", "_own", "_stretch").withColumn("limited", F.col("recent") > most)
 
 
 def daily_cap(times: list[int], most: int, day: int = 86_400_000) -> list[bool]:
@@ -104,14 +113,15 @@ def admit(
     sees only what the rules before it have left: rates are windows over a sender's requests, the cap is ``capped_all``.
     """
     sender = F.trim(F.get(F.split(F.coalesce("forwarded", F.lit("")), ","), F.lit(0)))
+    message = F.length(paragraphs(field("message"), 4000)) >= 3
+    # bodies are read once; what is left of a request is small
     read = requests.select(
-        "event_id", "ts", F.coalesce(F.nullif(sender, F.lit("")), F.lit("unknown")).alias("sender"), "body", refused_unread(configured, own).alias("outcome")
-    )
+        "event_id", "ts", F.coalesce(F.nullif(sender, F.lit("")), F.lit("unknown")).alias("sender"), refused_unread(configured, own).alias("outcome"),
+        (one_line(field("website"), 50) != "").alias("honeypot"), message.alias("sends"),
+    )
+    read = stored(read, "requests")
     counted = limited(read.where("outcome is null"), "sender", "ts", seconds, most)
-    message = F.length(paragraphs(field("message"), 4000)) >= 3
-    counted = counted.select(
-        "event_id", "ts", F.when(F.col("limited"), "rate").when(one_line(field("website"), 50) != "", "honeypot").alias("outcome"), message.alias("sends")
-    )
+    counted = counted.select("event_id", "ts", F.when(F.col("limited"), "rate").when(F.col("honeypot"), "honeypot").alias("outcome"), "sends")
     counted = stored(counted, "counted")
     capped = capped_all(counted.where("outcome is null"), "ts", "event_id", day_most, F.col("sends"))
     last = F.when(F.col("day_full"), "cap").when(~F.col("sends"), "message").otherwise("ok")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from panelforge.functions import stats
 from panelforge.plans.panel import panel
 from panelforge.queries import evaluation, panels
+from panelforge.streaming import admission
 
 
 def plan_of(rows: DataFrame) -> str:
@@ -43,3 +44,17 @@ def test_cdf_of_a_known_table(spark):
 def test_samples_are_numbered_without_a_join(spark, sf):
     plan = plan_of(panels.samples(spark, sf, spark.createDataFrame([], panel(spark, sf).schema)))
     assert "Join" not in plan
+
+
+def test_a_busy_sender_is_dealt_by_time(spark):
+    """The count of the last seconds is that of a sliding frame, without looking at an event again for each that follows."""
+    times = [0, 0, 3, 9, 10, 10, 11, 19, 20, 29, 30, 31, 55, -1, -10, -11]
+    rows = spark.createDataFrame([(k, "a" if k < 13 else None, t) for k, t in enumerate(times)] + [(99, "a", None), (98, "a", None)], "id int, key string, t int")
+    rows = rows.withColumn("ts", F.timestamp_seconds("t"))
+    got = admission.limited(rows, "key", "ts", 10, 3)
+    assert "_stretch" in plan_of(got)
+    found = {r.id: (r.recent, r.limited) for r in got.collect()}
+    for r in rows.collect():
+        near = [o for o in rows.collect() if o.key == r.key and (o.t is None if r.t is None else o.t is not None and r.t - 10 < o.t <= r.t)]
+        assert found[r.id] == (len(near), len(near) > 3)
+    assert len(found) == rows.count() and got.columns == [*rows.columns, "recent", "limited"]

@@ -16,6 +16,7 @@ from panelforge.functions.text import numbered_school, school_identity, squash,
 from panelforge.operators.layout import before_gap, islands
 from panelforge.operators.merge import prefix_renamed
 from panelforge.operators.rules import code_titles
+from panelforge.plans.stored import stored
 
 PAGE = ["doc", "page"]
 TOLERANCE = 2.5
@@ -195,7 +196,7 @@ def rotated_matrix(glyphs: DataFrame, tolerances: tuple[float, ...] = (3.0, 1.5)
     """
     middle = (F.col("x0") + F.col("x1")) / 2
     lined = islands(glyphs.where(F.trim("text") != "").withColumn("cx", middle), PAGE, "top", 3.0, "line")
-    words = words_at(lined, tolerances)
+    words = stored(words_at(lined, tolerances), "words")  # within the pages as they were dealt for the lines
     number = F.col("text").rlike("^[0-9]{4}$") & (F.col("x0") < 60)
     valid = words.where(number).groupBy(*PAGE).agg(F.min(F.struct("attempt", "top")).alias("v"))
     valid = valid.select(*PAGE, F.col("v.attempt").alias("attempt"), F.col("v.top").alias("first"))
@@ -204,6 +205,7 @@ def rotated_matrix(glyphs: DataFrame, tolerances: tuple[float, ...] = (3.0, 1.5)
     columns = islands(cells.withColumn("cx", middle), PAGE, "cx", 8.0, "col").groupBy(*PAGE, "first", "col").agg(F.avg("cx").alias("c"))
     columns = columns.groupBy(*PAGE, "first").agg(F.collect_list(F.struct("col", "c")).alias("columns"))  # a row a page
     under = lined.join(columns, PAGE).withColumn("col", F.explode(F.filter("columns", lambda k: F.abs(k["c"] - F.col("cx")) <= 9))).withColumn("col", F.col("col.col"))
+    under = stored(under.select(*PAGE, "line", "col", "text", "x0", "cx", "top", "font", "first"), "under")
 
     own = [*PAGE, "col"]
     band = under.where((F.col("top") > 40) & (F.col("top") < F.col("first") - 4))

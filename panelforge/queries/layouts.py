@@ -5,7 +5,9 @@ The words are made by one text in both dialects; each query's SQL reads them in
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.text import BAD, GOOD
@@ -14,8 +16,27 @@ from panelforge.plans.panel import PANEL_SQL, panel, programs, table
 from panelforge.plans.stored import stored
 
 
-def words(spark, sf_dir, made: str) -> DataFrame:
-    return spark.sql(made, panel=stored(panel(spark, sf_dir), "panel"))  # the words are a union of many looks at it
+def words(spark, made: str, numbered: DataFrame, then: str) -> DataFrame:
+    """``made`` from the CTE ``then`` on, which follows ``numbered``; the cells with their numbers are written once, for the words
+    are a union of many looks at them, and so are the words, at which a plan looks more than once."""
+    rest = made.split(f",\n{then} AS ", 1)[1]
+    return stored(spark.sql(f"WITH numbered AS (SELECT * FROM {{numbered}}),\n{then} AS {rest}", numbered=stored(numbered, "numbered")), "words")
+
+
+def _ranked(cells: DataFrame, of: list[str], by: str, name: str, first: int) -> DataFrame:
+    """Add ``name``: the dense rank of ``by`` within ``of``, from ``first``. Only the different values are put in order, so a
+    task's sort holds a document's schools or programmes and not its cells."""
+    keys = [*of, by]
+    ranks = cells.select(*keys).distinct().withColumn(name, F.dense_rank().over(Window.partitionBy(*of).orderBy(by)) + (first - 1))
+    ranks = ranks.select(*[F.col(k).alias(f"_{k}") for k in keys], name)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return cells.join(ranks, same).drop(*[f"_{k}" for k in keys])
+
+
+def _numbered(spark, sf_dir, first: int) -> DataFrame:
+    """The panel with numbers of schools and programmes within county and year."""
+    cells = stored(panel(spark, sf_dir).withColumn("doc", F.concat("county", F.lit(" "), F.col("year").cast("string"))), "panel")
+    return _ranked(_ranked(cells, ["county", "year"], "program", "pn", first), ["county", "year"], "school", "sn", first)
 
 
 #: How a cell is printed.
@@ -52,7 +73,13 @@ SELECT doc, page, text, CAST(x AS DOUBLE) AS x0, CAST(x + 4 * length(text) AS DO
 
 def rolling_matrix(spark, sf_dir):
     """Three-year tables with names that go on in the next lines."""
-    return grids.rolling_matrix(words(spark, sf_dir, ROLLING))
+    base = F.col("year") - F.col("year") % 3
+    cells = stored(panel(spark, sf_dir).select("*", F.concat("county", F.lit(" "), base.cast("string")).alias("doc"), base.alias("base")), "panel")
+    of_school = Window.partitionBy("doc", "school")
+    numbered = _ranked(cells, ["doc"], "school", "sn", 0).withColumns({
+        "rn": F.dense_rank().over(of_school.orderBy("level", "program")), "ln": F.dense_rank().over(Window.partitionBy("doc", "school", "level").orderBy("program")),
+    })
+    return grids.rolling_matrix(words(spark, ROLLING, numbered, "placed"))
 
 
 #: Columns are the programmes' codes; every fourth school's number stands apart from its name.
@@ -77,7 +104,7 @@ def code_matrix(spark, sf_dir):
     register = programs(spark, sf_dir).where("cast(substr(program, 7) as int) % 5 <> 0").selectExpr(
         "'BRAND1' || lpad(substr(program, 7), 2, '0') || '--' AS code", "program AS nob"
     )
-    return grids.code_matrix(words(spark, sf_dir, CODES), register.distinct())
+    return grids.code_matrix(words(spark, CODES, _numbered(spark, sf_dir, 0).drop("doc"), "placed"), register.distinct())
 
 
 #: Rows in the order of level, school and programme, thirty a page. Of three years' layouts one has a column of levels, one
@@ -117,7 +144,20 @@ SELECT doc, page, text, CAST(x AS DOUBLE) AS x0, CAST(x + 4 * length(text) AS DO
 
 def listed_thresholds(spark, sf_dir):
     """Lists in three layouts, the header only where a block begins."""
-    return grids.listed_thresholds(words(spark, sf_dir, LISTS))
+    cells = stored(panel(spark, sf_dir), "panel")
+    # the number of a row is that of its school's rows in a level, and how many rows of the document or level come before them
+    blocks = cells.groupBy("county", "year", "level", "school").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("county", "year").orderBy("level", "school")
+    before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select(
+        *[F.col(k).alias(f"_{k}") for k in ("county", "year", "level", "school")], before(upto).alias("of_doc"),
+        before(Window.partitionBy("county", "year", "level").orderBy("school")).alias("of_level"),
+    )
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in ("county", "year", "level", "school")])
+    own = F.row_number().over(Window.partitionBy("county", "year", "level", "school").orderBy("program")) - 1
+    numbered = cells.withColumn("own", own).join(blocks, same)
+    numbered = numbered.select(*cells.columns, (F.col("of_doc") + F.col("own")).alias("rn"), (F.col("of_level") + F.col("own")).alias("ln"))
+    return grids.listed_thresholds(words(spark, LISTS, numbered, "placed"))
 
 
 #: Cells of two cuts of the same figures: tables by programme, then tables by school with the rounds the other way round and
@@ -146,7 +186,7 @@ FROM lines JOIN (VALUES (0), (1), (2)) AS places(i) ON i >= 0"""
 
 def two_cuts(spark, sf_dir):
     """Figures that a page prints by programme and by school, each once."""
-    return grids.two_cuts(words(spark, sf_dir, CUTS))
+    return grids.two_cuts(words(spark, CUTS, _numbered(spark, sf_dir, 1), "printed"))
 
 
 _PLACES = ", ".join(f"({i})" for i in range(1, 33))
@@ -174,7 +214,7 @@ FROM made JOIN (VALUES {_PLACES}) AS places(i) ON i <= length(text)"""
 
 def rotated_matrix(spark, sf_dir):
     """Tables under upright labels, from single glyphs."""
-    return grids.rotated_matrix(words(spark, sf_dir, GLYPHS))
+    return grids.rotated_matrix(words(spark, GLYPHS, _numbered(spark, sf_dir, 0), "placed"))
 
 
 #: Pages whose links have become images, with pictures named in the head and images of other forms; the same text in both

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import stats
 from panelforge.plans.panel import panel
-from panelforge.queries import evaluation, panels
+from panelforge.queries import evaluation, layouts, panels
 from panelforge.streaming import admission
 
 
@@ -58,3 +58,12 @@ def test_a_busy_sender_is_dealt_by_time(spark):
         near = [o for o in rows.collect() if o.key == r.key and (o.t is None if r.t is None else o.t is not None and r.t - 10 < o.t <= r.t)]
         assert found[r.id] == (len(near), len(near) > 3)
     assert len(found) == rows.count() and got.columns == [*rows.columns, "recent", "limited"]
+
+
+def test_documents_are_numbered_by_their_different_schools(spark):
+    """What a task puts in order is a document's schools, each once; a missing key has a number as well."""
+    rows = [("a", "x", 1), ("a", "x", 2), ("a", "y", 1), ("b", "y", 1), (None, "z", 1), (None, None, 2)]
+    got = layouts._ranked(spark.createDataFrame(rows, "doc string, school string, n int"), ["doc"], "school", "sn", 1)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(
+        [("a", "x", 1, 1), ("a", "x", 2, 1), ("a", "y", 1, 2), ("b", "y", 1, 1), (None, None, 2, 1), (None, "z", 1, 2)], key=str
+    )

@@ -76,25 +76,49 @@ def located(schools: DataFrame, register: DataFrame, manual: DataFrame, addresse
     return out.select("county", "school", tier.alias("tier"), "at.lat", "at.lon")
 
 
-def within_km(a: DataFrame, b: DataFrame, km: float) -> DataFrame:
+#: Points of a place that stand in one row; a pair of such rows is at most CAP * CAP pairs of points.
+CAP = 256
+
+
+def _places(points: DataFrame, side: str) -> DataFrame:
+    """(lat, lon, ids) under names of ``side``: the points of each place, in rows of about ``CAP``."""
+    place, own = ["lat", "lon"], points.select("lat", "lon", F.struct("id").alias("point"))
+    many = own.groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / F.lit(CAP)).alias("rows")).where("rows > 1")
+    row = F.coalesce(F.pmod(F.xxhash64("point"), "rows"), F.lit(0)).alias("row")
+    dealt = own.join(many, place, "left").select(*place, "point", row).groupBy(*place, "row")
+    return dealt.agg(F.collect_list("point").alias("ids")).select(*[F.col(c).alias(f"{c}_{side}") for c in (*place, "ids")])
+
+
+def within_km(a: DataFrame, b: DataFrame, km: float, digits: int | None = None) -> DataFrame:
     """Pairs (id_a, id_b, km) of points at most ``km`` apart: a join on cells of space, then the exact distance.
 
     Points lie on the unit sphere in cubes as wide as the chord of the distance, so those that near are in the same cube or one
-    that touches it, at the poles and across the date line too. Each point of ``a`` asks in these 27 cubes, of which the sphere
+    that touches it, at the poles and across the date line too. Each place of ``a`` asks in these 27 cubes, of which the sphere
     meets few. Points without a latitude or longitude are near nothing.
+
+    Distances are taken between places, once for all points of the same latitude and longitude, and rounded there to ``digits``
+    if given. Places that are near are dealt to all tasks before their points are paired: few places may have many points.
     """
     width = max(2 * math.sin(min(km / (2 * EARTH_KM), math.pi / 2)) * (1 + 1e-9), 1e-9)
+    spark = a.sparkSession
 
-    def point(df: DataFrame, side: str) -> DataFrame:
+    def place(df: DataFrame, side: str) -> DataFrame:
         p, q = F.radians("lat"), F.radians("lon")
         axes = {"x": F.cos(p) * F.cos(q), "y": F.cos(p) * F.sin(q), "z": F.sin(p)}
         cubes = [F.floor(v / width).alias(axis) for axis, v in axes.items()]
-        found = df.where("lat is not null and lon is not null")
-        return found.select(F.col("id").alias(f"id_{side}"), F.col("lat").alias(f"lat_{side}"), F.col("lon").alias(f"lon_{side}"), *cubes)
+        return df.select("lat", "lon").distinct().select(F.col("lat").alias(f"lat_{side}"), F.col("lon").alias(f"lon_{side}"), *cubes)
 
-    asked = point(a, "a")
+    a, b = (df.where("lat is not null and lon is not null") for df in (a, b))
+    asked = place(a, "a")
     for axis in "xyz":
         asked = asked.withColumn(axis, F.explode(F.sequence(F.col(axis) - 1, F.col(axis) + 1)))
     far = haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b"))
-    pairs = asked.join(point(b, "b"), ["x", "y", "z"]).withColumn("km", far)
-    return pairs.where(F.col("km") <= km).select("id_a", "id_b", "km")
+    near = asked.join(place(b, "b"), ["x", "y", "z"]).withColumn("km", far).where(F.col("km") <= km)
+    if digits is not None:
+        near = near.withColumn("km", F.round("km", digits))
+    # the rows are small and the pairs they stand for many, so their number of tasks is not left to adaptive execution
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    rows = near.join(_places(a, "a"), ["lat_a", "lon_a"]).join(_places(b, "b"), ["lat_b", "lon_b"]).select("km", "ids_a", "ids_b").repartition(tasks)
+    for side in "ab":
+        rows = rows.select("*", F.explode(f"ids_{side}").alias(f"point_{side}")).drop(f"ids_{side}")
+    return rows.select(F.col("point_a.id").alias("id_a"), F.col("point_b.id").alias("id_b"), "km")

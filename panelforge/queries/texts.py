@@ -103,7 +103,7 @@ def _points(spark, sf_dir) -> DataFrame:
 def geo_pairs(spark, sf_dir):
     """Suppliers at most 150 km apart, at coordinates made from their keys."""
     p = _points(spark, sf_dir)
-    return match.within_km(p, p, 150.0).where("id_a < id_b").select("id_a", "id_b", F.round("km", 6).alias("km"))
+    return match.within_km(p, p, 150.0, digits=6).where("id_a < id_b")
 
 
 def map_pixels(spark, sf_dir):

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
+from panelforge.operators import match
 from panelforge.plans.panel import panel
 from panelforge.queries import evaluation, layouts, panels
 from panelforge.streaming import admission
@@ -67,3 +68,19 @@ def test_documents_are_numbered_by_their_different_schools(spark):
     assert sorted((tuple(r) for r in got.collect()), key=str) == sorted(
         [("a", "x", 1, 1), ("a", "x", 2, 1), ("a", "y", 1, 2), ("b", "y", 1, 1), (None, None, 2, 1), (None, "z", 1, 2)], key=str
     )
+
+
+def test_distances_are_taken_between_places(spark, monkeypatch):
+    """Points of a place share its distances, in rows of bounded length that are dealt to all tasks; no pair is lost or doubled."""
+    monkeypatch.setattr(match, "CAP", 4)
+    at = [(60.0, 5.0)] * 30 + [(60.5, 5.5)] * 3 + [(60.5, 5.5 + 1e-9), (70.0, 5.0), (None, 5.0), (60.0, None)]
+    ids = [*range(len(at) - 1), None]
+    points = spark.createDataFrame([(i, *p) for i, p in zip(ids, at)] + [(None, 60.5, 5.5), (3, 60.0, 5.0)], "id int, lat double, lon double")
+    got = match.within_km(points, points, 100.0, digits=3)
+    plan = plan_of(got)
+    assert "REPARTITION_BY_NUM" in plan and "ASIN" not in plan[: plan.index("REPARTITION_BY_NUM")]
+    one, two = points.toDF("id_a", "lat_a", "lon_a"), points.toDF("id_b", "lat_b", "lon_b")
+    km = F.round(stats.haversine_km(F.col("lat_a"), F.col("lon_a"), F.col("lat_b"), F.col("lon_b")), 3)
+    want = one.crossJoin(two).select("id_a", "id_b", km.alias("km")).where("km <= 100")
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert max(len(r.ids_a) for r in match._places(points.where("lat is not null"), "a").collect()) < 20

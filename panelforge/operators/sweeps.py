@@ -2,9 +2,12 @@
 
 A sweep visits the effects in turn. Each visit takes what the other effects leave of every observation and sets an effect's
 levels to its shrunken mean, sum / (n + shrink): the exact solution of the penalised least squares in that block, so sweeps
-come closer to the joint solution one by one. Every visit is one aggregation, combined before it is shuffled, and writes the
-effect's levels, the only state between visits; no system is held anywhere. The fill part is the first step of the logistic
-fit from the overall rate. County-years are shrunken here, not a walk.
+come closer to the joint solution one by one. No system is held anywhere. The fill part is the first step of the logistic
+fit from the overall rate. County-years are shrunken here, not a walk. Both parts are swept at once.
+
+Observations move once, into a row for each series with its sums. Effects of schools and series, which are many, are columns
+of that table: a visit to them is a window over the series' rows. Categories, programmes and county-years are few: a visit to
+them is one aggregation, combined before it is shuffled, and writes a table that is joined to the series' rows.
 
 ``coefficients`` is a table (effect, county, level, year, m, eta): a school's level is its name within the county, a series'
 school and programme; ``mu`` and ``alpha`` have neither county nor level. ``m`` belongs to the threshold part, ``eta`` to the
@@ -17,7 +20,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelforge.functions.stats import expit
@@ -34,40 +37,99 @@ EFFECTS = {
 LEVEL = {"cat": "category", "school": "school", "prog": "program", "series": "concat_ws('|', school, program)", "cy": "cast(null as string)"}
 
 
-def _left(rows: DataFrame, mu: float, fitted: dict[str, DataFrame]) -> DataFrame:
-    """``rows`` with ``left``: what the mean and the effects in ``fitted`` leave of z."""
-    for name, found in fitted.items():
-        keys = EFFECTS[name][0]
-        rows = rows.join(found.select(*keys, F.col("b").alias(f"b_{name}")), keys, "left")
-    known = sum((F.coalesce(f"b_{name}", F.lit(0.0)) for name in fitted), F.lit(mu))
-    return rows.withColumn("left", F.col("z") - known).drop(*[f"b_{name}" for name in fitted])
+#: A row of the series' table; a series has a row for each of its categories.
+ROW = ["county", "school", "program", "category"]
+#: Effects whose levels are columns of the series' table; the others are tables of their own.
+CARRIED = ("school", "series")
 
 
-def swept(rows: DataFrame, sweeps: int = 2) -> tuple[float, float | None, dict[str, DataFrame]]:
-    """The mean, the residual variance and a table (key, b, weight) for each effect of ``rows`` (keys, z, w).
+def _sums(rows: DataFrame, parts: tuple[str, ...]) -> DataFrame:
+    """``rows`` (ROW, year and z, w of each part) by series: the observations, and the sums of w and w * z of each part."""
+    cell = F.struct("year", *[f"{x}_{p}" for p in parts for x in "wz"])
+    sums = [F.sum(F.expr(e)).alias(f"{name}_{p}") for p in parts for name, e in (("w", f"w_{p}"), ("wz", f"w_{p} * z_{p}"))]
+    return rows.repartition(*ROW).groupBy(*ROW).agg(F.collect_list(cell).alias("cells"), *sums)
+
+
+def _known(series: DataFrame, mu: dict[str, float], fitted: dict[str, DataFrame], own: str) -> DataFrame:
+    """``series`` with ``known_``: the sum of the mean and the effects, but ``own`` and county-years, of each part.
 
-    ``rows`` is read once a visit and should be a stored table. Rows of weight 0 move no effect; a level whose weights and
-    shrinkage are both 0 has no effect. Without rows the mean is 0 and the variance null.
+    Keys that are null meet no level.
     """
-    mu = rows.agg(F.try_divide(F.sum(F.expr("w * z")), F.sum("w"))).first()[0] or 0.0
+    rows, others = series, [n for n in fitted if n not in (own, "cy")]
+    for name in others:
+        if name not in CARRIED:
+            keys = EFFECTS[name][0]
+            rows = rows.join(fitted[name].select(*keys, *[F.col(f"b_{p}").alias(f"{name}_{p}") for p in mu]), keys, "left")
+    met = lambda name: " AND ".join(f"{k} IS NOT NULL" for k in EFFECTS[name][0])
+    level = lambda name, p: F.coalesce(F.when(F.expr(met(name)), F.col(f"{name}_{p}")), F.lit(0.0))
+    known = {f"known_{p}": sum((level(n, p) for n in others), F.lit(m)) for p, m in mu.items()}
+    return rows.select(*series.columns, *[c.alias(name) for name, c in known.items()])
+
+
+def _observed(known: DataFrame, parts: dict[str, float], *more: str) -> DataFrame:
+    """The observations of the series' rows, with ``left_``: what ``known_`` leaves of z, for each part."""
+    rows = known.select(*more, *[f"known_{p}" for p in parts], F.inline("cells"))
+    return rows.withColumns({f"left_{p}": F.expr(f"z_{p} - known_{p}") for p in parts})
+
+
+def _years(series: DataFrame, cy: DataFrame, parts: dict[str, float]) -> DataFrame:
+    """``series`` with ``years_``: the sum of w times the effect of the county-year, over a row's observations."""
+    of_year = F.struct(*[f"b_{p}" for p in parts])
+    by_county = cy.where("year is not null").groupBy("county").agg(F.map_from_entries(F.collect_list(F.struct("year", of_year))).alias("_cy"))
+    add = lambda p: lambda acc, c: acc + F.coalesce(c[f"w_{p}"] * F.try_element_at("_cy", c["year"])[f"b_{p}"], F.lit(0.0))
+    sums = {f"years_{p}": F.aggregate("cells", F.lit(0.0), add(p)) for p in parts}
+    return series.join(by_county, "county", "left").withColumns(sums).drop("_cy")
+
+
+def _swept(rows: DataFrame, parts: tuple[str, ...], sweeps: int) -> tuple[dict, dict, dict[str, DataFrame]]:
+    """The mean and the residual variance of each part, and a table (key, b_, weight_ of each part) for each effect.
+
+    ``rows`` has ROW, year and z_, w_ of each part, null where an observation is not of that part.
+    """
+    series = stored(_sums(rows, parts), "series")
+    means = series.agg(*[F.try_divide(F.sum(f"wz_{p}"), F.sum(f"w_{p}")).alias(p) for p in parts]).first()
+    mu = {p: means[p] or 0.0 for p in parts}
     fitted: dict[str, DataFrame] = {}
-    for _ in range(sweeps):
+    series = series.withColumns({f"years_{p}": F.lit(0.0) for p in parts})
+    for turn in range(sweeps):
         for name, (keys, shrink) in EFFECTS.items():
-            others = {n: t for n, t in fitted.items() if n != name}
-            own = F.try_divide(F.sum(F.expr("w * left")), F.sum("w") + shrink)
-            visit = _left(rows, mu, others).groupBy(*keys).agg(own.alias("b"), F.sum("w").alias("weight"))
+            left = _known(series, mu, fitted, name)
+            mean = lambda p, of, over=lambda c: c: F.try_divide(over(F.sum(of)), over(F.sum(f"w_{p}")) + shrink)  # noqa: B023, E731
+            rest = {p: F.expr(f"wz_{p} - w_{p} * known_{p} - years_{p}") for p in parts}
+            if name in CARRIED:
+                within = lambda c: c.over(Window.partitionBy(*keys))  # noqa: B023, E731
+                found = left.withColumns({f"{name}_{p}": mean(p, rest[p], within) for p in parts}).drop(*[f"known_{p}" for p in parts])
+                series = stored(found, f"series-{name}")
+                fitted[name] = series.groupBy(*keys).agg(
+                    *[F.max(f"{name}_{p}").alias(f"b_{p}") for p in parts], *[F.sum(f"w_{p}").alias(f"weight_{p}") for p in parts]
+                )
+                continue
+            if name == "cy":
+                left, rest = _observed(left, mu, "county"), {p: F.expr(f"w_{p} * left_{p}") for p in parts}
+            visit = left.groupBy(*keys).agg(*[mean(p, rest[p]).alias(f"b_{p}") for p in parts], *[F.sum(f"w_{p}").alias(f"weight_{p}") for p in parts])
             fitted[name] = stored(visit, f"effect-{name}")
-    spread = F.try_divide(F.sum(F.expr("w * left * left")), F.sum("w"))
-    return mu, _left(rows, mu, fitted).agg(spread).first()[0], fitted
+        if turn < sweeps - 1:
+            series = stored(_years(series, fitted["cy"], mu), "series-years")
+    every = _observed(_known(series, mu, fitted, ""), mu, "county")
+    if "cy" in fitted:
+        every = every.join(fitted["cy"].select("county", "year", *[f"b_{p}" for p in parts]), ["county", "year"], "left")
+        every = every.withColumns({f"left_{p}": F.col(f"left_{p}") - F.coalesce(f"b_{p}", F.lit(0.0)) for p in parts})
+    spread = [F.try_divide(F.sum(F.expr(f"w_{p} * left_{p} * left_{p}")), F.sum(f"w_{p}")).alias(p) for p in parts]
+    return mu, every.agg(*spread).first().asDict(), fitted
 
 
-def _levels(spark: SparkSession, mu: float, fitted: dict[str, DataFrame]) -> DataFrame:
-    """(effect, county, level, year, b, weight) of all effects of a fit, the mean first."""
-    parts = [spark.createDataFrame([("mu", mu)], "effect string, b double")]
-    for name, found in fitted.items():
-        level = found.select(*[k for k in EFFECTS[name][0] if k in ("county", "year")], F.expr(LEVEL[name]).alias("level"), "b", "weight")
-        parts.append(level.withColumn("effect", F.lit(name)))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+def _part(z: Column, w: Column, part: str) -> list[Column]:
+    return [z.alias(f"z_{part}"), F.when(z.isNotNull(), w).alias(f"w_{part}")]
+
+
+def swept(rows: DataFrame, sweeps: int = 2) -> tuple[float, float | None, dict[str, DataFrame]]:
+    """The mean, the residual variance and a table (key, b, weight) for each effect of ``rows`` (keys, z, w).
+
+    ``rows`` is read once. Rows of weight 0 move no effect; a level whose weights and shrinkage are both 0 has no effect.
+    Without rows the mean is 0 and the variance null.
+    """
+    mu, sigma2, fitted = _swept(rows.select(*ROW, "year", *_part(F.col("z"), F.col("w"), "z")), ("z",), sweeps)
+    return mu["z"], sigma2["z"], {name: found.withColumnsRenamed({"b_z": "b", "weight_z": "weight"}) for name, found in fitted.items()}
 
 
 def coefficients(obs: DataFrame, sweeps: int = 2) -> DataFrame:
@@ -75,18 +137,19 @@ def coefficients(obs: DataFrame, sweeps: int = 2) -> DataFrame:
 
     ``obs`` should be a stored table. Empty observations give the two means 0 and no level.
     """
-    spark = obs.sparkSession
-    numbers = obs.where("state = 'num'").withColumn("z", F.col("v").cast("double"))
-    mu, sigma2, level = swept(numbers, sweeps)
-    filled = obs.withColumn("y", (F.col("state") != "open").cast("double"))
-    rate = filled.agg(F.try_divide(F.sum(F.expr("w * y")), F.sum("w"))).first()[0]
+    y, w = (F.col("state") != "open").cast("double"), F.col("w")
+    rate = obs.agg(F.try_divide(F.sum(w * y), F.sum("w"))).first()[0]
     rate = min(max(0.5 if rate is None else rate, 1e-6), 1 - 1e-6)
     q = rate * (1 - rate)
-    step = filled.withColumns({"z": math.log(rate / (1 - rate)) + (F.col("y") - rate) / q, "w": F.col("w") * q})
-    eta, _, fill = swept(step, sweeps)
-    a = _levels(spark, mu, level).withColumnRenamed("b", "m").withColumn("info", F.try_divide("weight", F.lit(sigma2).cast("double")))
-    b = _levels(spark, eta, fill).withColumnRenamed("b", "eta")
-    both = a.drop("weight").unionByName(b.drop("weight"), allowMissingColumns=True)
+    number = F.when(F.col("state") == "num", F.col("v").cast("double"))
+    step = math.log(rate / (1 - rate)) + (y - rate) / q
+    mu, sigma2, fitted = _swept(obs.select(*ROW, "year", *_part(number, w, "m"), *_part(step, w * q, "eta")), ("m", "eta"), sweeps)
+    parts = [obs.sparkSession.createDataFrame([("mu", mu["m"], mu["eta"])], "effect string, m double, eta double")]
+    for name, found in fitted.items():
+        info = F.try_divide("weight_m", F.lit(sigma2["m"]).cast("double")).alias("info")
+        level = found.select(*[k for k in EFFECTS[name][0] if k in ("county", "year")], F.expr(LEVEL[name]).alias("level"), F.col("b_m").alias("m"), F.col("b_eta").alias("eta"), info)
+        parts.append(level.withColumn("effect", F.lit(name)))
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return both.groupBy("effect", "county", "level", "year").agg(*[F.max(c).alias(c) for c in ("m", "eta", "info")])
 
 

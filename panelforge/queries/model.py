@@ -69,8 +69,9 @@ def forecasts_quick(spark, sf_dir):
 
 def _weighted(spark, sf_dir):
     """The observations, their weight halving every 4 years before the newest of all."""
-    obs = observations(panel(spark, sf_dir)).select(*SERIES, "category", "year", "state", "v")
-    return stored(obs.withColumn("w", age_weight(obs.agg(F.max("year")).scalar(), F.col("year"), F.lit(4.0))), "weighted")
+    # stored before the newest year is asked for, which would make the panel twice
+    obs = stored(observations(panel(spark, sf_dir)).select(*SERIES, "category", "year", "state", "v"), "observed")
+    return obs.withColumn("w", age_weight(obs.agg(F.max("year")).scalar(), F.col("year"), F.lit(4.0)))
 
 
 def swept_coefficients(spark, sf_dir):

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelforge.functions import stats
-from panelforge.operators import match
+from panelforge.operators import match, sweeps
 from panelforge.plans.panel import panel
 from panelforge.queries import evaluation, layouts, panels
 from panelforge.streaming import admission
@@ -84,3 +84,18 @@ def test_distances_are_taken_between_places(spark, monkeypatch):
     want = one.crossJoin(two).select("id_a", "id_b", km.alias("km")).where("km <= 100")
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     assert max(len(r.ids_a) for r in match._places(points.where("lat is not null"), "a").collect()) < 20
+
+
+def test_observations_are_read_once_by_all_sweeps(spark, tmp_path, monkeypatch):
+    """Visits read the series' rows; none joins a table of series to observations. Both parts are swept at once."""
+    cells = [("c", f"s{s}", f"p{p}", f"k{p % 2}", y, "open" if s == 2 else "num", 30.0 + s + p + y % 5, 0.5) for s in range(3) for p in range(2) for y in range(2018, 2022)]
+    spark.createDataFrame(cells, "county string, school string, program string, category string, year int, state string, v double, w double").write.parquet(f"{tmp_path}/obs")
+    plans, store = [], sweeps.stored
+    monkeypatch.setattr(sweeps, "stored", lambda rows, name: plans.append(plan_of(rows)) or store(rows, name))
+    found = sweeps.coefficients(spark.read.parquet(f"{tmp_path}/obs")).collect()
+    assert sum(f"{tmp_path}/obs" in plan for plan in plans) == 1
+    schools = {r.level: r for r in found if r.effect == "school"}
+    assert set(schools) == {"s0", "s1", "s2"} and schools["s2"].m is None and schools["s2"].info is None and None not in (schools["s2"].eta, schools["s0"].m)
+    numbers = spark.createDataFrame([c for c in cells if c[5] == "num"], "county string, school string, program string, category string, year int, state string, z double, w double")
+    alone = {r.school: r.b for r in sweeps.swept(numbers)[2]["school"].collect()}
+    assert alone.keys() == {"s0", "s1"} and all(abs(alone[s] - schools[s].m) < 1e-9 for s in alone)

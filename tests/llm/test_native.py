@@ -179,3 +179,20 @@ def test_nulls_inside_given_conversations(spark):
     assert [first.chosen_text[s.start : s.stop] for s in first.chosen_spans] == ["<|im_end|>\n", "end<|im_end|>\n"]
     assert (got[1].prompt, got[1].chosen_text, got[1].chosen_spans) == ("", "", [])
     assert (got[2].chosen_text, got[2].rejected_text) == ("<|im_start|>user\n<|im_end|>\n", "")
+
+
+def test_leaves_are_made_once_a_line(spark):
+    """No filter makes a leaf before the one that is used; blanks of any kind part tokens, other spaces do not."""
+    import duckdb
+
+    texts = ["\t a  b\r\rc 1 \n\n \r\n7 \t 8\nx  9\u0085\n \n5 ", "a b c 2\n7 8\nx  3\u0085\n ", "7  9\n  \na\tb c 44\n5 \t", "a b c d", "", " ", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lines = line_templates._lines(docs)
+    plan = line_templates._perhaps_of(lines, lines.select("leaf"))._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.split("\n") if "Filter" in line and "xxhash64" in line]
+    got = {r.doc_id: (r._lines, r._dropped) for r in line_templates.drop_lines(docs).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    want = {i: (n, gone) for i, n, gone, _ in con.execute(line_templates.ORACLE_SQL).fetchall()}
+    assert got == want and sum(gone for _, gone in want.values()) > 3

@@ -4,8 +4,11 @@ Every series belongs to one school and every school to one county, so series and
 observations lie. What is left is a system of the mean, categories, programmes and county-years, which has a few dozen
 unknowns whatever the number of schools. The panel is written once with one row a school (``packed``); a pass over it gives
 each fold's system as a sum over schools, which Spark adds up by (fold, county), and the driver solves. All folds and
-half-lives share a pass. The sums are quadratic forms of the solution, so one pass also gives the residual and the squared
-effects that the spreads follow from.
+half-lives share a pass, and folds that differ in the coupling only share the fit of the level. The sums are quadratic forms of
+the solution, so one pass also gives the residual and the squared effects that the spreads follow from.
+
+A series meets one programme, so its products are taken over years and the like only, summed by programme, and spread over the
+shared levels once a task. Cells lie in planes of one year each, a number a series, so no row is looked up in a pass.
 
 In the fill part, schools and series are brought to their optimum for the given other effects within a pass, so that a step
 of the others is a Newton step of the whole and no state of a school is kept between passes.
@@ -52,6 +55,34 @@ class Space:
         cy = slice(k, k + ny * len(self.counties))
         self.slices = {"mu": slice(0, 1), "cat": slice(1, 1 + nc), "prog": slice(1 + nc, k), "cy": cy, "late": slice(cy.stop, cy.stop + 2)}
         self.slices["alpha"] = slice(cy.stop + 2, cy.stop + 3)
+        # each programme's categories, numbered within it: place of a kind's category, and a table of them for each place
+        met = np.unique(c[:, [1, 0]], axis=0)
+        place = np.arange(len(met)) - np.searchsorted(met[:, 0], met[:, 0])
+        found = np.searchsorted(met[:, 0] * nc + met[:, 1], c[:, 1] * nc + c[:, 0])
+        self.place = place[found] if len(c) else np.zeros(0, int)
+        self.cat_of = np.zeros((int(place.max(initial=0)) + 1, np_, nc))
+        self.cat_of[place, met[:, 0], met[:, 1]] = 1.0
+
+    def years_before(self, until: int | None) -> int:
+        return len(self.years) if until is None else int(np.searchsorted(self.years, until))
+
+    def spread(self, until: int | None, which: str, couple: bool) -> np.ndarray:
+        """Of each programme, what a series' own columns are among a county's: categories' weights, years, (late,) (alpha,) value."""
+        n, ny, fill = len(self.cat_of), self.years_before(until), which == "fill"
+        k = 1 + len(self.cats) + len(self.progs)
+        out = np.zeros((len(self.progs), n + ny + fill + couple * fill + 1, self.g + 1))
+        for i in range(n):
+            out[:, i, 0] = 1.0
+            out[:, i, 1 : 1 + len(self.cats)] = self.cat_of[i]
+            out[:, i, 1 + len(self.cats) : k] = np.eye(len(self.progs))
+            out[:, i, k + len(self.years)] = fill
+        out[:, np.arange(n, n + ny), k + np.arange(ny)] = 1.0
+        if fill:
+            out[:, n + ny, k + len(self.years) : k + len(self.years) + 2] = -1.0, 1.0
+        if fill and couple:
+            out[:, n + ny + 1, self.g - 1] = 1.0
+        out[:, -1, self.g] = 1.0
+        return out
 
     def whole(self, county: int) -> np.ndarray:
         """The place of each entry of a county's vector in the whole one."""
@@ -72,6 +103,8 @@ class Part:
     done: bool = False
     out: dict = field(default_factory=dict)
     residual: float = 1.0
+    last: tuple | None = None  # the spread before and the residual it gave, and how steeply residuals follow spreads
+    slope: float | None = None
 
 
 @dataclass
@@ -100,24 +133,26 @@ class Fold:
 class Packed:
     rows: DataFrame
     space: Space
-    counts: pd.DataFrame  # of each kind: county, year, late, n, n_num
+    counts: pd.DataFrame  # of each kind: county, year, late, n, n_num, and its numbers' sum and sum of squares
 
 
 def packed(rows: DataFrame) -> Packed:
     """``rows`` (as ``model.model_rows`` gives them) with one row a school; the kinds, programmes times county-years, are collected."""
     keys = ["program", "category", "county", "year", "late"]
     late = F.coalesce(F.col("late").cast("boolean"), F.lit(False))
-    rows = rows.withColumn("late", late)
-    n_num = F.count_if(F.col("state") == "num").alias("n_num")
-    kinds = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), n_num).toPandas().sort_values(keys, ignore_index=True)
+    moved = F.col("v").cast("double") - F.when(late, F.col("offset").cast("double")).otherwise(0.0)
+    rows = rows.withColumns({"late": late, "z": moved})
+    is_num = F.col("state") == "num"
+    sums = [F.count(F.lit(1)).alias("n"), F.count_if(is_num).alias("n_num")]
+    sums += [F.coalesce(F.sum(F.when(is_num, x)), F.lit(0.0)).alias(name) for name, x in (("sum", F.col("z")), ("squares", F.col("z") * F.col("z")))]
+    kinds = rows.groupBy(*keys).agg(*sums).toPandas().sort_values(keys, ignore_index=True)
     levels = {c: sorted(kinds[c].unique()) for c in ("category", "program", "county", "year")}
     codes = [np.searchsorted(np.array(levels[c], dtype=object), kinds[c].to_numpy(object)) for c in ("category", "program", "county", "year")]
     space = Space(*[[x.item() if hasattr(x, "item") else x for x in levels[c]] for c in levels], np.stack([*codes, kinds["late"].to_numpy(int)], axis=1).astype(int))
     spark = rows.sparkSession
     known = spark.createDataFrame(kinds[keys].assign(kind=np.arange(len(kinds))).astype({"year": int}), "program string, category string, county string, year int, late boolean, kind int")
-    state = F.when(F.col("state") == "num", 0).when(F.col("state") == "zero", 1).otherwise(2)
-    moved = F.col("v").cast("double") - F.when(F.col("late"), F.col("offset").cast("double")).otherwise(0.0)
-    cell = F.struct("kind", state.cast("int").alias("state"), moved.alias("z"))
+    state = F.when(is_num, 0).when(F.col("state") == "zero", 1).otherwise(2)
+    cell = F.struct("kind", state.cast("int").alias("state"), "z")
     n = int(kinds["n"].sum())
     tasks = max(1, min(n // 50_000 + 1, 4 * spark.sparkContext.defaultParallelism))
     # kinds are numbered by programme, so a school's series are stretches of its sorted cells
@@ -126,46 +161,67 @@ def packed(rows: DataFrame) -> Packed:
 
 
 class Chunk:
-    """The cells of some schools of one county, by school and series."""
+    """The cells of some schools of one county, by school and series; series are in the order of programmes and schools."""
 
     def __init__(self, space: Space, county: int, schools: list, sizes: np.ndarray, kind: np.ndarray, state: np.ndarray, z: np.ndarray):
         self.space, self.county, self.schools, self.kind, self.state, self.z = space, county, schools, kind, state, z
-        school = np.repeat(np.arange(len(sizes)), sizes)
-        self.prog = space.kinds[kind, 1]
-        pair = school * len(space.progs) + self.prog
-        keys, self.series = np.unique(pair, return_inverse=True)
-        self.owner, self.series_prog = keys // len(space.progs), keys % len(space.progs)
+        school, n = np.repeat(np.arange(len(sizes)), sizes), len(space.progs)
+        pair = school * n + space.kinds[kind, 1]
+        new = np.r_[True, pair[1:] != pair[:-1]]
+        keys = pair[new]
+        order = np.argsort(keys % n, kind="stable")
+        place = np.empty(len(order), int)
+        place[order] = np.arange(len(order))
+        self.series = place[np.cumsum(new) - 1]
+        self.owner, self.series_prog = (keys // n)[order], (keys % n)[order]
         self.nt, self.ns = len(keys), len(sizes)
         self.year, self.late = space.year_of[kind], space.late_of[kind]
-
-    def weights(self, fold: Fold) -> tuple[np.ndarray, np.ndarray]:
-        """The rows that a fold learns from, and their weights."""
-        rows = np.flatnonzero(self.year < fold.until) if fold.until is not None else np.arange(len(self.kind))
-        if fold.halflife is None:
-            return rows, np.ones(len(rows))
-        return rows, 0.5 ** ((fold.newest[self.county] - self.year[rows]) / fold.halflife)
-
-    def shared(self, part: Part, rows: np.ndarray, late: bool) -> np.ndarray:
-        b = part.b[self.space.whole(self.county)]
-        return b[self.space.columns[self.kind[rows], : 5 if late else 4]].sum(axis=1)
-
-    def by_series(self, rows: np.ndarray, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.series[rows], x, self.nt)
+        self.cut = np.searchsorted(self.series_prog, np.arange(n + 1))
+        self.full = self.nt == self.ns * np.count_nonzero(np.diff(self.cut))
+        # cells: what a series has of a kind; planes: each has at most one cell a series, all of one year
+        at = np.flatnonzero(new | np.r_[True, kind[1:] != kind[:-1]])
+        sums = [np.add.reduceat(x, at) for x in ((state == 0).astype(float), np.where(state == 0, z, 0.0), (state != 2).astype(float), np.ones(len(kind)))]
+        series, kinds = self.series[at], kind[at]
+        key = series * len(space.years) + space.kinds[kinds, 3]
+        turn = np.zeros(len(at), int)
+        if np.bincount(key).max() > 1:
+            order = np.argsort(key, kind="stable")
+            turn[order] = np.arange(len(at)) - np.searchsorted(key[order], key[order])
+        turns = int(turn.max()) + 1
+        slots, plane = np.unique(space.kinds[kinds, 3] * turns + turn, return_inverse=True)
+        self.plane_year = slots // turns
+        places, shape = plane * self.nt + series, (len(slots), self.nt)
+
+        def laid(x: np.ndarray) -> np.ndarray:
+            out = np.zeros(shape, x.dtype)
+            out.ravel()[places] = x
+            return out
+
+        self.kinds, (self.nums, self.sum, self.filled, self.all) = laid(kinds), map(laid, sums)
+        self.is_late = laid(space.late_of[kinds].astype(float))
+        self.near = None
+
+    def weights(self, fold: Fold) -> np.ndarray:
+        """Of the planes that a fold learns from."""
+        years = np.array(self.space.years)[self.plane_year[: np.searchsorted(self.plane_year, self.space.years_before(fold.until))]]
+        return np.ones(len(years)) if fold.halflife is None else 0.5 ** ((fold.newest[self.county] - years) / fold.halflife)
+
+    def shared(self, part: Part, late: bool) -> np.ndarray:
+        """What the other effects give for each kind (of this county; 0 of the others)."""
+        b, mine = part.b[self.space.whole(self.county)], self.space.kinds[:, 2] == self.county
+        return np.where(mine, b[self.space.columns[:, : 5 if late else 4]].sum(axis=1), 0.0)
 
     def by_school(self, x: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, x, self.ns)
-
-    def level_rows(self, fold: Fold) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        rows, w = self.weights(fold)
-        num = self.state[rows] == 0
-        rows, w = rows[num], w[num]
-        return rows, w / fold.level.sigma**2, self.z[rows]
+        if self.full:
+            return x.reshape(*x.shape[:-1], -1, self.ns).sum(axis=-2)
+        return np.bincount(self.owner, x, self.ns) if x.ndim == 1 else np.stack([np.bincount(self.owner, y, self.ns) for y in x])
 
     def level_effects(self, fold: Fold) -> tuple[np.ndarray, np.ndarray]:
         """Of schools and series, given the other effects; 0 of those without a number."""
-        rows, w, z = self.level_rows(fold)
-        taus = fold.level.taus
-        q, weight = self.by_series(rows, w * (z - self.shared(fold.level, rows, False))), self.by_series(rows, w)
+        w = self.weights(fold) / fold.level.sigma**2
+        n, taus = len(w), fold.level.taus
+        q = w @ (self.sum[:n] - self.nums[:n] * self.shared(fold.level, False)[self.kinds[:n]])
+        weight = w @ self.nums[:n]
         d = weight + 1 / taus["series"] ** 2
         left = 1 - weight / d
         school = self.by_school(q * left) / (self.by_school(weight * left) + 1 / taus["school"] ** 2)
@@ -175,76 +231,136 @@ class Chunk:
         return self.level_effects(fold)[0] if fold.couple else np.zeros(self.ns)
 
     def fill_effects(self, fold: Fold, alpha: np.ndarray) -> tuple:
-        """Schools and series at their optimum given the other effects; rows, weights and working response there."""
-        rows, w = self.weights(fold)
-        y, own, part = (self.state[rows] != 2).astype(float), self.series[rows], fold.fill
-        fixed = self.shared(part, rows, True) + part.b[-1] * alpha[self.owner][own]
+        """Schools and series at their optimum given the other effects; weights and weighted working responses there.
+
+        A step that changes no logit by more than 1.5 never makes the loss larger, whatever the weights (its third derivative
+        is at most the second), so longer steps are cut to that.
+        """
+        w, part = self.weights(fold), fold.fill
+        n, owner = len(w), self.owner
         a, b = 1 / part.taus["school"] ** 2, 1 / part.taus["series"] ** 2
-        school, series, move, push = np.zeros(self.ns), np.zeros(self.nt), np.zeros(self.ns), np.zeros(self.nt)
-        loss = np.full(self.ns, np.inf)
-        for _ in range(100):
-            u, t = school + move, series + push
-            eta = np.clip(fixed + (u[self.owner] + t)[own], -30, 30)
-            p = 1 / (1 + np.exp(-eta))
-            h = np.maximum(p * (1 - p), 1e-6)
-            lost = self.by_series(rows, w * (np.log1p(np.exp(eta)) - y * eta)) + b / 2 * t**2
-            lost = self.by_school(lost) + a / 2 * u**2
-            good = lost <= loss + 1e-9 * (1 + np.abs(lost))  # the others go half as far
-            mine = good[self.owner]
-            school, series, loss = np.where(good, u, school), np.where(mine, t, series), np.where(good, lost, loss)
-            info, pull = self.by_series(rows, w * h), self.by_series(rows, w * (y - p))
-            d, pulled = info + b, pull - b * t
+        fixed = self.shared(part, True)[self.kinds[:n]]
+        own = part.b[-1] * alpha[owner] if fold.couple else 0.0
+        odds, most = np.exp(-fixed), np.abs(fixed).max(initial=0)
+        weight, filled = w[:, None] * self.all[:n], w @ self.filled[:n]
+        school, series = self.near or (np.zeros(self.ns), np.zeros(self.nt))
+        p, wp, h = np.empty((3, n, self.nt))
+        for turn in range(200):
+            s = own + school[owner] + series
+            np.multiply(odds, np.exp(-s), out=p)
+            far = most + np.abs(s).max(initial=0)
+            if far > 30:
+                np.clip(p, np.exp(-30.0), np.exp(30.0), out=p)
+            p += 1.0
+            np.reciprocal(p, out=p)
+            np.multiply(weight, p, out=wp)
+            if far > 13:
+                np.multiply(weight, np.maximum(p * (1 - p), 1e-6), out=h)
+            else:
+                np.multiply(wp, p, out=h)
+                np.subtract(wp, h, out=h)
+            info, pull = h.sum(axis=0), filled - wp.sum(axis=0)
+            d, pulled = info + b, pull - b * series
             left = info / d
-            step = (self.by_school(pull - left * pulled) - a * u) / (self.by_school(info - info * left) + a)
-            move, push = np.where(good, step, move / 2), np.where(mine, (pulled - info * step[self.owner]) / d, push / 2)
-            if max(np.abs(move).max(initial=0), np.abs(push).max(initial=0)) < 1e-10:
+            move = (self.by_school(pull - left * pulled) - a * school) / (self.by_school(info - info * left) + a)
+            push = (pulled - info * move[owner]) / d
+            size = np.abs(move[owner] + push)
+            if size.max(initial=0) > 1.5:
+                longest = np.ones(self.ns)
+                np.maximum.at(longest, owner, size / 1.5)
+                move, push = move / longest, push / longest[owner]
+            school, series = school + move, series + push
+            if max(np.abs(move).max(initial=0), np.abs(push).max(initial=0)) < 1e-6:
                 break
-        return school, series, rows, w * h, eta + (y - p) / h
-
-    def sums(self, fold: Fold, which: str) -> np.ndarray:
-        """Quadratic forms in (-b, 1): the whole, less what is eliminated, the residual, squared effects of schools and of series."""
-        if which == "level":
-            (rows, w, z), part, alpha = self.level_rows(fold), fold.level, np.zeros(self.ns)
+        self.near = school, series
+        eta = fixed + s
+        if far > 30:
+            np.clip(eta, -30, 30, out=eta)
+        return school, series, h, h * eta + w[:, None] * self.filled[:n] - wp
+
+    def own_columns(self, fold: Fold, x: np.ndarray, *others: np.ndarray) -> np.ndarray:
+        """Of each series the weights of its categories and its years, from those of its planes, and ``others``."""
+        n, ny = len(self.space.cat_of), self.space.years_before(fold.until)
+        out = np.zeros((n + ny + len(others), self.nt))
+        if n == 1:
+            x.sum(axis=0, out=out[0])
         else:
-            alpha = self.alpha(fold)
-            _, _, rows, w, z = self.fill_effects(fold, alpha)
-            part = fold.fill
-        width, g = 4 if which == "level" else 5, self.space.g
-        columns = np.concatenate([self.space.columns[self.kind[rows], :width], np.full((len(rows), 1), g)], axis=1)
-        values = np.repeat(w[:, None], width + 1, axis=1)
-        values[:, -1] *= z
-        places = self.series[rows][:, None] * (g + 1) + columns
-        v = np.bincount(places.ravel(), values.ravel(), self.nt * (g + 1)).reshape(self.nt, g + 1)
-        weight = v[:, 0].copy()
-        v[:, g - 1] = alpha[self.owner] * weight
-        # the whole: by kind of cell, and the covariate apart
-        n = len(self.space.kinds)
-        x = np.zeros((n, g + 1))
-        np.put_along_axis(x, self.space.columns[:, :width], 1.0, axis=1)
-        used = np.flatnonzero(np.bincount(self.kind[rows], minlength=n))
-        x = x[used]
-        whole = x.T @ (np.bincount(self.kind[rows], w, n)[used][:, None] * x)
-        whole[:, g] = whole[g] = x.T @ np.bincount(self.kind[rows], w * z, n)[used]
-        whole[g, g] = (w * z * z).sum()
-        whole[:, g - 1] = whole[g - 1] = alpha[self.owner] @ v
-        # series, then schools
-        starts = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1]])
-        add = lambda m: np.add.reduceat(m, starts, axis=0)
-        d = weight + 1 / part.taus["series"] ** 2
-        left = 1 - weight / d
-        e, cross, share = add(v * left[:, None]), add(v * (weight * left / d)[:, None]), add(v * (weight / d**2)[:, None])
-        n_s, o_s = add(weight * left**2)[:, None], add(weight**2 / d**2)[:, None]
-        held = add(weight)
-        ds = add(weight * left)[:, None] + 1 / part.taus["school"] ** 2
-        form = lambda m, by: m.T @ (m * by)
-        half = cross.T @ (e / ds)
-        rss = whole + form(v, (weight / d**2 - 2 / d)[:, None]) + form(e, n_s / ds**2 - 2 / ds) + half + half.T
-        half = share.T @ (e / ds)
-        series = form(v, 1 / d[:, None] ** 2) - half - half.T + form(e, o_s / ds**2)
-        reduced = whole - form(v, 1 / d[:, None]) - form(e, 1 / ds)
+            place = self.space.place[self.kinds[: len(x)]]
+            for i in range(n):
+                out[i] = np.where(place == i, x, 0.0).sum(axis=0)
+        for plane, year in zip(x, self.plane_year):
+            out[n + year] += plane
+        for i, other in enumerate(others):
+            out[n + ny + i] = other
+        return out
+
+    def level_sums(self, fold: Fold, into: Sums) -> None:
+        w = self.weights(fold) / fold.level.sigma**2
+        x = w[:, None] * self.nums[: len(w)]
+        self.eliminated(self.own_columns(fold, x, w @ self.sum[: len(w)]), x.sum(axis=0), fold.level, into)
+
+    def fill_sums(self, fold: Fold, into: Sums) -> None:
+        alpha = self.alpha(fold)
+        _, _, x, z = self.fill_effects(fold, alpha)
+        kinds, n = self.kinds[: len(x)].ravel(), len(self.space.kinds)
+        into.kinds[0] += np.bincount(kinds, x.ravel(), n)
+        into.kinds[1] += np.bincount(kinds, z.ravel(), n)
+        weight, value = x.sum(axis=0), z.sum(axis=0)
+        others = [(x * self.is_late[: len(x)]).sum(axis=0)]
+        if fold.couple:
+            others.append(alpha[self.owner] * weight)
+            into.kinds[2] += np.bincount(kinds, (x * alpha[self.owner]).ravel(), n)
+            into.covariate += (alpha[self.owner] ** 2 * weight).sum(), (alpha[self.owner] * value).sum()
+            into.post[4] = max(into.post[4], np.abs(alpha).max(initial=0))
+        self.eliminated(self.own_columns(fold, x, *others, value), weight, fold.fill, into)
+
+    def eliminated(self, v: np.ndarray, weight: np.ndarray, part: Part, into: Sums) -> None:
+        """Series, then schools: what they take of the system, the residual, squared effects of series and of schools."""
+        inv = 1 / (weight + 1 / part.taus["series"] ** 2)
+        left = 1 - weight * inv
+        by = [inv, inv**2] + ([weight * inv**2 - 2 * inv] if into.level else [])
+        scaled = v * np.stack(by)[:, None, :]
+        for p, (i, j) in enumerate(zip(self.cut[:-1], self.cut[1:])):
+            if i < j:
+                into.own[p] += scaled[:, :, i:j] @ v[:, i:j].T
+        n_s, o_s, held, ds = self.by_school(np.stack([weight * left**2, (weight * inv) ** 2, weight, weight * left]))
+        ds = 1 / (ds + 1 / part.taus["school"] ** 2)[:, None]
+        e, share = self.met(v, left, into), self.met(v, weight * inv**2, into)
+        into.schools[0] += e.T @ (e * ds)
+        into.schools[1] += e.T @ (e * (o_s[:, None] * ds**2) - 2 * share * ds)
+        into.schools[-1] += e.T @ (e * ds**2)
+        if into.level:
+            into.schools[2] += e.T @ (e * (n_s[:, None] * ds**2 - 2 * ds) + 2 * self.met(v, weight * left * inv, into) * ds)
         met, seen = weight > 0, held > 0
-        post = [seen.sum(), (1 / (held[seen] + 1 / part.taus["school"] ** 2)).sum(), met.sum(), (1 / d[met]).sum(), np.abs(alpha).max(initial=0)]
-        return np.concatenate([m.ravel() for m in (whole, reduced, rss, form(e, 1 / ds**2), series)] + [np.array(post, float)])
+        into.post[:4] += seen.sum(), (1 / (held[seen] + 1 / part.taus["school"] ** 2)).sum(), met.sum(), inv[met].sum()
+
+    def met(self, v: np.ndarray, by: np.ndarray, into: Sums) -> np.ndarray:
+        """The columns of each school, its series' ones times ``by``."""
+        n, progs = len(self.space.cat_of), len(self.space.progs)
+        v = v * by
+        first = np.zeros((n, self.ns, progs))
+        first[:, self.owner, self.series_prog] = v[:n]
+        return sum(x @ t for x, t in zip(first, into.first)) + self.by_school(v[n:]).T @ into.rest
+
+
+class Sums:
+    """What a task adds up of a fold in a county: forms in a series' own columns by programme, and forms of schools."""
+
+    def __init__(self, space: Space, fold: Fold, which: str):
+        self.space, self.level = space, which == "level"
+        self.to = space.spread(fold.until, which, fold.couple)
+        n, m, g = len(space.cat_of), self.to.shape[1], space.g + 1
+        self.first, self.rest = [self.to[:, i] for i in range(n)], self.to[0, n:]
+        self.own, self.schools = np.zeros((len(space.progs), 2 + self.level, m, m)), np.zeros((3 + self.level, g, g))
+        self.kinds, self.covariate, self.post = np.zeros((3, len(space.kinds))), np.zeros(2), np.zeros(5)
+
+    def flat(self, county: int) -> np.ndarray:
+        """The forms of what is taken, of series, (of the residual,) of schools; the kinds' sums; the covariate's; the counts."""
+        forms = self.schools
+        to = self.to[:, None]
+        forms[:-1] += (to.swapaxes(2, 3) @ self.own @ to).sum(axis=0)
+        kinds = self.kinds[:, self.space.kinds[:, 2] == county]
+        return np.concatenate([forms.ravel(), kinds.ravel(), self.covariate, self.post])
 
 
 def chunks(space: Space, batch: pa.RecordBatch):
@@ -267,25 +383,21 @@ SUMS = "fold int, county int, sums binary"
 
 
 def _pass(panel: Packed, folds: dict[int, tuple[Fold, str]]) -> dict[int, tuple]:
-    """Of each fold the five forms over the whole vector, and the counts."""
+    """Of each fold the forms over the whole vector, and the counts."""
     space = panel.space
 
     def task(batches):
-        found: dict[tuple[int, int], np.ndarray] = {}
+        found: dict[tuple[int, int], Sums] = {}
         for batch in batches:
             for chunk in chunks(space, batch):
                 for k, (fold, which) in folds.items():
-                    got = chunk.sums(fold, which)
-                    place = (k, chunk.county)
-                    if place in found:
-                        most = max(found[place][-1], got[-1])
-                        found[place] += got
-                        found[place][-1] = most
-                    else:
-                        found[place] = got
+                    into = found.get((k, chunk.county))
+                    if into is None:
+                        into = found[k, chunk.county] = Sums(space, fold, which)
+                    (chunk.level_sums if which == "level" else chunk.fill_sums)(fold, into)
         keys = list(found)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k].tobytes() for k in keys], pa.binary())],
+            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([found[k].flat(k[1]).tobytes() for k in keys], pa.binary())],
             ["fold", "county", "sums"],
         )
 
@@ -296,14 +408,52 @@ def _pass(panel: Packed, folds: dict[int, tuple[Fold, str]]) -> dict[int, tuple]
         return pd.DataFrame({"fold": frame["fold"].iloc[:1], "county": frame["county"].iloc[:1], "sums": [out.tobytes()]})
 
     g1, p1 = space.g + 1, space.p + 1
-    forms = {k: (np.zeros((5, p1, p1)), np.zeros(5)) for k in folds}
+    found = {k: (np.zeros((3 + (which == "level"), p1, p1)), np.zeros((3, len(space.kinds))), np.zeros(2), np.zeros(5)) for k, (_, which) in folds.items()}
     for row in panel.rows.mapInArrow(task, SUMS).groupBy("fold", "county").applyInPandas(total, SUMS).collect():
-        got, (into, post) = np.frombuffer(row.sums), forms[row.fold]
-        at = np.r_[space.whole(row.county), space.p]
-        into[:, at[:, None], at] += got[: 5 * g1 * g1].reshape(5, g1, g1)
+        got, (forms, kinds, covariate, post) = np.frombuffer(row.sums), found[row.fold]
+        at, n = np.r_[space.whole(row.county), space.p], len(forms) * g1 * g1
+        forms[:, at[:, None], at] += got[:n].reshape(-1, g1, g1)
+        kinds[:, space.kinds[:, 2] == row.county] += got[n:-7].reshape(3, -1)
+        covariate += got[-7:-5]
         post[:4] += got[-5:-1]
         post[4] = max(post[4], got[-1])
-    return forms
+    out = {}
+    for k, (fold, which) in folds.items():
+        forms, kinds, covariate, post = found[k]
+        whole = _whole(panel, fold, which, kinds, covariate)
+        taken, series, *residual, schools = forms
+        out[k] = (whole, whole - taken, whole + residual[0] if residual else None, schools, series), post
+    return out
+
+
+def _cells(space: Space, late: bool) -> np.ndarray:
+    """The columns of each kind in the whole vector, but alpha."""
+    x = np.zeros((len(space.kinds), space.p))
+    np.put_along_axis(x, np.stack([space.whole(c)[row] for c, row in zip(space.kinds[:, 2], space.columns[:, : 5 if late else 4])]), 1.0, axis=1)
+    return x
+
+
+def _whole(panel: Packed, fold: Fold, which: str, kinds: np.ndarray, covariate: np.ndarray) -> np.ndarray:
+    """The system before anything is eliminated, with the response last; that of the level follows from counts and sums of kinds."""
+    space, p = panel.space, panel.space.p
+    if which == "level":
+        year = space.year_of
+        w = np.ones(len(year)) if fold.halflife is None else 0.5 ** ((fold.newest[space.kinds[:, 2]] - year) / fold.halflife)
+        w = np.where(year < fold.until, w, 0.0) if fold.until is not None else w
+        n, value, squares = (panel.counts[c].to_numpy(float) * w / fold.level.sigma**2 for c in ("n_num", "sum", "squares"))
+        last = squares.sum()
+    else:
+        (n, value, _), last = kinds, 0.0  # the last is not asked for
+    x, out = _cells(space, which != "level"), np.zeros((p + 1, p + 1))
+    out[:p, :p] = x.T @ (n[:, None] * x)
+    out[:p, p] = out[p, :p] = x.T @ value
+    out[p, p] = last
+    if which != "level" and fold.couple:
+        out[:p, p - 1] += x.T @ kinds[2]
+        out[p - 1, :p] = out[:p, p - 1]
+        out[p - 1, p - 1] = covariate[0]
+        out[p, p - 1] = out[p - 1, p] = covariate[1]
+    return out
 
 
 def _penalty(space: Space, seen: np.ndarray, taus: dict) -> np.ndarray:
@@ -339,18 +489,21 @@ def _advance(space: Space, part: Part, which: str, forms: np.ndarray, post: np.n
         v = np.r_[-b, 1]
         new = float(np.clip(np.sqrt(max(v @ rss @ v, 0) / whole[0, 0]), 0.5, 30.0))
         settled, limit = abs(new - part.sigma) < 1e-6, 20
-        part.b, part.residual = b, new
+        if part.last and abs(part.sigma - part.last[0]) > 1e-9:
+            part.slope = (new - part.last[1]) / (part.sigma - part.last[0])
+        part.b, part.residual, part.last = b, new, (part.sigma, new)
     else:
         step = b - part.b
-        x = np.zeros((len(space.kinds), space.p))
-        np.put_along_axis(x, np.stack([space.whole(c)[row] for c, row in zip(space.kinds[:, 2], space.columns)]), 1.0, axis=1)
+        x = _cells(space, True)
         x = x[(x[:, ~seen] == 0).all(axis=1)]
         most = np.abs(x @ step).max(initial=0) + abs(step[-1]) * post[4]
-        settled, limit = most < 1e-8, 50
+        settled, limit = most < 1e-5, 50  # after a Newton step this small, the next one would be of its square
         part.b = part.b + step * min(1.0, 5 / max(most, 1e-9))
     if not (settled or part.turn >= limit):
         if which == "level":
-            part.sigma = part.residual
+            # where residuals follow spreads slowly, straight to where they meet; 20 plain turns would end there, too
+            gain = 1 / (1 - part.slope) if part.slope is not None and 0 <= part.slope <= 0.4 else 1.0
+            part.sigma = float(np.clip(part.sigma + (part.residual - part.sigma) * gain, 0.5, 30.0))
         return
     v, info, out = np.r_[-part.b, 1], np.diag(whole), {}
     for name, form, n, var in (("school", schools, *post[:2]), ("series", series, *post[2:4])):
@@ -360,7 +513,7 @@ def _advance(space: Space, part: Part, which: str, forms: np.ndarray, post: np.n
     out["prog"] = max(LEAST_TAU, float(np.sqrt(np.mean(part.b[prog] ** 2 + var["prog"][prog]))))
     moves = [(part.b[j] - part.b[i]) ** 2 + var["cy"][i] + var["cy"][j] for i, j in _steps(space, seen)]
     out["cy"] = max(LEAST_TAU, float(np.sqrt(np.mean(moves)))) if moves else part.taus["cy"]
-    part.round, part.turn, part.out = part.round + 1, 0, out
+    part.round, part.turn, part.out, part.last = part.round + 1, 0, out, None
     part.done = part.round == ROUNDS
     if not part.done:
         part.taus = out
@@ -368,26 +521,37 @@ def _advance(space: Space, part: Part, which: str, forms: np.ndarray, post: np.n
             part.sigma = part.residual
 
 
-def fitted(panel: Packed, asked: list[tuple[int | None, float | None, bool]]) -> list[Fold | None]:
-    """A fit for each (until, half-life, couple); null where no number is before ``until``."""
+def fitted(panel: Packed, asked: list[tuple[int | None, float | None, bool]], fill: bool = True, known: list[Fold | None] = ()) -> list[Fold | None]:
+    """A fit for each (until, half-life, couple); null where no number is before ``until``.
+
+    Without ``fill`` only the level is fitted; levels that ``known`` folds have are taken from them.
+    """
     space, folds = panel.space, []
+    levels = {(f.until, f.halflife): f.level for f in known if f}
     for until, halflife, couple in asked:
         train = panel.counts if until is None else panel.counts[panel.counts["year"] < until]
         newest = train.groupby("county")["year"].max().reindex(range(len(space.counties)), fill_value=0).to_numpy()
         start = lambda sigma: Part(np.zeros(space.p), dict(FIRST), sigma)
         halflife = None if halflife is None or np.isnan(halflife) else float(halflife)
-        folds.append(Fold(until, halflife, couple, newest, start(5.0), start(1.0)) if train["n_num"].sum() else None)
-    open_ = {k: f for k, f in enumerate(folds) if f}
-    while open_:
-        which = {k: "level" if not f.level.done else "fill" for k, f in open_.items()}
-        for k, (forms, post) in _pass(panel, {k: (f, which[k]) for k, f in open_.items()}).items():
-            _advance(space, getattr(open_[k], which[k]), which[k], forms, post)
-        open_ = {k: f for k, f in open_.items() if not f.fill.done}
-    return folds
+        level = levels.setdefault((until, halflife), start(5.0))
+        folds.append(Fold(until, halflife, couple, newest, level, start(1.0)) if train["n_num"].sum() else None)
+    while True:
+        work: dict[int, tuple[Fold, str]] = {}
+        for k, fold in enumerate(folds):
+            if fold and not fold.level.done:
+                if all(other.level is not fold.level for other, _ in work.values()):
+                    work[k] = fold, "level"
+            elif fold and fill and not fold.fill.done:
+                work[k] = fold, "fill"
+        if not work:
+            return folds
+        for k, (forms, post) in _pass(panel, work).items():
+            fold, which = work[k]
+            _advance(space, getattr(fold, which), which, forms, post)
 
 
 def emitted(panel: Packed, schema: str, make) -> DataFrame:
-    """``make(chunk)``, a frame or null, of all chunks."""
+    """``make(chunk)``, lists of a table's columns by name, of all chunks."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -396,28 +560,40 @@ def emitted(panel: Packed, schema: str, make) -> DataFrame:
     def task(batches):
         for batch in batches:
             for chunk in chunks(space, batch):
-                frame = make(chunk)
-                if frame is not None and len(frame):
-                    yield pa.RecordBatch.from_pandas(frame, schema=want, preserve_index=False)
+                for made in make(chunk):
+                    columns = [made[f.name] if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type, from_pandas=True) for f in want]
+                    yield pa.RecordBatch.from_arrays(columns, schema=want)
 
     return panel.rows.mapInArrow(task, schema)
 
 
+def expected(chunk: Chunk, fold: Fold, kind: np.ndarray, series: np.ndarray, year: int) -> np.ndarray:
+    """Threshold of series with a kind each; county-years as of ``year``."""
+    school, own = chunk.level_effects(fold)
+    return _predicted(chunk, fold, fold.level, school, own, kind, series, year)
+
+
+def _predicted(chunk: Chunk, fold: Fold, part: Part, school: np.ndarray, own: np.ndarray, kind: np.ndarray, series: np.ndarray, year: int) -> np.ndarray:
+    b = part.b[chunk.space.whole(chunk.county)][chunk.space.columns[kind, :3]].sum(axis=1)
+    return b + school[chunk.owner[series]] + own[series] + fold.effect(part, chunk.space, year)[chunk.county]
+
+
 def predicted(chunk: Chunk, fold: Fold, kind: np.ndarray, series: np.ndarray, year: int) -> tuple[np.ndarray, np.ndarray]:
     """Threshold and fill probability of the usual round, of series with a kind each; county-years as of ``year``."""
-    space, c, owner = chunk.space, chunk.county, chunk.owner[series]
     alpha = chunk.alpha(fold)
-    made = []
-    for part, (school, own) in ((fold.level, chunk.level_effects(fold)), (fold.fill, chunk.fill_effects(fold, alpha)[:2])):
-        b = part.b[space.whole(c)][space.columns[kind, :3]].sum(axis=1)
-        made.append(b + school[owner] + own[series] + fold.effect(part, space, year)[c])
-    made[1] += fold.fill.b[space.slices["late"].start] + fold.fill.b[-1] * alpha[owner]
-    return made[0], 1 / (1 + np.exp(-made[1]))
+    school, own = chunk.fill_effects(fold, alpha)[:2]
+    eta = _predicted(chunk, fold, fold.fill, school, own, kind, series, year)
+    eta += fold.fill.b[chunk.space.slices["late"].start] + fold.fill.b[-1] * alpha[chunk.owner[series]]
+    return expected(chunk, fold, kind, series, year), 1 / (1 + np.exp(-eta))
+
+
+def words(codes: np.ndarray, of: list) -> pa.Array:
+    return pa.DictionaryArray.from_arrays(pa.array(codes, pa.int32()), pa.array(of, pa.string())).cast(pa.string())
 
 
 def named(chunk: Chunk, series: np.ndarray, kind: np.ndarray) -> dict:
     space = chunk.space
     return {
-        "county": space.counties[chunk.county], "school": np.array(chunk.schools, object)[chunk.owner[series]],
-        "program": np.array(space.progs, object)[space.kinds[kind, 1]], "category": np.array(space.cats, object)[space.kinds[kind, 0]],
+        "county": words(np.full(len(series), chunk.county), space.counties), "school": words(chunk.owner[series], chunk.schools),
+        "program": words(space.kinds[kind, 1], space.progs), "category": words(space.kinds[kind, 0], space.cats),
     }

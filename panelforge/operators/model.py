@@ -220,40 +220,64 @@ def walk_forward(rows: DataFrame | fits.Packed, halflives: tuple[float | None, .
     Cells of a later round are not predicted.
     """
     panel = rows if isinstance(rows, fits.Packed) else fits.packed(rows)
-    tested = sorted(panel.counts.loc[~panel.counts["late"], "year"].unique())
-    years = [int(y) for y in tested if y > panel.counts["year"].min()]
-    asked = [(t, h, couple) for t in years for h in halflives]
+    asked = [(t, h, couple) for t in _tested(panel) for h in halflives]
     made = [(t, h, fold) for (t, h, _), fold in zip(asked, fits.fitted(panel, asked)) if fold]
-    columns = [c.split()[0] for c in PREDS.split(", ")]
 
-    def fold_rows(chunk: fits.Chunk) -> pd.DataFrame | None:
-        out = []
+    def fold_rows(chunk: fits.Chunk):
         for t, halflife, fold in made:
             at = np.flatnonzero((chunk.year == t) & ~chunk.late)
             if not len(at):
                 continue
             kind, series = chunk.kind[at], chunk.series[at]
             m, pi = fits.predicted(chunk, fold, kind, series, t)
-            hist = np.bincount(chunk.series[(chunk.state == 0) & (chunk.year < t)], minlength=chunk.nt)[series]
-            out.append(pd.DataFrame(fits.named(chunk, series, kind) | {
-                "T": t, "halflife": np.nan if halflife is None else halflife, "state": np.array(fits.STATES, object)[chunk.state[at]],
-                "v": chunk.z[at], "m": m, "pi": pi, "hist": hist, "sigma": fold.level.residual,
-            })[columns])
-        return pd.concat(out, ignore_index=True) if out else None
+            yield fits.named(chunk, series, kind) | _tried(chunk, fold, at, t) | {"halflife": np.full(len(at), np.nan if halflife is None else halflife), "m": m, "pi": pi}
 
     return fits.emitted(panel, PREDS, fold_rows)
 
 
+def _tested(panel: fits.Packed) -> list[int]:
+    """The years that are predicted: those of cells of the usual round, but the first of all."""
+    tested = sorted(panel.counts.loc[~panel.counts["late"], "year"].unique())
+    return [int(y) for y in tested if y > panel.counts["year"].min()]
+
+
+def _tried(chunk: fits.Chunk, fold: fits.Fold, at: np.ndarray, year: int) -> dict:
+    """What is known of the cells that are predicted, and the residual's spread."""
+    hist = np.bincount(chunk.series[(chunk.state == 0) & (chunk.year < year)], minlength=chunk.nt)[chunk.series[at]]
+    state = fits.words(chunk.state[at], list(fits.STATES))
+    return {"T": np.full(len(at), year), "state": state, "v": chunk.z[at], "hist": hist, "sigma": np.full(len(at), fold.level.residual)}
+
+
+def halflife_errors(rows: DataFrame | fits.Packed, years: tuple[int, ...], halflives: tuple[float | None, ...] = HALFLIVES) -> tuple[DataFrame, list]:
+    """(halflife, rmse, n) over the predictions of ``years``, the best first, and the folds; only the level is fitted for it.
+
+    Squared errors are summed where the cells lie, so no prediction is written.
+    """
+    panel = rows if isinstance(rows, fits.Packed) else fits.packed(rows)
+    asked = [(t, h, False) for t in _tested(panel) if t in years for h in halflives]
+    folds = fits.fitted(panel, asked, fill=False)
+    made = [(t, h, fold) for (t, h, _), fold in zip(asked, folds) if fold]
+
+    def errors(chunk: fits.Chunk):
+        for t, halflife, fold in made:
+            at = np.flatnonzero((chunk.year == t) & ~chunk.late & (chunk.state == 0))
+            if len(at):
+                e = chunk.z[at] - fits.expected(chunk, fold, chunk.kind[at], chunk.series[at], t)
+                yield {"halflife": [halflife], "squares": [e @ e], "n": [len(at)]}
+
+    sums = fits.emitted(panel, "halflife double, squares double, n long", errors).groupBy("halflife")
+    return _best_first(sums.agg(F.sqrt(F.sum("squares") / F.sum("n")).alias("rmse"), F.sum("n").alias("n"))), folds
+
+
+def _best_first(found: DataFrame) -> DataFrame:
+    """Of equals the one tried first."""
+    return found.orderBy(F.round("rmse", 6), F.coalesce(F.col("halflife"), F.lit(1e9)))
+
+
 def best_halflife(preds: DataFrame) -> DataFrame:
     """One row for each half-life with its error, the best first; of equals the one tried first."""
     e = F.col("v") - F.col("m")
-    order = F.coalesce(F.col("halflife"), F.lit(1e9))
-    return (
-        preds.where("state = 'num'")
-        .groupBy("halflife")
-        .agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n"))
-        .orderBy(F.round("rmse", 6), order)
-    )
+    return _best_first(preds.where("state = 'num'").groupBy("halflife").agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n")))
 
 
 def newton(sums, rounds: int = 50) -> tuple[float, float]:
@@ -304,7 +328,7 @@ def fill_loss(preds: DataFrame, a: float, b: float) -> float:
 
 @dataclass
 class Choice:
-    """What the backtest decides: half-life, coupling, recalibration, and the predictions it was decided on."""
+    """What the backtest decides: half-life, coupling, recalibration, and the predictions it was decided on (without names)."""
 
     halflife: float | None
     couple: bool
@@ -319,19 +343,38 @@ QUICK = Choice(2.5, True, 0.0, 1.0, None)
 QUICK_SPREAD = 1.25
 
 
+BOTH = "T int, state string, v double, m double, pi double, coupled double, hist int, sigma double"
+
+
 def choose(rows: DataFrame | fits.Packed, calibration: tuple[int, ...]) -> Choice:
-    """The half-life with the least error on the calibration years; coupled if that lowers their recalibrated log-loss."""
+    """The half-life with the least error on the calibration years; coupled if that lowers their recalibrated log-loss.
+
+    The half-life is chosen by the level alone; the fill part is fitted for the chosen one, with and without coupling, which
+    share the level and their predictions' rows.
+    """
     within = F.col("T").isin(*calibration)
-    rows = rows if isinstance(rows, fits.Packed) else fits.packed(rows)
-    grid = stored(walk_forward(rows, HALFLIVES), "walk-forward")
-    best = best_halflife(grid.where(within)).first()
+    panel = rows if isinstance(rows, fits.Packed) else fits.packed(rows)
+    errors, known = halflife_errors(panel, calibration)
+    best = errors.first()
     halflife = best["halflife"] if best else 4.0
-    plain = grid.where(F.col("halflife").eqNullSafe(F.lit(halflife)))
-    coupled = stored(walk_forward(rows, (halflife,), couple=True), "walk-forward-coupled")
-    lines = [platt_table(p.where(within)) for p in (plain, coupled)]
-    losses = tuple(fill_loss(p.where(within), *ab) for p, ab in zip((plain, coupled), lines))
+    years = _tested(panel)
+    folds = fits.fitted(panel, [(t, halflife, couple) for couple in (False, True) for t in years], known=known)
+    made = [(t, *pair) for t, *pair in zip(years, folds[: len(years)], folds[len(years) :]) if pair[0]]
+
+    def both(chunk: fits.Chunk):
+        for t, plain, coupled in made:
+            at = np.flatnonzero((chunk.year == t) & ~chunk.late)
+            if len(at):
+                kind, series = chunk.kind[at], chunk.series[at]
+                m, pi = fits.predicted(chunk, plain, kind, series, t)
+                yield _tried(chunk, plain, at, t) | {"m": m, "pi": pi, "coupled": fits.predicted(chunk, coupled, kind, series, t)[1]}
+
+    found = stored(fits.emitted(panel, BOTH, both), "walk-forward").withColumn("halflife", F.lit(halflife).cast("double"))
+    preds = [found.drop("coupled"), found.withColumn("pi", F.col("coupled")).drop("coupled")]
+    lines = [platt_table(p.where(within)) for p in preds]
+    losses = tuple(fill_loss(p.where(within), *ab) for p, ab in zip(preds, lines))
     use = None not in losses and losses[1] < losses[0]
-    return Choice(halflife, use, *lines[use], coupled if use else plain, losses)
+    return Choice(halflife, use, *lines[use], preds[use], losses)
 
 
 EFFECT_ROWS = "part string, effect string, level string, value double, tau double"
@@ -344,25 +387,25 @@ def effects(obs: DataFrame, halflife: float | None = 4.0, couple: bool = False)
     space, (fold,) = panel.space, fits.fitted(panel, [(None, halflife, couple)])
     names = {"mu": ["0"], "cat": space.cats, "prog": space.progs, "late": ["False", "True"], "alpha": ["0"]}
     names["cy"] = [str((c, y)) for c in space.counties for y in space.years]
-    shared, columns = [], [c.split()[0] for c in EFFECT_ROWS.split(", ")]
+    shared = []
     for label, part in (("level", fold.level), ("fill", fold.fill)):
         for name, s in space.slices.items():
             for level, b, seen in zip(names[name], part.b[s], part.seen[s]):
                 if seen:
                     shared.append((label, name, level, float(b), part.out.get(name)))
 
-    def own(chunk: fits.Chunk) -> pd.DataFrame:
+    def own(chunk: fits.Chunk):
         full = [space.counties[chunk.county] + "|" + s for s in chunk.schools]
         series = [full[o] + "|" + space.progs[p] for o, p in zip(chunk.owner, chunk.series_prog)]
         learned = np.unique(chunk.series[chunk.state == 0])
-        rows = []
         for label, part, (school, one), met in (
             ("level", fold.level, chunk.level_effects(fold), learned),
             ("fill", fold.fill, chunk.fill_effects(fold, chunk.alpha(fold))[:2], np.arange(chunk.nt)),
         ):
-            rows += [(label, "school", full[i], school[i], part.out["school"]) for i in np.unique(chunk.owner[met])]
-            rows += [(label, "series", series[i], one[i], part.out["series"]) for i in met]
-        return pd.DataFrame(rows, columns=columns)
+            held = np.unique(chunk.owner[met])
+            for name, at, levels, value in (("school", held, full, school), ("series", met, series, one)):
+                same = {c: fits.words(np.zeros(len(at)), [x]) for c, x in (("part", label), ("effect", name))}
+                yield same | {"level": fits.words(at, levels), "value": value[at], "tau": np.full(len(at), part.out[name])}
 
     return obs.sparkSession.createDataFrame(shared, EFFECT_ROWS).unionByName(fits.emitted(panel, EFFECT_ROWS, own))
 
@@ -379,17 +422,19 @@ def forecasts(rows: DataFrame | fits.Packed, choice: Choice, spread: DataFrame |
 
     panel = rows if isinstance(rows, fits.Packed) else fits.packed(rows)
     (fold,) = fits.fitted(panel, [(None, halflife, couple)])
-    year = int(panel.counts["year"].max()) + 1
-    columns = [c.split()[0] for c in FORECASTS.split(", ")]
-
-    def ahead(chunk: fits.Chunk) -> pd.DataFrame:
-        cells = pd.DataFrame({"series": chunk.series, "cat": chunk.space.kinds[chunk.kind, 0], "kind": chunk.kind, "year": chunk.year, "num": chunk.state == 0})
-        out = cells.groupby(["series", "cat"], as_index=False).agg(kind=("kind", "first"), last=("year", "max"), hist=("num", "sum"))
-        out["year"] = int(fold.newest[chunk.county]) + 1
-        out = out[out["last"] >= out["year"] - 2]
-        kind, series = out["kind"].to_numpy(), out["series"].to_numpy()
-        out["m"], out["pi"] = fits.predicted(chunk, fold, kind, series, year)
-        return out.assign(**fits.named(chunk, series, kind), sigma=fold.level.residual)[columns]
+
+    def ahead(chunk: fits.Chunk):
+        # a series' cells of a category are a stretch, as kinds are numbered by programme and category
+        category = chunk.space.kinds[chunk.kind, 0]
+        key = np.stack([chunk.series, category])
+        at = np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(axis=0)])
+        last, hist = np.maximum.reduceat(chunk.year, at), np.add.reduceat((chunk.state == 0).astype(int), at)
+        next_year = int(fold.newest[chunk.county]) + 1
+        alive = last >= next_year - 2
+        kind, series = chunk.kind[at[alive]], chunk.series[at[alive]]
+        m, pi = fits.predicted(chunk, fold, kind, series, next_year)
+        same = {"year": np.full(len(kind), next_year), "sigma": np.full(len(kind), fold.level.residual)}
+        yield fits.named(chunk, series, kind) | same | {"m": m, "pi": pi, "hist": hist[alive]}
 
     made = fits.emitted(panel, FORECASTS, ahead)
     made = made.withColumn("pi", recalibrated(F.col("pi"), choice.a, choice.b))

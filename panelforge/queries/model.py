@@ -35,8 +35,7 @@ def walk_forward_model(spark, sf_dir):
 
 
 def halflife_grid(spark, sf_dir):
-    preds = model.walk_forward(_rows(spark, sf_dir), model.HALFLIVES)
-    return model.best_halflife(preds.where(F.col("T").isin(*evaluation.CALIBRATION)))
+    return model.halflife_errors(_rows(spark, sf_dir), evaluation.CALIBRATION)[0]
 
 
 def model_report(spark, sf_dir):

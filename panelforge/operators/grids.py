@@ -8,6 +8,8 @@ thousand at most; documents are read side by side.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,10 +22,11 @@ from panelforge.plans.stored import stored
 
 PAGE = ["doc", "page"]
 TOLERANCE = 2.5
+TAIL = 4  # words that a cell at the end of a line has at most
 
 
 def _joined(words: Column) -> Column:
-    return squash(F.array_join(F.transform(words, lambda w: w["text"]), " "))
+    return squash(F.array_join(words["text"], " "))
 
 
 def _once(value: Column, made) -> Column:
@@ -34,7 +37,7 @@ def _once(value: Column, made) -> Column:
 def lines_of(words: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """(doc, page, line, words, text): the words of each line from left to right; a line is a chain of near tops."""
     lined = islands(words, PAGE, "top", tolerance, "line")
-    found = lined.groupBy(*PAGE, "line").agg(F.array_sort(F.collect_list(F.struct("x0", "x1", "text"))).alias("words"))
+    found = lined.groupBy(*PAGE, "line").agg(F.sort_array(F.collect_list(F.struct("x0", "x1", "text"))).alias("words"))
     return found.withColumn("text", _joined(F.col("words")))
 
 
@@ -137,33 +140,49 @@ def listed_thresholds(words: DataFrame) -> DataFrame:
     """
     t = F.lower("text")
     tests = {"program": F.startswith(t, F.lit("programområde")), "digit": t.isin("nivå", "nivaa"), "block": t == "vg1", "value": t == "nedre"}
-    heads = words.groupBy(*PAGE).agg(
+    any_test = reduce(lambda a, b: a | b, tests.values())
+    heads = words.where(any_test).groupBy(*PAGE).agg(
         *[_last_x(tests[c]).alias(c) for c in ("program", "value")], *[F.collect_set(F.when(tests[c], F.col("x0"))).alias(c) for c in ("digit", "block")]
     )
     between = lambda c: F.exists(c, lambda x: (x > F.col("program")) & (x < F.col("value")))
     layout = F.when(between("digit"), "level").when(between("block"), "block").otherwise("plain")
     head = F.when(F.col("program").isNotNull() & F.col("value").isNotNull(), F.struct("program", layout.alias("layout")))
-    heads = _carried(heads.select(*PAGE, head.alias("head")))
+    heads = _carried(words.select(*PAGE).distinct().join(heads.select(*PAGE, head.alias("head")), PAGE, "left"))
     named = F.nullif(F.regexp_extract("text", r"(?i)^Vg\s?([1-4])\b", 1), F.lit(""))
-    order = Window.partitionBy("doc").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines_of(words).where("text <> ''").join(heads, PAGE).withColumn("named", named)
-    lines = lines.withColumn("block", F.coalesce(F.last("named", ignorenulls=True).over(order), F.lit("1")))
-    lines = lines.where(F.col("named").isNull() & ~F.lower("text").rlike("^(skule|skole|oversikt|nedre poenggrense)"))
-    tails = F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(4), F.size("words"))),
-        lambda k: F.struct(k.alias("k"), _once(_joined(F.slice("words", -k, k)), lambda c: classified(c, 0.0)).alias("v")),
-    )
-    lines = lines.withColumn("tail", F.array_max(F.filter(tails, lambda x: x["v"]["status"].isNotNull()))).where("tail is not null")
-    lines = lines.withColumn("body", F.slice("words", F.lit(1), F.size("words") - F.col("tail.k"))).where(F.size("body") > 0)
+    size = F.size("words")
+    tails = F.array(*[F.when(size >= k, _joined(F.slice("words", -k, k))) for k in range(1, TAIL + 1)])
+    heading = F.lower("text").rlike("^(skule|skole|oversikt|nedre poenggrense)")
+    # a page's lines lie where its words were dealt to; the few headers are looked up there, and lines are not sorted for it
+    lines = lines_of(words).join(heads.hint("shuffle_hash"), PAGE)
+    lines = stored(lines.select(*PAGE, "line", "head", named.alias("named"), heading.alias("heading"), "words", tails.alias("tails")), "lines")
+    # a document's blocks go on over its pages: what goes through a window of a document are its pages and not its lines
+    marks = lines.where("named is not null").groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("line", "named"))).alias("marks"))
+    before = Window.partitionBy("doc").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    pages = lines.select(*PAGE).distinct().join(marks, PAGE, "left")
+    pages = pages.withColumn("before", F.last(F.element_at("marks", -1)["named"], ignorenulls=True).over(before))
+    lines = lines.where("named is null and not heading")
+    # few texts are different: each is understood once
+    known = lines.select(F.explode("tails").alias("text")).distinct().select("text", classified(F.col("text"), 0.0).alias("v"))
+    known = stored(known, "meanings").where("v.status is not null")
+    for k in range(1, TAIL + 1):
+        lines = lines.join(known.select(F.col("text").alias(f"t{k}"), F.col("v").alias(f"v{k}")), F.get("tails", F.lit(k - 1)) == F.col(f"t{k}"), "left")
+    longest = F.coalesce(*[F.when(F.col(f"v{k}").isNotNull(), F.struct(F.lit(k).alias("k"), F.col(f"v{k}").alias("v"))) for k in range(TAIL, 0, -1)])
+    lines = lines.withColumn("tail", longest).where("tail is not null").withColumn("body", F.slice("words", F.lit(1), size - F.col("tail.k"))).where(F.size("body") > 0)
     last = F.element_at("body", -1)
     digit = F.when(last["text"].rlike("^[1-4]$") & (last["x0"] > F.col("head.program")), last["text"])
     lines = lines.withColumn("digit", digit).withColumn("body", F.when(F.col("digit").isNotNull(), F.slice("body", F.lit(1), F.size("body") - 1)).otherwise(F.col("body")))
     edge = F.col("head.program") - 4
     rows = lines.select(
-        "doc", "head.layout", _joined(_between(F.col("body"), None, edge)).alias("school"),
-        _once(_joined(_between(F.col("body"), edge, None)), program_name).alias("program"),
-        F.concat(F.lit("Vg"), F.coalesce("digit", "block")).alias("level"), F.struct("page", "line").alias("at"), "tail.v",
-    ).where("school <> '' and program <> ''")
+        *PAGE, "line", "head.layout", _joined(_between(F.col("body"), None, edge)).alias("school"),
+        _joined(_between(F.col("body"), edge, None)).alias("printed"), "digit", "tail.v",
+    )
+    rows = stored(rows, "rows").where("school <> ''")
+    programs = rows.select("printed").distinct().select("printed", program_name(F.col("printed")).alias("program"))
+    rows = rows.join(stored(programs, "programs").where("program <> ''"), "printed").join(pages, PAGE, "left")
+    above = F.array_max(F.filter("marks", lambda m: m["line"] < F.col("line")))
+    block = F.when(F.size("marks") > 0, above["named"])
+    level = F.concat(F.lit("Vg"), F.coalesce("digit", block, "before", F.lit("1")))
+    rows = rows.select("doc", "layout", "school", "program", level.alias("level"), F.struct("page", "line").alias("at"), "v")
     kept = rows.groupBy("doc", "school", "program", "level").agg(F.max_by(F.struct("layout", "v"), "at").alias("kept"))
     return kept.select("doc", "kept.layout", "school", "program", "level", "kept.v.*")
 

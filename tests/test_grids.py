@@ -57,3 +57,33 @@ def test_pictures_of_a_page(spark):
     got = [tuple(r) for r in pictures.picture_candidates(pages, "page_id").orderBy("place").collect()]
     assert [x[:4] for x in got] == [(1, 1, "https://a.org/a/skolen.jpg?x=1&y=2", "og:image"), (1, 2, "https://a.org/om/bygg.jpg", "img")]
     assert got[1][5] == "x > y"
+
+
+def test_list_blocks_go_on_over_pages_and_texts_are_understood_once(spark, monkeypatch):
+    """Through a document's window go its pages and not its lines; a text that many lines end with is classified once."""
+    head = [("Skule", 40), ("Programområde", 200), ("Nedre", 423)]
+    line = lambda n, p, v: [(n, 40), (p, 200), (v, 415)]
+    page = words(
+        spark, (1, 40, head), (1, 52, line("Nord", "Idrettsfag", "31,0")), (1, 64, [("Vg2", 40)]), (1, 76, line("Nord", "Idrettsfag", "32,0")), (1, 88, [("Vg3", 40)]),
+        (2, 52, line("Nord", "Idrettsfag", "33,0")), (4, 52, line("Sør", "Idrettsfag", "33,0")), (4, 64, [("vg 2", 40)]), (4, 76, line("Sør", "Idrettsfag", "Ledige")),
+        (0, 52, line("Øst", "Idrettsfag", "30,0")), *[(5, 52 + 12 * i, line(f"S{i}", "Naturbruk", "33,0")) for i in range(20)],
+    )
+    plans, found, store = {}, {}, grids.stored
+
+    def kept(rows, name):
+        plans[name] = rows._jdf.queryExecution().optimizedPlan().toString()
+        found[name] = store(rows, name)
+        return found[name]
+
+    monkeypatch.setattr(grids, "stored", kept)
+    read = grids.listed_thresholds(page)
+    got = sorted((r.school, r.program, r.level, r.status, r.points) for r in read.collect())
+    assert got == sorted([
+        ("Nord", "Idrettsfag", "Vg1", "points", 31.0), ("Nord", "Idrettsfag", "Vg2", "points", 32.0), ("Nord", "Idrettsfag", "Vg3", "points", 33.0),
+        ("Sør", "Idrettsfag", "Vg3", "points", 33.0), ("Sør", "Idrettsfag", "Vg2", "open", None), *[(f"S{i}", "Naturbruk", "Vg2", "points", 33.0) for i in range(20)],
+    ])
+    assert found["meanings"].count() == found["meanings"].select("text").distinct().count() and found["meanings"].where("text = '33,0'").count() == 1
+    assert found["programs"].count() == 2
+    last = read._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(doc" in last and not any("line" in x.split("], [")[0] for x in last.splitlines() if "Window [" in x)
+    assert "regexp_extract" not in plans["rows"]

@@ -134,3 +134,18 @@ def test_a_pass_does_not_depend_on_where_schools_lie(rows, monkeypatch):
     (one, n), (all_, m) = sums(1), sums(20_000)
     assert n > m and one.keys() == all_.keys() and len(one) == 4
     assert all(np.allclose(one[k], all_[k], rtol=1e-6, atol=1e-6) for k in one)
+
+
+def test_forecasts_are_those_of_a_fit_of_all_years(frame, rows):
+    """Series with a cell in the last two years are forecast, each from its own cells."""
+    got = model.forecasts(rows, model.QUICK).toPandas()
+    frame = frame.sort_values([*model.SERIES, "year"], ignore_index=True)
+    last = frame.groupby([*model.SERIES, "category"])["year"].max().reset_index()
+    last = last[last["year"] >= frame.groupby("county")["year"].max()[last["county"]].to_numpy() - 1].reset_index(drop=True)
+    fit = model.fit_both(frame, model.QUICK.halflife, True)
+    m, pi = model.predict(fit, last, 2001)
+    both = last.assign(m=m, pi=pi).merge(got, on=[*model.SERIES, "category"])
+    assert len(both) == len(last) == len(got)
+    assert np.abs(both["m_x"] - both["m_y"]).max() < 1e-4 and np.abs(both["pi_x"] - both["pi_y"]).max() < 1e-5
+    hist = frame[frame["state"] == "num"].groupby(model.SERIES).size().rename("n").reset_index()
+    assert (both.merge(hist, "left", on=model.SERIES)["n"].fillna(0) == both["hist"]).all()
